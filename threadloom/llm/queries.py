@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm.chat import render_chats
+from threadloom.llm.language import identify, learn_profiles
 from threadloom.llm.sharding import shuffle_into_shards
 
 N_SHARDS = 24
@@ -30,6 +31,15 @@ def op8_snapshot_collapse_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render_chats(table(spark, sf_dir, "conversations"))
 
 
+def op10_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents; those with crc32(doc_id) mod 4 = 2 are held out of the learning."""
+    docs = table(spark, sf_dir, "documents")
+    part = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4, F.lit(0))
+    profiles = learn_profiles(docs.where(part != 2))
+    out = identify(docs.select("doc_id", (part == 2).alias("held_out"), "text"), profiles)
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
 OP8_SQL = """
 WITH turns AS (SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns
                FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
@@ -44,6 +54,7 @@ SELECT conv_id, n_turns, length(rendered) AS n_chars, rendered FROM said
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hypergeometric_sharding": op1_hypergeometric_sharding,
+    "op10_rank_order_language": op10_rank_order_language,
     "op8_snapshot_collapse_chat": op8_snapshot_collapse_chat,
 }
 ORACLE_SQL: dict[str, str] = {"op8_snapshot_collapse_chat": OP8_SQL}
