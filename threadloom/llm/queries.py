@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.chat import render_chats
 from threadloom.llm.language import identify, learn_profiles
+from threadloom.llm.minhash import near_duplicates
 from threadloom.llm.sharding import shuffle_into_shards
 
 N_SHARDS = 24
@@ -40,6 +41,11 @@ def op10_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates of all documents at similarity 0.85."""
+    return near_duplicates(table(spark, sf_dir, "documents"), 0.85)
+
+
 OP8_SQL = """
 WITH turns AS (SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns
                FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
@@ -55,6 +61,7 @@ SELECT conv_id, n_turns, length(rendered) AS n_chars, rendered FROM said
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hypergeometric_sharding": op1_hypergeometric_sharding,
     "op10_rank_order_language": op10_rank_order_language,
+    "op6_superminhash_near_dedup": op6_superminhash_near_dedup,
     "op8_snapshot_collapse_chat": op8_snapshot_collapse_chat,
 }
 ORACLE_SQL: dict[str, str] = {"op8_snapshot_collapse_chat": OP8_SQL}
