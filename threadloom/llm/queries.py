@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from threadloom.llm.chat import render_chats
 from threadloom.llm.language import identify, learn_profiles
 from threadloom.llm.minhash import near_duplicates
+from threadloom.llm.repeats import remove_repeats
 from threadloom.llm.sharding import shuffle_into_shards
 
 N_SHARDS = 24
@@ -41,6 +42,12 @@ def op10_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_radix_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 50-byte strings that a document with a smaller doc_id also has."""
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates of all documents at similarity 0.85."""
     return near_duplicates(table(spark, sf_dir, "documents"), 0.85)
@@ -61,6 +68,7 @@ SELECT conv_id, n_turns, length(rendered) AS n_chars, rendered FROM said
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hypergeometric_sharding": op1_hypergeometric_sharding,
     "op10_rank_order_language": op10_rank_order_language,
+    "op3_radix_repeat_removal": op3_radix_repeat_removal,
     "op6_superminhash_near_dedup": op6_superminhash_near_dedup,
     "op8_snapshot_collapse_chat": op8_snapshot_collapse_chat,
 }
