@@ -138,34 +138,78 @@ def verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     return with_a.mapInArrow(_verify(least), "a long, b long")
 
 
-def _hopeful(least: float):
-    """Pairs within two blocks of a bucket whose signatures promise enough, for whom this is the first shared band."""
+def _promising(met: pa.Table, least: float) -> tuple[np.ndarray, ...]:
+    """(x, y, same) of the rows of two blocks of a bucket whose signatures promise enough and whose components
+    differ, for whom this is the first shared band; most alike first."""
     floor = SIZE * (least - SLACK * (least * (1 - least) / SIZE) ** 0.5)
+    ids, roots, block = (met[c].to_numpy() for c in ("doc_id", "root", "block"))
+    sig = np.frombuffer(b"".join(met["signature"].to_pylist()), np.uint32).reshape(-1, SIZE)
+    bands = np.array(met["bands"].to_pylist(), np.int64).reshape(-1, BANDS)
+    band, i, j = (met[c][0].as_py() for c in ("band", "i", "j"))
+    right = np.flatnonzero(block == j)
+    found = [np.zeros((3, 0), np.int64)]
+    for x in np.flatnonzero(block == i):
+        near = right[(roots[right] != roots[x]) & ((ids[right] > ids[x]) | (i != j))]
+        same = (sig[near] == sig[x]).sum(1)
+        fit = np.flatnonzero(same >= floor)
+        fit = fit[np.argmax(bands[near[fit]] == bands[x], 1) == band]
+        found.append(np.stack([np.full(len(fit), x), near[fit], same[fit]]))
+    x, y, same = np.concatenate(found, 1)
+    order = np.argsort(-same, kind="stable")
+    return x[order], y[order], same[order]
+
+
+_MET = "band int, hash long, i int, j int, doc_id long, root long, block int, bands array<long>, signature binary"
+
+
+def _hopeful(least: float):
+    """The members of two blocks of a bucket that are in a promising pair."""
 
     def run(met: pa.Table) -> pa.Table:
-        ids, roots, block = (met[c].to_numpy() for c in ("doc_id", "root", "block"))
-        sig = np.frombuffer(b"".join(met["signature"].to_pylist()), np.uint32).reshape(-1, SIZE)
-        bands = np.array(met["bands"].to_pylist(), np.int64).reshape(-1, BANDS)
-        band, i, j = (met[c][0].as_py() for c in ("band", "i", "j"))
-        right = np.flatnonzero(block == j)
-        pairs = [(np.zeros((2, 0), np.int64), np.zeros(0, np.int64))]
-        for x in np.flatnonzero(block == i):
-            near = right[(roots[right] != roots[x]) & ((ids[right] > ids[x]) | (i != j))]
-            same = (sig[near] == sig[x]).sum(1)
-            fit = np.flatnonzero(same >= floor)
-            fit = fit[np.argmax(bands[near[fit]] == bands[x], 1) == band]
-            pairs.append((np.stack([np.full(len(fit), ids[x]), ids[near[fit]]]), same[fit]))
-        ends, same = np.concatenate([p[0] for p in pairs], 1), np.concatenate([p[1] for p in pairs])
-        return pa.table({"a": ends.min(0), "b": ends.max(0), "same": same})
+        x, y, _ = _promising(met, least)
+        return met.take(pa.array(np.union1d(x, y)))
 
     return run
 
 
-def _cross_pairs(buckets: DataFrame, sketch: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """(a, b, same): promising pairs that share a bucket but no component yet, each once.
+def _links(least: float):
+    """Links among the members of two blocks that join components; pairs joined by earlier links are left out."""
+    per_mille = round(1000 * least)
+
+    def run(met: pa.Table) -> pa.Table:
+        x, y, _ = _promising(met, least)
+        ids, roots = met["doc_id"].to_numpy(), met["root"].to_numpy()
+        sets, at = [], []
+        for piece in pieces(met.select(["text"]).combine_chunks().to_batches()[0], "text"):
+            h, ends = shingle_sets(piece["text"], SHINGLE_WORDS)
+            sets += [h[ends[k] : ends[k + 1]] for k in range(len(ends) - 1)]
+        above = {int(r): int(r) for r in roots}
+
+        def top(r: int) -> int:
+            while above[r] != r:
+                above[r] = r = above[above[r]]
+            return r
+
+        for u, v in zip(x.tolist(), y.tolist(), strict=True):
+            p, q = top(int(roots[u])), top(int(roots[v]))
+            if p == q:
+                continue
+            shared = len(np.intersect1d(sets[u], sets[v], assume_unique=True))
+            if 1000 * shared >= per_mille * (len(sets[u]) + len(sets[v]) - shared):
+                above[max(p, q)] = min(p, q)
+                at.append((min(ids[u], ids[v]), max(ids[u], ids[v])))
+        ends = np.array(at, np.int64).reshape(-1, 2)
+        return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
+
+    return run
+
+
+def _cross_links(buckets: DataFrame, sketch: DataFrame, docs: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """(a, b): verified links between components that meet in a bucket.
 
     Only buckets in which several components meet are looked at. They are cut into blocks, and each pair of blocks
-    is compared in one task on signatures, so no task holds a whole bucket and only promising pairs leave it.
+    is compared in one task, first on signatures; the texts follow only for members of promising pairs. So no task
+    holds a whole bucket, and pairs never leave a task.
     """
     members = buckets.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     mixed = members.groupBy("band", "hash").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
@@ -173,17 +217,18 @@ def _cross_pairs(buckets: DataFrame, sketch: DataFrame, roots: DataFrame, least:
     at = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     rows = members.join(mixed, ["band", "hash"]).withColumn("block", at).join(sketch.select("doc_id", "bands", "signature"), "doc_id")
     met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("doc_id", "root", "band", "hash", "block", "bands", "signature", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return met.groupBy("band", "hash", "i", "j").applyInArrow(_hopeful(least), "a long, b long, same long")
+    met = met.select("band", "hash", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "root", "block", "bands", "signature")
+    key = ["band", "hash", "i", "j"]
+    hopeful = materialize(met.groupBy(*key).applyInArrow(_hopeful(least), _MET), "hopeful")
+    return hopeful.join(docs.select("doc_id", "text"), "doc_id").groupBy(*key).applyInArrow(_links(least), "a long, b long")
 
 
 def near_duplicate_links(docs: DataFrame, sketch: DataFrame, least: float) -> DataFrame:
     """(node, root) of documents that are linked with others; ``sketch`` has one row for each different set.
 
     Each bucket first offers one pair for each member: with the member that meets the most others in its bands.
-    Where one component is left in a bucket, no further pair of it can change anything. In the other buckets,
-    members that aren't connected yet are compared on their signatures; each is first verified against its most
-    promising counterpart, then all promising pairs that are still unconnected are.
+    Where one component is left in a bucket, no further pair of it can change anything. In the other buckets all
+    pairs between components are compared on their signatures, and the promising ones on their full sets.
     """
     banded = sketch.where("n_shingles > 0").select("doc_id", F.posexplode("bands").alias("band", "hash"))
     sizes = banded.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1")
@@ -192,25 +237,12 @@ def near_duplicate_links(docs: DataFrame, sketch: DataFrame, least: float) -> Da
     weighed = buckets.join(weight, "doc_id")
     hubs = weighed.groupBy("band", "hash").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("id"))).alias("top")).select("band", "hash", (-F.col("top.id")).alias("hub"))
     pairs = buckets.join(hubs, ["band", "hash"]).where("doc_id <> hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
-    tested = materialize(pairs, "pairs")
-    links = materialize(verified(tested, docs, least), "links")
-    roots = materialize(connected_components(links), "roots")
-    buckets = buckets.select("doc_id", "band", "hash")
-    cross = _cross_pairs(buckets, sketch, roots, least)
-    cross = materialize(cross.join(tested, ["a", "b"], "left_anti"), "cross")
-    if cross.isEmpty():
-        return roots
-    ends = cross.select("a", "b", "same", "a").toDF("a", "b", "same", "of").union(cross.select("a", "b", "same", "b").toDF("a", "b", "same", "of"))
-    best = ends.groupBy("of").agg(F.max(F.struct("same", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
-    best = materialize(best, "best")
-    links = materialize(links.union(verified(best, docs, least)), "links")
+    links = materialize(verified(pairs, docs, least), "links")
     roots = materialize(connected_components(links), "roots")
-    root = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
-    left = cross.select("a", "b").join(best, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
-    left = materialize(left.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b"), "left")
-    if left.isEmpty():
+    more = materialize(_cross_links(buckets.select("doc_id", "band", "hash"), sketch, docs, roots, least), "links")
+    if more.isEmpty():
         return roots
-    return materialize(connected_components(links.union(verified(left, docs, least))), "roots")
+    return materialize(connected_components(links.union(more)), "roots")
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
