@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm.chat import render_chats
+from threadloom.llm.decontaminate import find_contamination
 from threadloom.llm.language import identify, learn_profiles
 from threadloom.llm.minhash import near_duplicates
+from threadloom.llm.packing import pack, tokenized_pieces
 from threadloom.llm.repeats import remove_repeats
 from threadloom.llm.sharding import shuffle_into_shards
 
@@ -42,12 +44,23 @@ def op10_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item, with the best passage for each item."""
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_radix_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the 50-byte strings that a document with a smaller doc_id also has."""
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_configuration_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, tokenized, cut and packed into sequences of 2048 tokens."""
+    out = pack(tokenized_pieces(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op6_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates of all documents at similarity 0.85."""
     return near_duplicates(table(spark, sf_dir, "documents"), 0.85)
@@ -68,7 +81,9 @@ SELECT conv_id, n_turns, length(rendered) AS n_chars, rendered FROM said
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hypergeometric_sharding": op1_hypergeometric_sharding,
     "op10_rank_order_language": op10_rank_order_language,
+    "op2_spaced_seed_decontamination": op2_spaced_seed_decontamination,
     "op3_radix_repeat_removal": op3_radix_repeat_removal,
+    "op5_configuration_lp_packing": op5_configuration_lp_packing,
     "op6_superminhash_near_dedup": op6_superminhash_near_dedup,
     "op8_snapshot_collapse_chat": op8_snapshot_collapse_chat,
 }
