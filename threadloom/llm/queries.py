@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.chat import render_chats
 from threadloom.llm.decontaminate import find_contamination
+from threadloom.llm.html import extract_pages
 from threadloom.llm.language import identify, learn_profiles
 from threadloom.llm.minhash import near_duplicates
 from threadloom.llm.packing import pack, tokenized_pieces
 from threadloom.llm.repeats import remove_repeats
 from threadloom.llm.sharding import shuffle_into_shards
+from threadloom.llm.storage import scratch_path
+from threadloom.llm.tokenfiles import read_token_files, write_token_files
 
 N_SHARDS = 24
 
@@ -30,6 +33,18 @@ def op1_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_dictionary_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, written as token files and read back."""
+    folder = scratch_path(spark, "tokens")
+    manifest = write_token_files(table(spark, sf_dir, "documents"), folder)
+    return read_token_files(spark, manifest, folder)
+
+
+def op9_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_snapshot_collapse_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The maximal conversations, rendered."""
     return render_chats(table(spark, sf_dir, "conversations"))
@@ -85,6 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_radix_repeat_removal": op3_radix_repeat_removal,
     "op5_configuration_lp_packing": op5_configuration_lp_packing,
     "op6_superminhash_near_dedup": op6_superminhash_near_dedup,
+    "op7_dictionary_token_files": op7_dictionary_token_files,
+    "op9_page_differencing": op9_page_differencing,
     "op8_snapshot_collapse_chat": op8_snapshot_collapse_chat,
 }
 ORACLE_SQL: dict[str, str] = {"op8_snapshot_collapse_chat": OP8_SQL}
