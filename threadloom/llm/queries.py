@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.chat import render_chats
 from threadloom.llm.decontaminate import find_contamination
+from threadloom.llm.embeddings import near_duplicate_vectors
 from threadloom.llm.html import extract_pages
 from threadloom.llm.language import identify, learn_profiles
 from threadloom.llm.minhash import near_duplicates
@@ -70,6 +71,11 @@ def op3_radix_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_pivot_permutation_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all embeddings at cosine 0.9."""
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), 0.9)
+
+
 def op5_configuration_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, tokenized, cut and packed into sequences of 2048 tokens."""
     out = pack(tokenized_pieces(table(spark, sf_dir, "documents")))
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_rank_order_language": op10_rank_order_language,
     "op2_spaced_seed_decontamination": op2_spaced_seed_decontamination,
     "op3_radix_repeat_removal": op3_radix_repeat_removal,
+    "op4_pivot_permutation_near_dedup": op4_pivot_permutation_near_dedup,
     "op5_configuration_lp_packing": op5_configuration_lp_packing,
     "op6_superminhash_near_dedup": op6_superminhash_near_dedup,
     "op7_dictionary_token_files": op7_dictionary_token_files,
