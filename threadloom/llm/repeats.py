@@ -199,15 +199,16 @@ class Block:
 
 
 def _dealt(block: int, top: np.ndarray, n_buckets: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One record for each bucket: the columns' entries whose ``top`` falls into it, in order."""
+    """One record for each bucket: the columns' entries whose ``top`` falls into it, in order; none without entries."""
+    if not len(top):
+        return
     bucket = ((top >> _U(32)) * _U(n_buckets) >> _U(32)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     ids, begin = np.unique(bucket[order], return_index=True)
     stop = np.append(begin[1:], len(order))
     cut = [[c[order[i:j]].tobytes() for i, j in zip(begin, stop, strict=True)] for c in columns]
     names = ["first", "second"][: len(columns)]
-    if len(ids):
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([block] * len(ids), pa.int64()), *(pa.array(x, pa.binary()) for x in cut)], ["bucket", "block", *names])
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([block] * len(ids), pa.int64()), *(pa.array(x, pa.binary()) for x in cut)], ["bucket", "block", *names])
 
 
 def _collected(replies: bytes | None, lengths: bytes | None, top: np.ndarray, n_buckets: int, n_marks: int) -> list[np.ndarray]:
