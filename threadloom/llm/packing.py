@@ -170,7 +170,7 @@ def _cut_pieces(capacity: int):
         for batch in batches:
             for part in pieces(batch, "text"):
                 rows: list[list] = [[] for _ in range(5)]
-                for doc, ids in zip(part["doc_id"].to_pylist(), encoder.encode(part["text"].to_pylist()), strict=True):
+                for doc, ids in zip(part["doc_id"].to_pylist(), encoder.encode(part["text"]), strict=True):
                     ids += b"\0\0\0\0"
                     for k, start in enumerate(range(0, len(ids), 4 * capacity)):
                         piece = ids[start : start + 4 * capacity]

@@ -76,7 +76,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str | None = None) -> Dictionar
     sample = docs.where(u * n < SAMPLE_DOCS).select(F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text"), u.alias("u")).orderBy("u").limit(2 * SAMPLE_DOCS).collect()
     encoder = PieceEncoder.for_bytes(tokenizer)
     width = 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else 4
-    arrays = [_narrow(x, width) for x in encoder.encode([r["text"] for r in sample])]
+    arrays = [_narrow(x, width) for x in encoder.encode(pa.array([r["text"] for r in sample], pa.string()))]
     try:
         data = zstandard.train_dictionary(DICTIONARY_BYTES, [x for x in arrays if x]).as_bytes()
     except zstandard.ZstdError:  # too few or too uniform samples
@@ -116,7 +116,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
                         out.write(struct.pack(_HEAD, MAGIC, d.width, d.digest))
                         at = struct.calcsize(_HEAD)
                     ids += piece["doc_id"].to_pylist()
-                    for x in encoder.encode(piece["text"].to_pylist()):
+                    for x in encoder.encode(piece["text"]):
                         x += end_id
                         frame = zip_.compress(_narrow(x, d.width))
                         out.write(frame)

@@ -1,14 +1,21 @@
 """Encoding of many whole texts with a public tokenizer, each different word once.
 
 Both vocabularies split a text before their merges run, and a cut at a single space between two other characters is
-always such a split. So the segments between those cuts can be encoded apart, and since most segments of a corpus
-occur again and again, each task keeps the ids of those it has seen.
+always such a split, and so is the one between a letter or digit and ASCII punctuation that ends its segment. The
+segments between those cuts can be encoded apart, and since most segments of a corpus occur again and again, each task
+keeps the ids of those it has seen.
 """
 
 from __future__ import annotations
 
+import os
+import re
+from array import array
+
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Segments whose ids a worker keeps; at that number it starts anew.
@@ -16,6 +23,12 @@ KEPT_SEGMENTS = 1_500_000
 #: Longer segments are encoded each time.
 LONGEST_KEPT = 64
 
+#: White space beside a space or a space at an end; or the mark that the cuts are made with.
+_SPACE = r"[\s\x0b\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ODD_SPACE = rf"\A | \z| {_SPACE}|{_SPACE} |\x00"
+#: A stem (with its leading space, if that belongs to it) and the punctuation that ends its segment.
+_STEM = re.compile(r"( ?[^\W_]+)([!-/:-@\[-`{-~]+)").fullmatch
+
 _made: dict[tuple[str, bool], "PieceEncoder"] = {}
 
 
@@ -23,6 +36,7 @@ class PieceEncoder:
     """Ids as little-endian unsigned 32-bit bytes. ``spaced``: a segment's leading space belongs to it."""
 
     def __init__(self, path: str, spaced: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
@@ -46,33 +60,51 @@ class PieceEncoder:
         return cls.of(path or public_tokenizers.path("byte_bpe_50k.json"), True)
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _of_segments(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of segments that aren't kept yet, by way of their stems; stems and punctuation are kept as well.
+
+        Where the vocabulary has lower case only, plain ASCII segments share the stems in lower case.
+        """
+        cut: dict[str, tuple[str, ...]] = {}
+        for x in new:
+            y = x.lower() if not self.spaced and x.isascii() else x
+            m = _STEM(y)
+            cut[x] = m.groups() if m else (y,)
+        parts = {p for x in cut.values() for p in x if p not in self.kept}
+        wanted = list(parts)
+        ids = dict(zip(wanted, self._encoded(wanted), strict=True))
+        self.kept.update((p, v) for p, v in ids.items() if len(p) <= LONGEST_KEPT)
+        have = self.kept
+        return {x: b"".join([ids[p] if p in ids else have[p] for p in parts]) for x, parts in cut.items()}
 
-    def _segments(self, text: str) -> list[str] | None:
-        """The text cut at single spaces, or None where a space has white space beside it or stands at an end."""
-        parts = text.split(" ")
+    def _segments(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Each text as a list of segments, cut at single spaces (and, where white space is dropped, at line ends);
+        and which texts can't be cut so, since white space stands beside a space or a space at an end."""
         if not self.spaced:
-            return parts
-        for x in parts:
-            if not x or x[0].isspace() or x[-1].isspace():
-                return None
-        return [parts[0], *[" " + x for x in parts[1:]]]
+            return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " "), np.zeros(len(texts), bool)
+        odd = pc.match_substring_regex(texts, _ODD_SPACE)
+        marked = pc.replace_substring(pc.if_else(odd, "", texts), " ", "\0 ")
+        return pc.split_pattern(marked, "\0"), odd.to_numpy(zero_copy_only=False)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each whole text; a null text has none."""
-        cut = [self._segments(t) if t else [] for t in texts]
-        wanted: set[str] = set()
-        for x in cut:
-            if x:
-                wanted.update(x)
-        if len(self.kept) + len(wanted) > KEPT_SEGMENTS:
+        texts = texts.cast(pa.large_string()).fill_null("")
+        cut, odd = self._segments(texts)
+        coded = cut.flatten().dictionary_encode()
+        names, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if len(self.kept) + len(names) > KEPT_SEGMENTS:
             self.kept = {}
-        new = [x for x in wanted if x not in self.kept]
-        ids = dict(zip(new, self._encoded(new), strict=True))
-        long_ = {x: ids.pop(x) for x in new if len(x) > LONGEST_KEPT}
-        self.kept.update(ids)
-        whole = iter(self._encoded([t for t, x in zip(texts, cut, strict=True) if x is None]))
+        new = self._of_segments([x for x in names if x not in self.kept])
         have = self.kept
-        if long_:
-            return [next(whole) if x is None else b"".join([long_[s] if s in long_ else have[s] for s in x]) for x in cut]
-        return [next(whole) if x is None else b"".join(map(have.__getitem__, x)) for x in cut]
+        ids = [new[x] if x in new else have[x] for x in names]
+        have.update((x, v) for x, v in new.items() if len(x) <= LONGEST_KEPT)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        ends = np.concatenate([[0], np.cumsum(sizes[at])])[cut.offsets.to_numpy()]
+        data = memoryview(pa.array(ids, pa.large_binary()).take(coded.indices).buffers()[2] or b"")
+        out = [bytes(data[a:b]) for a, b in zip(ends, ends[1:])]
+        whole = np.flatnonzero(odd).tolist()
+        for i, x in zip(whole, self._encoded([texts[i].as_py() for i in whole]), strict=True):
+            out[i] = x
+        return out
