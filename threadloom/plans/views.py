@@ -79,4 +79,4 @@ _GROUPS = "device_groups AS (SELECT * FROM (VALUES (1, 501), (2, 501), (3, 502),
 
 def oracle(body: str, sparse: bool = False) -> str:
     """``body`` (further WITH parts and a SELECT) over the views files, tokens, attachments and device_groups."""
-    return f"WITH {_FILES % ('(file_id - 1) % 61 < 2' if sparse else 'true')},\n{_ATTACHMENTS},\n{_GROUPS}{body}"
+    return f"WITH {_FILES.replace('%s', '(file_id - 1) % 61 < 2' if sparse else 'true')},\n{_ATTACHMENTS},\n{_GROUPS}{body}"
