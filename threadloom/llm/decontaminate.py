@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.text import mix, pieces, words
+from threadloom.llm.text import cache_for, mix, pieces, words
 
 #: With any two substitutions in 13 tokens, one of these still has all its positions clean somewhere.
 MASKS = ("111100011", "1000101111", "11110101")
@@ -154,6 +154,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         known = spark.sparkContext.broadcast(index([r["item_id"] for r in rows], [r["text"] for r in rows]))
 
         def search(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+            cache_for("decontamination")
             for batch in batches:
                 for piece in pieces(batch, "text"):
                     found = _matches(piece["doc_id"].to_pylist(), tokens(piece["text"]), known.value)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.llm.text import pieces
+from threadloom.llm.text import cache_for, pieces
 
 #: Ranks in a profile, and of a text that are compared with it.
 RANKS = 400
@@ -117,6 +117,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(Classifier(profiles))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache_for("language")
         for batch in batches:
             for piece in pieces(batch, "text"):
                 said = [model.value.predict(x) for x in piece["text"].to_pylist()]

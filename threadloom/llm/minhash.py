@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.components import connected_components
 from threadloom.llm.storage import materialize
-from threadloom.llm.text import distinct, mix, pieces, shingle_sets, shingles, words
+from threadloom.llm.text import cache_for, distinct, mix, pieces, shingle_sets, shingles, words
 
 SHINGLE_WORDS = 5
 #: A pair with similarity 0.8 shares none of 24 bands of 5 with probability below 1e-4, one with 0.85 below 1e-6.
@@ -79,6 +79,7 @@ def band_hashes(sig: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cache_for("minhash")
     for batch in batches:
         for piece in pieces(batch, "text"):
             sets, at = shingle_sets(piece["text"], SHINGLE_WORDS)

@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom.llm.storage import materialize
-from threadloom.llm.text import mix, powers, prefix_hash, raw
+from threadloom.llm.text import cache_for, mix, powers, prefix_hash, raw
 
 WINDOW = 50
 ANCHOR = 20
 #: Text of one block, and of one range of doc_ids, in bytes.
-BLOCK_BYTES, RANGE_BYTES = 2_000_000, 24_000_000
+BLOCK_BYTES, RANGE_BYTES = 1_500_000, 24_000_000
 #: Digits that one bucket compares at once, on the average.
 BUCKET_DIGITS = 500_000
 #: An anchor with more different contents than that in one block sends them straight to the last pass.
@@ -268,6 +268,7 @@ def _joined(table: pa.Table) -> pa.Table:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    cache_for("repeats")
     for batch in batches:
         for i in range(batch.num_rows):
             yield batch.slice(i, 1).to_pylist()[0]

@@ -51,6 +51,21 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return out
 
 
+_caches: dict[str, dict] = {}
+
+
+def cache_for(owner: str) -> dict:
+    """What this worker process keeps for ``owner`` from task to task; what it keeps for others is let go.
+
+    A worker serves the tasks of one stage after another. Operators ask for their cache, if only to free the others',
+    where a task begins, so no stage runs in what memory an earlier one has left.
+    """
+    for name, kept in _caches.items():
+        if name != owner:
+            kept.clear()
+    return _caches.setdefault(owner, {})
+
+
 def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of ``batch`` with up to ``limit`` bytes of text each, or one row if that is longer."""
     sizes = np.asarray(pc.binary_length(batch[column]).fill_null(0).to_numpy(zero_copy_only=False), np.int64)

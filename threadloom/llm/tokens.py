@@ -18,6 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from threadloom.llm.text import cache_for
+
 #: Segments whose ids a worker keeps; at that number it starts anew.
 KEPT_SEGMENTS = 1_500_000
 #: Longer segments are encoded each time.
@@ -40,13 +42,14 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
-        self.kept: dict[str, bytes] = {}
+        self.kept = cache_for(f"tokens {path}")
 
     @classmethod
     def of(cls, path: str, spaced: bool) -> "PieceEncoder":
         """One for each worker process and vocabulary file."""
         if (path, spaced) not in _made:
             _made[path, spaced] = cls(path, spaced)
+        _made[path, spaced].kept = cache_for(f"tokens {path}")
         return _made[path, spaced]
 
     @classmethod
@@ -95,7 +98,7 @@ class PieceEncoder:
         coded = cut.flatten().dictionary_encode()
         names, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         if len(self.kept) + len(names) > KEPT_SEGMENTS:
-            self.kept = {}
+            self.kept.clear()
         new = self._of_segments([x for x in names if x not in self.kept])
         have = self.kept
         ids = [new[x] if x in new else have[x] for x in names]
