@@ -53,6 +53,14 @@ def attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def chat_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, value): each conversation as an exported chat; roles are senders, and every turn has its own minute."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("conv_id is not null and role is not null and text is not null")
+    stamp = F.date_format(F.expr("timestamp '2026-01-05 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(turn as int), 0)"), "yyyy/MM/dd, HH:mm")
+    line = F.concat(stamp, F.lit(" - "), "role", F.lit(": "), "text", F.lit("\n"))
+    return c.groupBy(F.col("conv_id").alias("doc")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "").alias("value"))
+
+
 def device_groups(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(DEVICE_GROUPS.items()), "source_id long, group_id long")
 

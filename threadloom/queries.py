@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.operators import evidence, gate, matching, names, scope, sequence
-from threadloom.plans.views import LOCAL, attachments, device_groups, media_files, oracle
+from threadloom.plans.views import LOCAL, attachments, chat_exports, device_groups, media_files, oracle
+from threadloom.sources.chats import parse_messages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -159,3 +160,7 @@ _add("pair_supply", lambda s, d: gate.supply(_pairs(s, d)))
 _add("numbered_pairs", lambda s, d: gate.numbered(_pairs(s, d)))
 _add("reference_counts", lambda s, d: gate.reference_counts(_pairs(s, d)))
 _add("source_overlap", lambda s, d: gate.source_overlap(media_files(s, d), device_groups(s)), _T + ", k AS (SELECT DISTINCT source_id, file_date, token FROM t), n AS (SELECT file_date, token, count(*) AS c FROM k GROUP BY 1, 2) SELECT source_id, count(DISTINCT file_date) AS dates, count(*) AS keys, count(*) FILTER (c > 1) AS shared_keys FROM k JOIN n USING (file_date, token) GROUP BY 1")
+
+# The chat parser, over conversations written as exports.
+_add("parsed_messages", lambda s, d: parse_messages(chat_exports(s, d)).select("doc", "sequence_number", "message_type", "sender", "content", "is_placeholder"))
+ORACLE_SQL["parsed_messages"] = "SELECT conv_id AS doc, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS sequence_number, 'User' AS message_type, role AS sender, text AS content, text = '<Media omitted>' AS is_placeholder FROM conversations WHERE conv_id IS NOT NULL AND role IS NOT NULL AND text IS NOT NULL"
