@@ -55,27 +55,34 @@ _files(evidence.date_density, _DENSITY + " SELECT count(*) AS dates, coalesce(mi
 _REL = _EV + """, sides AS (SELECT *, CASE WHEN sender_id IS NULL THEN 'Unknown' WHEN sender_id = 1 THEN 'Outgoing' ELSE 'Incoming' END AS direction FROM attachments),
  r0 AS (SELECT s.*, e.*, CASE WHEN direction = 'Outgoing' THEN has_sent ELSE has_not_sent END AS agrees, CASE WHEN direction = 'Outgoing' THEN has_not_sent ELSE has_sent END AS differs FROM sides s JOIN ev e ON s.message_date = e.file_date),
  rel AS (SELECT *, CASE WHEN direction = 'Unknown' THEN 'Unknown' WHEN agrees AND differs THEN 'Mixed' WHEN agrees THEN 'Compatible' WHEN differs THEN 'ContradictoryOnly' ELSE 'Unknown' END AS compatibility FROM r0)"""
-_add("exact_relations", lambda s, d: matching.exact_relations(attachments(s, d), media_files(s, d, True), LOCAL).withColumn("sources", F.array_join("sources", ",")), _REL + " SELECT attachment_id, sequence_number, message_date, direction, asset_id, media_type, copies, sources, compatibility FROM rel", True)
-_matched(matching.adjacent_relations, _EV + """, near AS (SELECT a.*, e.asset_id, e.file_date, e.copies, e.sources, e.has_sent, e.has_not_sent FROM attachments a JOIN ev e ON e.file_date IN (a.message_date - 1, a.message_date + 1)
+_EXACT = _REL + " SELECT attachment_id, sequence_number, message_date, direction, asset_id, media_type, copies, sources, compatibility FROM rel"
+_add("exact_relations", lambda s, d: matching.exact_relations(attachments(s, d), media_files(s, d, True), LOCAL).withColumn("sources", F.array_join("sources", ",")), _EXACT, True)
+_ADJACENT = _EV + """, near AS (SELECT a.*, e.asset_id, e.file_date, e.copies, e.sources, e.has_sent, e.has_not_sent FROM attachments a JOIN ev e ON e.file_date IN (a.message_date - 1, a.message_date + 1)
  WHERE NOT EXISTS (SELECT 1 FROM ev x WHERE x.asset_id = e.asset_id AND x.file_date = a.message_date)),
  both_ AS (SELECT attachment_id, asset_id, bool_or(file_date < message_date) AS has_previous, bool_or(file_date > message_date) AS has_next, CAST(sum(copies) AS BIGINT) AS copies,
  len(list_distinct(flatten(list(string_split(sources, ','))))) AS sources, bool_or(has_sent) AS s, bool_or(has_not_sent) AS n, any_value(sender_id) AS sender_id FROM near GROUP BY attachment_id, asset_id),
  b AS (SELECT *, CASE WHEN sender_id = 1 THEN s ELSE n END AS agrees, CASE WHEN sender_id = 1 THEN n ELSE s END AS differs FROM both_)
- SELECT attachment_id, asset_id, has_previous, has_next, copies, sources, CASE WHEN sender_id IS NULL THEN 'Unknown' WHEN agrees AND differs THEN 'Mixed' WHEN agrees THEN 'Compatible' WHEN differs THEN 'ContradictoryOnly' ELSE 'Unknown' END AS compatibility FROM b""")
+ SELECT attachment_id, asset_id, has_previous, has_next, copies, sources, CASE WHEN sender_id IS NULL THEN 'Unknown' WHEN agrees AND differs THEN 'Mixed' WHEN agrees THEN 'Compatible' WHEN differs THEN 'ContradictoryOnly' ELSE 'Unknown' END AS compatibility FROM b"""
+_matched(matching.adjacent_relations, _ADJACENT)
 _COUNTS = _REL + """, counts AS (SELECT a.attachment_id, count(asset_id) AS exact, count(*) FILTER (compatibility = 'Compatible') AS "Compatible", count(*) FILTER (compatibility = 'Mixed') AS "Mixed",
  count(*) FILTER (compatibility = 'Unknown') AS "Unknown", count(*) FILTER (compatibility = 'ContradictoryOnly') AS "ContradictoryOnly", any_value(a.message_date) AS message_date, any_value(a.sender_id) AS sender_id
  FROM attachments a LEFT JOIN rel ON a.attachment_id = rel.attachment_id GROUP BY a.attachment_id)"""
 _matched(matching.relation_counts, _COUNTS + " SELECT * FROM counts", False)
 _add("state_counts", lambda s, d: matching.state_counts(matching.relation_counts(attachments(s, d), media_files(s, d), LOCAL)), _COUNTS + """, u AS (UNPIVOT counts ON "Compatible", "Mixed", "Unknown", "ContradictoryOnly" INTO NAME state VALUE n) SELECT state, CAST(sum(n) AS BIGINT) AS relations, count(*) FILTER (n > 0) AS attachments FROM u GROUP BY state""")
-_add("candidate_bands", lambda s, d: matching.candidate_bands(matching.relation_counts(attachments(s, d), media_files(s, d, True), LOCAL)), _COUNTS + f""", u AS (SELECT 'exact' AS measure, exact AS n FROM counts UNION ALL SELECT 'compatible', "Compatible" FROM counts),
+_BANDS = _COUNTS + f""", u AS (SELECT 'exact' AS measure, exact AS n FROM counts UNION ALL SELECT 'compatible', "Compatible" FROM counts),
  f AS (SELECT measure, {_band("n", "candidates")} AS band, count(*) AS c FROM u GROUP BY 1, 2),
  every AS (SELECT * FROM (VALUES ('exact'), ('compatible')) m(measure), (VALUES ('0'), ('1'), ('2'), ('3-5'), ('6-10'), ('11-25'), ('26-50'), ('>50')) b(band))
- SELECT measure, band, coalesce(c, 0) AS attachments FROM every LEFT JOIN f USING (measure, band)""", True)
+ SELECT measure, band, coalesce(c, 0) AS attachments FROM every LEFT JOIN f USING (measure, band)"""
+_add("candidate_bands", lambda s, d: matching.candidate_bands(matching.relation_counts(attachments(s, d), media_files(s, d, True), LOCAL)), _BANDS, True)
 _add("source_contributions", lambda s, d: matching.source_contributions(attachments(s, d), media_files(s, d)), """, fs AS (SELECT source_id, count(*) AS files, count(file_date) AS dated_files, count(DISTINCT CASE WHEN file_date IS NOT NULL AND size > 0 THEN asset_id END) AS eligible_assets FROM files GROUP BY source_id),
  c AS (SELECT source_id, count(*) AS n FROM (SELECT DISTINCT source_id, asset_id, file_date FROM files WHERE size > 0) f JOIN attachments a ON a.message_date = f.file_date GROUP BY source_id)
  SELECT fs.*, coalesce(n, 0) AS relations FROM fs LEFT JOIN c USING (source_id)""")
 _add("relations_by_media_type", lambda s, d: matching.relations_by_media_type(attachments(s, d), media_files(s, d)), _REL + " SELECT media_type, count(*) AS relations FROM rel GROUP BY media_type")
-_matched(matching.match_census)
+_matched(matching.match_census, sparse=False)
+# The SQL registered under these names reads the fixture's 2 of 61 files, so the names do as well; over all files:
+_add("exact_relations_whole", lambda s, d: matching.exact_relations(attachments(s, d), media_files(s, d), LOCAL).withColumn("sources", F.array_join("sources", ",")), _EXACT)
+_add("adjacent_relations_whole", lambda s, d: matching.adjacent_relations(attachments(s, d), media_files(s, d), LOCAL), _ADJACENT)
+_add("candidate_bands_whole", lambda s, d: matching.candidate_bands(matching.relation_counts(attachments(s, d), media_files(s, d), LOCAL)), _BANDS)
 
 # Names.
 _SUF = r""", s0 AS (SELECT *, regexp_extract(suffix, '^[0-9]*') AS digits FROM files WHERE suffix IS NOT NULL), s AS (SELECT *, CASE WHEN suffix = '' THEN 'Empty' WHEN digits = '' THEN 'NonNumeric' WHEN digits = suffix THEN 'PurelyNumeric' ELSE 'NumericPrefixWithTrailingDecoration' END AS suffix_class FROM s0)"""
@@ -126,12 +133,16 @@ _COHORT = _REL + """, one AS (SELECT attachment_id, any_value(sequence_number) A
  cohort AS (SELECT gr.*, coalesce(string_agg(DISTINCT lpad(CAST(token AS VARCHAR), 4, '0'), ',' ORDER BY lpad(CAST(token AS VARCHAR), 4, '0')), '') AS tokens, coalesce(string_agg(DISTINCT lpad(CAST(token AS VARCHAR), 4, '0'), ',' ORDER BY lpad(CAST(token AS VARCHAR), 4, '0')) FILTER ((direction = 'Outgoing') = is_sent), '') AS agreeing_tokens
  FROM gr LEFT JOIN tokens t ON t.asset_id = gr.asset_id AND t.file_date = gr.message_date AND token IS NOT NULL GROUP BY ALL)"""
 _shown = lambda c: F.array_join(F.transform(c, lambda x: F.lpad(x.cast("string"), 4, "0")), ",").alias(c)
-_add("cohort_groups", lambda s, d: sequence.cohort_groups(attachments(s, d), media_files(s, d, True), LOCAL).select("message_date", "direction", "relations", "first_sequence", "asset_id", "last_asset_id", _shown("tokens"), _shown("agreeing_tokens")), _COHORT + " SELECT * FROM cohort", True)
-_cohort = lambda s, d: sequence.cohort_groups(attachments(s, d), media_files(s, d, True), LOCAL)
+_cohort = lambda s, d, sparse=False: sequence.cohort_groups(attachments(s, d), media_files(s, d, sparse), LOCAL)
+_cohort_shown = lambda g: g.select("message_date", "direction", "relations", "first_sequence", "asset_id", "last_asset_id", _shown("tokens"), _shown("agreeing_tokens"))
+_add("cohort_groups", lambda s, d: _cohort_shown(_cohort(s, d, True)), _COHORT + " SELECT * FROM cohort", True)
+_add("cohort_groups_whole", lambda s, d: _cohort_shown(_cohort(s, d)), _COHORT + " SELECT * FROM cohort")
 _add("strict_order", lambda s, d: sequence.strict_order(_cohort(s, d)))
 _add("order_summary", lambda s, d: sequence.order_summary(sequence.strict_order(_cohort(s, d))))
 _add("displacement_bands", lambda s, d: sequence.displacement_bands(sequence.strict_order(_cohort(s, d))))
-_add("token_provenance", lambda s, d: sequence.token_provenance(_cohort(s, d)), _COHORT + " SELECT direction, CASE WHEN tokens = '' THEN 'NoToken' WHEN agreeing_tokens = '' THEN 'UnknownOnly' WHEN agreeing_tokens = tokens THEN 'AgreeingOnly' ELSE 'Both' END AS provenance, count(*) AS groups, CAST(sum(relations) AS BIGINT) AS relations FROM cohort GROUP BY 1, 2", True)
+_PROVENANCE = _COHORT + " SELECT direction, CASE WHEN tokens = '' THEN 'NoToken' WHEN agreeing_tokens = '' THEN 'UnknownOnly' WHEN agreeing_tokens = tokens THEN 'AgreeingOnly' ELSE 'Both' END AS provenance, count(*) AS groups, CAST(sum(relations) AS BIGINT) AS relations FROM cohort GROUP BY 1, 2"
+_add("token_provenance", lambda s, d: sequence.token_provenance(_cohort(s, d, True)), _PROVENANCE, True)
+_add("token_provenance_whole", lambda s, d: sequence.token_provenance(_cohort(s, d)), _PROVENANCE)
 _files(sequence.namespaces, """, k AS (SELECT file_date, token, bool_or(is_sent) AS o, bool_or(NOT is_sent) AS i FROM tokens WHERE token IS NOT NULL AND is_sent IS NOT NULL AND size > 0 GROUP BY 1, 2),
  c AS (SELECT *, CASE WHEN o AND i THEN NULL WHEN o THEN 'O' ELSE 'I' END AS kind FROM k), l AS (SELECT *, lag(kind) OVER (PARTITION BY file_date ORDER BY token) AS was FROM c),
  d AS (SELECT file_date, count(*) FILTER (o) AS o_tokens, count(*) FILTER (i) AS i_tokens, count(*) FILTER (o AND i) AS shared, count(*) FILTER (kind <> was) AS transitions, min(token) FILTER (o) AS ol, max(token) FILTER (o) AS oh, min(token) FILTER (i) AS il, max(token) FILTER (i) AS ih FROM l GROUP BY 1)
@@ -153,7 +164,7 @@ _add("message_patterns", lambda s, d: gate.message_patterns(attachments(s, d), L
 _POS = _T + """, pos AS (SELECT scope, scope_key, file_date, token, count(*) FILTER (is_sent) AS sent, count(*) FILTER (NOT is_sent) AS not_sent, count(*) FILTER (is_sent IS NULL) AS unknown
  FROM (SELECT 'SourceDate' AS scope, CAST(source_id AS BIGINT) AS scope_key, * FROM t UNION ALL SELECT 'DeviceGroupDate', CAST(group_id AS BIGINT), * FROM t) GROUP BY 1, 2, 3, 4)"""
 _add("logical_positions", lambda s, d: gate.logical_positions(media_files(s, d), device_groups(s)), _POS + " SELECT *, CASE WHEN sent > 0 AND not_sent > 0 THEN 'Conflict' WHEN sent > 0 THEN 'O' WHEN not_sent > 0 THEN 'I' ELSE 'Unlabelled' END AS label FROM pos")
-_pairs = lambda s, d: gate.pairs(attachments(s, d), media_files(s, d, True), device_groups(s), LOCAL)
+_pairs = lambda s, d: gate.pairs(attachments(s, d), media_files(s, d), device_groups(s), LOCAL)
 _add("gate_pairs", _pairs)
 _add("pair_states", lambda s, d: gate.pair_states(_pairs(s, d)))
 _add("pair_supply", lambda s, d: gate.supply(_pairs(s, d)))
