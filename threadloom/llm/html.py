@@ -1,18 +1,19 @@
 """Main text of web pages: markup that names its role, and nearest-URL page differencing for the rest.
 
-Pages of one host come from few templates. Each page is put beside the page of its host whose URL path is nearest,
-the text lines of the two are aligned by a longest common subsequence, and lines that both share are template and go.
-Two things a difference alone gets wrong, so the markup is heard first: boilerplate that differs from page to page
-(menus, notices) is not shared, and an article that stands on both pages is. Elements that say what they are (nav,
-footer, class "ad", ...) go whatever the other page has, and inside an article element shared lines stay.
+Pages of one host come from few templates. Each page is put beside the page of its host whose URL path is nearest and
+whose text is another, the text lines of the two are aligned by a longest common subsequence, and lines that both share
+are template and go. Two things a difference alone gets wrong: boilerplate that differs from page to page (menus,
+notices) is not shared, so elements that say what they are (nav, footer, class "ad", ...) go whatever the other page has;
+and an article that stands on both pages is shared, so an article element is kept.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from hashlib import sha256
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -29,8 +30,10 @@ DROPPED_NAMES = frozenset(
 #: Elements that begin and end a block of text, and those without an end tag.
 BLOCKS = frozenset("address article blockquote body br caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Pages that share more of their text than that are copies of one another, and say nothing about a template.
+#: An article of which more is shared stands on both pages; a page without one may be a near copy, and a second page is asked.
 COPY_SHARE = 0.5
+#: html in a range of pages, in bytes.
+RANGE_BYTES = 16_000_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg")}
@@ -124,17 +127,24 @@ def common_lines(a: list[str], b: list[str]) -> list[int]:
     return out[::-1]
 
 
-def main_text(own: list[Line], other: list[Line] | None) -> str:
-    """The page's text: of its article, if it marks one; else what the ``other`` page doesn't share."""
-    if any(x.article for x in own):
+def main_text(own: list[Line], others: list[list[Line]]) -> str:
+    """The page's text without what it shares with the first of ``others`` (the nearest page, then the other side's).
+
+    A page that marks an article has the article's text. Without a mark, a page that has all lines is a copy, and what one has more than half of goes
+    only if the next one, where there is one, has it too.
+    """
+    marked = any(x.article for x in own)
+    if marked:
         own = [x for x in own if x.article]
-    if other is not None:
-        shared = common_lines([x.text for x in own], [x.text for x in other])
-        size = sum(len(x.text) for x in own)
-        if sum(len(own[i].text) for i in shared) <= COPY_SHARE * size:
-            gone = {i for i in shared if not own[i].article}
-            own = [x for i, x in enumerate(own) if i not in gone]
-    return " ".join(x.text for x in own)
+    size = sum(len(x.text) for x in own)
+    found = [set(common_lines([x.text for x in own], [x.text for x in other])) for other in others]
+    much = [sum(len(own[i].text) for i in shared) > COPY_SHARE * size for shared in found]
+    if marked:
+        gone: set[int] = set()
+    else:
+        use = [(shared, most) for shared, most in zip(found, much, strict=True) if len(shared) < len(own)]
+        gone = set.intersection(*(x for x, _ in use)) if use and use[0][1] else use[0][0] if use else set()
+    return " ".join(x.text for i, x in enumerate(own) if i not in gone)
 
 
 def _alike(a: tuple[str, str], b: tuple[str, str]) -> int:
@@ -149,32 +159,145 @@ def _alike(a: tuple[str, str], b: tuple[str, str]) -> int:
     return n
 
 
-def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages come in order of host and path, so the nearest path is before or after; three pages are held."""
-    held: list[tuple] = []
+class Page(NamedTuple):
+    page_id: int | None
+    url: str | None
+    place: tuple[str, str]  # host, path
+    lines: list[Line]
 
-    def said(k: int) -> tuple:
-        page_id, url, place, own = held[k]
-        around = [held[j] for j in (k - 1, k + 1) if 0 <= j < len(held) and held[j][2][0] == place[0]]
-        best = max(around, key=lambda x: _alike(place, x[2]), default=None)
-        text = main_text(own, best[3] if best else None)
-        return page_id, url, text, len(text)
+    def same(self, other: Page) -> bool:
+        return self.place[0] == other.place[0] and [x.text for x in self.lines] == [x.text for x in other.lines]
 
-    rows: list[tuple] = []
+
+def _said(run: list[Page], before: Page | None, after: Page | None) -> Iterator[tuple]:
+    """The texts of pages with the same lines, between the nearest pages of their host that have others."""
+    around = [x for x in (before, after) if x and x.place[0] == run[0].place[0]]
+    texts: dict[tuple, str] = {}
+    for page in run:
+        order = sorted(around, key=lambda x: -_alike(page.place, x.place))
+        key = (id(page.lines), *map(id, order))
+        if key not in texts:
+            texts[key] = main_text(page.lines, [x.lines for x in order])
+        yield page.page_id, page.url, texts[key], len(texts[key])
+
+
+def _pages(rows: Iterator[dict]) -> Iterator[tuple[int, int, Page]]:
+    """(range, side, page) of records in order; the lines of a page like the one before are kept once."""
+    last = None
+    for r in rows:
+        lines = lines_of(r["html"] or "")
+        page = Page(r["page_id"], r["url"], (r["_host"], r["_path"]), lines)
+        if last and lines == last.lines:
+            page = page._replace(lines=last.lines)
+        last = page
+        yield r["_range"], r["_side"], page
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
-        for r in batch.to_pylist():
-            held.append((r["page_id"], r["url"], (r["_host"], r["_path"]), lines_of(r["html"] or "")))
-            if len(held) >= 2:
-                rows.append(said(len(held) - 2))
-            held[:] = held[-2:]
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages come in order of host and path; a run of pages with the same lines is held, and the page before it.
+
+    The records of side -1 and 1 are pages of other ranges: what stands before and after this one.
+    """
+    rows: list[tuple] = []
+    run: list[Page] = []
+    before, at = None, None
+    for range_, side, page in _pages(_records(batches)):
+        if range_ != at:
+            rows += _said(run, before, None) if run else ()
+            run, before, at = [], None, range_
+        if side < 0:
+            before = page
+        elif side > 0:
+            rows += _said(run, before, page) if run else ()
+            run = []
+        elif run and not page.same(run[0]):
+            rows += _said(run, before, page)
+            run, before = [page], run[-1]
+        else:
+            run.append(page)
         if len(rows) >= 200:
             yield _batch(rows)
             rows = []
-    if held:
-        rows.append(said(len(held) - 1))
+    rows += _said(run, before, None) if run else ()
+    if rows:
         yield _batch(rows)
 
 
+_ENDS = "_range long, kind string, _host string, _path string, page_id long, url string, html string, digest binary"
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each range the first page ("first") and the last ("last"), and of the host of either the first and the last
+    page with other lines than it ("second", "second last")."""
+    found: dict[str, tuple] = {}
+    at = last = run_before = None
+
+    def out() -> pa.RecordBatch:
+        found["last"] = last
+        if run_before and run_before[1].place[0] == last[1].place[0]:
+            found["second last"] = run_before
+        rows = []
+        for kind, (r, page) in found.items():
+            text = "\n".join(x.text for x in page.lines)
+            rows.append({"_range": r["_range"], "kind": kind, **{k: r[k] for k in ("_host", "_path", "page_id", "url", "html")}, "digest": sha256(text.encode()).digest()})
+        kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+        names = [x.split() for x in _ENDS.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds[k]) for n, k in names], [n for n, _ in names])
+
+    for r in _records(batches):
+        page = Page(r["page_id"], r["url"], (r["_host"], r["_path"]), lines_of(r["html"] or ""))
+        if r["_range"] != at:
+            if last:
+                yield out()
+            found, at, last, run_before = {"first": (r, page)}, r["_range"], None, None
+            changed = False
+        elif not page.same(last[1]):
+            run_before = last
+            if not changed and page.place[0] == found["first"][1].place[0]:
+                found["second"] = (r, page)
+            changed = True
+        last = (r, page)
+    if last:
+        yield out()
+
+
+def _context(ends: list[dict]) -> list[tuple[int, int, dict]]:
+    """(range, side, page): what each range's first and last runs have before and after them on their host."""
+    by: dict[int, dict[str, dict]] = {}
+    for r in ends:
+        by.setdefault(r["_range"], {})[r["kind"]] = r
+    order = sorted(by)
+    out = []
+    for side, ranges, own, near, next_ in ((-1, order, "first", "last", "second last"), (1, order[::-1], "last", "first", "second")):
+        before: dict | None = None  # the nearest page passed, and below it the nearest one that differs from it
+        other: dict | None = None
+        for k in ranges:
+            edge = by[k][own]
+            for page in (before, other):
+                if page and page["_host"] == edge["_host"]:
+                    if page["digest"] != edge["digest"]:
+                        out.append((k, side, page))
+                        break
+            far = by[k][near]
+            if next_ in by[k]:
+                other = by[k][next_]
+            elif by[k][own]["_host"] != far["_host"]:
+                other = None
+            elif before and before["_host"] == far["_host"]:
+                # one run fills the range
+                other = before if before["digest"] != far["digest"] else other
+            else:
+                other = None
+            before = far
+    return out
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "url", "text", "n_chars"])
@@ -183,15 +306,30 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages`` (page_id, url, html).
 
-    Pages are dealt out by ranges of (host, path), so a host with very many pages is spread over tasks; a page at the
-    edge of a range is compared with the neighbour it has there. A page alone on its host is compared with none. A
-    null url is a host of its own, null or empty html has the text "". Repeated rows are repeated pages.
+    Pages are dealt out by ranges of (host, path), so a host with very many pages is spread over tasks. A first pass
+    finds the pages at the edges of the ranges, and each range gets the nearest page with other text before and after
+    it, so that the ranges make no difference. A page alone on its host is compared with none. A null url is a host of
+    its own, null or empty html has the text "". Repeated rows are repeated pages.
     """
+    spark = pages.sparkSession
     url = F.coalesce("url", F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1))
     path = F.regexp_replace(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*([^?#]*)", 1), r"/+$", "")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("_host"), path.alias("_path"))
-    size = rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    ranges = max(1, -(-size // 16_000_000))
-    near = rows.repartitionByRange(ranges, "_host", "_path", "page_id").sortWithinPartitions("_host", "_path", "page_id")
-    return near.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    # the hash orders pages of one id, so that their order never depends on how the rows came
+    keys = {"_host": host, "_path": path, "_id": F.coalesce(F.col("page_id").cast("long"), F.lit(-(1 << 63))), "_hash": F.xxhash64("url", "html")}
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", *[v.alias(k) for k, v in keys.items()])
+    size, count = rows.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0)), F.count("*")).first()
+    ranges = max(1, -(-size // RANGE_BYTES))
+    bounds: list[tuple] = []
+    if ranges > 1:
+        few = rows.select(*keys)
+        some = sorted(tuple(r) for r in (few if count <= 40 * ranges else few.sample(40 * ranges / count, seed=1)).collect())
+        bounds = sorted({some[len(some) * k // ranges] for k in range(1, ranges)}) if some else []
+    range_of = F.udf(lambda *key: bisect_right(bounds, key), "long") if bounds else None
+    rows = rows.withColumn("_range", range_of(*keys) if bounds else F.lit(0).cast("long")).withColumn("_side", F.lit(0))
+    order = ["_range", "_side", *keys]
+    if bounds:
+        ends = [r.asDict() for r in rows.repartition(ranges, "_range").sortWithinPartitions(*order).mapInArrow(_ends, _ENDS).collect()]
+        context = [(r["page_id"], r["url"], r["html"], r["_host"], r["_path"], 0, 0, k, side) for k, side, r in _context(ends)]
+        rows = rows.union(spark.createDataFrame(context, rows.schema)) if context else rows
+    return rows.repartition(ranges, "_range").sortWithinPartitions(*order).mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
