@@ -65,6 +65,14 @@ def test_ranges_make_no_difference(spark, size):
         html.RANGE_BYTES = old
 
 
+def test_article_loses_shared_lines(spark):
+    page = "<article><h1>Title {0}</h1><p>{0} {0} {0} {0} stands here alone and is long enough<p>Share this story with friends</article>"
+    got = extracted(spark, [(i, f"http://a.com/{i}", page.format(w)) for i, w in enumerate(("red", "green", "blue"))])
+    assert got[1] == "Title green green green green green stands here alone and is long enough"
+    same = extracted(spark, [(i, f"http://a.com/{i}", page.format("red") + f"<p>footer {i}") for i in range(2)] + [(5, "http://a.com/5", page.format("red").replace("</article>", "<p>x</article>"))])
+    assert same[0] == "Title red red red red red stands here alone and is long enough Share this story with friends"
+
+
 def test_long_template_and_copies(spark):
     """Most of a page is template, and the neighbour in order is a copy of it."""
     template = "".join(f"<p>menu entry number {i} of the template" for i in range(20))

@@ -4,7 +4,7 @@ Pages of one host come from few templates. Each page is put beside the page of i
 whose text is another, the text lines of the two are aligned by a longest common subsequence, and lines that both share
 are template and go. Two things a difference alone gets wrong: boilerplate that differs from page to page (menus,
 notices) is not shared, so elements that say what they are (nav, footer, class "ad", ...) go whatever the other page has;
-and an article that stands on both pages is shared, so an article element is kept.
+and an article that stands on both pages is shared, so an article element of which more than half is shared is kept.
 """
 
 from __future__ import annotations
@@ -130,7 +130,8 @@ def common_lines(a: list[str], b: list[str]) -> list[int]:
 def main_text(own: list[Line], others: list[list[Line]]) -> str:
     """The page's text without what it shares with the first of ``others`` (the nearest page, then the other side's).
 
-    A page that marks an article has the article's text. Without a mark, a page that has all lines is a copy, and what one has more than half of goes
+    A page that marks an article has the article's text; a page that has more than half of it has the same article, and
+    the next one is asked. Without a mark, a page that has all lines is a copy, and what one has more than half of goes
     only if the next one, where there is one, has it too.
     """
     marked = any(x.article for x in own)
@@ -140,7 +141,7 @@ def main_text(own: list[Line], others: list[list[Line]]) -> str:
     found = [set(common_lines([x.text for x in own], [x.text for x in other])) for other in others]
     much = [sum(len(own[i].text) for i in shared) > COPY_SHARE * size for shared in found]
     if marked:
-        gone: set[int] = set()
+        gone = next((shared for shared, most in zip(found, much, strict=True) if not most), set())
     else:
         use = [(shared, most) for shared, most in zip(found, much, strict=True) if len(shared) < len(own)]
         gone = set.intersection(*(x for x, _ in use)) if use and use[0][1] else use[0][0] if use else set()
