@@ -8,6 +8,7 @@ the tokens around it are compared one by one, so that passages with substituted
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 from typing import NamedTuple
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.text import cache_for, mix, pieces, words
 
-#: With any two substitutions in 13 tokens, one of these still has all its positions clean somewhere.
+#: With any two substitutions in 13 tokens, one of these still has all its positions clean somewhere. Shorter items have ``short_masks``.
 MASKS = ("111100011", "1000101111", "11110101")
 #: A passage of so many tokens (the whole item, if shorter) with this share of equal ones is contamination.
 LEAST_TOKENS, LEAST_SHARE = 13, 0.8
@@ -50,6 +51,16 @@ def _seeds(hashes: np.ndarray, doc: np.ndarray, mask: str) -> tuple[np.ndarray,
     return h[at], at
 
 
+def short_masks(n: int) -> list[str]:
+    """Masks over a whole item of ``n`` tokens, of which one is clean wherever the substitutions that the share allows are.
+
+    The item is cut into two more parts than there are substitutions, and each mask leaves out as many parts.
+    """
+    changed = int(n * (1 - LEAST_SHARE) + 1e-9)
+    parts = np.arange(n) * (changed + 2) // n
+    return ["".join("0" if x in left_out else "1" for x in parts) for left_out in combinations(range(changed + 2), changed)]
+
+
 class Index(NamedTuple):
     """The items' tokens, and their seeds by hash."""
 
@@ -65,11 +76,11 @@ def index(ids: list[int], texts: list[str | None]) -> Index:
     count = np.bincount(w.doc, minlength=len(ids)) if len(ids) else np.zeros(0, np.int64)
     begin = np.concatenate([[0], np.cumsum(count)])
     seeds = {}
-    short = np.unique(count[(count >= SHORTEST_ITEM) & (count < max(map(len, MASKS)))])
-    for mask in [*MASKS, *("1" * int(n) for n in short)]:
+    short = np.unique(count[(count >= SHORTEST_ITEM) & (count < LEAST_TOKENS)])
+    for mask in [*MASKS, *(m for n in short for m in short_masks(int(n)))]:
         h, at = _seeds(w.hash, w.doc, mask)
         size = count[w.doc[at]]
-        use = (size >= SHORTEST_ITEM) & (size == len(mask) if mask not in MASKS else size >= 0)
+        use = size >= LEAST_TOKENS if mask in MASKS else size == len(mask)
         order = np.argsort(h[use], kind="stable")
         seeds[mask] = h[use][order], at[use][order]
     tables = {}
