@@ -117,8 +117,8 @@ def token_reuse(rows: DataFrame) -> DataFrame:
 
 
 def token_agreement(rows: DataFrame) -> DataFrame:
-    """Assets with several files by where their tokens first agree: within source and date, group and date, date, or
-    everywhere; the narrowest place that holds several files of the asset decides."""
+    """Per level (source and date, group and date, date, everywhere): assets with several files in one of its cells, those
+    cells, and the cells of one token. An asset counts at each level that has such a cell."""
     cells = rows.groupBy("asset_id", "file_date", "group_id", "source_id").agg(F.count("*").alias("n"), F.min("token").alias("lo"), F.max("token").alias("hi"))
 
     def up(df: DataFrame, by: list[str], label: str) -> DataFrame:
