@@ -230,40 +230,53 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(rows)
 
 
-_ENDS = "_range long, kind string, _host string, _path string, page_id long, url string, html string, digest binary"
+_KEYS = {"_range": "long", "_host": "string", "_path": "string", "_id": "long", "_hash": "long"}
+_DIGESTS = {**_KEYS, "digest": "binary"}
+_ENDS = {**_DIGESTS, "kind": "string"}
+
+
+def _schema(columns: dict[str, str]) -> str:
+    return ", ".join(f"{n} {k}" for n, k in columns.items())
+
+
+def _record(rows: list[dict], columns: dict[str, str]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds[k]) for n, k in columns.items()], list(columns))
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page's keys and a digest of its lines, without its html."""
+    for batch in batches:
+        rows = [{**{k: r[k] for k in _KEYS}, "digest": sha256("\n".join(x.text for x in lines_of(r["html"] or "")).encode()).digest()} for r in _records([batch])]
+        if rows:
+            yield _record(rows, _DIGESTS)
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each range the first page ("first") and the last ("last"), and of the host of either the first and the last
     page with other lines than it ("second", "second last")."""
-    found: dict[str, tuple] = {}
-    at = last = run_before = None
+    found: dict[str, dict] = {}
+    last = run_before = None
+    changed = False
 
     def out() -> pa.RecordBatch:
         found["last"] = last
-        if run_before and run_before[1].place[0] == last[1].place[0]:
+        if run_before and run_before["_host"] == last["_host"]:
             found["second last"] = run_before
-        rows = []
-        for kind, (r, page) in found.items():
-            text = "\n".join(x.text for x in page.lines)
-            rows.append({"_range": r["_range"], "kind": kind, **{k: r[k] for k in ("_host", "_path", "page_id", "url", "html")}, "digest": sha256(text.encode()).digest()})
-        kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-        names = [x.split() for x in _ENDS.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds[k]) for n, k in names], [n for n, _ in names])
-
-    for r in _records(batches):
-        page = Page(r["page_id"], r["url"], (r["_host"], r["_path"]), lines_of(r["html"] or ""))
-        if r["_range"] != at:
-            if last:
-                yield out()
-            found, at, last, run_before = {"first": (r, page)}, r["_range"], None, None
-            changed = False
-        elif not page.same(last[1]):
-            run_before = last
-            if not changed and page.place[0] == found["first"][1].place[0]:
-                found["second"] = (r, page)
-            changed = True
-        last = (r, page)
+        return _record([{**r, "kind": kind} for kind, r in found.items()], _ENDS)
+
+    for batch in batches:
+        for r in batch.to_pylist():
+            if not last or r["_range"] != last["_range"]:
+                if last:
+                    yield out()
+                found, run_before, changed = {"first": r}, None, False
+            elif (r["_host"], r["digest"]) != (last["_host"], last["digest"]):
+                run_before = last
+                if not changed and r["_host"] == found["first"]["_host"]:
+                    found["second"] = r
+                changed = True
+            last = r
     if last:
         yield out()
 
@@ -330,7 +343,10 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("_range", range_of(*keys) if bounds else F.lit(0).cast("long")).withColumn("_side", F.lit(0))
     order = ["_range", "_side", *keys]
     if bounds:
-        ends = [r.asDict() for r in rows.repartition(ranges, "_range").sortWithinPartitions(*order).mapInArrow(_ends, _ENDS).collect()]
-        context = [(r["page_id"], r["url"], r["html"], r["_host"], r["_path"], 0, 0, k, side) for k, side, r in _context(ends)]
-        rows = rows.union(spark.createDataFrame(context, rows.schema)) if context else rows
+        digests = rows.mapInArrow(_digests, _schema(_DIGESTS)).repartition(ranges, "_range").sortWithinPartitions("_range", *keys)
+        near = _context([r.asDict() for r in digests.mapInArrow(_ends, _schema(_ENDS)).collect()])
+        # a few pages for each range, found again by their keys
+        known = spark.createDataFrame([(*[r[k] for k in _KEYS], k, side) for k, side, r in near], f"{_schema(_KEYS)}, _to long, _at int")
+        context = rows.drop("_side").join(F.broadcast(known), list(_KEYS)).dropDuplicates([*_KEYS, "_to", "_at"]).withColumn("_range", F.col("_to")).withColumn("_side", F.col("_at"))
+        rows = rows.union(context.select(*rows.columns))
     return rows.repartition(ranges, "_range").sortWithinPartitions(*order).mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
