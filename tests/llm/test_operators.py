@@ -158,7 +158,6 @@ def test_op4(spark, small):
 
 def check_packing(rows, docs, capacity=2048):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     by, seqs = defaultdict(dict), defaultdict(list)
     for r in rows:
         by[r["doc_id"]][r["piece"]] = r
@@ -265,13 +264,12 @@ def test_components(spark):
 
 def bytes_ids(text):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [2]
 
 
 def check_tokens(rows, docs):
     start = 0
-    got = {r["doc_id"]: tuple(r)[1:] for r in rows}
+    got = {r[0]: tuple(r)[1:] for r in rows}
     for d in sorted(docs):
         ids = bytes_ids(docs[d])
         assert got[d] == (start, len(ids), crc(ids)), d
@@ -283,12 +281,16 @@ def test_op7(spark, small):
 
 
 def test_token_files(spark, odd_docs, tmp_path):
-    docs = [*odd_docs, (13, "a <|endoftext|> b"), (14, "  two  spaces \n\n x "), (15, " lead"), (16, "trail ")]
+    docs = [*odd_docs, (13, "a <|endoftext|> b"), (14, "  two  spaces \n\n x "), (15, " lead"), (16, "trail "), (-(1 << 63), "least"), (None, "nameless")]
     folder = f"file://{tmp_path}/t"
     manifest = tokenfiles.write_token_files(spark.createDataFrame(docs, DOC).withColumn("part", tokenfiles.F.lit("x")), folder)
-    check_tokens(tokenfiles.read_token_files(spark, manifest, folder).collect(), dict(docs))
+    rows = tokenfiles.read_token_files(spark, manifest, folder).collect()
+    assert [(r["start"], r["n_tokens"]) for r in rows if r["doc_id"] is None] == [(0, len(bytes_ids("nameless")))]
+    ahead = len(bytes_ids("nameless"))
+    check_tokens([(r["doc_id"], r["start"] - ahead, *tuple(r)[2:]) for r in rows], dict(docs[:-1]))
     r = manifest.first()
     f = tokenfiles.TokenFile(r["path"], tokenfiles.load_dictionary(folder, r["dictionary"], r["width"]))
+    assert f.nameless == 1 and f.find(-(1 << 63)).tolist() == bytes_ids("least")
     assert f.find(12).tolist() == bytes_ids(dict(docs)[12])
     with pytest.raises(KeyError):
         f.find(999)

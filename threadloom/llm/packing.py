@@ -25,8 +25,8 @@ from threadloom.llm.storage import materialize
 from threadloom.llm.text import pieces
 from threadloom.llm.tokens import PieceEncoder
 
-#: Tokens of a sequence.
-CAPACITY = 2048
+#: Tokens of a sequence, and the id that ends a document.
+CAPACITY, END_ID = 2048, 0
 #: Rounds of the multiplicative weights at most; each uses up a length, so all are covered by then as a rule.
 ROUNDS = 3000
 #: Lengths of up to half a sequence that one round looks at.
@@ -170,11 +170,10 @@ def _cut_pieces(capacity: int):
         for batch in batches:
             for part in pieces(batch, "text"):
                 rows: list[list] = [[] for _ in range(5)]
-                for doc, ids in zip(part["doc_id"].to_pylist(), encoder.encode(part["text"]), strict=True):
-                    ids += b"\0\0\0\0"
-                    for k, start in enumerate(range(0, len(ids), 4 * capacity)):
-                        piece = ids[start : start + 4 * capacity]
-                        for column, x in zip(rows, (doc, k, start // 4, len(piece) // 4, zlib.crc32(piece)), strict=True):
+                for doc, ids in zip(part["doc_id"].to_pylist(), encoder.encode(part["text"], END_ID), strict=True):
+                    for k, start in enumerate(range(0, len(ids), capacity)):
+                        piece = ids[start : start + capacity]
+                        for column, x in zip(rows, (doc, k, start, len(piece), zlib.crc32(piece.astype("<u4", copy=False))), strict=True):
                             column.append(x)
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])

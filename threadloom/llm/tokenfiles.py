@@ -1,8 +1,8 @@
 """Token-id files: each document one zstandard frame, all frames under one shared dictionary.
 
 Layout of a file: header (magic, id width, SHA-256 of the dictionary), the frames in ascending doc_id order, an
-index of three int64 columns (doc_id, end of its frame, number of ids), and a footer (number of documents, where the
-index begins, magic). One document is read with its frame and the index alone. Short documents share their
+index of three int64 columns (doc_id, end of its frame, number of ids), and a footer (number of documents, how many of
+them, from the first on, have no doc_id, where the index begins, magic). One document is read with its frame and the index alone. Short documents share their
 statistics through the dictionary, which is trained on serialized id arrays and lies beside the files.
 
 Files are written by the tasks that hold the documents, under names that no other attempt uses; only a manifest of
@@ -31,7 +31,7 @@ from threadloom.llm.text import pieces
 from threadloom.llm.tokens import PieceEncoder
 
 MAGIC = b"TLTOKEN1"
-_HEAD, _FOOT = "<8sI32s", "<qq8s"
+_HEAD, _FOOT = "<8sI32s", "<qqq8s"
 #: Closes every document.
 END_ID = 2
 #: The dictionary is trained on about so many documents, of each at most so many characters.
@@ -65,13 +65,12 @@ def _open(uri: str):
     return pafs.FileSystem.from_uri(uri)
 
 
-def _narrow(ids: bytes, width: int) -> bytes:
-    return np.frombuffer(ids, np.uint32).astype(f"<u{width}").tobytes()
+def _narrow(ids: np.ndarray, width: int) -> bytes:
+    return ids.astype(f"<u{width}").tobytes()
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str | None = None) -> Dictionary:
-    """A dictionary from a bounded sample of documents, drawn by a hash of doc_id; empty if they are too few."""
-    n = docs.count()
+def train_dictionary(docs: DataFrame, n: int, tokenizer: str | None = None) -> Dictionary:
+    """A dictionary from a bounded sample of the ``n`` documents, drawn by a hash of doc_id; empty if they are too few."""
     u = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
     sample = docs.where(u * n < SAMPLE_DOCS).select(F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text"), u.alias("u")).orderBy("u").limit(2 * SAMPLE_DOCS).collect()
     encoder = PieceEncoder.for_bytes(tokenizer)
@@ -92,12 +91,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dictionary = train_dictionary(rows, tokenizer)
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    dictionary = train_dictionary(rows, n, tokenizer)
     system, base = _open(folder)
     system.create_dir(base, recursive=True)
     with system.open_output_stream(f"{base}/dictionary-{dictionary.digest.hex()}.zdict") as f:
         f.write(dictionary.data)
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     sent = spark.sparkContext.broadcast(dictionary)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +106,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         ids: list[int | None] = []
         ends: list[int] = []
         counts: list[int] = []
-        end_id, at, zip_ = struct.pack("<I", END_ID), 0, d.compressor()
+        at, zip_ = 0, d.compressor()
         try:
             for batch in batches:
                 for piece in pieces(batch, "text"):
@@ -116,17 +115,16 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
                         out.write(struct.pack(_HEAD, MAGIC, d.width, d.digest))
                         at = struct.calcsize(_HEAD)
                     ids += piece["doc_id"].to_pylist()
-                    for x in encoder.encode(piece["text"]):
-                        x += end_id
+                    for x in encoder.encode(piece["text"], END_ID):
                         frame = zip_.compress(_narrow(x, d.width))
                         out.write(frame)
                         at += len(frame)
                         ends.append(at)
-                        counts.append(len(x) // 4)
+                        counts.append(len(x))
             if out is not None:
-                known = [x if x is not None else np.iinfo(np.int64).min for x in ids]
-                out.write(np.array([known, ends, counts], "<i8").tobytes())
-                out.write(struct.pack(_FOOT, len(ids), at, MAGIC))
+                named = [x for x in ids if x is not None]
+                out.write(np.array([[0] * (len(ids) - len(named)) + named, ends, counts], "<i8").tobytes())
+                out.write(struct.pack(_FOOT, len(ids), len(ids) - len(named), at, MAGIC))
         finally:
             if out is not None:
                 out.close()
@@ -148,7 +146,7 @@ class TokenFile:
         if magic != MAGIC or digest != dictionary.digest:
             raise ValueError(f"{path} is no token file of this dictionary")
         size = self.file.size()
-        n, begin, _ = struct.unpack(_FOOT, self.file.read_at(struct.calcsize(_FOOT), size - struct.calcsize(_FOOT)))
+        n, self.nameless, begin, _ = struct.unpack(_FOOT, self.file.read_at(struct.calcsize(_FOOT), size - struct.calcsize(_FOOT)))
         index = np.frombuffer(self.file.read_at(24 * n, begin), "<i8").reshape(3, n)
         self.ids, self.ends, self.counts = index
         self.begins = np.concatenate([[struct.calcsize(_HEAD)], self.ends[:-1]])
@@ -163,7 +161,7 @@ class TokenFile:
 
     def find(self, doc_id: int) -> np.ndarray:
         """The ids of a document by doc_id."""
-        i = int(np.searchsorted(self.ids, doc_id))
+        i = self.nameless + int(np.searchsorted(self.ids[self.nameless :], doc_id))
         if i == len(self.ids) or self.ids[i] != doc_id:
             raise KeyError(doc_id)
         return self.document(i)
@@ -175,8 +173,7 @@ class TokenFile:
             j = max(i + 1, int(np.searchsorted(self.ends, self.begins[i] + READ_BYTES, "right")))
             data = memoryview(self.file.read_at(int(self.ends[j - 1] - self.begins[i]), int(self.begins[i])))
             for k in range(i, j):
-                doc = int(self.ids[k])
-                yield None if doc == np.iinfo(np.int64).min else doc, self._ids(bytes(data[self.begins[k] - self.begins[i] : self.ends[k] - self.begins[i]]), self.counts[k])
+                yield None if k < self.nameless else int(self.ids[k]), self._ids(bytes(data[self.begins[k] - self.begins[i] : self.ends[k] - self.begins[i]]), self.counts[k])
             i = j
 
 
