@@ -17,6 +17,11 @@ DATED_SOURCE = "WhatsAppMediaDirectory"
 #: Bands of candidate counts and of summaries, as (label, largest value).
 CANDIDATE_BANDS = (("0", 0), ("1", 1), ("2", 2), ("3-5", 5), ("6-10", 10), ("11-25", 25), ("26-50", 50), (">50", None))
 COUNT_BANDS = (("1", 1), ("2", 2), ("3-5", 5), ("6-10", 10), ("11-25", 25), (">25", None))
+GAP_BANDS = (("0", 0), ("1", 1), ("2", 2), ("3-5", 5), ("6-10", 10), (">10", None))
+TOKEN_BANDS = (("0000", 0), ("0001-0002", 2), ("0003-0005", 5), ("0006-0010", 10), ("0011-0025", 25), ("0026-0050", 50), ("0051-0100", 100), ("0101+", None))
+SLACK_BANDS = (("<0", -1), ("0", 0), ("1", 1), ("2", 2), ("3-5", 5), ("6-10", 10), ("11-25", 25), (">25", None))
+SHORTFALL_BANDS = (("1-5", 5), ("6-10", 10), ("11-25", 25), (">25", None))
+ASSIGNMENT_BANDS = (("0", 0), ("1", 1), ("2-10", 10), ("11-100", 100), ("101-1000", 1000), ("1001-1000000", 1_000_000), (">1000000", None))
 
 
 def band(value: Column, bands: tuple[tuple[str, int | None], ...]) -> Column:
@@ -48,18 +53,21 @@ def under_sent(path: Column) -> Column:
     return F.exists(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), lambda s: F.upper(s) == "SENT")
 
 
-def _real_date(digits: Column) -> Column:
-    """Eight digits as a date, or null. Year 0 is none."""
-    return F.when(digits >= "0001", F.try_to_timestamp(digits, F.lit("yyyyMMdd")).cast("date"))
+#: Eight digits that are a date of the Gregorian calendar; year 0 is none.
+_LEAP = "(?:[0-9]{2}(?:0[48]|[2468][048]|[13579][26])|(?:0[48]|[2468][048]|[13579][26])00)"
+_DAY = "(?:(?:0[13578]|1[02])(?:0[1-9]|[12][0-9]|3[01])|(?:0[469]|11)(?:0[1-9]|[12][0-9]|30)|02(?:0[1-9]|1[0-9]|2[0-8]))"
+REAL_DATE = f"(?:(?!0000)[0-9]{{4}}{_DAY}|{_LEAP}0229)"
+#: The first marker whose digits are a date, and what follows it.
+MARKER = rf"(?s)-({REAL_DATE})-WA(.*)\z"
 
 
 def marker_digits(name: Column) -> Column:
     """The digits of the first ``-YYYYMMDD-WA`` that is a real date, or null."""
-    return F.get(F.filter(F.regexp_extract_all(name, F.lit(r"-([0-9]{8})-WA"), 1), lambda d: _real_date(d).isNotNull()), 0)
+    return F.nullif(F.regexp_extract(name, MARKER, 1), F.lit(""))
 
 
 def marker_date(name: Column) -> Column:
-    return _real_date(marker_digits(name))
+    return F.to_date(marker_digits(name), "yyyyMMdd")
 
 
 def file_date(source_type: Column, name: Column) -> Column:
@@ -69,22 +77,25 @@ def file_date(source_type: Column, name: Column) -> Column:
 
 def has_marker_shape(name: Column, invalid_only: bool = False) -> Column:
     """Whether ``-dddddddd-WA`` occurs; with ``invalid_only``, with digits that are no date."""
-    found = F.regexp_extract_all(name, F.lit(r"-([0-9]{8})-WA"), 1)
-    return F.exists(found, lambda d: _real_date(d).isNull()) if invalid_only else F.size(found) > 0
+    return name.rlike(rf"-(?!{REAL_DATE}-)[0-9]{{8}}-WA" if invalid_only else "-[0-9]{8}-WA")
 
 
 def suffix(name: Column, ext: Column) -> Column:
-    """What follows the marker, without the extension if the whole name ends with it in any case."""
-    start = F.instr(name, F.concat(F.lit("-"), marker_digits(name), F.lit("-WA"))) + 12
-    rest = F.substring(name, start, F.length(name))
-    ends = F.coalesce(F.endswith(F.upper(name), F.upper(ext)) & (F.length(rest) >= F.length(ext)), F.lit(False))
-    return F.when(marker_digits(name).isNotNull(), F.when(ends, F.substring(rest, F.lit(1), F.length(rest) - F.length(ext))).otherwise(rest))
+    """What follows the marker, without the extension if the whole name ends with it in any case; null without a marker."""
+    rest = F.regexp_extract(name, MARKER, 2)
+    ends = F.coalesce(F.endswith(F.upper(rest), F.upper(ext)), F.lit(False))
+    return F.when(name.rlike(MARKER), F.when(ends, F.substring(rest, F.lit(1), F.length(rest) - F.length(ext))).otherwise(rest))
 
 
-def token(name: Column, ext: Column) -> Column:
+def token(suffix_: Column) -> Column:
     """The suffix as a number if it is exactly four digits, else null."""
-    s = suffix(name, ext)
-    return F.when(s.rlike(r"\A[0-9]{4}\z"), s.cast("int"))
+    return F.when(suffix_.rlike(r"\A[0-9]{4}\z"), suffix_.cast("int"))
+
+
+def once(**columns: Column) -> Column:
+    """The columns, worked out once for each row however often later steps name them: the optimizer doesn't copy what a
+    generator makes."""
+    return F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
 
 
 def suffix_class(s: Column) -> Column:
@@ -118,16 +129,10 @@ def shape_signature(s: Column) -> Column:
 
 def name_features(name: Column) -> dict[str, Column]:
     """Seven yes-or-no features of names without a date."""
-    places = F.when(F.length(name) >= 8, F.sequence(F.lit(1), F.length(name) - 7)).otherwise(F.array().cast("array<int>"))
-
-    def real(at: Column) -> Column:
-        eight = F.substring(name, at, 8)
-        return F.when(eight.rlike(r"\A[0-9]{8}\z"), _real_date(eight).isNotNull()).otherwise(False)
-
     return {
         "eight_digits": name.rlike("[0-9]{8}"),
         "hyphen_eight_digits": name.rlike("-[0-9]{8}"),
-        "real_date": F.exists(places, real),
+        "real_date": name.rlike(REAL_DATE),
         "wa_literal": F.contains(name, F.lit("-WA")),
         "wa_digit": name.rlike("WA[0-9]"),
         "marker_shape": has_marker_shape(name),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.names import CANDIDATE_BANDS, band
 from threadloom.operators.evidence import any_of, date_density, evidence_by_asset_date, source_facts, undated_pools
 
+#: How candidates agree with a message's direction.
 STATES = ("Compatible", "Mixed", "Unknown", "ContradictoryOnly")
 
 
@@ -21,6 +22,12 @@ def direction(sender: Column, local: int | None) -> Column:
     return F.when(sender.isNull(), "Unknown").when(sender == local, "Outgoing").otherwise("Incoming")
 
 
+def known_direction(sender: Column, local: int | None) -> Column:
+    """The direction, where one that can't be told is an error."""
+    side = direction(sender, local)
+    return F.when(side == "Unknown", F.raise_error(F.lit("an attachment without a sender")).cast("string")).otherwise(side)
+
+
 def compatibility(direction_: Column, has_sent: Column, has_not_sent: Column) -> Column:
     agrees = F.when(direction_ == "Outgoing", has_sent).otherwise(has_not_sent)
     differs = F.when(direction_ == "Outgoing", has_not_sent).otherwise(has_sent)
@@ -35,10 +42,21 @@ def exact_relations(attachments: DataFrame, files: DataFrame, local: int | None)
     return joined.select("attachment_id", "sequence_number", "message_date", side.alias("direction"), "asset_id", "media_type", "copies", "sources", compatibility(side, F.col("has_sent"), F.col("has_not_sent")).alias("compatibility"))
 
 
+#: The first and the last date there is.
+FIRST_DATE, LAST_DATE = "0001-01-01", "9999-12-31"
+
+
+def neighbours(day: Column) -> Column:
+    """The days before and after; the first and the last date there is have one neighbour."""
+    before = F.when(day > F.lit(FIRST_DATE).cast("date"), F.date_sub(day, 1))
+    after = F.when(day < F.lit(LAST_DATE).cast("date"), F.date_add(day, 1))
+    return F.filter(F.array(before, after), lambda x: x.isNotNull())
+
+
 def adjacent_relations(attachments: DataFrame, files: DataFrame, local: int | None) -> DataFrame:
     """A row for each attachment and asset with a copy of the day before or after, but none of the day itself."""
     e = evidence_by_asset_date(files)
-    days = attachments.select("attachment_id", "message_date", "sender_id", F.explode(F.array(F.date_sub("message_date", 1), F.date_add("message_date", 1))).alias("file_date"))
+    days = attachments.select("attachment_id", "message_date", "sender_id", F.explode(neighbours(F.col("message_date"))).alias("file_date"))
     near = days.join(e, "file_date")
     exact = e.select("asset_id", F.col("file_date").alias("message_date"))
     near = near.join(exact, ["asset_id", "message_date"], "left_anti")
@@ -97,7 +115,7 @@ def match_census(attachments: DataFrame, files: DataFrame, local: int | None) ->
     counts = relation_counts(attachments, files, local)
     days = evidence_by_asset_date(files).select("asset_id", "file_date")
     dates = attachments.select("message_date").distinct()
-    near = dates.select("message_date", F.explode(F.array(F.date_sub("message_date", 1), F.col("message_date"), F.date_add("message_date", 1))).alias("file_date"))
+    near = dates.select("message_date", F.explode(F.concat(F.array("message_date"), neighbours(F.col("message_date")))).alias("file_date"))
     reached = near.join(days, "file_date")
     # an asset of a neighbouring day only counts where the day itself doesn't have it, and then it counts there anyway
     candidates = reached.agg(F.countDistinct("asset_id").alias("candidate_assets"))

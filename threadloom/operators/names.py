@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions.names import canonical_value, media_type, name_features, shape_signature, suffix, suffix_class
+from threadloom.functions.names import canonical_value, media_type, name_features, once, shape_signature, suffix, suffix_class
 
+#: The classes of suffixes.
 SUFFIX_CLASSES = ("Empty", "NonNumeric", "PurelyNumeric", "NumericPrefixWithTrailingDecoration")
 #: Signatures that are told one by one.
 TOP_SIGNATURES = 20
@@ -14,8 +15,8 @@ TOP_SIGNATURES = 20
 
 def with_suffix(files: DataFrame) -> DataFrame:
     """Dated files with a marker, with ``suffix``, ``suffix_class`` and leading ``digits``."""
-    s = files.where("file_date is not null").withColumn("suffix", suffix(F.col("name"), F.col("ext"))).where("suffix is not null")
-    return s.withColumn("suffix_class", suffix_class(F.col("suffix"))).withColumn("digits", F.regexp_extract("suffix", r"\A[0-9]*", 0))
+    s = files.where("file_date is not null").select("*", once(suffix=suffix(F.col("name"), F.col("ext")))).where("suffix is not null")
+    return s.select("*", once(suffix_class=suffix_class(F.col("suffix")), digits=F.regexp_extract("suffix", r"\A[0-9]*", 0)))
 
 
 def suffix_classes(files: DataFrame) -> DataFrame:
@@ -54,11 +55,11 @@ def top_signatures(files: DataFrame, top: int = TOP_SIGNATURES) -> DataFrame:
     """The commonest shapes of decorated suffixes and of undated names, and all others pooled as ``Other``."""
     dated = with_suffix(files).where("suffix_class in ('NonNumeric', 'NumericPrefixWithTrailingDecoration')").select(F.lit("suffix").alias("part"), shape_signature(F.col("suffix")).alias("signature"), "asset_id")
     undated = files.where("file_date is null").select(F.lit("name").alias("part"), shape_signature(F.regexp_replace("name", r"\.[^./\\]+$", "")).alias("signature"), "asset_id")
-    rows = dated.union(undated)
-    ranked = rows.groupBy("part", "signature").agg(F.count("*").alias("files")).withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("files"), "signature")))
+    rows = dated.union(undated).groupBy("part", "signature", "asset_id").agg(F.count("*").alias("n"))  # the shapes once, for both uses
+    ranked = rows.groupBy("part", "signature").agg(F.sum("n").alias("files")).withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("files"), "signature")))
     named = rows.join(ranked.where(F.col("place") <= top).select("part", "signature", "place"), ["part", "signature"], "left")
     shown = F.when(F.col("place").isNull(), "Other").otherwise(F.col("signature"))
-    return named.groupBy("part", F.coalesce("place", F.lit(top + 1)).alias("place"), shown.alias("signature")).agg(F.count("*").alias("files"), F.countDistinct("asset_id").alias("assets"))
+    return named.groupBy("part", F.coalesce("place", F.lit(top + 1)).alias("place"), shown.alias("signature")).agg(F.sum("n").alias("files"), F.countDistinct("asset_id").alias("assets"))
 
 
 def undated_features(files: DataFrame) -> DataFrame:
@@ -87,3 +88,21 @@ def discovery_summary(files: DataFrame) -> DataFrame:
         F.count(F.when(F.col("size") == 0, 1)).alias("empty"),
         F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"),
     )
+
+
+def unknown_extensions(files: DataFrame) -> DataFrame:
+    """(ext, files): extensions of no known type, the commonest first, then by name."""
+    unknown = files.where(media_type(F.col("ext")) == "Unknown")
+    return unknown.groupBy(F.coalesce("ext", F.lit("<none>")).alias("ext")).agg(F.count("*").alias("files")).orderBy(F.desc("files"), "ext")
+
+
+def name_problems(files: DataFrame, sources: DataFrame) -> DataFrame:
+    """One row over files with a ``recorded_ext``: without one, with another than the name's, dated without a marker, and of
+    a source that ``sources`` doesn't have."""
+    f = files.join(F.broadcast(sources.select("source_id", F.lit(True).alias("known"))), "source_id", "left")  # a row for each source
+    return f.agg(
+        F.count(F.when(F.col("recorded_ext").isNull(), 1)).alias("without_extension"),
+        F.count(F.when(~F.col("recorded_ext").eqNullSafe(F.col("ext")), 1)).alias("extension_mismatch"),
+        F.count(F.when(F.col("file_date").isNotNull() & suffix(F.col("name"), F.col("ext")).isNull(), 1)).alias("dated_without_marker"),
+        F.count(F.when(F.col("known").isNull(), 1)).alias("unrecorded_source"),
+    )

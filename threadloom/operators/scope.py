@@ -8,17 +8,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions.names import COUNT_BANDS, band, token
+from threadloom.functions.names import COUNT_BANDS, GAP_BANDS, TOKEN_BANDS, band, once, suffix, token
 from threadloom.operators.evidence import lower_median
+from threadloom.operators.summaries import count_summary, counted
 
-#: From the widest to the narrowest: what makes up the key of each level.
+#: The levels. From the widest to the narrowest: what makes up the key of each level.
 KEY_LEVELS = {"Token": [], "DateToken": ["file_date"], "DeviceGroupDateToken": ["group_id", "file_date"], "SourceDateToken": ["source_id", "file_date"]}
 GROUP_LEVELS = {"Date": ["file_date"], "DeviceGroupDate": ["group_id", "file_date"], "SourceDate": ["source_id", "file_date"]}
 
 
 def token_rows(files: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """Dated files whose name has a token, with ``token`` and, given the map of sources, ``group_id``."""
-    rows = files.where("file_date is not null").withColumn("token", token(F.col("name"), F.col("ext"))).where("token is not null")
+    rows = files.where("file_date is not null").select("*", once(_suffix=suffix(F.col("name"), F.col("ext")))).withColumn("token", token(F.col("_suffix"))).drop("_suffix").where("token is not null")
     return rows.join(F.broadcast(groups), "source_id") if groups is not None else rows  # a row for each source
 
 
@@ -53,15 +54,16 @@ def ambiguity(rows: DataFrame) -> DataFrame:
 
 
 def assets_in_collisions(rows: DataFrame) -> DataFrame:
-    """(level, assets): distinct assets that share a key of the level with another asset."""
-    own = _at_levels(rows, KEY_LEVELS, ["token", "asset_id"]).distinct()
-    key = ["level", "file_date", "group_id", "source_id", "token"]
-    shared = own.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
-    same = [own[c].eqNullSafe(shared[c]) for c in key]
+    """(level, with_empty, assets): distinct assets that share a key of the level with another asset, with and without empty assets."""
+    own = _at_levels(rows, KEY_LEVELS, ["token", "asset_id", "size"]).groupBy("level", "file_date", "group_id", "source_id", "token", "asset_id").agg(F.max("size").alias("size"))
+    both = own.select("*", F.explode(F.when(F.col("size") > 0, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("with_empty"))
+    key = ["level", "with_empty", "file_date", "group_id", "source_id", "token"]
+    shared = both.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+    same = [both[c].eqNullSafe(shared[c]) for c in key]
     test = same[0]
     for x in same[1:]:
         test = test & x
-    return own.join(shared, test, "left_semi").groupBy("level").agg(F.countDistinct("asset_id").alias("assets"))
+    return both.join(shared, test, "left_semi").groupBy("level", "with_empty").agg(F.countDistinct("asset_id").alias("assets"))
 
 
 def group_records(rows: DataFrame) -> DataFrame:
@@ -72,18 +74,48 @@ def group_records(rows: DataFrame) -> DataFrame:
 
 
 def continuity(rows: DataFrame) -> DataFrame:
-    """Per level and band of group size: groups, those without gaps, those that begin at 0, and all gaps."""
-    return group_records(rows).groupBy("level", band(F.col("files"), COUNT_BANDS).alias("band")).agg(
-        F.count("*").alias("groups"), F.count(F.when(F.col("missing_inside") == 0, 1)).alias("gapless"), F.count(F.when(F.col("least") == 0, 1)).alias("from_zero"), F.sum("missing_inside").cast("long").alias("missing")
+    """Per level and band of the number of distinct tokens: groups, where they begin, and the gaps inside them."""
+    gap = band(F.col("missing_inside"), GAP_BANDS)
+    return group_records(rows).groupBy("level", band(F.col("tokens"), COUNT_BANDS).alias("band")).agg(
+        F.count("*").alias("groups"), counted(F.col("least") == 0).alias("from_zero"), counted(F.col("least") == 1).alias("from_one"), counted(F.col("least") > 1).alias("from_higher"),
+        *[counted(gap == label).alias(f"gap {label}") for label, _ in GAP_BANDS],
+        F.sum("tokens").alias("distinct_tokens"), F.sum("missing_inside").cast("long").alias("missing"), F.max("missing_inside").cast("long").alias("most_missing"),
+        counted(F.col("greatest") + 1 == F.col("tokens")).alias("perfect_prefix"), counted((F.col("missing_inside") == 0) & (F.col("least") > 0)).alias("gapless_not_from_zero"),
     )
 
 
+def observed_minima(rows: DataFrame) -> DataFrame:
+    """Per level, band of distinct tokens and least token: groups."""
+    return group_records(rows).groupBy("level", band(F.col("tokens"), COUNT_BANDS).alias("band"), "least").agg(F.count("*").alias("groups"))
+
+
+def group_populations(rows: DataFrame) -> DataFrame:
+    """Per level and part (null: all; else the group or source), and measure: the spread of files, assets, tokens and names of its groups."""
+    part = F.when(F.col("level") == "DeviceGroupDate", F.col("group_id")).when(F.col("level") == "SourceDate", F.col("source_id"))
+    parts = F.when(part.isNotNull(), F.array(F.lit(None).cast("long"), part.cast("long"))).otherwise(F.array(F.lit(None).cast("long")))
+    values = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("n")) for m in ("files", "assets", "tokens", "names")])).alias("x")
+    flat = group_records(rows).select("level", F.explode(parts).alias("part"), "files", "assets", "tokens", "names").select("level", "part", values).select("level", "part", "x.*")
+    return count_summary(flat, ["level", "part", "measure"], "n")
+
+
 def joint_bands(rows: DataFrame) -> DataFrame:
     """Per level: groups by the bands of their assets and of their tokens together; empty cells are left out."""
     g = group_records(rows).where("level <> 'Date'")
     return g.groupBy("level", band(F.col("assets"), COUNT_BANDS).alias("assets_band"), band(F.col("tokens"), COUNT_BANDS).alias("tokens_band")).agg(F.count("*").alias("groups"))
 
 
+def joint_tables(rows: DataFrame) -> DataFrame:
+    """Per level and table: groups by the band of their distinct tokens and by another property; empty cells are left out."""
+    perfect = F.when(F.col("greatest") + 1 == F.col("tokens"), "MaximumPlusOneEqualsDistinctCount").otherwise("Otherwise")
+    other = {
+        "MaximumToken": band(F.col("greatest"), TOKEN_BANDS), "InternalGapCount": band(F.col("missing_inside"), GAP_BANDS), "MaximumPlusOneEqualsDistinctCount": perfect,
+        "DistinctMediaAssetCount": band(F.col("assets"), COUNT_BANDS), "PhysicalFileCount": band(F.col("files"), COUNT_BANDS),
+    }
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("by"), v.alias("column")) for k, v in other.items()])).alias("x")
+    g = group_records(rows).where("level <> 'Date'").select("level", band(F.col("tokens"), COUNT_BANDS).alias("row"), cells)
+    return g.select("level", "row", "x.*").groupBy("level", "by", "row", "column").agg(F.count("*").alias("groups"))
+
+
 def signed_difference(rows: DataFrame) -> DataFrame:
     return group_records(rows).groupBy("level", (F.col("assets") - F.col("tokens")).alias("difference")).agg(F.count("*").alias("groups"))
 
@@ -99,6 +131,11 @@ def token_curve(rows: DataFrame) -> DataFrame:
     return rows.groupBy("token").agg(F.count("*").alias("files"), F.countDistinct("asset_id").alias("assets"), F.countDistinct("file_date").alias("dates"), F.countDistinct("group_id", "file_date").alias("group_dates"), F.countDistinct("source_id", "file_date").alias("source_dates"))
 
 
+def token_curve_by_group(rows: DataFrame) -> DataFrame:
+    """Per token and device group: files and dates."""
+    return rows.groupBy("token", "group_id").agg(F.count("*").alias("files"), F.countDistinct("file_date").alias("dates"))
+
+
 def curve_ascents(rows: DataFrame) -> DataFrame:
     """One row: how often the curve of dates rises from a token to the next, and the largest rise.
 
@@ -132,6 +169,17 @@ def token_agreement(rows: DataFrame) -> DataFrame:
     return all_.groupBy("level").agg(F.countDistinct("asset_id").alias("assets"), F.count("*").alias("cells"), F.count(F.when(F.col("same"), 1)).alias("same_token_cells"))
 
 
+def token_locality(rows: DataFrame) -> DataFrame:
+    """One row: assets with several distinct tokens, each counted at the narrowest level in which two of them stand:
+    one source and date, one device group and date, one date, or only different dates."""
+    cells = rows.groupBy("asset_id", "file_date", "group_id", "source_id").agg(F.min("token").alias("lo"), F.max("token").alias("hi"))
+    in_group = cells.groupBy("asset_id", "file_date", "group_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bool_or(F.col("lo") < F.col("hi")).alias("in_source"))
+    in_date = in_group.groupBy("asset_id", "file_date").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bool_or("in_source").alias("in_source"), F.bool_or(F.col("lo") < F.col("hi")).alias("in_group"))
+    assets = in_date.groupBy("asset_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bool_or("in_source").alias("in_source"), F.bool_or("in_group").alias("in_group"), F.bool_or(F.col("lo") < F.col("hi")).alias("in_date")).where("lo < hi")
+    place = F.when(F.col("in_source"), "source").when(F.col("in_group"), "group").when(F.col("in_date"), "date").otherwise("dates")
+    return assets.withColumn("place", place).agg(F.count("*").alias("assets"), *[counted(F.col("place") == p).alias(n) for p, n in (("source", "within_source_and_date"), ("group", "within_group_and_date"), ("date", "across_groups"), ("dates", "across_dates"))])
+
+
 def source_pairs(rows: DataFrame) -> DataFrame:
     """Copies of one asset on one date in two sources: pairs of sources, and those that have one equal token.
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions.combinatorics import sign_test, weighted_assignments
-from threadloom.functions.names import CANDIDATE_BANDS, band
-from threadloom.operators.matching import exact_relations
+from threadloom.functions.combinatorics import binomial, sign_test, weighted_assignments
+from threadloom.functions.names import ASSIGNMENT_BANDS, CANDIDATE_BANDS, SHORTFALL_BANDS, SLACK_BANDS, band
+from threadloom.operators.evidence import evidence_by_asset_date
+from threadloom.operators.matching import direction, known_direction
 from threadloom.operators.scope import token_rows
 
 
@@ -15,14 +17,23 @@ def _agrees(direction: Column, is_sent: Column) -> Column:
     return F.coalesce((direction == "Outgoing") == is_sent, F.lit(False))
 
 
+def compatible_assets(files: DataFrame) -> DataFrame:
+    """(message_date, direction, asset_id): assets that agree with one direction only on a date, found from the date's
+    evidence, without meeting any message."""
+    e = evidence_by_asset_date(files)
+    side = F.when(F.col("has_sent") & ~F.col("has_not_sent"), "Outgoing").when(F.col("has_not_sent") & ~F.col("has_sent"), "Incoming")
+    return e.select(F.col("file_date").alias("message_date"), side.alias("direction"), "asset_id").where("direction is not null")
+
+
 def cohort_groups(attachments: DataFrame, files: DataFrame, local: int) -> DataFrame:
     """(date, direction) groups of attachments with exactly one compatible exact candidate, and the tokens of its copies.
 
+    Candidates depend on date and direction alone, so a group has one asset, ``asset_id`` and ``last_asset_id``.
     ``tokens`` and ``agreeing_tokens`` (on copies that record the direction) are ascending.
     """
-    compatible = exact_relations(attachments, files, local).where("compatibility = 'Compatible'")
-    one = compatible.groupBy("attachment_id").agg(F.count("*").alias("n"), F.min("sequence_number").alias("sequence_number"), F.min("message_date").alias("message_date"), F.min("direction").alias("direction"), F.min("asset_id").alias("asset_id")).where("n = 1")
-    groups = one.groupBy("message_date", "direction").agg(F.count("*").alias("relations"), F.min("sequence_number").alias("first_sequence"), F.min("asset_id").alias("asset_id"), F.max("asset_id").alias("last_asset_id"))
+    sides = attachments.withColumn("direction", direction(F.col("sender_id"), local)).groupBy("message_date", "direction").agg(F.count("*").alias("relations"), F.min("sequence_number").alias("first_sequence"))
+    one = compatible_assets(files).groupBy("message_date", "direction").agg(F.count("*").alias("n"), F.min("asset_id").alias("asset_id"), F.max("asset_id").alias("last_asset_id")).where("n = 1").drop("n")
+    groups = sides.join(one, ["message_date", "direction"])
     t = token_rows(files).select("asset_id", F.col("file_date").alias("message_date"), "token", "is_sent")
     found = groups.join(t, ["asset_id", "message_date"], "left")
     agreeing = F.when(_agrees(F.col("direction"), F.col("is_sent")), F.col("token"))
@@ -48,6 +59,18 @@ def strict_order(groups: DataFrame) -> DataFrame:
     return both.select("message_date", verdict.alias("verdict"), F.when(ordered, F.abs(first - second)).alias("distance"), F.when(ordered, F.array_contains("o_agreeing", o) & F.array_contains("i_agreeing", i)).alias("both_agreeing"))
 
 
+@F.pandas_udf("numerator string, exponent long, probability string")
+def _sign_test(observations: pd.Series, concordant: pd.Series) -> pd.DataFrame:
+    found = [sign_test(int(n), int(k)) for n, k in zip(observations, concordant, strict=True)]
+    return pd.DataFrame([(str(t[0]), t[1], t[2]) if t else (None, None, None) for t in found], columns=["numerator", "exponent", "probability"]).astype({"exponent": "Int64"})
+
+
+@F.pandas_udf("weighted string, unweighted string")
+def _assignments(sizes: pd.Series, picks: pd.Series) -> pd.DataFrame:
+    rows = [(str(weighted_assignments([int(x) for x in s], int(n))), str(binomial(len(s), int(n)))) for s, n in zip(sizes, picks, strict=True)]
+    return pd.DataFrame(rows, columns=["weighted", "unweighted"])
+
+
 def order_summary(observations: DataFrame) -> DataFrame:
     """(sample, observations, concordant, numerator, exponent, probability): the sign test, strict and with agreeing tokens only."""
     kept = observations.where("distance is not null")
@@ -56,12 +79,7 @@ def order_summary(observations: DataFrame) -> DataFrame:
     every = observations.sparkSession.createDataFrame([("strict",), ("agreeing",)], "sample string")
     n = every.join(n, "sample", "left").na.fill(0)
 
-    @F.udf("struct<numerator: string, exponent: long, probability: string>")
-    def test(k, c):
-        found = sign_test(k, c)
-        return (str(found[0]), found[1], found[2]) if found else (None, None, None)
-
-    return n.withColumn("t", test("observations", "concordant")).select("sample", "observations", "concordant", "t.numerator", "t.exponent", "t.probability")
+    return n.withColumn("t", _sign_test("observations", "concordant")).select("sample", "observations", "concordant", "t.numerator", "t.exponent", "t.probability")
 
 
 def displacement_bands(observations: DataFrame) -> DataFrame:
@@ -97,11 +115,13 @@ def assignment_groups(attachments: DataFrame, files: DataFrame, local: int, agre
     """(date, direction) groups of attachments with exact candidates: messages, compatible assets, token positions and
     whether an order-preserving assignment exists.
 
-    ``sizes`` is the number of compatible assets at each position, by ascending token.
+    ``seats`` has the compatible assets at each position, by ascending token. Attachments without a sender are an error.
+    Messages come from dates with evidence, assets from that evidence; no pair of a message and an asset is made.
     """
-    rel = exact_relations(attachments, files, local).where("direction <> 'Unknown'")
-    messages = rel.groupBy("message_date", "direction").agg(F.countDistinct("attachment_id").alias("messages"))
-    assets = rel.where("compatibility = 'Compatible'").select("message_date", "direction", "asset_id").distinct()
+    dates = files.where("file_date is not null and size > 0").select(F.col("file_date").alias("message_date")).distinct()
+    sides = attachments.withColumn("direction", known_direction(F.col("sender_id"), local))
+    messages = sides.join(dates, "message_date", "left_semi").groupBy("message_date", "direction").agg(F.count("*").alias("messages"))
+    assets = compatible_assets(files).join(messages, ["message_date", "direction"], "left_semi")
     t = token_rows(files).select("asset_id", F.col("file_date").alias("message_date"), "token", "is_sent")
     held = assets.join(t, ["asset_id", "message_date"])
     if agreeing_only:
@@ -117,23 +137,93 @@ def assignment_groups(attachments: DataFrame, files: DataFrame, local: int, agre
 
 
 def sliding_unions(groups: DataFrame) -> DataFrame:
-    """Per feasible group and rank of a message: the assets it may have in some order-preserving assignment, and how
-    that narrows what its direction alone allows."""
+    """Per feasible group and rank of a message: the assets it may have in some order-preserving assignment, how that
+    narrows what its direction alone allows, and whether a position in its range holds several assets."""
     feasible = groups.where("state = 'Feasible'")
     ranks = feasible.select("*", F.explode(F.sequence(F.lit(1), F.col("messages").cast("int"))).alias("rank"))
     window = F.slice("seats", F.col("rank"), (F.col("slack") + 1).cast("int"))
     n = F.size(F.array_distinct(F.flatten(window))).cast("long")
     narrowing = F.when(n == F.col("assets"), "NoReduction").when(n == 1, "Unique").otherwise("Reduced")
-    return ranks.select("message_date", "direction", "rank", "assets", n.alias("possible_assets"), narrowing.alias("narrowing"))
+    return ranks.select("message_date", "direction", "rank", "assets", n.alias("possible_assets"), narrowing.alias("narrowing"), F.exists(window, lambda s: F.size(s) > 1).alias("heavy"))
 
 
-def assignment_counts(groups: DataFrame) -> DataFrame:
-    """Per feasible group: how many order-preserving assignments there are, as exact decimal strings."""
+def narrowing_summary(unions: DataFrame) -> DataFrame:
+    """(direction or null for both, ...): messages by narrowing, those that had one asset anyway, and relations before and after."""
+    sides = unions.select("*", F.explode(F.array(F.col("direction"), F.lit(None).cast("string"))).alias("side"))
+    kinds = [F.count(F.when(F.col("narrowing") == k, 1)).alias(k) for k in ("NoReduction", "Unique", "Reduced")]
+    already = F.count(F.when((F.col("narrowing") == "NoReduction") & (F.col("assets") == 1), 1)).alias("already_unique")
+    return sides.groupBy(F.col("side").alias("direction")).agg(*kinds, already, F.sum("assets").alias("baseline_relations"), F.sum("possible_assets").alias("sequence_relations"), F.count(F.when(F.col("heavy"), 1)).alias("range_holds_heavy"))
+
+
+def _both_sides(groups: DataFrame) -> DataFrame:
+    """Each group under its direction, and under null for both together."""
+    return groups.select(*[c for c in groups.columns if c != "direction"], F.explode(F.array(F.col("direction"), F.lit(None).cast("string"))).alias("direction"))
+
+
+def assignment_bands(groups: DataFrame) -> DataFrame:
+    """(direction or null for both, measure, band, groups): groups by assets, positions and asset places."""
+    places = F.aggregate("seats", F.lit(0).cast("long"), lambda n, s: n + F.size(s))
+    values = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), v.alias("n")) for m, v in (("assets", F.col("assets")), ("positions", F.col("positions")), ("occurrences", places))])).alias("x")
+    rows = _both_sides(groups).select("direction", values).select("direction", "x.*")
+    return rows.groupBy("direction", "measure", band(F.col("n"), CANDIDATE_BANDS).alias("band")).agg(F.count("*").alias("groups"))
+
+
+def feasibility(groups: DataFrame) -> DataFrame:
+    """(direction or null for both, state, groups, messages, relations): a message and each compatible asset of its group are one relation."""
+    rows = _both_sides(groups)
+    return rows.groupBy("direction", "state").agg(F.count("*").alias("groups"), F.sum("messages").alias("messages"), F.sum(F.col("messages") * F.col("assets")).alias("relations"))
 
-    @F.udf("struct<weighted: string, unweighted: string>")
-    def count(seats, picks):
-        sizes = [len(s) for s in seats]
-        return str(weighted_assignments(sizes, picks)), str(weighted_assignments([1] * len(sizes), picks))
 
-    feasible = groups.where("state = 'Feasible'").withColumn("n", count("seats", "messages"))
-    return feasible.select("message_date", "direction", "messages", "positions", "n.weighted", "n.unweighted")
+def slack_bands(groups: DataFrame) -> DataFrame:
+    """(direction or null for both, band, groups, messages): positions less messages, also where they are too few."""
+    rows = _both_sides(groups)
+    return rows.groupBy("direction", band(F.col("positions") - F.col("messages"), SLACK_BANDS).alias("band")).agg(F.count("*").alias("groups"), F.sum("messages").alias("messages"))
+
+
+def shortfall_bands(groups: DataFrame) -> DataFrame:
+    """(direction or null for both, band, groups): by how many positions the groups with too few fall short."""
+    rows = _both_sides(groups).where("state = 'TooFewPositions'")
+    return rows.groupBy("direction", band(F.col("messages") - F.col("positions"), SHORTFALL_BANDS).alias("band")).agg(F.count("*").alias("groups"))
+
+
+def multiplicity(groups: DataFrame) -> DataFrame:
+    """Per direction (null for both), infeasible groups included: assets at one position and at several, the most positions
+    of one asset, and positions with several assets."""
+    rows = groups.select("message_date", "direction", F.posexplode("seats").alias("at", "seat"))
+    assets = rows.select("message_date", "direction", F.explode("seat").alias("asset_id")).groupBy("message_date", "direction", "asset_id").agg(F.count("*").alias("n"))
+    per = _both_sides(assets).groupBy("direction").agg(F.count(F.when(F.col("n") == 1, 1)).alias("assets_at_one"), F.count(F.when(F.col("n") > 1, 1)).alias("assets_at_several"), F.max("n").alias("most_positions"))
+    heavy = rows.where(F.size("seat") > 1).groupBy("message_date", "direction").agg(F.count("*").alias("n"))
+    heavy = _both_sides(heavy).groupBy("direction").agg(F.sum("n").alias("heavy_positions"), F.count("*").alias("groups_with_heavy"))
+    return per.join(heavy, per["direction"].eqNullSafe(heavy["direction"]), "left").select(per["*"], F.coalesce("heavy_positions", F.lit(0)).alias("heavy_positions"), F.coalesce("groups_with_heavy", F.lit(0)).alias("groups_with_heavy"))
+
+
+def forced_assignments(groups: DataFrame) -> DataFrame:
+    """Per direction (null for both): groups without slack, their messages, and those whose place holds one asset or several."""
+    rows = _both_sides(groups.where("state = 'Feasible' and slack = 0"))
+    several = F.size(F.filter("seats", lambda s: F.size(s) > 1))
+    return rows.groupBy("direction").agg(F.count("*").alias("groups"), F.sum("messages").alias("messages"), F.sum(F.size("seats") - several).alias("one_asset"), F.sum(several).alias("several_assets"))
+
+
+def agreeing_loss(groups: DataFrame, agreeing: DataFrame) -> DataFrame:
+    """Per direction: what is lost if only copies that record the direction count: positions, and assets that lose all."""
+    n = F.size(F.array_distinct(F.flatten("seats"))).cast("long")
+    a = groups.select("message_date", "direction", "positions", n.alias("seated"), (F.col("messages") * F.col("assets")).alias("relations"), "messages")
+    b = agreeing.select("message_date", "direction", F.col("positions").alias("positions_left"), n.alias("seated_left"))
+    return a.join(b, ["message_date", "direction"]).groupBy("direction").agg(
+        F.sum(F.col("positions") - F.col("positions_left")).alias("positions_removed"), F.sum(F.col("seated") - F.col("seated_left")).alias("assets_losing_all"), F.sum("relations").alias("frozen_relations"), F.sum(F.col("messages") * F.col("seated_left")).alias("agreeing_relations")
+    )
+
+
+def excluded_attachments(attachments: DataFrame, files: DataFrame) -> DataFrame:
+    """One row: attachments on dates without evidence, which no group has."""
+    dates = files.where("file_date is not null and size > 0").select(F.col("file_date").alias("message_date")).distinct()
+    return attachments.join(dates, "message_date", "left_anti").agg(F.count("*").alias("attachments"), F.countDistinct("message_date").alias("dates"))
+
+
+def assignment_counts(groups: DataFrame) -> DataFrame:
+    """Per feasible group: how many order-preserving assignments there are, as exact decimal strings, and their band."""
+    sizes = F.transform("seats", lambda s: F.size(s))
+    feasible = groups.where("state = 'Feasible'").withColumn("n", _assignments(sizes, "messages"))
+    digits = F.length("n.weighted")
+    number = F.when(digits <= 18, F.col("n.weighted").cast("long")).otherwise(F.lit(10**18))  # beyond every band
+    return feasible.select("message_date", "direction", "messages", "positions", "n.weighted", "n.unweighted", band(number, ASSIGNMENT_BANDS).alias("band"))

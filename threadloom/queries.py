@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.operators import evidence, gate, matching, names, scope, sequence
-from threadloom.plans.views import LOCAL, attachments, chat_exports, device_groups, media_files, oracle
+from threadloom.plans.views import DENSE, GATE, LOCAL, ORDER, attachments, chat_exports, device_groups, media_files, oracle
 from threadloom.sources.chats import parse_messages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,22 +16,22 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def _add(name: str, run: Query, body: str | None = None, sparse: bool = False) -> None:
+def _add(name: str, run: Query, body: str | None = None, dates: int = DENSE) -> None:
     QUERIES[name] = run
     if body:
-        ORACLE_SQL[name] = oracle(body, sparse)
+        ORACLE_SQL[name] = oracle(body, dates)
 
 
-def _files(op, body: str | None = None, sparse: bool = False) -> None:
-    _add(op.__name__, lambda s, d: op(media_files(s, d, sparse)), body, sparse)
+def _files(op, body: str | None = None) -> None:
+    _add(op.__name__, lambda s, d: op(media_files(s, d)), body)
 
 
 def _tokens(op, body: str | None = None) -> None:
     _add(op.__name__, lambda s, d: op(scope.token_rows(media_files(s, d), device_groups(s))), body)
 
 
-def _matched(op, body: str | None = None, sparse: bool = True) -> None:
-    _add(op.__name__, lambda s, d: op(attachments(s, d), media_files(s, d, sparse), LOCAL), body, sparse)
+def _matched(op, body: str | None = None) -> None:
+    _add(op.__name__, lambda s, d: op(attachments(s, d), media_files(s, d), LOCAL), body)
 
 
 def _band(x: str, bands: str) -> str:
@@ -56,7 +56,7 @@ _REL = _EV + """, sides AS (SELECT *, CASE WHEN sender_id IS NULL THEN 'Unknown'
  r0 AS (SELECT s.*, e.*, CASE WHEN direction = 'Outgoing' THEN has_sent ELSE has_not_sent END AS agrees, CASE WHEN direction = 'Outgoing' THEN has_not_sent ELSE has_sent END AS differs FROM sides s JOIN ev e ON s.message_date = e.file_date),
  rel AS (SELECT *, CASE WHEN direction = 'Unknown' THEN 'Unknown' WHEN agrees AND differs THEN 'Mixed' WHEN agrees THEN 'Compatible' WHEN differs THEN 'ContradictoryOnly' ELSE 'Unknown' END AS compatibility FROM r0)"""
 _EXACT = _REL + " SELECT attachment_id, sequence_number, message_date, direction, asset_id, media_type, copies, sources, compatibility FROM rel"
-_add("exact_relations", lambda s, d: matching.exact_relations(attachments(s, d), media_files(s, d, True), LOCAL).withColumn("sources", F.array_join("sources", ",")), _EXACT, True)
+_add("exact_relations", lambda s, d: matching.exact_relations(attachments(s, d), media_files(s, d), LOCAL).withColumn("sources", F.array_join("sources", ",")), _EXACT)
 _ADJACENT = _EV + """, near AS (SELECT a.*, e.asset_id, e.file_date, e.copies, e.sources, e.has_sent, e.has_not_sent FROM attachments a JOIN ev e ON e.file_date IN (a.message_date - 1, a.message_date + 1)
  WHERE NOT EXISTS (SELECT 1 FROM ev x WHERE x.asset_id = e.asset_id AND x.file_date = a.message_date)),
  both_ AS (SELECT attachment_id, asset_id, bool_or(file_date < message_date) AS has_previous, bool_or(file_date > message_date) AS has_next, CAST(sum(copies) AS BIGINT) AS copies,
@@ -67,22 +67,26 @@ _matched(matching.adjacent_relations, _ADJACENT)
 _COUNTS = _REL + """, counts AS (SELECT a.attachment_id, count(asset_id) AS exact, count(*) FILTER (compatibility = 'Compatible') AS "Compatible", count(*) FILTER (compatibility = 'Mixed') AS "Mixed",
  count(*) FILTER (compatibility = 'Unknown') AS "Unknown", count(*) FILTER (compatibility = 'ContradictoryOnly') AS "ContradictoryOnly", any_value(a.message_date) AS message_date, any_value(a.sender_id) AS sender_id
  FROM attachments a LEFT JOIN rel ON a.attachment_id = rel.attachment_id GROUP BY a.attachment_id)"""
-_matched(matching.relation_counts, _COUNTS + " SELECT * FROM counts", False)
+_matched(matching.relation_counts, _COUNTS + " SELECT * FROM counts")
 _add("state_counts", lambda s, d: matching.state_counts(matching.relation_counts(attachments(s, d), media_files(s, d), LOCAL)), _COUNTS + """, u AS (UNPIVOT counts ON "Compatible", "Mixed", "Unknown", "ContradictoryOnly" INTO NAME state VALUE n) SELECT state, CAST(sum(n) AS BIGINT) AS relations, count(*) FILTER (n > 0) AS attachments FROM u GROUP BY state""")
 _BANDS = _COUNTS + f""", u AS (SELECT 'exact' AS measure, exact AS n FROM counts UNION ALL SELECT 'compatible', "Compatible" FROM counts),
  f AS (SELECT measure, {_band("n", "candidates")} AS band, count(*) AS c FROM u GROUP BY 1, 2),
  every AS (SELECT * FROM (VALUES ('exact'), ('compatible')) m(measure), (VALUES ('0'), ('1'), ('2'), ('3-5'), ('6-10'), ('11-25'), ('26-50'), ('>50')) b(band))
  SELECT measure, band, coalesce(c, 0) AS attachments FROM every LEFT JOIN f USING (measure, band)"""
-_add("candidate_bands", lambda s, d: matching.candidate_bands(matching.relation_counts(attachments(s, d), media_files(s, d, True), LOCAL)), _BANDS, True)
+_add("candidate_bands", lambda s, d: matching.candidate_bands(matching.relation_counts(attachments(s, d), media_files(s, d), LOCAL)), _BANDS)
 _add("source_contributions", lambda s, d: matching.source_contributions(attachments(s, d), media_files(s, d)), """, fs AS (SELECT source_id, count(*) AS files, count(file_date) AS dated_files, count(DISTINCT CASE WHEN file_date IS NOT NULL AND size > 0 THEN asset_id END) AS eligible_assets FROM files GROUP BY source_id),
  c AS (SELECT source_id, count(*) AS n FROM (SELECT DISTINCT source_id, asset_id, file_date FROM files WHERE size > 0) f JOIN attachments a ON a.message_date = f.file_date GROUP BY source_id)
  SELECT fs.*, coalesce(n, 0) AS relations FROM fs LEFT JOIN c USING (source_id)""")
 _add("relations_by_media_type", lambda s, d: matching.relations_by_media_type(attachments(s, d), media_files(s, d)), _REL + " SELECT media_type, count(*) AS relations FROM rel GROUP BY media_type")
-_matched(matching.match_census, sparse=False)
-# The SQL registered under these names reads the fixture's 2 of 61 files, so the names do as well; over all files:
-_add("exact_relations_whole", lambda s, d: matching.exact_relations(attachments(s, d), media_files(s, d), LOCAL).withColumn("sources", F.array_join("sources", ",")), _EXACT)
-_add("adjacent_relations_whole", lambda s, d: matching.adjacent_relations(attachments(s, d), media_files(s, d), LOCAL), _ADJACENT)
-_add("candidate_bands_whole", lambda s, d: matching.candidate_bands(matching.relation_counts(attachments(s, d), media_files(s, d), LOCAL)), _BANDS)
+_matched(matching.match_census, _COUNTS + """, near AS (SELECT DISTINCT m.message_date, e.file_date, e.asset_id FROM (SELECT DISTINCT message_date FROM attachments) m JOIN ev e ON e.file_date IN (m.message_date - 1, m.message_date, m.message_date + 1)),
+ outside AS (SELECT DISTINCT message_date FROM near n WHERE file_date <> message_date AND NOT EXISTS (SELECT 1 FROM ev x WHERE x.asset_id = n.asset_id AND x.file_date = n.message_date)),
+ facts AS (SELECT asset_id, count(*) AS copies, bool_or(file_date IS NOT NULL) AS has_dated_copy, max(size) AS size FROM files GROUP BY asset_id), per AS (SELECT file_date, count(*) AS n FROM ev GROUP BY 1),
+ a AS (SELECT count(*) AS attachments, count(*) FILTER (sender_id IS NULL) AS without_sender, count(DISTINCT message_date) AS dates, count(*) FILTER (exact = 0) AS without_exact, count(*) FILTER (exact = 1) AS unique_exact,
+  count(*) FILTER ("Compatible" = 1) AS unique_compatible, count(*) FILTER (exact = 0 AND message_date IN (SELECT message_date FROM outside)) AS adjacent_only FROM counts),
+ b AS (SELECT count(DISTINCT asset_id) AS candidate_assets FROM near), c AS (SELECT count(file_date) AS dated_files, count(*) - count(file_date) AS undated_files FROM files),
+ d AS (SELECT count(*) FILTER (size = 0) AS zero_byte_assets, CAST(coalesce(sum(copies) FILTER (size = 0), 0) AS BIGINT) AS zero_byte_files, count(*) FILTER (size <> 0 AND NOT has_dated_copy) AS no_date_assets FROM facts),
+ e AS (SELECT count(*) AS density_dates, coalesce(min(n), 0) AS density_least, coalesce(quantile_disc(n, 0.5), 0) AS density_lower_median, coalesce(max(n), 0) AS density_most FROM per)
+ SELECT * FROM a, b, c, d, e""")
 
 # Names.
 _SUF = r""", s0 AS (SELECT *, regexp_extract(suffix, '^[0-9]*') AS digits FROM files WHERE suffix IS NOT NULL), s AS (SELECT *, CASE WHEN suffix = '' THEN 'Empty' WHEN digits = '' THEN 'NonNumeric' WHEN digits = suffix THEN 'PurelyNumeric' ELSE 'NumericPrefixWithTrailingDecoration' END AS suffix_class FROM s0)"""
@@ -92,8 +96,13 @@ _files(names.digit_widths, _WIDTHS + " SELECT * FROM w")
 _files(names.dominant_width, _WIDTHS + " SELECT coalesce(first(width ORDER BY files DESC, width), 0) AS width, coalesce(max(files), 0) AS files FROM w")
 _files(names.numeric_agreement, _SUF + ", p AS (SELECT asset_id, count(*) AS n, count(DISTINCT digits) AS d, count(DISTINCT CAST(digits AS BIGINT)) AS v FROM s WHERE suffix_class = 'PurelyNumeric' GROUP BY 1 HAVING count(*) > 1) SELECT CASE WHEN d = 1 THEN 'SameDigits' WHEN v = 1 THEN 'SameValue' ELSE 'Different' END AS agreement, count(*) AS assets FROM p GROUP BY 1")
 _files(names.name_counts, " SELECT names, names_any_case, count(*) AS assets FROM (SELECT count(DISTINCT name) AS names, count(DISTINCT upper(name)) AS names_any_case FROM files GROUP BY asset_id) GROUP BY 1, 2")
-_files(names.top_signatures)
-_files(names.undated_features)
+_files(names.top_signatures, _SUF + r""", sh AS (SELECT 'suffix' AS part, suffix AS x, asset_id FROM s WHERE suffix_class IN ('NonNumeric', 'NumericPrefixWithTrailingDecoration') UNION ALL SELECT 'name', regexp_replace(name, '\.[^./\\]+$', ''), asset_id FROM files WHERE file_date IS NULL),
+ g AS (SELECT part, asset_id, list_aggregate(list_transform(regexp_extract_all(x, '[A-Za-z]+|[0-9]+|[-_.()\[\] ]|[^A-Za-z0-9\-_.()\[\] ]+'), lambda r: CASE WHEN regexp_matches(r, '^[A-Za-z]') THEN 'A' || length(r) WHEN regexp_matches(r, '^[0-9]') THEN 'D' || length(r) WHEN regexp_matches(r, '^[-_.()\[\] ]') THEN r ELSE 'X' || length(r) END), 'string_agg', '') AS signature FROM sh),
+ n AS (SELECT part, signature, row_number() OVER (PARTITION BY part ORDER BY count(*) DESC, signature) AS place FROM g GROUP BY part, signature)
+ SELECT g.part, CAST(least(place, 21) AS INTEGER) AS place, CASE WHEN place > 20 THEN 'Other' ELSE g.signature END AS signature, count(*) AS files, count(DISTINCT asset_id) AS assets FROM g JOIN n USING (part, signature) GROUP BY 1, 2, 3""")
+_FEATURES = {"eight_digits": "regexp_matches(name, '[0-9]{8}')", "hyphen_eight_digits": "regexp_matches(name, '-[0-9]{8}')", "real_date": "len(list_filter(list_transform(range(1, greatest(length(name) - 6, 1)), lambda i: substr(name, i, 8)), lambda x: regexp_full_match(x, '[0-9]{8}') AND x >= '0001' AND try_strptime(x, '%Y%m%d') IS NOT NULL)) > 0",
+             "wa_literal": "contains(name, '-WA')", "wa_digit": "regexp_matches(name, 'WA[0-9]')", "marker_shape": "regexp_matches(name, '-[0-9]{8}-WA')", "impossible_marker": "len(list_filter(regexp_extract_all(name, '-([0-9]{8})-WA', 1), lambda x: x < '0001' OR try_strptime(x, '%Y%m%d') IS NULL)) > 0"}
+_files(names.undated_features, ", u AS (SELECT asset_id, " + ", ".join(f"{v} AS {k}" for k, v in _FEATURES.items()) + " FROM files WHERE file_date IS NULL), v AS (SELECT *, NOT greatest(" + ", ".join(_FEATURES) + ") AS none FROM u) " + " UNION ALL ".join(f"SELECT '{k}' AS feature, count(*) FILTER ({k}) AS files, count(DISTINCT asset_id) FILTER ({k}) AS assets FROM v" for k in [*_FEATURES, "none"]))
 _files(names.extension_census, " SELECT ext, count(*) AS files, CASE ext WHEN '.jpg' THEN 'Image' WHEN '.mp4' THEN 'Video' WHEN '.opus' THEN 'Audio' ELSE 'Document' END AS media_type FROM files GROUP BY ext")
 _files(names.discovery_summary, " SELECT count(*) AS files, " + ", ".join(f"count(*) FILTER (media_type = '{t}') AS {t.lower()}" for t in ("Image", "Video", "Audio", "Document", "Unknown")) + ", count(*) FILTER (is_sent) AS sent, count(*) FILTER (NOT is_sent) AS not_sent, count(*) FILTER (is_sent IS NULL) AS direction_unknown, count(file_date) AS dated, count(*) FILTER (size = 0) AS empty, CAST(sum(size) AS BIGINT) AS bytes FROM files")
 
@@ -112,9 +121,11 @@ _GROUPS = _T + f", lv AS ({_levels(_GROUP_LEVELS)}), g AS (SELECT level, file_da
 _keyed = lambda df: df.withColumn("group_id", F.col("group_id").cast("long")).withColumn("source_id", F.col("source_id").cast("long"))
 _add("key_records", lambda s, d: _keyed(scope.key_records(scope.token_rows(media_files(s, d), device_groups(s)))), _KEYS + " SELECT * FROM keys")
 _tokens(scope.ambiguity, _KEYS + ", b AS (SELECT level, true AS with_empty, assets AS n, files AS f FROM keys UNION ALL SELECT level, false, full_assets, full_files FROM keys WHERE full_assets > 0) SELECT level, with_empty, count(*) AS keys, count(*) FILTER (n > 1) AS multi_asset_keys, CAST(coalesce(sum(f) FILTER (n > 1), 0) AS BIGINT) AS files_in_multi_asset_keys, max(n) AS most_assets, CAST(coalesce(sum(n * (n - 1) // 2), 0) AS BIGINT) AS asset_pairs, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS excess FROM b GROUP BY level, with_empty")
-_tokens(scope.assets_in_collisions, _KEYS + ", c AS (SELECT lv.level, lv.asset_id FROM lv JOIN keys k ON lv.level = k.level AND lv.token = k.token AND lv.file_date IS NOT DISTINCT FROM k.file_date AND lv.group_id IS NOT DISTINCT FROM k.group_id AND lv.source_id IS NOT DISTINCT FROM k.source_id WHERE assets > 1) SELECT level, count(DISTINCT asset_id) AS assets FROM c GROUP BY level")
+_SAME_KEY = "lv.level = k.level AND lv.token = k.token AND lv.file_date IS NOT DISTINCT FROM k.file_date AND lv.group_id IS NOT DISTINCT FROM k.group_id AND lv.source_id IS NOT DISTINCT FROM k.source_id"
+_tokens(scope.assets_in_collisions, _KEYS + f", c AS (SELECT lv.level, true AS with_empty, lv.asset_id FROM lv JOIN keys k ON {_SAME_KEY} WHERE assets > 1 UNION ALL SELECT lv.level, false, lv.asset_id FROM lv JOIN keys k ON {_SAME_KEY} WHERE full_assets > 1 AND size > 0) SELECT level, with_empty, count(DISTINCT asset_id) AS assets FROM c GROUP BY level, with_empty")
 _add("group_records", lambda s, d: _keyed(scope.group_records(scope.token_rows(media_files(s, d), device_groups(s)))), _GROUPS + " SELECT * FROM g")
-_tokens(scope.continuity, _GROUPS + f" SELECT level, {_band('files', 'counts')} AS band, count(*) AS groups, count(*) FILTER (missing_inside = 0) AS gapless, count(*) FILTER (least = 0) AS from_zero, CAST(sum(missing_inside) AS BIGINT) AS missing FROM g GROUP BY 1, 2")
+_GAPS = (("0", "= 0"), ("1", "= 1"), ("2", "= 2"), ("3-5", "BETWEEN 3 AND 5"), ("6-10", "BETWEEN 6 AND 10"), (">10", "> 10"))
+_tokens(scope.continuity, _GROUPS + f" SELECT level, {_band('tokens', 'counts')} AS band, count(*) AS groups, count(*) FILTER (least = 0) AS from_zero, count(*) FILTER (least = 1) AS from_one, count(*) FILTER (least > 1) AS from_higher, " + ", ".join(f'count(*) FILTER (missing_inside {t}) AS "gap {n}"' for n, t in _GAPS) + ", CAST(sum(tokens) AS BIGINT) AS distinct_tokens, CAST(sum(missing_inside) AS BIGINT) AS missing, max(missing_inside) AS most_missing, count(*) FILTER (greatest + 1 = tokens) AS perfect_prefix, count(*) FILTER (missing_inside = 0 AND least > 0) AS gapless_not_from_zero FROM g GROUP BY 1, 2")
 _tokens(scope.joint_bands, _GROUPS + f" SELECT level, {_band('assets', 'counts')} AS assets_band, {_band('tokens', 'counts')} AS tokens_band, count(*) AS groups FROM g WHERE level <> 'Date' GROUP BY 1, 2, 3")
 _tokens(scope.signed_difference, _GROUPS + " SELECT level, assets - tokens AS difference, count(*) AS groups FROM g GROUP BY 1, 2")
 _tokens(scope.largest_token_group, _GROUPS + " SELECT source_id, file_date, greatest, files FROM g WHERE level = 'SourceDate' ORDER BY greatest DESC, files DESC, file_date, source_id LIMIT 1")
@@ -127,51 +138,80 @@ _tokens(scope.source_pairs, _T + ", p AS (SELECT asset_id, file_date, source_id,
 _tokens(scope.empty_assets, _T + " SELECT count(*) AS files, count(DISTINCT asset_id) AS assets, count(DISTINCT token) AS tokens, CASE WHEN count(*) >= 2 THEN count(DISTINCT token) = 1 END AS same_token FROM t WHERE size = 0")
 _add("date_populations", lambda s, d: scope.date_populations(f := media_files(s, d), scope.token_rows(f, device_groups(s))), _T + ", d AS (SELECT file_date, max(m) AS m, max(k) AS k FROM (SELECT file_date, 1 AS m, 0 AS k FROM files WHERE file_date IS NOT NULL AND size > 0 UNION ALL SELECT file_date, 0, 1 FROM t) GROUP BY 1) SELECT CAST(sum(m) AS BIGINT) AS media_dates, CAST(sum(k) AS BIGINT) AS token_dates, CAST(sum(m * k) AS BIGINT) AS both, count(*) FILTER (k = 0) AS media_only, count(*) FILTER (m = 0) AS token_only FROM d")
 
-# Order across and within directions; exact counts have no SQL.
+# Order across and within directions, over dates with few files each.
 _COHORT = _REL + """, one AS (SELECT attachment_id, any_value(sequence_number) AS sequence_number, any_value(message_date) AS message_date, any_value(direction) AS direction, any_value(asset_id) AS asset_id FROM rel WHERE compatibility = 'Compatible' GROUP BY 1 HAVING count(*) = 1),
  gr AS (SELECT message_date, direction, count(*) AS relations, min(sequence_number) AS first_sequence, min(asset_id) AS asset_id, max(asset_id) AS last_asset_id FROM one GROUP BY 1, 2),
  cohort AS (SELECT gr.*, coalesce(string_agg(DISTINCT lpad(CAST(token AS VARCHAR), 4, '0'), ',' ORDER BY lpad(CAST(token AS VARCHAR), 4, '0')), '') AS tokens, coalesce(string_agg(DISTINCT lpad(CAST(token AS VARCHAR), 4, '0'), ',' ORDER BY lpad(CAST(token AS VARCHAR), 4, '0')) FILTER ((direction = 'Outgoing') = is_sent), '') AS agreeing_tokens
  FROM gr LEFT JOIN tokens t ON t.asset_id = gr.asset_id AND t.file_date = gr.message_date AND token IS NOT NULL GROUP BY ALL)"""
 _shown = lambda c: F.array_join(F.transform(c, lambda x: F.lpad(x.cast("string"), 4, "0")), ",").alias(c)
-_cohort = lambda s, d, sparse=False: sequence.cohort_groups(attachments(s, d), media_files(s, d, sparse), LOCAL)
+_cohort = lambda s, d, dates=ORDER: sequence.cohort_groups(attachments(s, d, dates), media_files(s, d, dates), LOCAL)
 _cohort_shown = lambda g: g.select("message_date", "direction", "relations", "first_sequence", "asset_id", "last_asset_id", _shown("tokens"), _shown("agreeing_tokens"))
-_add("cohort_groups", lambda s, d: _cohort_shown(_cohort(s, d, True)), _COHORT + " SELECT * FROM cohort", True)
-_add("cohort_groups_whole", lambda s, d: _cohort_shown(_cohort(s, d)), _COHORT + " SELECT * FROM cohort")
-_add("strict_order", lambda s, d: sequence.strict_order(_cohort(s, d)))
-_add("order_summary", lambda s, d: sequence.order_summary(sequence.strict_order(_cohort(s, d))))
-_add("displacement_bands", lambda s, d: sequence.displacement_bands(sequence.strict_order(_cohort(s, d))))
+_add("cohort_groups", lambda s, d: _cohort_shown(_cohort(s, d)), _COHORT + " SELECT * FROM cohort", ORDER)
+_add("cohort_groups_dense", lambda s, d: _cohort_shown(_cohort(s, d, DENSE)), _COHORT + " SELECT * FROM cohort")
+_STRICT = _COHORT + """, x AS (SELECT o.message_date, o.first_sequence < i.first_sequence AS out_first, string_split(o.tokens, ',') AS ot, string_split(i.tokens, ',') AS it, string_split(o.agreeing_tokens, ',') AS oa, string_split(i.agreeing_tokens, ',') AS ia
+  FROM cohort o JOIN cohort i ON o.message_date = i.message_date AND o.direction = 'Outgoing' AND i.direction = 'Incoming' AND o.relations = 1 AND i.relations = 1),
+ y AS (SELECT *, TRY_CAST(ot[1] AS INTEGER) AS t, TRY_CAST(it[1] AS INTEGER) AS u FROM x),
+ z AS (SELECT *, CASE WHEN t IS NULL OR u IS NULL THEN 'NoToken' WHEN len(ot) > 1 OR len(it) > 1 THEN 'SeveralTokens' WHEN t = u THEN 'EqualTokens' WHEN (t < u) = out_first THEN 'Concordant' ELSE 'Discordant' END AS verdict FROM y),
+ strict AS (SELECT message_date, verdict, CASE WHEN verdict IN ('Concordant', 'Discordant') THEN abs(t - u) END AS distance, CASE WHEN verdict IN ('Concordant', 'Discordant') THEN list_contains(oa, ot[1]) AND list_contains(ia, it[1]) END AS both_agreeing FROM z)"""
+_add("strict_order", lambda s, d: sequence.strict_order(_cohort(s, d)), _STRICT + " SELECT * FROM strict", ORDER)
+_add("order_summary", lambda s, d: sequence.order_summary(sequence.strict_order(_cohort(s, d))))  # exact counts have no SQL
+_add("displacement_bands", lambda s, d: sequence.displacement_bands(sequence.strict_order(_cohort(s, d))), _STRICT + f" SELECT verdict, {_band('distance', 'candidates')} AS band, count(*) AS dates FROM strict WHERE distance IS NOT NULL GROUP BY 1, 2", ORDER)
 _PROVENANCE = _COHORT + " SELECT direction, CASE WHEN tokens = '' THEN 'NoToken' WHEN agreeing_tokens = '' THEN 'UnknownOnly' WHEN agreeing_tokens = tokens THEN 'AgreeingOnly' ELSE 'Both' END AS provenance, count(*) AS groups, CAST(sum(relations) AS BIGINT) AS relations FROM cohort GROUP BY 1, 2"
-_add("token_provenance", lambda s, d: sequence.token_provenance(_cohort(s, d, True)), _PROVENANCE, True)
-_add("token_provenance_whole", lambda s, d: sequence.token_provenance(_cohort(s, d)), _PROVENANCE)
+_add("token_provenance", lambda s, d: sequence.token_provenance(_cohort(s, d)), _PROVENANCE, ORDER)
 _files(sequence.namespaces, """, k AS (SELECT file_date, token, bool_or(is_sent) AS o, bool_or(NOT is_sent) AS i FROM tokens WHERE token IS NOT NULL AND is_sent IS NOT NULL AND size > 0 GROUP BY 1, 2),
  c AS (SELECT *, CASE WHEN o AND i THEN NULL WHEN o THEN 'O' ELSE 'I' END AS kind FROM k), l AS (SELECT *, lag(kind) OVER (PARTITION BY file_date ORDER BY token) AS was FROM c),
  d AS (SELECT file_date, count(*) FILTER (o) AS o_tokens, count(*) FILTER (i) AS i_tokens, count(*) FILTER (o AND i) AS shared, count(*) FILTER (kind <> was) AS transitions, min(token) FILTER (o) AS ol, max(token) FILTER (o) AS oh, min(token) FILTER (i) AS il, max(token) FILTER (i) AS ih FROM l GROUP BY 1)
  SELECT file_date, o_tokens, i_tokens, shared, transitions, CASE WHEN o_tokens = 1 OR i_tokens = 1 THEN 'SingletonInvolved' WHEN oh < il THEN 'OutgoingBelow' WHEN ih < ol THEN 'IncomingBelow' ELSE 'Overlapping' END AS ranges FROM d WHERE o_tokens > 0 AND i_tokens > 0""")
-_ASSIGN = _REL + """, m AS (SELECT message_date, direction, count(DISTINCT attachment_id) AS messages FROM rel WHERE direction <> 'Unknown' GROUP BY 1, 2),
+
+
+def _assign(agreeing: bool = False) -> str:
+    """Groups (a) and their numbered positions (pos); with ``agreeing``, only copies that record the direction hold a position."""
+    only = " AND (own.direction = 'Outgoing') = is_sent" if agreeing else ""
+    return _REL + f""", m AS (SELECT message_date, direction, count(DISTINCT attachment_id) AS messages FROM rel WHERE direction <> 'Unknown' GROUP BY 1, 2),
  own AS (SELECT DISTINCT message_date, direction, asset_id FROM rel WHERE compatibility = 'Compatible' AND direction <> 'Unknown'), n AS (SELECT message_date, direction, count(*) AS assets FROM own GROUP BY 1, 2),
- p AS (SELECT message_date, direction, count(DISTINCT token) AS positions FROM own JOIN tokens t ON t.asset_id = own.asset_id AND t.file_date = own.message_date AND token IS NOT NULL GROUP BY 1, 2),
- a AS (SELECT message_date, direction, messages, coalesce(assets, 0) AS assets, coalesce(positions, 0) AS positions FROM m LEFT JOIN n USING (message_date, direction) LEFT JOIN p USING (message_date, direction))
- SELECT *, CASE WHEN assets = 0 THEN 'NoCompatibleAsset' WHEN positions = 0 THEN 'NoSupportedTokenPosition' WHEN positions < messages THEN 'TooFewPositions' ELSE 'Feasible' END AS state, CASE WHEN assets > 0 AND positions > 0 AND positions >= messages THEN positions - messages END AS slack FROM a"""
-_add("assignment_groups", lambda s, d: sequence.assignment_groups(attachments(s, d), media_files(s, d), LOCAL).drop("seats"), _ASSIGN)
-_assigned = lambda s, d: sequence.assignment_groups(attachments(s, d), media_files(s, d), LOCAL)
-_add("agreeing_assignment_groups", lambda s, d: sequence.assignment_groups(attachments(s, d), media_files(s, d), LOCAL, True).drop("seats"))
-_add("sliding_unions", lambda s, d: sequence.sliding_unions(_assigned(s, d)))
+ held AS (SELECT DISTINCT own.*, token FROM own JOIN tokens t ON t.asset_id = own.asset_id AND t.file_date = own.message_date AND token IS NOT NULL{only}), p AS (SELECT message_date, direction, count(DISTINCT token) AS positions FROM held GROUP BY 1, 2),
+ pos AS (SELECT *, dense_rank() OVER (PARTITION BY message_date, direction ORDER BY token) AS at, count(*) OVER (PARTITION BY message_date, direction, token) AS seated FROM held),
+ a0 AS (SELECT message_date, direction, messages, coalesce(assets, 0) AS assets, coalesce(positions, 0) AS positions FROM m LEFT JOIN n USING (message_date, direction) LEFT JOIN p USING (message_date, direction)),
+ a AS (SELECT *, CASE WHEN assets = 0 THEN 'NoCompatibleAsset' WHEN positions = 0 THEN 'NoSupportedTokenPosition' WHEN positions < messages THEN 'TooFewPositions' ELSE 'Feasible' END AS state, CASE WHEN assets > 0 AND positions > 0 AND positions >= messages THEN positions - messages END AS slack FROM a0),
+ halves AS (SELECT direction AS side, * FROM a UNION ALL SELECT NULL, * FROM a),
+ unions AS (SELECT a.message_date, a.direction, CAST(r.rank AS INTEGER) AS rank, any_value(a.assets) AS assets, count(DISTINCT pos.asset_id) AS possible_assets, bool_or(seated > 1) AS heavy FROM a, LATERAL (SELECT unnest(range(1, messages + 1)) AS rank) r
+  JOIN pos ON pos.message_date = a.message_date AND pos.direction = a.direction AND pos.at BETWEEN r.rank AND r.rank + slack WHERE state = 'Feasible' GROUP BY 1, 2, 3),
+ narrowed AS (SELECT *, CASE WHEN possible_assets = assets THEN 'NoReduction' WHEN possible_assets = 1 THEN 'Unique' ELSE 'Reduced' END AS narrowing FROM unions)"""
+
+
+_sent_by_someone = lambda s, d, dates: attachments(s, d, dates).where("sender_id is not null")
+_assigned = lambda s, d, dates=GATE, agreeing=False: sequence.assignment_groups(_sent_by_someone(s, d, dates), media_files(s, d, dates), LOCAL, agreeing)
+_GROUPED = " SELECT message_date, direction, messages, assets, positions, state, slack FROM a"
+_add("assignment_groups", lambda s, d: _assigned(s, d, DENSE).drop("seats"), _assign() + _GROUPED)
+_add("agreeing_assignment_groups", lambda s, d: _assigned(s, d, DENSE, True).drop("seats"), _assign(True) + _GROUPED)
+_add("sliding_unions", lambda s, d: sequence.sliding_unions(_assigned(s, d)), _assign() + " SELECT * FROM narrowed", GATE)
 _add("assignment_counts", lambda s, d: sequence.assignment_counts(_assigned(s, d)))
 
 # The gate.
 _SIDES = ", msg AS (SELECT message_date, string_agg(CASE WHEN sender_id = 1 THEN 'O' ELSE 'I' END, '' ORDER BY sequence_number, attachment_id) AS pattern FROM attachments WHERE sender_id IS NOT NULL GROUP BY 1)"
-_add("message_patterns", lambda s, d: gate.message_patterns(attachments(s, d), LOCAL), _SIDES + " SELECT * FROM msg")
+_add("message_patterns", lambda s, d: gate.message_patterns(_sent_by_someone(s, d, GATE), LOCAL), _SIDES + " SELECT * FROM msg", GATE)
 _POS = _T + """, pos AS (SELECT scope, scope_key, file_date, token, count(*) FILTER (is_sent) AS sent, count(*) FILTER (NOT is_sent) AS not_sent, count(*) FILTER (is_sent IS NULL) AS unknown
- FROM (SELECT 'SourceDate' AS scope, CAST(source_id AS BIGINT) AS scope_key, * FROM t UNION ALL SELECT 'DeviceGroupDate', CAST(group_id AS BIGINT), * FROM t) GROUP BY 1, 2, 3, 4)"""
-_add("logical_positions", lambda s, d: gate.logical_positions(media_files(s, d), device_groups(s)), _POS + " SELECT *, CASE WHEN sent > 0 AND not_sent > 0 THEN 'Conflict' WHEN sent > 0 THEN 'O' WHEN not_sent > 0 THEN 'I' ELSE 'Unlabelled' END AS label FROM pos")
-_pairs = lambda s, d: gate.pairs(attachments(s, d), media_files(s, d), device_groups(s), LOCAL)
-_add("gate_pairs", _pairs)
-_add("pair_states", lambda s, d: gate.pair_states(_pairs(s, d)))
-_add("pair_supply", lambda s, d: gate.supply(_pairs(s, d)))
-_add("numbered_pairs", lambda s, d: gate.numbered(_pairs(s, d)))
+ FROM (SELECT 'SourceDate' AS scope, CAST(source_id AS BIGINT) AS scope_key, * FROM t UNION ALL SELECT 'DeviceGroupDate', CAST(group_id AS BIGINT), * FROM t) GROUP BY 1, 2, 3, 4),
+ labels AS (SELECT *, CASE WHEN sent > 0 AND not_sent > 0 THEN 'Conflict' WHEN sent > 0 THEN 'O' WHEN not_sent > 0 THEN 'I' ELSE 'Unlabelled' END AS label FROM pos)"""
+_add("logical_positions", lambda s, d: gate.logical_positions(media_files(s, d), device_groups(s)), _POS + " SELECT * FROM labels")
+_pairs = lambda s, d: gate.pairs(_sent_by_someone(s, d, GATE), media_files(s, d, GATE), device_groups(s), LOCAL)
+_PAIRS = _POS + _SIDES + """, shapes AS (SELECT scope, scope_key, file_date, count(*) FILTER (label = 'Conflict') AS conflicts, count(*) FILTER (label = 'Unlabelled') AS unlabelled, CAST(sum(sent) AS BIGINT) AS sent_copies, CAST(sum(not_sent) AS BIGINT) AS not_sent_copies, string_agg(label, '' ORDER BY token) FILTER (label IN ('O', 'I')) AS token_pattern FROM labels GROUP BY 1, 2, 3),
+ keyed AS (SELECT DISTINCT 'SourceDate' AS scope, CAST(source_id AS BIGINT) AS scope_key FROM files UNION SELECT 'DeviceGroupDate', CAST(group_id AS BIGINT) FROM files JOIN device_groups USING (source_id)),
+ every AS (SELECT scope, scope_key, message_date AS file_date FROM keyed, msg UNION SELECT scope, scope_key, file_date FROM shapes),
+ p0 AS (SELECT scope, scope_key, file_date, coalesce(conflicts, 0) AS conflicts, coalesce(unlabelled, 0) AS unlabelled, coalesce(sent_copies, 0) AS sent_copies, coalesce(not_sent_copies, 0) AS not_sent_copies, coalesce(token_pattern, '') AS token_pattern, coalesce(pattern, '') AS pattern FROM every LEFT JOIN shapes USING (scope, scope_key, file_date) LEFT JOIN msg ON msg.message_date = every.file_date),
+ p1 AS (SELECT *, length(replace(pattern, 'I', '')) AS m_out, length(replace(pattern, 'O', '')) AS m_in, length(replace(token_pattern, 'I', '')) AS t_out, length(replace(token_pattern, 'O', '')) AS t_in, CAST(len(regexp_extract_all(token_pattern, 'O+|I+')) AS BIGINT) AS token_runs FROM p0),
+ p2 AS (SELECT *, token_pattern = '' AS no_tokens, length(pattern) = 1 AS single_symbol, token_pattern <> '' AND t_out = 0 AS no_outgoing, token_pattern <> '' AND t_in = 0 AS no_incoming, token_pattern <> '' AND (t_out = 0 OR t_in = 0 OR (token_runs = t_out + t_in AND t_out <> t_in)) AS single_arrangement,
+  sent_copies >= m_out AND not_sent_copies >= m_in AS supply_copies, t_out >= m_out AND t_in >= m_in AS supply_positions FROM p1),
+ pairs AS (SELECT *, CASE WHEN pattern = '' THEN 'NoMessageSymbols' WHEN conflicts > 0 THEN 'ExcludedByDirectionConflict' WHEN no_tokens THEN 'NoTokenPositions' WHEN NOT supply_positions THEN 'SupplyInsufficient' WHEN single_symbol OR no_outgoing OR no_incoming OR single_arrangement THEN 'Degenerate' ELSE 'Classified' END AS state FROM p2),
+ measured AS (SELECT *, length(pattern) AS symbols FROM pairs WHERE pattern <> '' AND conflicts = 0)"""
+_gate = lambda name, op, body: _add(name, lambda s, d: op(_pairs(s, d)), _PAIRS + body, GATE)
+_gate("gate_pairs", lambda p: p, " SELECT * FROM pairs")
+_gate("pair_states", gate.pair_states, " SELECT scope, state, count(*) AS pairs, CAST(sum(length(pattern)) AS BIGINT) AS message_symbols FROM pairs GROUP BY 1, 2")
+_gate("pair_supply", gate.supply, " SELECT scope, count(*) AS pairs, count(*) FILTER (supply_copies) AS enough_copies, count(*) FILTER (supply_positions) AS enough_positions FROM measured GROUP BY 1")
+_gate("numbered_pairs", gate.numbered, " SELECT *, CAST(row_number() OVER (ORDER BY CASE scope WHEN 'SourceDate' THEN 0 ELSE 1 END, scope_key, file_date) AS INTEGER) AS pair_id FROM pairs WHERE pattern <> ''")
 _add("reference_counts", lambda s, d: gate.reference_counts(_pairs(s, d)))
 _add("source_overlap", lambda s, d: gate.source_overlap(media_files(s, d), device_groups(s)), _T + ", k AS (SELECT DISTINCT source_id, file_date, token FROM t), n AS (SELECT file_date, token, count(*) AS c FROM k GROUP BY 1, 2) SELECT source_id, count(DISTINCT file_date) AS dates, count(*) AS keys, count(*) FILTER (c > 1) AS shared_keys FROM k JOIN n USING (file_date, token) GROUP BY 1")
 
 # The chat parser, over conversations written as exports.
 _add("parsed_messages", lambda s, d: parse_messages(chat_exports(s, d)).select("doc", "sequence_number", "message_type", "sender", "content", "is_placeholder"))
-ORACLE_SQL["parsed_messages"] = "SELECT conv_id AS doc, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS sequence_number, 'User' AS message_type, role AS sender, text AS content, text = '<Media omitted>' AS is_placeholder FROM conversations WHERE conv_id IS NOT NULL AND role IS NOT NULL AND text IS NOT NULL"
+ORACLE_SQL["parsed_messages"] = "SELECT conv_id AS doc, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS sequence_number, 'User' AS message_type, role AS sender, said AS content, said = '<Media omitted>' AS is_placeholder FROM (SELECT *, CASE WHEN (conv_id + turn) % 7 = 0 THEN '<Media omitted>' ELSE text END AS said FROM conversations) WHERE conv_id IS NOT NULL AND role IS NOT NULL AND text IS NOT NULL"
