@@ -63,6 +63,7 @@ def media_guards(files: DataFrame, links: DataFrame, assets: DataFrame) -> DataF
 
     ``files`` (file_id, sha256), ``links`` (file_id, asset_id), ``assets`` (asset_id, sha256).
     """
+    files = files.select("file_id", "sha256")
     linked = files.join(links.select("file_id", "asset_id"), "file_id", "left").join(assets.select("asset_id", F.col("sha256").alias("asset_sha256")), "asset_id", "left")
     hashed = linked.where("sha256 is not null")
     return together(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.names import CANDIDATE_BANDS, band
 from threadloom.operators.evidence import any_of, date_density, evidence_by_asset_date, source_facts, undated_pools
+from threadloom.sources.workspace import unresolved
 
 #: How candidates agree with a message's direction.
 STATES = ("Compatible", "Mixed", "Unknown", "ContradictoryOnly")
@@ -136,3 +137,16 @@ def match_census(attachments: DataFrame, files: DataFrame, local: int | None) ->
     for part in (candidates, totals, undated_pools(files), date_density(files).toDF("density_dates", "density_least", "density_lower_median", "density_most")):
         one = one.crossJoin(part)  # of one row each
     return one
+
+
+def unresolved_scope(linked: DataFrame, messages: DataFrame, files: DataFrame, conversation_id: int) -> DataFrame:
+    """One row: unresolved attachments of the conversation, of all, and of others; those without a sender; dates of the
+    conversation's messages and of its attachments; and attachments on dates without eligible media."""
+    rows = unresolved(linked, messages).withColumn("day", F.to_date("message_time"))
+    media = files.where("file_date is not null and size > 0").select(F.col("file_date").alias("day")).distinct().withColumn("has_media", F.lit(True))
+    own = F.col("conversation_id") == conversation_id
+    counts = rows.join(media, "day", "left").agg(
+        F.count(F.when(own, 1)).alias("in_conversation"), F.count("*").alias("in_workspace"), F.count(F.when(~own, 1)).alias("elsewhere"), F.count(F.when(own & F.col("sender_id").isNull(), 1)).alias("without_sender"),
+        F.countDistinct(F.when(own, F.col("day"))).alias("attachment_dates"), F.count(F.when(own & F.col("has_media").isNull(), 1)).alias("on_dates_without_media"),
+    )
+    return counts.crossJoin(messages.where(own).agg(F.countDistinct(F.to_date("message_time")).alias("conversation_dates")))  # of one row each

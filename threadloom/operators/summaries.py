@@ -49,7 +49,8 @@ def ratio_summary(rows: DataFrame, keys: list[str], numerator: str, denominator:
 def difference_summary(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Per key: the spread of a signed difference, its signs, and bands of its size."""
     banded = rows.withColumn("_band", band(F.abs(F.col(value)), DIFFERENCE_BANDS))
-    return banded.groupBy(*keys).agg(
+    out = banded.groupBy(*keys).agg(
         *_spread(value), counted(F.col(value) < 0).alias("negative"), counted(F.col(value) == 0).alias("zero"), counted(F.col(value) > 0).alias("positive"),
         *[counted(F.col("_band") == n).alias(f"size {n}") for n, _ in DIFFERENCE_BANDS],
     )
+    return out.withColumn("lower_median", F.col("lower_median").cast(rows.schema[value].dataType))

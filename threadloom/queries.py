@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.operators import evidence, gate, matching, names, scope, sequence
-from threadloom.plans.views import DENSE, GATE, LOCAL, ORDER, attachments, chat_exports, device_groups, media_files, oracle
+from threadloom.functions.names import DATED_SOURCE, file_date
+from threadloom.operators import evidence, gate, guards, matching, names, scope, sequence
+from threadloom.plans.views import DENSE, GATE, LOCAL, MESSAGE_SQL, ORDER, attachments, chat_exports, device_groups, media_files, message_attachments, messages, oracle
+from threadloom.sources import inventory, workspace
 from threadloom.sources.chats import parse_messages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -215,3 +217,177 @@ _add("source_overlap", lambda s, d: gate.source_overlap(media_files(s, d), devic
 # The chat parser, over conversations written as exports.
 _add("parsed_messages", lambda s, d: parse_messages(chat_exports(s, d)).select("doc", "sequence_number", "message_type", "sender", "content", "is_placeholder"))
 ORACLE_SQL["parsed_messages"] = "SELECT conv_id AS doc, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS sequence_number, 'User' AS message_type, role AS sender, said AS content, said = '<Media omitted>' AS is_placeholder FROM (SELECT *, CASE WHEN (conv_id + turn) % 7 = 0 THEN '<Media omitted>' ELSE text END AS said FROM conversations) WHERE conv_id IS NOT NULL AND role IS NOT NULL AND text IS NOT NULL"
+
+# Reports over the gate's pairs.
+_SIZES = (("1", "<= 1"), ("2", "= 2"), ("3-5", "BETWEEN 3 AND 5"), ("6-10", "BETWEEN 6 AND 10"), ("11-25", "BETWEEN 11 AND 25"), (">25", "> 25"))
+_COUNTED = "count(n) AS population, coalesce(min(n), 0) AS least, coalesce(quantile_disc(n, 0.5), 0) AS lower_median, coalesce(max(n), 0) AS most, " + ", ".join(f'count(*) FILTER (n {t}) AS "band {b}"' for b, t in _SIZES)
+_SIGNS = "count(*) FILTER ({0} < 0) AS negative, count(*) FILTER ({0} = 0) AS zero, count(*) FILTER ({0} > 0) AS positive, "
+_STEPS = ((None, 1), (1, 2), (2, 5), (5, 10), (10, 25), (25, None))
+_DIFFERENCES = "count(n) AS population, min(n) AS least, quantile_disc(n, 0.5) AS lower_median, max(n) AS most, " + _SIGNS.format("n") + ", ".join(f"count(*) FILTER ({f'abs(n) > {a}' if a else 'true'} AND {f'abs(n) <= {b}' if b else 'true'}) AS \"size {f'<={b}' if b else '>25'}\"" for a, b in _STEPS)
+_gate("degenerate_kinds", gate.degenerate_kinds, " SELECT scope, " + ", ".join(f"count(*) FILTER ({k}) AS {k}" for k in gate.DEGENERATE) + f", count(*) FILTER ({' OR '.join(gate.DEGENERATE)}) AS degenerate, CAST(coalesce(sum(symbols) FILTER ({' OR '.join(gate.DEGENERATE)}), 0) AS BIGINT) AS message_symbols FROM measured GROUP BY 1")
+_gate("dilution", gate.dilution, f", d AS (SELECT scope, 'message_symbols' AS measure, symbols AS n FROM measured WHERE NOT no_tokens UNION ALL SELECT scope, 'token_positions', t_out + t_in FROM measured WHERE NOT no_tokens) SELECT scope, measure, {_COUNTED} FROM d GROUP BY 1, 2")
+_gate("conversation_share", gate.conversation_share, ", d AS (SELECT scope, symbols AS x, t_out + t_in AS y, CAST(symbols * 1000000000000 // (t_out + t_in) AS DOUBLE) / 1e12 AS n FROM measured WHERE NOT no_tokens), b AS (SELECT *, CASE WHEN x = 0 THEN '0' WHEN 20 * x <= y THEN '<=0.05' WHEN 4 * x <= y THEN '<=0.25' WHEN 2 * x <= y THEN '<=0.5' WHEN 20 * x <= 19 * y THEN '<=0.95' WHEN x < y THEN '<1' WHEN x = y THEN '1' ELSE '>1' END AS band FROM d)"
+      + " SELECT scope, count(n) AS population, min(n) AS least, quantile_disc(n, 0.5) AS lower_median, max(n) AS most, " + _SIGNS.format("x") + ", ".join(f"count(*) FILTER (band = '{b}') AS \"size {b}\"" for b in ("<=0.05", "<=0.25", "<=0.5", "<=0.95", "<1", "1", ">1")) + " FROM b GROUP BY 1")
+_gate("shortfalls", gate.shortfalls, " SELECT scope, count(*) AS pairs, " + ", ".join(f"CAST(sum(greatest(0, {w} - {h})) AS BIGINT) AS {n}" for n, h, w in (("outgoing_before", "sent_copies", "m_out"), ("incoming_before", "not_sent_copies", "m_in"), ("outgoing_after", "t_out", "m_out"), ("incoming_after", "t_in", "m_in")))
+      + ", count(*) FILTER (supply_copies AND NOT supply_positions) AS become_insufficient, count(*) FILTER (NOT supply_copies AND supply_positions) AS become_sufficient, CAST(coalesce(sum(symbols) FILTER (supply_copies AND NOT supply_positions), 0) AS BIGINT) AS symbols_lost FROM measured GROUP BY 1")
+_gate("shortfall_differences", gate.shortfall_differences, f", d AS (SELECT scope, t_out + t_in - symbols AS n FROM measured) SELECT scope, {_DIFFERENCES} FROM d GROUP BY 1")
+_add("message_population", lambda s, d: gate.message_population(gate.message_patterns(_sent_by_someone(s, d, GATE), LOCAL)), _SIDES + ", r AS (SELECT pattern, CAST(len(regexp_extract_all(pattern, 'O+|I+')) AS BIGINT) AS runs FROM msg), v AS (SELECT 'length' AS measure, CAST(length(pattern) AS VARCHAR) AS value FROM r UNION ALL SELECT 'runs', CAST(runs AS VARCHAR) FROM r UNION ALL SELECT 'transitions', CAST(runs - 1 AS VARCHAR) FROM r"
+     " UNION ALL SELECT 'directions', CASE WHEN NOT contains(pattern, 'I') THEN 'OutgoingOnly' WHEN NOT contains(pattern, 'O') THEN 'IncomingOnly' ELSE 'Both' END FROM r) SELECT measure, value, count(*) AS dates FROM v GROUP BY 1, 2", GATE)
+_add("determinacy", lambda s, d: gate.determinacy(gate.reference_counts(_pairs(s, d))))
+_gate("burstiness_summary", lambda p: gate.burstiness_summary(gate.reference_counts(p)), f", d AS (SELECT scope, token_runs - (1 + 2 * t_out * t_in / (t_out + t_in)) AS n FROM pairs WHERE state = 'Classified') SELECT scope, {_DIFFERENCES} FROM d GROUP BY 1")
+_SOURCE_POPULATIONS = _POS + """, n AS (SELECT file_date, token, count(*) AS sources FROM labels WHERE scope = 'SourceDate' GROUP BY 1, 2),
+ l AS (SELECT scope_key AS source_id, count(*) AS positions, count(*) FILTER (label IN ('O', 'I')) AS labelled, count(*) FILTER (label = 'Unlabelled') AS unlabelled, count(*) FILTER (label = 'Conflict') AS conflicting, count(*) FILTER (sources > 1) AS shared FROM labels JOIN n USING (file_date, token) WHERE scope = 'SourceDate' GROUP BY 1),
+ h AS (SELECT source_id, count(*) AS with_token, count(is_sent) AS with_direction, count(DISTINCT file_date) AS dates, min(file_date) AS first_date, max(file_date) AS last_date FROM t GROUP BY 1),
+ sp AS (SELECT f.source_id, files, dated, group_id, coalesce(with_token, 0) AS with_token, coalesce(with_direction, 0) AS with_direction, coalesce(dates, 0) AS dates, first_date, last_date, coalesce(positions, 0) AS positions, coalesce(labelled, 0) AS labelled, coalesce(unlabelled, 0) AS unlabelled, coalesce(conflicting, 0) AS conflicting, coalesce(shared, 0) AS shared
+  FROM (SELECT source_id, count(*) AS files, count(file_date) AS dated FROM files GROUP BY 1) f LEFT JOIN device_groups USING (source_id) LEFT JOIN h USING (source_id) LEFT JOIN l USING (source_id))"""
+_add("source_populations", lambda s, d: gate.source_populations(media_files(s, d), device_groups(s)), _SOURCE_POPULATIONS + " SELECT * FROM sp")
+_add("group_populations", lambda s, d: gate.group_populations(media_files(s, d), device_groups(s)), _SOURCE_POPULATIONS + """, fa AS (SELECT group_id, count(*) AS sources, count(*) FILTER (with_direction = 0) AS blind_sources, CAST(sum(files) AS BIGINT) AS files, CAST(sum(with_token) AS BIGINT) AS with_token, CAST(sum(with_direction) AS BIGINT) AS with_direction, CAST(coalesce(sum(with_token) FILTER (with_direction = 0), 0) AS BIGINT) AS blind_files FROM sp GROUP BY 1),
+ pg AS (SELECT t.group_id, t.file_date, token, coalesce(bool_or(is_sent), false) AS o, coalesce(bool_or(NOT is_sent), false) AS i, bool_and(sp.with_direction = 0) AS blind FROM t JOIN sp USING (source_id) GROUP BY 1, 2, 3),
+ lg AS (SELECT group_id, count(DISTINCT file_date) AS dates, count(*) AS positions, count(*) FILTER (o <> i) AS labelled, count(*) FILTER (NOT o AND NOT i) AS unlabelled, count(*) FILTER (o AND i) AS conflicting, count(*) FILTER (blind) AS blind_only FROM pg GROUP BY 1)
+ SELECT * FROM fa JOIN lg USING (group_id)""")
+_add("cross_source_overlap", lambda s, d: gate.cross_source_overlap(media_files(s, d), device_groups(s)), _T + """, per AS (SELECT file_date, token, source_id, group_id, coalesce(bool_or(is_sent), false) AS o, coalesce(bool_or(NOT is_sent), false) AS i FROM t GROUP BY 1, 2, 3, 4),
+ pa AS (SELECT count(*) AS n, count(*) FILTER (o OR i) AS known, count(*) FILTER (o AND i) AS inside, count(*) FILTER (o AND NOT i) AS outs, count(*) FILTER (i AND NOT o) AS ins, count(DISTINCT group_id) FILTER (o OR i) AS groups FROM per GROUP BY file_date, token),
+ k AS (SELECT *, n > 1 AND (inside > 0 OR (outs > 0 AND ins > 0)) AS clash FROM pa)
+ SELECT count(*) AS positions, count(*) FILTER (n > 1) AS shared, count(*) FILTER (n = 1) AS single_source, count(*) FILTER (n > 1 AND NOT clash AND known > 1) AS agreeing, count(*) FILTER (clash) AS conflicting, count(*) FILTER (n > 1 AND NOT clash AND known = 1) AS one_side_known,
+  count(*) FILTER (n > 1 AND known = 0) AS none_known, count(*) FILTER (clash AND (inside > 0 OR groups = 1)) AS conflicts_within_group, count(*) FILTER (clash AND inside = 0 AND groups > 1) AS conflicts_across_groups FROM k""")
+
+# Reports over assignment groups.
+_over = lambda op, body, dates=GATE: _add(op.__name__, lambda s, d: op(_assigned(s, d, dates)), _assign() + body, dates)
+_HALVES = ", nh AS (SELECT direction AS side, * EXCLUDE (direction) FROM narrowed UNION ALL SELECT NULL, * EXCLUDE (direction) FROM narrowed)"
+_add("narrowing_summary", lambda s, d: sequence.narrowing_summary(sequence.sliding_unions(_assigned(s, d))), _assign() + _HALVES + """ SELECT side AS direction, count(*) FILTER (narrowing = 'NoReduction') AS "NoReduction", count(*) FILTER (narrowing = 'Unique') AS "Unique", count(*) FILTER (narrowing = 'Reduced') AS "Reduced", count(*) FILTER (narrowing = 'NoReduction' AND assets = 1) AS already_unique,
+ CAST(sum(assets) AS BIGINT) AS baseline_relations, CAST(sum(possible_assets) AS BIGINT) AS sequence_relations, count(*) FILTER (heavy) AS range_holds_heavy FROM nh GROUP BY 1""", GATE)
+_over(sequence.assignment_bands, f", v AS (SELECT side, 'assets' AS measure, assets AS n FROM halves UNION ALL SELECT side, 'positions', positions FROM halves UNION ALL SELECT side, 'occurrences', (SELECT count(*) FROM pos WHERE pos.message_date = halves.message_date AND pos.direction = halves.direction) FROM halves) SELECT side AS direction, measure, {_band('n', 'candidates')} AS band, count(*) AS groups FROM v GROUP BY 1, 2, 3")
+_over(sequence.feasibility, " SELECT side AS direction, state, count(*) AS groups, CAST(sum(messages) AS BIGINT) AS messages, CAST(sum(messages * assets) AS BIGINT) AS relations FROM halves GROUP BY 1, 2")
+_over(sequence.slack_bands, ", v AS (SELECT side, messages, positions - messages AS n FROM halves) SELECT side AS direction, CASE WHEN n < 0 THEN '<0' WHEN n <= 2 THEN CAST(n AS VARCHAR) WHEN n <= 5 THEN '3-5' WHEN n <= 10 THEN '6-10' WHEN n <= 25 THEN '11-25' ELSE '>25' END AS band, count(*) AS groups, CAST(sum(messages) AS BIGINT) AS messages FROM v GROUP BY 1, 2")
+_over(sequence.shortfall_bands, ", v AS (SELECT side, messages - positions AS n FROM halves WHERE state = 'TooFewPositions') SELECT side AS direction, CASE WHEN n <= 5 THEN '1-5' WHEN n <= 10 THEN '6-10' WHEN n <= 25 THEN '11-25' ELSE '>25' END AS band, count(*) AS groups FROM v GROUP BY 1, 2", ORDER)
+_over(sequence.multiplicity, """, per AS (SELECT direction AS side, message_date, direction, asset_id, count(*) AS n FROM pos GROUP BY ALL UNION ALL SELECT NULL, message_date, direction, asset_id, count(*) FROM pos GROUP BY message_date, direction, asset_id),
+ hv AS (SELECT direction AS side, message_date, direction, count(DISTINCT token) AS n FROM pos WHERE seated > 1 GROUP BY ALL UNION ALL SELECT NULL, message_date, direction, count(DISTINCT token) FROM pos WHERE seated > 1 GROUP BY message_date, direction),
+ hs AS (SELECT side, CAST(sum(n) AS BIGINT) AS heavy_positions, count(*) AS groups_with_heavy FROM hv GROUP BY 1)
+ SELECT p.side AS direction, count(*) FILTER (n = 1) AS assets_at_one, count(*) FILTER (n > 1) AS assets_at_several, max(n) AS most_positions, coalesce(any_value(heavy_positions), 0) AS heavy_positions, coalesce(any_value(groups_with_heavy), 0) AS groups_with_heavy FROM per p LEFT JOIN hs ON p.side IS NOT DISTINCT FROM hs.side GROUP BY 1""")
+_add("forced_assignments", lambda s, d: sequence.forced_assignments(_assigned(s, d, ORDER)), _assign() + """, f AS (SELECT side, messages, (SELECT count(DISTINCT token) FROM pos WHERE pos.message_date = halves.message_date AND pos.direction = halves.direction AND seated > 1) AS several, positions FROM halves WHERE slack = 0)
+ SELECT side AS direction, count(*) AS groups, CAST(sum(messages) AS BIGINT) AS messages, CAST(sum(positions - several) AS BIGINT) AS one_asset, CAST(sum(several) AS BIGINT) AS several_assets FROM f GROUP BY 1""", ORDER)
+_add("agreeing_loss", lambda s, d: sequence.agreeing_loss(_assigned(s, d), _assigned(s, d, GATE, True)), _assign() + """, ag AS (SELECT pos.message_date, pos.direction, pos.asset_id, pos.token FROM pos JOIN tokens t ON t.asset_id = pos.asset_id AND t.file_date = pos.message_date AND t.token = pos.token AND (pos.direction = 'Outgoing') = is_sent GROUP BY ALL),
+ x AS (SELECT *, (SELECT count(DISTINCT asset_id) FROM pos WHERE pos.message_date = a.message_date AND pos.direction = a.direction) AS seated, (SELECT count(DISTINCT asset_id) FROM ag WHERE ag.message_date = a.message_date AND ag.direction = a.direction) AS seated_left,
+  (SELECT count(DISTINCT token) FROM ag WHERE ag.message_date = a.message_date AND ag.direction = a.direction) AS positions_left FROM a)
+ SELECT direction, CAST(sum(positions - positions_left) AS BIGINT) AS positions_removed, CAST(sum(seated - seated_left) AS BIGINT) AS assets_losing_all, CAST(sum(messages * assets) AS BIGINT) AS frozen_relations, CAST(sum(messages * seated_left) AS BIGINT) AS agreeing_relations FROM x GROUP BY 1""", GATE)
+_add("excluded_attachments", lambda s, d: sequence.excluded_attachments(attachments(s, d), media_files(s, d)), _EV + " SELECT count(*) AS attachments, count(DISTINCT message_date) AS dates FROM attachments WHERE message_date NOT IN (SELECT file_date FROM ev)")
+
+# Further scope and name reports.
+_tokens(scope.observed_minima, _GROUPS + f" SELECT level, {_band('tokens', 'counts')} AS band, least, count(*) AS groups FROM g GROUP BY 1, 2, 3")
+_add("scope_populations", lambda s, d: scope.group_populations(scope.token_rows(media_files(s, d), device_groups(s))), _GROUPS + ", x AS (SELECT level, CAST(NULL AS BIGINT) AS part, * EXCLUDE (level) FROM g UNION ALL SELECT level, CASE level WHEN 'SourceDate' THEN source_id ELSE group_id END, * EXCLUDE (level) FROM g WHERE level <> 'Date'), v AS (" + " UNION ALL ".join(f"SELECT level, part, '{m}' AS measure, {m} AS n FROM x" for m in ("files", "assets", "tokens", "names")) + f") SELECT level, part, measure, {_COUNTED} FROM v GROUP BY 1, 2, 3")
+_tokens(scope.joint_tables, _GROUPS + """, c AS (SELECT level, tokens, 'MaximumToken' AS "by", CASE WHEN greatest <= 0 THEN '0000' WHEN greatest <= 2 THEN '0001-0002' WHEN greatest <= 5 THEN '0003-0005' WHEN greatest <= 10 THEN '0006-0010' WHEN greatest <= 25 THEN '0011-0025' WHEN greatest <= 50 THEN '0026-0050' WHEN greatest <= 100 THEN '0051-0100' ELSE '0101+' END AS "column" FROM g
+ UNION ALL SELECT level, tokens, 'InternalGapCount', CASE WHEN missing_inside <= 2 THEN CAST(missing_inside AS VARCHAR) WHEN missing_inside <= 5 THEN '3-5' WHEN missing_inside <= 10 THEN '6-10' ELSE '>10' END FROM g UNION ALL SELECT level, tokens, 'MaximumPlusOneEqualsDistinctCount', CASE WHEN greatest + 1 = tokens THEN 'MaximumPlusOneEqualsDistinctCount' ELSE 'Otherwise' END FROM g"""
+        + f" UNION ALL SELECT level, tokens, 'DistinctMediaAssetCount', {_band('assets', 'counts')} FROM g UNION ALL SELECT level, tokens, 'PhysicalFileCount', {_band('files', 'counts')} FROM g) SELECT level, \"by\", {_band('tokens', 'counts')} AS \"row\", \"column\", count(*) AS groups FROM c WHERE level <> 'Date' GROUP BY ALL")
+_tokens(scope.token_locality, _T + """, d AS (SELECT asset_id FROM t GROUP BY 1 HAVING count(DISTINCT token) > 1), s AS (SELECT DISTINCT asset_id FROM t GROUP BY asset_id, file_date, group_id, source_id HAVING count(DISTINCT token) > 1), g AS (SELECT DISTINCT asset_id FROM t GROUP BY asset_id, file_date, group_id HAVING count(DISTINCT token) > 1), e AS (SELECT DISTINCT asset_id FROM t GROUP BY asset_id, file_date HAVING count(DISTINCT token) > 1),
+ p AS (SELECT CASE WHEN asset_id IN (FROM s) THEN 's' WHEN asset_id IN (FROM g) THEN 'g' WHEN asset_id IN (FROM e) THEN 'e' ELSE 'x' END AS p FROM d) SELECT count(*) AS assets, count(*) FILTER (p = 's') AS within_source_and_date, count(*) FILTER (p = 'g') AS within_group_and_date, count(*) FILTER (p = 'e') AS across_groups, count(*) FILTER (p = 'x') AS across_dates FROM p""")
+_tokens(scope.token_curve_by_group, _T + " SELECT token, group_id, count(*) AS files, count(DISTINCT file_date) AS dates FROM t GROUP BY 1, 2")
+# files under other endings, so that some are unknown
+_renamed = lambda s, d: media_files(s, d).withColumn("ext", F.when(F.col("file_id") % 5 == 0, ".xyz").when(F.col("file_id") % 7 == 0, ".abc").when(F.col("file_id") % 11 != 0, F.col("ext")))
+_RENAMED = ", x AS (SELECT CASE WHEN file_id % 5 = 0 THEN '.xyz' WHEN file_id % 7 = 0 THEN '.abc' WHEN file_id % 11 <> 0 THEN ext END AS e, * FROM files)"
+_add("unknown_extensions", lambda s, d: names.unknown_extensions(_renamed(s, d)), _RENAMED + " SELECT coalesce(e, '<none>') AS ext, count(*) AS files FROM x WHERE e IS NULL OR e IN ('.xyz', '.abc') GROUP BY 1")
+_add("name_problems", lambda s, d: names.name_problems(_renamed(s, d).withColumnRenamed("ext", "recorded_ext").join(media_files(s, d).select("file_id", "ext"), "file_id").withColumn("file_date", F.coalesce("file_date", F.when(F.col("file_id") % 3 == 0, F.lit("2024-01-01").cast("date")))), device_groups(s).where("source_id <> 3")),
+     _RENAMED + " SELECT count(*) FILTER (e IS NULL) AS without_extension, count(*) FILTER (e IS DISTINCT FROM ext) AS extension_mismatch, count(*) FILTER (file_date IS NULL AND file_id % 3 = 0) AS dated_without_marker, count(*) FILTER (source_id = 3) AS unrecorded_source FROM x")
+
+
+# The workspace: what an import makes of the exports, unresolved attachments, contents and directions of files.
+def _oracle_with(views: str, body: str) -> str:
+    return f"WITH {views}{body}"
+
+
+_IMPORT = "parsed AS (SELECT conv_id AS doc, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS sequence_number, role AS sender, CASE WHEN (conv_id + turn) % 7 = 0 THEN '<Media omitted>' ELSE text END AS content FROM conversations WHERE conv_id IS NOT NULL AND role IS NOT NULL AND text IS NOT NULL), people AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY min(sequence_number)) AS participant_id, sender AS name FROM parsed GROUP BY doc, sender)"
+_parsed = lambda s, d: parse_messages(chat_exports(s, d))
+QUERIES["imported_participants"] = lambda s, d: workspace.participants(_parsed(s, d))
+ORACLE_SQL["imported_participants"] = _oracle_with(_IMPORT, " SELECT * FROM people")
+QUERIES["imported_messages"] = lambda s, d: workspace.imported_messages(m := _parsed(s, d), workspace.participants(m))
+ORACLE_SQL["imported_messages"] = _oracle_with(_IMPORT, " SELECT doc, sequence_number, 'User' AS message_type, participant_id, content FROM parsed JOIN people USING (doc) WHERE name = sender")
+QUERIES["imported_attachments"] = lambda s, d: workspace.placeholder_attachments(_parsed(s, d))
+ORACLE_SQL["imported_attachments"] = _oracle_with(_IMPORT, " SELECT doc, sequence_number, 1 AS ordinal, 'Unresolved' AS status FROM parsed WHERE content = '<Media omitted>'")
+_add("unresolved_scope", lambda s, d: matching.unresolved_scope(message_attachments(s, d), messages(s, d), media_files(s, d), 1), f", {MESSAGE_SQL}, u AS (SELECT * FROM linked JOIN messages USING (message_id) WHERE status = 'Unresolved'), media AS (SELECT DISTINCT file_date FROM files WHERE file_date IS NOT NULL AND size > 0)"
+     " SELECT count(*) FILTER (conversation_id = 1) AS in_conversation, count(*) AS in_workspace, count(*) FILTER (conversation_id <> 1) AS elsewhere, count(*) FILTER (conversation_id = 1 AND sender_id IS NULL) AS without_sender, count(DISTINCT message_date) FILTER (conversation_id = 1) AS attachment_dates, (SELECT count(DISTINCT message_date) FROM messages WHERE conversation_id = 1) AS conversation_dates, count(*) FILTER (conversation_id = 1 AND message_date NOT IN (SELECT file_date FROM media)) AS on_dates_without_media FROM u")
+QUERIES["multi_attachments"] = lambda s, d: gate.multi_attachments(message_attachments(s, d))
+ORACLE_SQL["multi_attachments"] = _oracle_with(MESSAGE_SQL, ", c AS (SELECT count(*) AS n FROM linked GROUP BY message_id) SELECT count(*) AS messages, count(*) FILTER (n > 1) AS with_several, coalesce(max(n), 0) AS most FROM c")
+_hashed = lambda s, d: media_files(s, d).select("file_id", "source_id", F.col("name").alias("path"), F.when(F.col("file_id") % 9 != 0, F.concat(F.when(F.col("file_id") % 2 == 0, "ab").otherwise("AB"), F.col("asset_id").cast("string"))).alias("sha256"), (F.col("size") + F.when(F.col("file_id") % 31 == 0, 1).otherwise(0)).alias("size"), "media_type")
+_add("content_assets", lambda s, d: evidence.content_assets(_hashed(s, d)), """, h AS (SELECT file_id, source_id, name, 'AB' || asset_id AS sha256, size + CASE WHEN file_id % 31 = 0 THEN 1 ELSE 0 END AS size, media_type FROM files WHERE file_id % 9 <> 0),
+ f AS (SELECT sha256, first(file_id ORDER BY source_id, name, file_id) AS asset_file_id, first(size ORDER BY source_id, name, file_id) AS asset_size, first(media_type ORDER BY source_id, name, file_id) AS asset_media_type FROM h GROUP BY 1)
+ SELECT file_id, sha256, asset_file_id, CAST(asset_size AS BIGINT) AS asset_size, asset_media_type, CASE WHEN size <> asset_size THEN 'SizeMismatch' WHEN media_type <> asset_media_type THEN 'TypeConflict' ELSE 'Linked' END AS state FROM h JOIN f USING (sha256)""")
+_placed = lambda s, d: media_files(s, d).select("file_id", "source_id", "name", "media_type", F.concat(F.lit("Media/"), F.when((F.col("source_id") != 4) & (F.col("file_id") % 3 == 0), "SENT/").when(F.col("file_id") % 3 == 1, "Sent items/").otherwise(""), "name").alias("path"))
+_add("directed_files", lambda s, d: inventory.with_direction(_placed(s, d)).groupBy("source_id", "is_sent").agg(F.count("*").alias("files")), ", p AS (SELECT source_id, source_id <> 4 AND file_id % 3 = 0 AS s FROM files), k AS (SELECT source_id, bool_or(s) AS known FROM p GROUP BY 1) SELECT source_id, CASE WHEN known THEN s END AS is_sent, count(*) AS files FROM p JOIN k USING (source_id) GROUP BY 1, 2")
+_add("dates_from_names", lambda s, d: media_files(s, d).groupBy(file_date(F.when(F.col("source_id") != 2, DATED_SOURCE).otherwise("Other"), F.col("name")).alias("file_date")).agg(F.count("*").alias("files")), " SELECT CASE WHEN source_id <> 2 THEN file_date END AS file_date, count(*) AS files FROM files GROUP BY 1")
+
+
+# The guards, over views as they are and over views with planted faults.
+def _guards(s: SparkSession, d: str, faults: bool) -> DataFrame:
+    def at(test: str):
+        return F.expr(test) if faults else F.lit(False)
+
+    f = media_files(s, d).withColumn("sha256", F.when(~at("file_id % 101 = 0"), F.concat(F.when(F.col("file_id") % 2 == 0, "ab").otherwise("AB"), F.col("asset_id").cast("string"), F.when(at("file_id % 103 = 0"), "x").otherwise(""))))
+    links = f.where(~at("file_id % 127 = 0")).select("file_id", "asset_id")
+    links = links.union(links.where(at("file_id % 131 = 0")).select("file_id", F.col("asset_id") + 1))
+    assets = f.select("asset_id").distinct().where(~at("asset_id % 137 = 0")).select("asset_id", F.concat(F.lit("AB"), F.col("asset_id").cast("string")).alias("sha256"))
+    name = F.when(at("file_id % 113 = 0"), "x.jpg").otherwise(F.col("name"))
+    day = F.when(~at("file_id % 109 = 0"), F.when(at("file_id % 107 = 0"), F.date_add("file_date", 1)).otherwise(F.col("file_date")))
+    dated = f.select("file_id", "source_id", name.alias("name"), day.alias("file_date"))
+    written = f.select("file_id", F.when(at("file_id % 139 = 0"), "2024-1-05").when(at("file_id % 149 = 0"), "2024-02-30").otherwise(F.col("file_date").cast("string")).alias("day"))
+    groups = device_groups(s)
+    if faults:
+        groups = groups.where("source_id <> 4").union(s.createDataFrame([(1, 502), (9, 509)], "source_id long, group_id long"))
+    m = messages(s, d)
+    asked = s.createDataFrame([(1, 1), (2, 2), *([(1, 7), (5, 1)] if faults else [])], "conversation_id long, local_id long")
+    a, people = attachments(s, d).where("sender_id is not null" if not faults else "true"), m.where("sender_id is not null").select("conversation_id", F.col("sender_id").alias("participant_id")).distinct()
+    order_attachments, order_files = attachments(s, d, ORDER), media_files(s, d, ORDER)
+    cohort = sequence.cohort_groups(order_attachments, order_files, LOCAL)
+    cohort = cohort.withColumn("last_asset_id", F.col("last_asset_id") + F.when(at("asset_id % 5 = 0"), 1).otherwise(0)).withColumn("direction", F.when(at("asset_id % 7 = 0"), F.when(F.col("direction") == "Outgoing", "Incoming").otherwise("Outgoing")).otherwise(F.col("direction")))
+    linked = message_attachments(s, d)
+    rows = scope.token_rows(media_files(s, d), device_groups(s))
+    declared = f.groupBy("source_id").agg(F.count("*").alias("files")).join(rows.groupBy("source_id").agg(F.count("*").alias("tokens")), "source_id").withColumn("tokens", F.col("tokens") + F.when(at("source_id = 2"), 1).otherwise(0)).where(~at("source_id = 3"))
+    parsed = _parsed(s, d).select("doc", "sequence_number", F.when(at("doc % 11 = 0"), "System").otherwise(F.col("message_type")).alias("message_type"), "sender")
+    requests = parsed.select("doc").distinct().select("doc", F.lit("Export").alias("source_type"), F.lit("me").alias("display_name"), F.when(at("doc % 7 = 0"), "a/chat.txt").otherwise("chat.txt").alias("file_name"), F.when(at("doc % 5 = 0"), " ").otherwise("Chat").alias("title"), F.lit("UTC").alias("time_zone"))
+    roots = s.createDataFrame([(1, "/a/b"), (2, "/a" if faults else "/e"), (3, "/c/"), (4, "/c\\d" if faults else "/cd")] + ([(5, "/z")] if faults else []), "source_id long, root string")
+    keyed = m.union(m.where(at("message_id % 17 = 0")))
+    tables = {"message": keyed, "attachment": linked.withColumn("ordinal", F.when(at("message_id % 23 = 0"), 0).otherwise(F.col("ordinal"))), "kept": m.where(~at("message_id % 19 = 0"))}
+    constraints = guards.constraint_guards(tables, {"message": [["message_id"]]}, [("attachment", "message_id", "kept", "message_id")], {"attachment": {"ordinal below 1": "ordinal >= 1"}})
+    return guards.together(
+        guards.media_guards(f, links, assets), guards.date_guards(dated, device_groups(s)), guards.ill_formed(written, "day", guards.DATE_FORMAT, "file_id", "file_date_ill_formed"), guards.ill_formed(m, "message_time", guards.TIME_FORMAT, "message_id", "message_time_ill_formed"),
+        guards.conversation_guards(asked, m, people), guards.group_guards(f, groups), guards.reconciliation_guards(f, rows, scope.token_locality(rows)), guards.monotone_guards(rows),
+        guards.cohort_guards(order_attachments.union(order_attachments.where(at("attachment_id % 13 = 0"))), cohort, order_files), guards.gate_guards(a, f, rows, declared), guards.import_guards(requests, parsed), guards.root_guards(roots, f), constraints,
+    )
+
+
+QUERIES["guard_counts"] = lambda s, d: guards.counts(_guards(s, d, True))
+QUERIES["guard_counts_on_sound_views"] = lambda s, d: guards.counts(_guards(s, d, False))
+ORACLE_SQL["guard_counts_on_sound_views"] = "SELECT 'none' AS guard, count(*) AS violations FROM events WHERE false GROUP BY 1"
+_FAULTS = {
+    "unhashed_file": "FROM files WHERE file_id % 101 = 0",
+    "hashed_file_without_asset": "FROM (SELECT * FROM files LEFT JOIN lk USING (file_id)) WHERE file_id % 101 <> 0 AND (linked_to IS NULL OR linked_to NOT IN (SELECT asset_id FROM kept_assets))",
+    "hash_differs_from_asset": "FROM files JOIN lk USING (file_id) JOIN kept_assets k ON k.asset_id = linked_to WHERE file_id % 101 <> 0 AND (file_id % 103 = 0 OR files.asset_id <> linked_to)",
+    "several_assets_of_a_file": "FROM files WHERE file_id % 131 = 0 AND file_id % 127 <> 0",
+    "dated_file_without_marker": "FROM files WHERE file_date IS NOT NULL AND file_id % 109 <> 0 AND file_id % 113 = 0",
+    "marker_differs_from_date": "FROM files WHERE file_date IS NOT NULL AND file_id % 109 <> 0 AND file_id % 113 <> 0 AND file_id % 107 = 0",
+    "undated_file_with_marker": "FROM files WHERE file_date IS NOT NULL AND file_id % 109 = 0 AND file_id % 113 <> 0",
+    "file_date_ill_formed": "FROM files WHERE file_id % 139 = 0 OR file_id % 149 = 0",
+    "no_such_conversation": "FROM (VALUES (5)) v(c) WHERE c NOT IN (SELECT conversation_id FROM messages)",
+    "local_participant_of_another_conversation": "FROM (VALUES (1, 1), (2, 2), (1, 7), (5, 1)) v(c, p) WHERE NOT EXISTS (SELECT 1 FROM messages WHERE conversation_id = c AND sender_id = p)",
+    "source_mapped_twice": "FROM (SELECT 1)",
+    "source_not_mapped": "FROM (SELECT DISTINCT source_id FROM files WHERE source_id NOT IN (1, 2, 3))",
+    "unknown_source_mapped": "FROM (VALUES (1), (2), (3), (9)) v(s) WHERE s NOT IN (SELECT source_id FROM files)",
+    "attachment_without_sender": "FROM attachments WHERE sender_id IS NULL",
+    "declared_counts_differ": "FROM (SELECT DISTINCT source_id FROM files WHERE source_id IN (2, 3))",
+    "blank_field": "FROM (SELECT DISTINCT doc FROM parsed) WHERE doc % 5 = 0",
+    "file_name_with_folder": "FROM (SELECT DISTINCT doc FROM parsed) WHERE doc % 7 = 0",
+    "sender_against_type": "FROM parsed WHERE doc % 11 = 0",
+    "roots_overlap": "FROM (SELECT unnest([1, 2, 3, 4]))",
+    "source_without_files": "FROM (VALUES (1), (2), (3), (4), (5)) v(s) WHERE s NOT IN (SELECT source_id FROM files)",
+    "message: message_id repeated": "FROM messages WHERE message_id % 17 = 0",
+    "attachment: no such message_id": "FROM linked WHERE message_id % 19 = 0",
+    "attachment: ordinal below 1": "FROM linked WHERE message_id % 23 = 0",
+}
+_ORDER_FAULTS = {
+    "sequence_number_repeated": "FROM attachments WHERE attachment_id % 13 = 0",
+    "several_assets_of_a_group": "FROM cohort WHERE asset_id % 5 = 0",
+    "asset_of_both_directions": "FROM (SELECT message_date, asset_id FROM cohort GROUP BY 1, 2 HAVING count(*) > 1)",
+    "copy_of_the_other_direction": "FROM cohort WHERE asset_id % 7 = 0",
+}
+_union = lambda faults: " UNION ALL ".join(f"SELECT '{k}' AS guard, count(*) AS violations {v}" for k, v in faults.items())
+ORACLE_SQL["guard_counts"] = (
+    "SELECT * FROM (" + oracle(f", {MESSAGE_SQL}, {_IMPORT}, lk AS (SELECT file_id, asset_id AS linked_to FROM files WHERE file_id % 127 <> 0 UNION ALL SELECT file_id, asset_id + 1 FROM files WHERE file_id % 127 <> 0 AND file_id % 131 = 0), kept_assets AS (SELECT DISTINCT asset_id FROM files WHERE asset_id % 137 <> 0) " + _union(_FAULTS)) + " UNION ALL (" + oracle(_COHORT + " " + _union(_ORDER_FAULTS), ORDER) + ")) WHERE violations > 0"
+)
