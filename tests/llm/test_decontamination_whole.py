@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+import time
 from itertools import combinations
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -49,7 +51,9 @@ def test_short_masks_tolerate_all_substitutions(n):
         assert any(all(x == "0" for i, x in enumerate(m) if i in gone) for m in decontaminate.short_masks(n)), gone
 
 
-def test_short_items(spark):
+@pytest.mark.parametrize("sent", [8_000_000, 0])
+def test_short_items(spark, monkeypatch, sent):
+    monkeypatch.setattr(decontaminate, "BENCHMARK_BYTES", sent)
     items, docs = [], []
     for n in range(5, 13):
         words = [f"i{n}w{k}" for k in range(n)]
@@ -67,6 +71,27 @@ def test_op2(spark, small):
     assert want and {(r["doc_id"], r["item_id"]) for r in queries.op2_spaced_seed_decontamination(spark, small).collect()} == want
 
 
+def test_a_large_benchmark_is_joined(spark, small, monkeypatch):
+    """The join gives the very rows that sending the benchmark gives, for texts of equal words as well."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet(f"{small}/benchmark.parquet")
+    docs = docs.union(spark.createDataFrame([(-1, "a b " * 300), (-2, "same " * 900), (-3, None), (None, "same " * 40)], docs.schema))
+    docs = docs.union(docs.where("doc_id = -2"))
+    bench = bench.select("item_id", "text").union(spark.createDataFrame([(-1, "same " * 60), (-2, "b a " * 30), (-3, None), (-4, "")], "item_id long, text string"))
+    want = sorted(tuple(r) for r in decontaminate.find_contamination(docs, bench).collect())
+    monkeypatch.setattr(decontaminate, "BENCHMARK_BYTES", 0)
+    assert want and sorted(tuple(r) for r in decontaminate.find_contamination(docs, bench).collect()) == want
+    assert decontaminate.find_contamination(docs, bench.where("false")).count() == 0
+
+
+def test_equal_words_cost_no_pairs(spark):
+    docs = pa.array(["same " * 20_000])
+    known = decontaminate.index([1], ["same " * 400])
+    began = time.process_time()
+    found = decontaminate._matches([7], decontaminate.tokens(docs), known)
+    assert found == [(7, 1, 400, 400, 1.0, 0, 400)] and time.process_time() - began < 10
+
+
 def test_pipeline_stage(spark, small):
     docs = table(small, "documents", "doc_id")
     gone = {d for d, _ in contaminated(docs, table(small, "benchmark", "item_id"))}

@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.storage import materialize
 from threadloom.llm.text import cache_for, mix, pieces, words
 
 #: With any two substitutions in 13 tokens, one of these still has all its positions clean somewhere. Shorter items have ``short_masks``.
@@ -25,8 +26,14 @@ MASKS = ("111100011", "1000101111", "11110101")
 LEAST_TOKENS, LEAST_SHARE = 13, 0.8
 #: Items with fewer tokens are too short to tell from chance and match nothing.
 SHORTEST_ITEM = 5
-#: Text of the items that are sent to all tasks at once, in bytes; a larger benchmark goes in several blocks.
+#: Text of the items that are sent to all tasks, in bytes; a larger benchmark is joined on its seeds.
 BENCHMARK_BYTES = 8_000_000
+#: Bits of the seeds' hashes by which tasks leave out, before that join, what no item has: 8 MB.
+FILTER_BITS = 26
+#: Hits that are paired up at once.
+HITS_AT_ONCE = 2_000_000
+#: Contaminated doc_ids up to that many are sent to all tasks.
+SENT_IDS = 500_000
 
 _U = np.uint64
 _MULTIPLIERS = mix(np.arange(1, 65, dtype=np.uint64), 30) | _U(1)
@@ -67,7 +74,7 @@ class Index(NamedTuple):
     ids: np.ndarray
     hash: np.ndarray
     begin: np.ndarray  # of each item among the tokens; one more for the end
-    seeds: dict[str, tuple[np.ndarray, np.ndarray]]  # mask -> hashes in order, first token
+    seeds: dict[str, tuple[np.ndarray, ...]]  # mask -> hashes in order, first token, whether the seed before is equal, those where not
     filter: dict[str, np.ndarray]  # mask -> by the top 20 bits of a hash, whether a seed has them
 
 
@@ -81,27 +88,44 @@ def index(ids: list[int], texts: list[str | None]) -> Index:
         h, at = _seeds(w.hash, w.doc, mask)
         size = count[w.doc[at]]
         use = size >= LEAST_TOKENS if mask in MASKS else size == len(mask)
+        again = _repeated(h[use], at[use])
         order = np.argsort(h[use], kind="stable")
-        seeds[mask] = h[use][order], at[use][order]
+        seeds[mask] = h[use][order], at[use][order], again[order], np.flatnonzero(~again[order])
     tables = {}
-    for mask, (h, _) in seeds.items():
+    for mask, (h, *_) in seeds.items():
         tables[mask] = np.zeros(1 << 20, bool)
         tables[mask][(h >> _U(44)).astype(np.int64)] = True
     return Index(np.array(ids, np.int64), w.hash, begin, seeds, tables)
 
 
-def _alignments(hashes: np.ndarray, doc: np.ndarray, known: Index) -> tuple[np.ndarray, np.ndarray]:
-    """(token of the text, token of the item) of every hit."""
-    left, right = [], []
-    for mask, (sorted_, first) in known.seeds.items():
+def _repeated(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which seeds have the hash of the one that begins a token earlier."""
+    out = np.zeros(len(h), bool)
+    out[1:] = (h[1:] == h[:-1]) & (at[1:] == at[:-1] + 1)
+    return out
+
+
+def _alignments(hashes: np.ndarray, doc: np.ndarray, known: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, item, token of the document less token of the item) of every alignment with a hit, once each.
+
+    Where both seeds of a hit repeat the ones before them, those are a hit of the same alignment. Leaving such hits out,
+    a stretch of equal words costs as many hits as it has words, not that many times the item's.
+    """
+    found = np.zeros((3, 0), np.int64)
+    for mask, (sorted_, first, repeats, fresh) in known.seeds.items():
         h, at = _seeds(hashes, doc, mask)
+        again = _repeated(h, at)
         maybe = known.filter[mask][(h >> _U(44)).astype(np.int64)]
-        h, at = h[maybe], at[maybe]
-        low, high = np.searchsorted(sorted_, h, "left"), np.searchsorted(sorted_, h, "right")
-        n = high - low
-        left.append(np.repeat(at, n))
-        right.append(first[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())])
-    return np.concatenate(left), np.concatenate(right)
+        for use, hash_, token in ((maybe & ~again, sorted_, first), (maybe & again, sorted_[fresh], first[fresh])):
+            low, high = np.searchsorted(hash_, h[use], "left"), np.searchsorted(hash_, h[use], "right")
+            n, own = high - low, at[use]
+            for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n) // HITS_AT_ONCE)) + 1):
+                many = n[part]
+                left = np.repeat(own[part], many)
+                right = token[np.repeat(low[part] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+                item = np.searchsorted(known.begin, right, "right") - 1
+                found = np.unique(np.concatenate([found, np.stack([doc[left], item, left - right])], 1), axis=1) if len(left) else found
+    return tuple(found)
 
 
 def _passage(equal: np.ndarray, least: int) -> tuple[int, int] | None:
@@ -118,28 +142,27 @@ def _passage(equal: np.ndarray, least: int) -> tuple[int, int] | None:
     return begin, int(ends[begin])
 
 
-def _matches(ids: list[int], w, known: Index) -> list[tuple]:
-    left, right = _alignments(w.hash, w.doc, known)
-    if not len(left):
-        return []
-    item = np.searchsorted(known.begin, right, "right") - 1
-    # one row for each document, item and alignment
-    _, once = np.unique(np.stack([w.doc[left], item, left - right]), axis=1, return_index=True)
-    doc_begin = np.searchsorted(w.doc, np.arange(len(ids) + 1))
+def _best(equal_of, alignments, ids: list[int], item_ids: np.ndarray, doc_begin: np.ndarray, begin: np.ndarray) -> list[tuple]:
+    """The best passage of each document and item, over their alignments."""
     best: dict[tuple[int, int], tuple] = {}
-    for k in once:
-        d, i, shift = int(w.doc[left[k]]), int(item[k]), int(left[k] - right[k])
-        a, b = int(known.begin[i]), int(known.begin[i + 1])
+    for d, i, shift in alignments:
+        a, b = int(begin[i]), int(begin[i + 1])
+        size = b - a
         a, b = max(a, int(doc_begin[d]) - shift), min(b, int(doc_begin[d + 1]) - shift)
-        size = int(known.begin[i + 1] - known.begin[i])
-        equal = w.hash[a + shift : b + shift] == known.hash[a:b]
+        equal = equal_of(a, b, shift)
         found = _passage(equal, min(LEAST_TOKENS, size))
         if found:
             start, end = found
             n = int(equal[start:end].sum())
-            row = (n, end - start, -(a + shift + start - int(doc_begin[d])), size)
+            row = (n, -(end - start), -(a + shift + start - int(doc_begin[d])), size)
             best[d, i] = max(best.get((d, i), row), row)
-    return [(ids[d], int(known.ids[i]), n, m, n / m, -at, size) for (d, i), (n, m, at, size) in best.items()]
+    return [(ids[d], int(item_ids[i]), n, -m, n / -m, -at, size) for (d, i), (n, m, at, size) in best.items()]
+
+
+def _matches(ids: list[int], w, known: Index) -> list[tuple]:
+    found = _alignments(w.hash, w.doc, known)
+    doc_begin = np.searchsorted(w.doc, np.arange(len(ids) + 1))
+    return _best(lambda a, b, shift: w.hash[a + shift : b + shift] == known.hash[a:b], zip(*(x.tolist() for x in found), strict=True), ids, known.ids, doc_begin, known.begin)
 
 
 _FOUND = "doc_id long, item_id long, n_equal long, n_tokens long, share double, start_token long, item_tokens long"
@@ -151,35 +174,97 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``docs`` (doc_id, text) and ``benchmark`` (item_id, text). Tokens are runs of letters and digits in lower case. A
     passage is ``LEAST_TOKENS`` tokens or the whole item, if shorter, of which ``LEAST_SHARE`` are equal at the same
     distance; ``start_token``, ``n_tokens`` and ``n_equal`` tell where it is and how alike. Among passages the one with
-    most equal tokens counts, then the shorter, then the first. Null and empty texts, rows without an id and items
+    most equal tokens counts, then the shorter, then the first. Texts of one item_id are items of their own. Null and empty texts, rows without an id and items
     with fewer than ``SHORTEST_ITEM`` tokens match nothing. Repeated rows of documents give repeated rows.
     """
     spark = docs.sparkSession
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-2 * size // BENCHMARK_BYTES)) if size > BENCHMARK_BYTES else 1
-    parts = []
-    for block in range(n_blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).orderBy("item_id", "text").collect()
-        known = spark.sparkContext.broadcast(index([r["item_id"] for r in rows], [r["text"] for r in rows]))
-
-        def search(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
-            cache_for("decontamination")
-            for batch in batches:
-                for piece in pieces(batch, "text"):
-                    found = _matches(piece["doc_id"].to_pylist(), tokens(piece["text"]), known.value)
-                    columns = list(zip(*found, strict=True)) or [()] * 7
-                    kinds = [pa.int64()] * 4 + [pa.float64()] + [pa.int64()] * 2
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _FOUND.split(", ")])
-
-        parts.append(texts.mapInArrow(search, _FOUND))
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.union(more)
-    return out
+    if size > BENCHMARK_BYTES:
+        return _found_by_join(texts, items)
+    rows = items.orderBy("item_id", "text").collect()
+    known = spark.sparkContext.broadcast(index([r["item_id"] for r in rows], [r["text"] for r in rows]))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache_for("decontamination")
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                yield _batch(_matches(piece["doc_id"].to_pylist(), tokens(piece["text"]), known.value), _FOUND)
+
+    return texts.mapInArrow(search, _FOUND)
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, types[k]) for c, k in zip(columns, kinds, strict=True)], list(names))
+
+
+def _found_by_join(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """What ``find_contamination`` returns, for a benchmark of any size: hits by a join on the seeds' hashes, then each
+    document and item that meet joined with their texts and compared along the alignments that were hit."""
+    spark = texts.sparkSession
+    items = items.withColumn("item", F.xxhash64("item_id", "text"))
+    texts = texts.withColumn("doc", F.xxhash64("doc_id", "text"))
+    lengths = list(range(SHORTEST_ITEM, LEAST_TOKENS))
+    every = [*MASKS, *dict.fromkeys(m for n in lengths for m in short_masks(n))]
+
+    def item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                w = tokens(piece["text"])
+                count, begin = np.bincount(w.doc, minlength=piece.num_rows), np.searchsorted(w.doc, np.arange(piece.num_rows))
+                for mask in every:
+                    h, at = _seeds(w.hash, w.doc, mask)
+                    size = count[w.doc[at]]
+                    use = size >= LEAST_TOKENS if mask in MASKS else size == len(mask)
+                    h, at = h[use], at[use]
+                    yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), piece["item"].take(pa.array(w.doc[at])), pa.array(at - begin[w.doc[at]]), pa.array(_repeated(h, at))], ["hash", "item", "item_at", "item_again"])
+
+    seeds = materialize(items.select("item", "text").mapInArrow(item_seeds, "hash long, item long, item_at long, item_again boolean"), "seeds")
+    top = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
+    words_ = seeds.select(F.shiftright(top, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - FILTER_BITS}) & 63 as int))").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    there = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for r in words_.toLocalIterator():  # at most 2 ** 20 rows
+        there[r["word"]] = r["bits"]
+    sent = spark.sparkContext.broadcast(there)
+
+    def doc_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache_for("decontamination")
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                w = tokens(piece["text"])
+                begin = np.searchsorted(w.doc, np.arange(piece.num_rows))
+                for mask in every:
+                    h, at = _seeds(w.hash, w.doc, mask)
+                    again = _repeated(h, at)
+                    bit = (h >> _U(64 - FILTER_BITS)).astype(np.int64)
+                    use = sent.value[bit >> 6] >> (bit & 63) & 1 == 1
+                    h, at, again = h[use], at[use], again[use]
+                    yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), piece["doc"].take(pa.array(w.doc[at])), pa.array(at - begin[w.doc[at]]), pa.array(again)], ["hash", "doc", "doc_at", "doc_again"])
+
+    hits = texts.select("doc", "text").distinct().mapInArrow(doc_seeds, "hash long, doc long, doc_at long, doc_again boolean").join(seeds, "hash").where("not (doc_again and item_again)")
+    shifts = hits.select("doc", "item", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
+    # as many alignments as two texts have tokens, at most
+    pairs = materialize(shifts.groupBy("doc", "item").agg(F.sort_array(F.collect_list("shift")).alias("shifts")), "alignments")
+    met = pairs.join(texts, "doc").join(items.select("item", "item_id", F.col("text").alias("item_text")), "item").select("doc_id", "item_id", "text", "item_text", "shifts")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache_for("decontamination")
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1)
+                d, i = tokens(r["text"]), tokens(r["item_text"])
+                ends = np.array([0, len(d.hash)]), np.array([0, len(i.hash)])
+                yield _batch(_best(lambda a, b, shift: d.hash[a + shift : b + shift] == i.hash[a:b], [(0, 0, x) for x in r["shifts"][0].as_py()], r["doc_id"].to_pylist(), r["item_id"].to_numpy(), *ends), _FOUND)
+
+    return met.mapInArrow(compare, _FOUND)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a passage of ``benchmark``; rows without a doc_id stay."""
-    return docs.join(find_contamination(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    found = materialize(find_contamination(docs, benchmark).select("doc_id").distinct(), "contaminated")
+    gone = F.broadcast(found) if found.count() <= SENT_IDS else found
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
