@@ -3,10 +3,14 @@
 Only the histogram of piece lengths matters for a packing, and it has as many entries as a sequence has tokens, no
 matter how many documents there are. A configuration is a multiset of lengths that fits into one sequence. The
 program "cover every length as often as it occurs with as few configurations as possible" is solved by
-multiplicative weights: each length has a weight, the best configuration for the weights is priced by a knapsack
-dynamic program, and the weights of the lengths that it covers fall. Rounding down leaves a bounded rest of lengths,
-which is packed best fit. The resulting plan is small; the pieces find their places in it by their rank among the
-pieces of their length, which Spark counts.
+multiplicative weights. A sweep covers the demand once: the weight of a length falls exponentially with the share of it
+that is covered, a knapsack dynamic program over all lengths prices the configurations of most weight, and those near
+the best are taken. Between sweeps the prices themselves, which the weights start from, are multiplied up for lengths
+that took more room than they pay for. Prices over the value of their best configuration are a solution of the dual
+program, so each sweep gives a lower bound on the number of sequences, and the sweeps end where that is close enough.
+
+Rounding down leaves a rest of lengths, which is packed best fit. The resulting plan is small; the pieces find their
+places in it by their rank among the pieces of their length, which Spark counts.
 """
 
 from __future__ import annotations
@@ -27,10 +31,12 @@ from threadloom.llm.tokens import PieceEncoder
 
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, END_ID = 2048, 0
-#: Rounds of the multiplicative weights at most; each uses up a length, so all are covered by then as a rule.
-ROUNDS = 3000
-#: Lengths of up to half a sequence that one round looks at.
-PRICED = 300
+#: Sweeps at most, and the gap between sequences and bound at which they end.
+SWEEPS, GAP = 4, 0.001
+#: How steeply a weight falls with the share of its length that is covered, and how strongly prices are corrected.
+STEP, CORRECTION = 0.5, 1.0
+#: Configurations of that share of the best one's weight count as best.
+NEAR = 0.97
 #: Pieces that one task ranks at once.
 RANK_ROWS = 500_000
 
@@ -47,70 +53,104 @@ class Plan(NamedTuple):
     offset: np.ndarray
 
 
-def _priced(value: np.ndarray, lengths: np.ndarray, bound: np.ndarray, capacity: int) -> np.ndarray:
-    """How often each length is in a most valuable configuration (bounded knapsack, by powers of two).
+class Packing(NamedTuple):
+    """A plan, its number of sequences, and the number below which no packing can be."""
 
-    At most one piece is longer than half a sequence, so the program runs over the others and all long ones are
-    tried at once on its result. Of the others, ``PRICED`` are looked at: those with
-    most value for their length, and the 100 shortest, which fill what room is left.
-    """
-    use = np.flatnonzero((bound > 0) & (value > 0) & (lengths <= capacity))
-    long_ = use[2 * lengths[use] > capacity]
-    short = use[2 * lengths[use] <= capacity]
-    if len(short) > PRICED:
-        dense = np.argsort(-value[short] / lengths[short], kind="stable")[: PRICED - 100]
-        short = short[np.union1d(dense, np.arange(100))]
-    kinds, times = [], []
-    for i in short:
-        n, k = min(int(bound[i]), capacity // int(lengths[i])), 1
-        while n > 0:
-            kinds.append(i)
-            times.append(min(k, n))
-            n -= min(k, n)
-            k *= 2
-    best = np.zeros(capacity + 1)
-    took = np.zeros((len(kinds), capacity + 1), bool)
-    for row, (i, k) in enumerate(zip(kinds, times, strict=True)):
-        size = int(lengths[i]) * k
-        if size > capacity:
-            continue
-        more = best[: capacity + 1 - size] + value[i] * k
-        better = more > best[size:] + 1e-15
-        took[row, size:] = better
-        np.copyto(best[size:], more, where=better)
-    out, room = np.zeros(len(lengths), np.int64), capacity
-    if len(long_):
-        total = value[long_] + best[capacity - lengths[long_]]
-        if total.max() > best[capacity]:
-            out[long_[np.argmax(total)]] = 1
-            room -= int(lengths[long_[np.argmax(total)]])
-    for row in range(len(kinds) - 1, -1, -1):
-        if took[row, room]:
-            out[kinds[row]] += times[row]
-            room -= int(lengths[kinds[row]]) * times[row]
-    return out
-
-
-def fractional_configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[np.ndarray, float]]:
-    """(configuration, amount): a nearly optimal cover of ``counts``, by multiplicative weights.
-
-    A length's weight starts as its share of a sequence, a little more for long ones, which find a place less
-    easily. Each round takes the configuration of most weight as often as its scarcest length allows; then the
-    weight of each length is multiplied up if it is behind the others in cover, and down if it is ahead.
+    plan: Plan
+    sequences: int
+    bound: float
+
+
+#: A configuration: indices of lengths, ascending, and how often it has each.
+Configuration = tuple[np.ndarray, np.ndarray]
+
+
+def knapsack(value: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every room up to ``capacity``: the most value of any multiset of ``lengths`` (ascending) that fits, and the
+    last length of one that has it (-1: it is that of the room one less)."""
+    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    fit = np.searchsorted(lengths, np.arange(capacity + 1), "right").tolist()
+    for room in range(1, capacity + 1):
+        best[room] = best[room - 1]
+        if k := fit[room]:
+            total = value[:k] + best[room - lengths[:k]]
+            top = int(total.argmax())
+            if total[top] > best[room]:
+                best[room], last[room] = total[top], top
+    return best, last
+
+
+def priced(value: np.ndarray, lengths: np.ndarray, capacity: int, near: float = NEAR) -> tuple[float, list[tuple[float, Configuration]]]:
+    """The weight of the best configuration, and for each length the best one that has it, if near that; best first."""
+    best, last = knapsack(value, lengths, capacity)
+    total = value + best[capacity - lengths]
+    starts = np.flatnonzero(total >= near * best[capacity])
+    starts = starts[np.argsort(-total[starts], kind="stable")]
+    room, own = capacity - lengths[starts], np.arange(len(starts))
+    taken = [own * len(lengths) + starts]
+    while len(own):
+        # down to the room at which the last length was added
+        down = last[room] < 0
+        room[down] -= 1
+        use = ~down & (room > 0)
+        taken.append(own[use] * len(lengths) + last[room[use]])
+        room[use] -= lengths[last[room[use]]]
+        live = room > 0
+        own, room = own[live], room[live]
+    cells, n = np.unique(np.concatenate(taken), return_counts=True)
+    ends = np.searchsorted(cells, np.arange(len(starts) + 1) * len(lengths))
+    return float(best[capacity]), [(float(total[s]), (cells[a:b] % len(lengths), n[a:b])) for s, a, b in zip(starts, ends, ends[1:])]
+
+
+def sweep(price: np.ndarray, lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[tuple[Configuration, float]], float]:
+    """(configuration, amount) that cover ``counts`` once, and the dual bound of ``price``.
+
+    A step takes a configuration as often as its scarcest length allows, whole times where that is once at least.
     """
-    start = lengths / capacity * (1 + 0.1 * lengths / capacity)
-    weight, left = start, counts.astype(float)
     chosen: dict[bytes, list] = {}
-    for _ in range(rounds):
-        c = _priced(np.where(left > 1e-9, weight, 0), lengths, np.ceil(left).astype(np.int64), capacity)
-        if not c.any():
+    left, bound = counts.astype(float), 0.0
+    while (use := np.flatnonzero(left > 1e-9)).size:
+        weight = price[use] * np.exp(-STEP * (1 - left[use] / counts[use]))
+        value, found = priced(weight, lengths[use], capacity)
+        if not bound:
+            bound = float(counts @ price) / value  # nothing is covered yet: the weights are the prices
+        stepped = False
+        for k, (_, (i, n)) in enumerate(found):
+            at = use[i]
+            amount = (left[at] / n).min()
+            amount = float(np.floor(amount + 1e-9)) if amount >= 1 or stepped or k + 1 < len(found) else float(amount)
+            if amount <= 0 or (price[at] * np.exp(-STEP * (1 - left[at] / counts[at]))) @ n < NEAR * value:
+                continue
+            # not so often that a length falls far behind in weight within one pricing
+            amount = min(amount, max(1.0, float(np.floor((counts[at] / n).min() * (1 - NEAR) / STEP))))
+            left[at] -= amount * n
+            chosen.setdefault(at.tobytes() + n.tobytes(), [(at, n), 0.0])[1] += amount
+            stepped = True
+        if not stepped:  # less than one of every configuration is left: the best fractions
+            i, n = found[0][1]
+            amount = float((left[use[i]] / n).min())
+            left[use[i]] -= amount * n
+            chosen.setdefault(use[i].tobytes() + n.tobytes(), [(use[i], n), 0.0])[1] += amount
+    return [(c, x) for c, x in chosen.values()], bound
+
+
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[Configuration, float]], float]:
+    """(configuration, amount) of the sweep with least configurations in all, and the best dual bound of all sweeps."""
+    price = lengths / capacity
+    best, fewest, bound = [], np.inf, 0.0
+    for _ in range(SWEEPS):
+        cover, below = sweep(price, lengths, counts, capacity)
+        bound, total = max(bound, below), sum(x for _, x in cover)
+        if total < fewest:
+            best, fewest = cover, total
+        if fewest <= (1 + GAP) * bound:
             break
-        amount = float((left[c > 0] / c[c > 0]).min())
-        chosen.setdefault(c.tobytes(), [c, 0.0])[1] += amount
-        left = np.maximum(0.0, left - c * amount)
-        behind = left / counts
-        weight = start * np.exp(0.05 * (behind - behind.mean()))
-    return [(c, x) for c, x in chosen.values()]
+        # a configuration's room, shared among its lengths by price, over what the lengths pay
+        took = np.zeros(len(lengths))
+        for (i, n), x in cover:
+            took[i] += x * price[i] * n / (price[i] @ n)
+        price = price * (took / (counts * price)) ** CORRECTION
+    return best, bound
 
 
 def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[np.ndarray, int]]:
@@ -140,28 +180,31 @@ def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY)
     return [x for group in groups.values() for x in group]
 
 
-def make_plan(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> tuple[Plan, int]:
-    """The plan for a histogram of lengths up to ``capacity``, and its number of sequences."""
-    made: list[tuple[np.ndarray, int]] = []
-    left = counts.astype(np.int64).copy()
+def make_plan(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> Packing:
+    """The plan for a histogram of lengths up to ``capacity``, ascending."""
+    made: list[tuple[Configuration, int]] = []
+    left, bound = counts.astype(np.int64).copy(), 0.0
     if len(lengths):
-        for c, amount in fractional_configurations(lengths, counts, capacity):
-            times = min(int(amount + 1e-9), int((left[c > 0] // c[c > 0]).min()))
+        cover, bound = solve(lengths, counts, capacity)
+        for (i, n), amount in cover:
+            times = min(int(amount + 1e-9), int((left[i] // n).min()))
             if times:
-                made.append((c, times))
-                left -= c * times
-        made += best_fit(lengths, left, capacity)
+                made.append(((i, n), times))
+                left[i] -= n * times
+        rest = np.flatnonzero(left)
+        for c, times in best_fit(lengths[rest], left[rest], capacity):
+            i = np.flatnonzero(c)
+            made.append(((rest[i], c[i]), times))
     rows, sequence, used = [], 0, np.zeros(len(lengths), np.int64)
-    for c, times in made:
+    for (i, n), times in made:
         offset = 0
-        for i in np.flatnonzero(c):
-            rows.append((lengths[i], used[i], sequence, times, c[i], offset))
-            used[i] += c[i] * times
-            offset += int(c[i] * lengths[i])
+        for k, each in zip(i.tolist(), n.tolist(), strict=True):
+            rows.append((lengths[k], used[k], sequence, times, each, offset))
+            used[k] += each * times
+            offset += each * int(lengths[k])
         sequence += times
     rows.sort()
-    columns = np.array(rows, np.int64).reshape(-1, 6).T
-    return Plan(*columns), sequence
+    return Packing(Plan(*np.array(rows, np.int64).reshape(-1, 6).T), sequence, bound)
 
 
 def _cut_pieces(capacity: int):
@@ -198,7 +241,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rows = materialize(rows.drop("sequence_id", "offset").withColumn("_u", F.rand(5)), "pieces")
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # `capacity` rows at most
     lengths = np.array(sorted(counts), np.int64)
-    plan, _ = make_plan(lengths, np.array([counts[n] for n in lengths.tolist()], np.int64), capacity)
+    plan, _, _ = make_plan(lengths, np.array([counts[n] for n in lengths.tolist()], np.int64), capacity)
     # Ranks: a length may hold a third of all rows, so it is ranked in blocks.
     many = {n: ceil(c / RANK_ROWS) for n, c in counts.items() if c > RANK_ROWS}
     blocks = F.coalesce(F.create_map(*[F.lit(x) for kv in many.items() for x in kv])[F.col("length")], F.lit(1)) if many else F.lit(1)
