@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.storage import materialize
+from threadloom.llm.storage import drop_tables, materialize
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -31,6 +31,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        before = mark
-        now = materialize(_stars(_stars(now, large=True), large=False), "edges")
+            own = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+            found = materialize(now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(own), "components")
+            drop_tables(now)
+            return found
+        before, last = mark, now
+        now = materialize(_stars(_stars(last, large=True), large=False), "edges")
+        drop_tables(last)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.components import connected_components
-from threadloom.llm.storage import materialize
+from threadloom.llm.storage import drop_tables, materialize
 from threadloom.llm.text import cache_for, distinct, mix, pieces, shingle_sets, shingles, words
 
 SHINGLE_WORDS = 5
@@ -221,7 +221,9 @@ def _cross_links(buckets: DataFrame, sketch: DataFrame, docs: DataFrame, roots:
     met = met.select("band", "hash", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "root", "block", "bands", "signature")
     key = ["band", "hash", "i", "j"]
     hopeful = materialize(met.groupBy(*key).applyInArrow(_hopeful(least), _MET), "hopeful")
-    return hopeful.join(docs.select("doc_id", "text"), "doc_id").groupBy(*key).applyInArrow(_links(least), "a long, b long")
+    links = materialize(hopeful.join(docs.select("doc_id", "text"), "doc_id").groupBy(*key).applyInArrow(_links(least), "a long, b long"), "links")
+    drop_tables(hopeful)
+    return links
 
 
 def near_duplicate_links(docs: DataFrame, sketch: DataFrame, least: float) -> DataFrame:
@@ -239,11 +241,14 @@ def near_duplicate_links(docs: DataFrame, sketch: DataFrame, least: float) -> Da
     hubs = weighed.groupBy("band", "hash").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("id"))).alias("top")).select("band", "hash", (-F.col("top.id")).alias("hub"))
     pairs = buckets.join(hubs, ["band", "hash"]).where("doc_id <> hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
     links = materialize(verified(pairs, docs, least), "links")
-    roots = materialize(connected_components(links), "roots")
-    more = materialize(_cross_links(buckets.select("doc_id", "band", "hash"), sketch, docs, roots, least), "links")
-    if more.isEmpty():
-        return roots
-    return materialize(connected_components(links.union(more)), "roots")
+    roots = connected_components(links)
+    more = _cross_links(buckets.select("doc_id", "band", "hash"), sketch, docs, roots, least)
+    drop_tables(buckets)
+    if not more.isEmpty():
+        drop_tables(roots)
+        roots = connected_components(links.union(more))
+    drop_tables(links, more)
+    return roots
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
@@ -265,7 +270,9 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     roots = near_duplicate_links(texts, leaders, least).withColumnRenamed("node", "class_id")
     named = classes.join(roots, "class_id", "left").select("mark", F.coalesce("root", "class_id").alias("component_id"))
     out = sketch.join(named, "mark", "left").withColumn("component_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = materialize(out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")), "groups")
+    drop_tables(sketch, leaders, roots)
+    return out
 
 
 def deduplicate(docs: DataFrame, least: float = 0.8) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.llm.storage import materialize
+from threadloom.llm.storage import free_shuffles, materialize
 from threadloom.llm.text import cache_for, mix, powers, prefix_hash, raw
 
 WINDOW = 50
@@ -40,32 +40,44 @@ BUCKET_DIGITS = 500_000
 HOT = 16
 
 _U = np.uint64
-_BLOCK = "block long, ids binary, ends binary, blob binary"
+_BLOCK = "block long, ids binary, ends binary, blob binary, carried binary"
 
 
-def _pack(block: int, ids: list[int], texts: list[bytes]) -> pa.RecordBatch:
+def _pack(block: int, ids: list[int], texts: list[bytes], carried: list[pa.Array]) -> pa.RecordBatch:
     ends = np.cumsum([len(t) for t in texts]).astype(np.int64)
     blob = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
-    return pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "ids": [np.array(ids, np.int64).tobytes()], "ends": [ends.tobytes()], "blob": pa.array([blob], pa.binary())})
+    return pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "ids": [np.array(ids, np.int64).tobytes()], "ends": [ends.tobytes()], "blob": pa.array([blob], pa.binary()), "carried": pa.array([_stream(pa.concat_arrays(carried))], pa.binary())})
+
+
+def _stream(rows: pa.Array) -> bytes:
+    """Rows as bytes: an Arrow stream of one column."""
+    out = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([rows], ["carried"])
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return out.getvalue().to_pybytes()
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of consecutive documents; equal doc_ids stay together."""
     ids: list[int] = []
     texts: list[bytes] = []
+    carried: list[pa.Array] = []
     held = n = 0
     part = None
     for batch in batches:
-        for p, i, t in zip(batch["part"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), strict=True):
+        begin = 0
+        for k, (p, i, t) in enumerate(zip(batch["part"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), strict=True)):
             part = p
             if held >= BLOCK_BYTES and i != ids[-1]:
-                yield _pack((part << 32) + n, ids, texts)
-                ids, texts, held, n = [], [], 0, n + 1
+                yield _pack((part << 32) + n, ids, texts, [*carried, batch["carried"].slice(begin, k - begin)])
+                ids, texts, carried, begin, held, n = [], [], [], k, 0, n + 1
             ids.append(i)
             texts.append(t or b"")
             held += len(texts[-1])
+        carried.append(batch["carried"].slice(begin))
     if ids:
-        yield _pack((part << 32) + n, ids, texts)
+        yield _pack((part << 32) + n, ids, texts, carried)
 
 
 class Block:
@@ -274,21 +286,23 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(i, 1).to_pylist()[0]
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, spans, kept): each document without the strings that a smaller doc_id also has.
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, spans, kept, carried): each document without the strings that a smaller doc_id also has.
 
     A byte of a text goes if any ``WINDOW`` bytes in a row that hold it also stand in a document with a smaller
     doc_id; strings are compared on the texts as given, never across documents. ``spans`` are the removed runs
-    (start, end in bytes); ``kept`` is what remains, as bytes, since a cut can fall inside a character. A null text
-    is empty; repeated rows of one doc_id don't remove from one another; a row without a doc_id neither loses nor
-    removes anything; an empty table stays empty.
+    (start, end in bytes); ``kept`` is what remains, as bytes, since a cut can fall inside a character. ``carried`` is
+    a struct of the columns named in ``carry``, and ``null_text``, so that nothing must be joined back to the result. A
+    null text is empty; repeated rows of one doc_id don't remove from one another; a row without a doc_id neither loses
+    nor removes anything; an empty table stays empty.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(F.col("text").isNull().alias("null_text"), *[F.col(f"`{c}`") for c in carry]).alias("carried"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges, n_buckets = max(1, ceil(total / RANGE_BYTES)), max(1, ceil(total / 16 / BUCKET_DIGITS))
     dealt = rows.where("doc_id is not null").repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id")
-    blocks = materialize(dealt.withColumn("part", F.spark_partition_id().cast("long")).select("part", "doc_id", "text").mapInArrow(_cut, _BLOCK), "blocks")
+    blocks = materialize(dealt.withColumn("part", F.spark_partition_id().cast("long")).select("part", "doc_id", "text", "carried").mapInArrow(_cut, _BLOCK), "blocks")
+    free_shuffles(spark)  # of the texts, which stand in the blocks now
 
     def first_passes(batches):
         for r in _rows(batches):
@@ -322,16 +336,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 spans.append([{"start": int(s), "end": int(e)} for s, e in zip(edge[::2], edge[1::2], strict=True)])
                 removed.append(int(g.sum()))
                 kept.append(b.data[b.at[i] : b.at[i + 1]][~g].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(b.at)), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+            rows_ = pa.ipc.open_stream(r["carried"]).read_all()["carried"].combine_chunks()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(b.at)), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()), rows_], ["doc_id", "n_bytes", "n_removed", "spans", "kept", "carried"])
 
     record = "bucket long, block long, first binary, second binary"
-    answers = _replies(blocks.mapInArrow(first_passes, record), np.uint64, True)
+    plain = blocks.drop("carried")
+    answers = _replies(plain.mapInArrow(first_passes, record), np.uint64, True)
     answers = materialize(answers.select("block", F.col("lengths").alias("lengths1"), F.col("bits").alias("bits1")), "answers")
-    informed = blocks.join(answers, "block", "left")
-    more = _replies(informed.mapInArrow(last_pass, record), np.uint32, False)
+    free_shuffles(spark)
+    more = _replies(plain.join(answers, "block", "left").mapInArrow(last_pass, record), np.uint32, False)
     more = materialize(more.select("block", F.col("lengths").alias("lengths2"), F.col("bits").alias("bits2")), "answers")
-    out = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
-    cleaned = informed.join(more, "block", "left").mapInArrow(finish, out)
+    free_shuffles(spark)
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    nameless = rows.where("doc_id is null").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast(spans).alias("spans"), F.coalesce("text", F.lit("")).cast("binary").alias("kept"))
+    out = T.StructType([T.StructField(n, k) for n, k in (("doc_id", T.LongType()), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("spans", spans), ("kept", T.BinaryType()), ("carried", rows.schema["carried"].dataType))])
+    cleaned = blocks.join(answers.join(more, "block", "left"), "block", "left").mapInArrow(finish, out)
+    nameless = rows.where("doc_id is null").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast(spans).alias("spans"), F.coalesce("text", F.lit("")).cast("binary").alias("kept"), "carried")
     return cleaned.union(nameless)
