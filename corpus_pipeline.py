@@ -36,11 +36,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut byte strings out of texts that a document with a smaller doc_id also has; drop texts of which nothing
     but white space is left. Bytes of a character that a cut has split go as well."""
-    out = remove_repeats(docs).where("n_removed > 0").select("doc_id", F.try_validate_utf8(F.col("kept").cast("string")).alias("_valid"), F.make_valid_utf8(F.col("kept").cast("string")).alias("_made"))
-    text = F.coalesce("_valid", F.replace("_made", F.lit("�"), F.lit("")))
-    cut = out.select("doc_id", text.alias("_text"))
-    joined = docs.join(cut, "doc_id", "left").withColumn("text", F.coalesce("_text", "text")).withColumn("n_chars", F.length("text").cast("long"))
-    return joined.where(F.col("_text").isNull() | ~F.col("_text").rlike(r"^\s*$")).select(*docs.columns)
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    out = remove_repeats(docs, others)
+    left = F.col("kept").cast("string")
+    cut = F.coalesce(F.try_validate_utf8(left), F.replace(F.make_valid_utf8(left), F.lit("\ufffd"), F.lit("")))
+    text = F.when(F.col("carried.null_text"), F.lit(None)).when(F.col("n_removed") == 0, left).otherwise(cut)
+    rows = out.select("doc_id", "n_removed", "carried", text.alias("_text")).where(F.col("_text").isNull() | (F.col("n_removed") == 0) | ~F.col("_text").rlike(r"^\s*$"))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("_text").cast("long"))
+    own = {"doc_id": F.col("doc_id"), "text": F.col("_text"), **{c: F.col(f"carried.`{c}`") for c in others}}
+    if "n_chars" in own:
+        own["n_chars"] = F.coalesce(n_chars, own["n_chars"].cast("long"))
+    return rows.select(*[own[c].alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
