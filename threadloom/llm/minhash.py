@@ -29,6 +29,9 @@ SLACK = 5.0
 #: Members of a bucket that are compared with one another at once.
 BLOCK = 512
 
+#: Classes with more copies than that, and than an equal share of all copies among ``MOST_SENT`` classes, are sent to all tasks.
+LEAST_MANY, MOST_SENT = 500, 100_000
+
 _U = np.uint64
 _LEVEL = 53
 
@@ -262,16 +265,26 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """
     sketch = materialize(sketches(docs), "sketches")
     full = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("mark").agg(F.min("doc_id").alias("class_id"))
-    leaders = full.join(classes, "mark").where("doc_id = class_id").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "bands", "signature")
+    # the first of each class by an aggregate, so that a class with very many copies is one row for each task that has some
+    first = full.groupBy("mark").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "signature")).alias("first"), F.count("*").alias("copies"))
+    first = materialize(first.select("mark", "copies", "first.*"), "classes")
+    classes = first.select("mark", "copies", F.col("doc_id").alias("class_id"))
+    leaders = first.dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "bands", "signature")
     leaders = materialize(leaders, "leaders")
     known = docs.where("doc_id is not null").select("doc_id", "text")
     texts = known.join(leaders.select("doc_id"), "doc_id", "left_semi")
-    roots = near_duplicate_links(texts, leaders, least).withColumnRenamed("node", "class_id")
-    named = classes.join(roots, "class_id", "left").select("mark", F.coalesce("root", "class_id").alias("component_id"))
-    out = sketch.join(named, "mark", "left").withColumn("component_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")))
-    out = materialize(out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")), "groups")
-    drop_tables(sketch, leaders, roots)
+    roots = near_duplicate_links(texts, leaders, least)
+    named = classes.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").select("mark", "copies", F.coalesce("root", "class_id").alias("component_id"))
+    # classes with very many copies are few, and are sent to their rows; the rest meet by their mark
+    many = max(LEAST_MANY, first.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0] // MOST_SENT)
+    large = F.broadcast(named.where(F.col("copies") > many).select("mark", "component_id"))
+    rows = full.select("doc_id", "n_shingles", "mark")
+    rest = rows.join(large.select("mark"), "mark", "left_anti").join(named.select("mark", "component_id"), "mark")
+    alone = sketch.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    columns = ["doc_id", "n_shingles", "component_id"]
+    out = rows.join(large, "mark").select(*columns).union(rest.select(*columns)).union(alone)
+    out = materialize(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "groups")
+    drop_tables(sketch, first, leaders, roots)
     return out
 
 
