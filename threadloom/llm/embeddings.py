@@ -4,6 +4,10 @@ Some vectors of the table are reference points (pivots). Each vector is describe
 order, and entered into the inverted list of each of them. Two vectors that lie close see the same pivots nearby, so
 those that share at least ``SHARED`` of them are retrieved from the lists and verified by their cosine in double
 precision. The index is fitted on a bounded sample, and every vector is in it.
+
+The pivots are bounded in number, so lists grow with the table. A list that is long is split by a second pivot: vectors
+that share two pivots meet under the two smallest that they share, so with n vectors and p pivots the lists that are
+compared have about n / p**2 of them, and p may stay as it is for tables a thousand times larger.
 """
 
 from __future__ import annotations
@@ -26,8 +30,10 @@ NEAREST, SHARED = 12, 2
 VECTORS_PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 12, 64, 16_384
 #: Of pivots that are more alike than that only one is used, so a large group of near copies doesn't use them up.
 PIVOT_COSINE = 0.9
-#: Vectors of a list that are compared with one another at once.
-BLOCK = 512
+#: Vectors of a list that are compared with one another at once, and those beyond which a list is split by a second pivot.
+BLOCK, LONG = 512, 2048
+#: Parts of lists with several blocks that are sent to all tasks; with more, they are joined by a shuffle.
+SENT_PARTS = 200_000
 
 
 def units(vectors: list[bytes], dim: int) -> np.ndarray:
@@ -71,12 +77,12 @@ def _describe(pivots, dim: int):
 def _compare(dim: int, least: float):
     """In two blocks of one pivot's list: links of each vector (a, null, n) and links that join components (a, b, null).
 
-    A pair is looked at in the list of the smallest pivot that it shares.
+    A pair is looked at in the list of the smallest pivot that it shares, and in a split list, of the two smallest.
     """
 
     def run(met: pa.Table) -> pa.Table:
         ids, copies, block = (met[c].to_numpy() for c in ("class_id", "copies", "block"))
-        pivot, i, j = (met[c][0].as_py() for c in ("pivot", "i", "j"))
+        pivot, second, i, j = (met[c][0].as_py() for c in ("pivot", "second", "i", "j"))
         v = units(met["raw"].to_pylist(), dim)
         described = np.array(met["pivots"].to_pylist(), np.int64)
         local, where = np.unique(described, return_inverse=True)
@@ -84,7 +90,7 @@ def _compare(dim: int, least: float):
         has[np.arange(len(ids))[:, None], where.reshape(described.shape)] = 1
         x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
         shared = has[x] @ has[y].T >= min(SHARED, described.shape[1])
-        before = has[:, local < pivot]
+        before = has[:, (local < second) & (local != pivot)] if second >= 0 else has[:, local < pivot]
         shared &= before[x] @ before[y].T == 0
         # verification in double precision of what the lists retrieve
         close = shared & (v[x] @ v[y].T >= least - 1e-12)
@@ -125,13 +131,18 @@ def _found(leaders: DataFrame, dim: int, least: float) -> DataFrame:
     pivots = spark.sparkContext.broadcast(choose_pivots(units([np.array(r["v"], np.float64).tobytes() for r in sample], dim)))
     described = leaders.select("class_id", "copies", "v").mapInArrow(_describe(pivots, dim), "class_id long, copies long, raw binary, pivots array<int>")
     described = materialize(described, "described")
-    lists = described.select(F.explode("pivots").alias("pivot")).groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    lists = described.select(F.explode("pivots").alias("pivot")).groupBy("pivot").agg(F.count("*").alias("n"))
+    split = (F.col("n") > LONG) & F.lit(len(pivots.value) >= SHARED)
     # a row for each pivot, so MOST_PIVOTS bounds the broadcast
     posted = described.withColumn("pivot", F.explode("pivots")).join(F.broadcast(lists), "pivot")
+    posted = posted.withColumn("second", F.explode(F.when(split, F.filter("pivots", lambda q: q > F.col("pivot"))).otherwise(F.array(F.lit(-1))))).drop("n")
+    parts = posted.groupBy("pivot", "second").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    parts = materialize(parts, "parts")
+    posted = posted.join(F.broadcast(parts) if parts.count() <= SENT_PARTS else parts, ["pivot", "second"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     posted = posted.withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
     posted = posted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = posted.select("pivot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "class_id", "copies", "raw", "pivots", "block")
-    return met.groupBy("pivot", "i", "j").applyInArrow(_compare(dim, least), "a long, b long, n long")
+    met = posted.select("pivot", "second", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "class_id", "copies", "raw", "pivots", "block")
+    return met.groupBy("pivot", "second", "i", "j").applyInArrow(_compare(dim, least), "a long, b long, n long")
 
 
 def near_duplicate_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
