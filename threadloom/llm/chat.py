@@ -3,33 +3,33 @@
 Logging systems often store a conversation again after each turn, so one conversation is there many times, each
 a prefix of the next. A rolling hash over turns names every prefix of every conversation; a conversation whose
 whole hash is the hash of a proper prefix elsewhere adds nothing and is removed by an anti-join.
+
+The hash of a prefix is its length with two 64-bit words, each the exclusive or of a hash of every turn with its place.
+A window rolls it on from turn to turn, so turns stay rows until the conversations that remain are rendered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TURN_START, TURN_END = "<|im_start|>", "<|im_end|>"
-
+from threadloom.llm.storage import materialize
 
-def _folded(turns: Column) -> Column:
-    """Rolling hashes of the turn prefixes: entry i covers turns 0..i. Lengths are hashed, so turns can't run together."""
+TURN_START, TURN_END = "<|im_start|>", "<|im_end|>"
 
-    def step(seen: Column, t: Column) -> Column:
-        role, text = F.coalesce(t["role"], F.lit("")), F.coalesce(t["text"], F.lit(""))
-        marks = F.concat_ws(",", t["role"].isNull().cast("string"), F.length(role).cast("string"), t["text"].isNull().cast("string"), F.length(text).cast("string"))
-        before = F.when(F.size(seen) > 0, F.element_at(seen, -1)).otherwise(F.lit(""))
-        return F.concat(seen, F.array(F.sha2(F.concat(before, F.lit("|"), marks, F.lit("|"), role, text), 256)))
 
-    return F.aggregate(turns, F.array().cast("array<string>"), step)
+def turns_with_prefixes(turns: DataFrame) -> DataFrame:
+    """(conv_id, place, role, text, h1, h2, last): turns in order from place 1, and the rolling hash after each."""
+    rows = turns.where("conv_id is not null").select("conv_id", "turn", "role", "text")
+    so_far = Window.partitionBy("conv_id").orderBy(*[F.asc_nulls_first(c) for c in ("turn", "role", "text")]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({"place": F.row_number().over(so_far), "n": F.count("*").over(Window.partitionBy("conv_id"))})
+    in_order = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
+    def mark(seed: int) -> Column:
+        known = [x for c in ("role", "text") for x in (F.col(c).isNull(), F.coalesce(c, F.lit("")))]
+        return F.bit_xor(F.xxhash64(F.lit(seed), "place", *known)).over(in_order)
 
-def conversations_with_prefixes(turns: DataFrame) -> DataFrame:
-    """(conv_id, turns, hashes): turns in order, and the rolling hash after each."""
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    grouped = turns.where("conv_id is not null").select("conv_id", "turn", "role", "text").groupBy("conv_id").agg(ordered.alias("turns"))
-    return grouped.withColumn("hashes", _folded(F.col("turns")))
+    return rows.select("conv_id", "place", "role", "text", mark(1).alias("h1"), mark(2).alias("h2"), (F.col("place") == F.col("n")).alias("last"))
 
 
 def collapse_snapshots(turns: DataFrame) -> DataFrame:
@@ -40,12 +40,13 @@ def collapse_snapshots(turns: DataFrame) -> DataFrame:
     repeated turns; rows without a conv_id belong to no conversation and are left out. Numbers of turns are not
     compared, only their order. Empty input: no rows. Other columns are ignored.
     """
-    all_ = conversations_with_prefixes(turns)
-    keyed = all_.select("conv_id", F.element_at("hashes", -1).alias("whole"))
-    first = keyed.groupBy("whole").agg(F.min("conv_id").alias("conv_id"))
-    prefixes = all_.select(F.explode(F.slice("hashes", 1, F.size("hashes") - 1)).alias("whole")).distinct()
-    maximal = first.join(prefixes, "whole", "left_anti").select("conv_id")
-    return all_.select("conv_id", "turns").join(maximal, "conv_id", "left_semi")
+    rows = materialize(turns_with_prefixes(turns), "turns")
+    key = ["place", "h1", "h2"]
+    first = rows.where("last").groupBy(*key).agg(F.min("conv_id").alias("conv_id"))
+    prefixes = rows.where("not last").select(*key).distinct()
+    maximal = first.join(prefixes, key, "left_anti").select("conv_id")
+    kept = rows.select("conv_id", F.struct("place", "role", "text").alias("turn")).join(maximal, "conv_id", "left_semi")
+    return kept.groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
 
 
 def render_chats(turns: DataFrame) -> DataFrame:
