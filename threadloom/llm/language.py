@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,8 +80,11 @@ def learn_profiles(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> dict[st
     u = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
     drawn = rows.join(F.broadcast(totals) if totals.count() <= 10_000 else totals, "lang").where(u * F.col("docs") < train_docs)
     counts = drawn.select("lang", "text").mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    best = counts.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct(-F.col("n"), "gram"))), 1, RANKS).alias("top"))
-    return {r["lang"]: np.array([x["gram"] for x in r["top"]], np.int64).astype(_U) for r in best.select("lang", "top").toLocalIterator()}
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    best: dict[str, list[int]] = {}
+    for r in counts.withColumn("rank", rank).where(F.col("rank") <= RANKS).select("lang", "gram").orderBy("lang", "rank").toLocalIterator():
+        best.setdefault(r["lang"], []).append(r["gram"])
+    return {lang: np.array(top, np.int64).astype(_U) for lang, top in best.items()}
 
 
 class Classifier:
