@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from brute import components, crc, near_duplicates, repeats, vector_links
@@ -156,6 +157,35 @@ def test_op4(spark, small):
     assert sum(n for n, _ in got.values()) >= 0.97 * sum(n for n, _ in want.values())
 
 
+def test_long_lists_are_split(spark, monkeypatch):
+    """With any length of lists and blocks, the links are those of the plain version."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(40, 16))
+    rows = [(i, (base[i % 40] + rng.normal(size=16) * rng.choice([0.05, 0.2, 0.6])).tolist()) for i in range(400)]
+    df, want = spark.createDataFrame(rows, "vec_id long, embedding array<double>"), vector_links(dict(rows), 0.9)
+    for long, block in ((2048, 512), (20, 8), (0, 3)):
+        monkeypatch.setattr(embeddings, "LONG", long)
+        monkeypatch.setattr(embeddings, "BLOCK", block)
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicate_vectors(df, 0.9).collect()}
+        assert sum(n for n, _ in want.values()) > 1000 and sum(got[i] == want[i] for i in want) >= 0.99 * len(want)
+
+
+@pytest.mark.parametrize("n", [5_000, 40_000])
+def test_recall_of_links_just_above_the_threshold(spark, n):
+    """Planted pairs at cosine 0.90 to 0.92 among unlike vectors, as in a table that big."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=(500, 64))
+    y -= (y * x[:500]).sum(1, keepdims=True) * x[:500]
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    c = rng.uniform(0.9001, 0.92, (500, 1))
+    near = c * x[:500] + np.sqrt(1 - c * c) * y
+    table = pa.table({"vec_id": np.arange(n + 500), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([x, near]).ravel()), 64).cast(pa.list_(pa.float64()))})
+    out = embeddings.near_duplicate_vectors(spark.createDataFrame(table), 0.9).where("vec_id >= " + str(n)).collect()
+    assert len(out) == 500 and sum(r["component_id"] == r["vec_id"] - n for r in out) >= 0.98 * 500
+
+
 def check_packing(rows, docs, capacity=2048):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     by, seqs = defaultdict(dict), defaultdict(list)
@@ -324,6 +354,24 @@ def test_html(spark):
     assert html.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p class='ad'>Buy<p>Real one<p>Real two</article>", "Real one Real two"),
+        ("<article><p>A sentence <span class=ad>Buy</span> goes on.<div class='related-work'><p>Section</div><div class='related posts'>no</div></article>", "A sentence goes on. Section"),
+        ("<article><ul><li class=ad>one<li>two<ul><li>inner</ul><li>three</ul></article>", "two inner three"),
+        ("<article><div class=ad>never closed<p>x</article><footer>f<p>g</footer>", ""),
+        ("<article><table><tr><td class=ad>a<td>b<tr><td>c</table></article>", "b c"),
+        ("<article><p>a<!-- <p>b --><script>if (a < b) '</p>'</script><style>p{}</style> c</article>", "a c"),
+        ("<main><div hidden><p>no</div><p style='display: none'>no</p><p>yes &lt;b&gt; &#233;</main>", "yes <b> é"),
+        ("<article><nav>menu<article>inside", ""),
+        ("text <", "text <"), ("<p>" * 3 + "x" * 500_000, "x" * 500_000),
+    ],
+)
+def test_html_of_odd_pages(page, want):
+    assert html.main_text(html.lines_of(page), []) == want
+
+
 def test_common_lines():
     rng = random.Random(8)
     for _ in range(200):

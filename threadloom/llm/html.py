@@ -1,10 +1,12 @@
-"""Main text of web pages: markup that names its role, and nearest-URL page differencing for the rest.
+"""Main text of web pages: nearest-URL page differencing, checked against markup that names its role.
 
 Pages of one host come from few templates. Each page is put beside the page of its host whose URL path is nearest and
-whose text is another, the text lines of the two are aligned by a longest common subsequence, and lines that both share
-are template and go. Two things a difference alone gets wrong: boilerplate that differs from page to page (menus,
-notices) is not shared, so elements that say what they are (nav, footer, class "ad", ...) go whatever the other page has;
-and an article that stands on both pages is shared, so an article element of which more than half is shared is kept.
+whose text is another, all visible text lines of the two are aligned by a longest common subsequence, and lines that both
+share are template and go. Two things a difference alone gets wrong, and a check of each line's markup follows for them:
+boilerplate that differs from page to page (menus, notices) is not shared, so lines of elements that say what they are
+(nav, footer, class "ad", ...) go as well; and an article that stands on both pages is shared, so an article of which
+more than half is shared is kept. Lines only align with lines of the same kind, so a menu's entry can't take an article's
+line with it.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ DROPPED_NAMES = frozenset(
     "disclaimer disqus footer gdpr masthead menu menubar modal nav navbar navigation newsletter notice notices paywall popup "
     "promo promotion related replies search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words beside those that only say where or what kind of box it is.
+_LAYOUT = frozenset("area articles bar block box buttons container content inner items left links list main panel posts right section stories top bottom wrapper wrap".split())
 #: Elements that begin and end a block of text, and those without an end tag.
 BLOCKS = frozenset("address article blockquote body br caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,34 +45,73 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 _HIDDEN = re.compile(r"""(?:\s|^)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
 
+#: Words of the above that also stand for content inside an article, unless the whole name is of such words.
+SECTION_NAMES = frozenset("comment comments notice notices related replies search share sharing social".split())
+#: Elements that end where the end tag may be left out: by which start tags, and in which elements they live.
+OMITTED = {
+    "p": (BLOCKS | {"nav", "footer", "aside", "form"}, frozenset()), "li": (frozenset({"li"}), frozenset({"ul", "ol", "menu"})), "td": (frozenset({"td", "th", "tr"}), frozenset({"table", "tr"})),
+    "th": (frozenset({"td", "th", "tr"}), frozenset({"table", "tr"})), "tr": (frozenset({"tr", "tbody", "tfoot"}), frozenset({"table", "tbody", "thead", "tfoot"})), "dt": (frozenset({"dt", "dd"}), frozenset({"dl"})), "dd": (frozenset({"dt", "dd"}), frozenset({"dl"})),
+    "option": (frozenset({"option", "optgroup"}), frozenset({"select"})),
+}
+#: Elements that nobody sees.
+UNSEEN = frozenset("head script style noscript template title svg iframe object canvas audio video datalist".split())
+
+
 class Line(NamedTuple):
     text: str
-    article: bool
+    article: bool  # inside article or main
+    marked: bool  # in an element that says it is no article
+
+    @property
+    def key(self) -> tuple[str, bool]:
+        return self.text, self.marked
+
+
+def _names(attributes: str) -> list[set[str]]:
+    """The words of each name in class, id and role."""
+    return [set(re.split(r"[_-]+", name)) for m in _NAMES.findall(attributes) for name in "".join(m).lower().split()]
 
 
 def _says_dropped(tag: str, attributes: str, depth: int) -> bool:
     if tag in DROPPED or (tag == "header" and not depth):
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        names = set() if not attributes or tag in ("html", "body", "main") else {w for m in _NAMES.findall(attributes) for w in re.split(r"[\s_-]+", "".join(m).lower())}
-        return bool(names & {"comment", "comments", "ad", "advert", "sponsored", "promo", "related"})
-    names = {w for m in _NAMES.findall(attributes) for w in re.split(r"[\s_-]+", "".join(m).lower())}
-    if tag in ("p", "span", "b", "i", "em", "strong", "a", "h1", "h2", "h3", "h4", "h5", "h6") and not names & {"ad", "ads", "advert", "advertisement", "notice", "cookie", "comment", "sponsored", "promo"}:
+    if not attributes or tag in ("html", "body", "main"):
+        return False
+    names = _names(attributes)
+    found = set().union(*names)
+    if tag == "article":
+        return bool(found & {"comment", "comments", "ad", "advert", "sponsored", "promo", "related"})
+    if tag in ("p", "span", "b", "i", "em", "strong", "a", "h1", "h2", "h3", "h4", "h5", "h6") and not found & {"ad", "ads", "advert", "advertisement", "notice", "cookie", "comment", "sponsored", "promo"}:
         return bool(_HIDDEN.search(attributes))
-    return bool(names & DROPPED_NAMES or _HIDDEN.search(attributes))
+    if depth:  # in an article, "related-work" is a section of it, "related" or "related-posts" aren't
+        own = [n & DROPPED_NAMES for n in names]
+        return bool(any(n - SECTION_NAMES for n in own) or any(n and full <= n | _LAYOUT for n, full in zip(own, names, strict=True)) or _HIDDEN.search(attributes))
+    return bool(found & DROPPED_NAMES or _HIDDEN.search(attributes))
 
 
 def lines_of(page: str) -> list[Line]:
-    """The page's blocks of text in order, without elements that say they are no article; white space is single."""
+    """The page's visible blocks of text in order; white space is single. Scripts, styles and hidden elements are left out.
+
+    In an element that says it is no article, lines are marked; it ends with its end tag, where another start tag or the
+    end of what holds it implies that, and with an article around it.
+    """
     out: list[Line] = []
-    words: list[str] = []
-    at = depth = dropped = 0
-    dropping = ""
+    words: dict[bool, list[str]] = {False: [], True: []}
+    at = depth = 0
+    dropping, unseen = "", False
+    inner: dict[str, int] = {}  # elements open inside the one that is dropped
+
+    def flush(marked: bool) -> None:
+        text = " ".join(html.unescape("".join(words[marked])).split())
+        words[marked] = []
+        if text:
+            out.append(Line(text, depth > 0, marked))
+
     while at < len(page):
         m = _TOKEN.search(page, at)
         end = m.start() if m else len(page)
-        if not dropping and end > at:
-            words.append(page[at:end])
+        if end > at and not unseen:
+            words[bool(dropping)].append(page[at:end])
         if not m:
             break
         at = m.end()
@@ -77,17 +120,28 @@ def lines_of(page: str) -> list[Line]:
             continue
         closes = bool(m[1])
         if dropping:
-            if tag == dropping:
-                dropped += -1 if closes else (not m[3].rstrip().endswith("/"))
-                if not dropped:
-                    dropping = ""
-            continue
-        breaks = tag in BLOCKS or tag in DROPPED
-        if breaks and words:
-            text = " ".join(html.unescape("".join(words)).split())
-            if text:
-                out.append(Line(text, depth > 0))
-            words = []
+            starts, homes = OMITTED.get(dropping, (frozenset(), frozenset()))
+            holds = closes and not inner.get(tag) and (tag in ("article", "main", "body", "html") or tag in homes or (dropping == "p" and tag in BLOCKS and tag != "p"))
+            implied = holds or (not closes and tag in starts and not any(inner.get(x) for x in homes))
+            if implied or (closes and tag == dropping and not inner.get(tag)):
+                flush(True)
+                dropping, unseen = "", False
+                inner.clear()
+                if not implied:
+                    continue
+            else:
+                if tag in BLOCKS and not unseen:
+                    flush(True)
+                if closes:
+                    inner[tag] = max(0, inner.get(tag, 0) - 1)
+                elif tag in _RAW:
+                    stop = _RAW[tag].search(page, at)
+                    at = stop.end() if stop else len(page)
+                elif tag not in VOID and not m[3].rstrip().endswith("/"):
+                    inner[tag] = inner.get(tag, 0) + 1
+                continue
+        if tag in BLOCKS or tag in DROPPED:
+            flush(False)
         if closes:
             depth -= tag in ("article", "main") and depth > 0
             continue
@@ -95,18 +149,17 @@ def lines_of(page: str) -> list[Line]:
             stop = _RAW[tag].search(page, at)
             at = stop.end() if stop else len(page)
         elif tag not in VOID and _says_dropped(tag, m[3], depth):
-            dropping, dropped = tag, 1
+            dropping, unseen = tag, tag in UNSEEN or bool(_HIDDEN.search(m[3]))
         elif tag in ("article", "main"):
             depth += 1
-    text = " ".join(html.unescape("".join(words)).split())
-    if text and not dropping:
-        out.append(Line(text, depth > 0))
+    flush(True)
+    flush(False)
     return out
 
 
-def common_lines(a: list[str], b: list[str]) -> list[int]:
+def common_lines(a: list, b: list) -> list[int]:
     """Indices of ``a`` in a longest common subsequence with ``b`` (Hunt and Szymanski)."""
-    where: dict[str, list[int]] = {}
+    where: dict[object, list[int]] = {}
     for j in range(len(b) - 1, -1, -1):
         where.setdefault(b[j], []).append(j)
     tails: list[int] = []
@@ -134,18 +187,17 @@ def main_text(own: list[Line], others: list[list[Line]]) -> str:
     the next one is asked. Without a mark, a page that has all lines is a copy, and what one has more than half of goes
     only if the next one, where there is one, has it too.
     """
-    marked = any(x.article for x in own)
-    if marked:
-        own = [x for x in own if x.article]
-    size = sum(len(x.text) for x in own)
-    found = [set(common_lines([x.text for x in own], [x.text for x in other])) for other in others]
-    much = [sum(len(own[i].text) for i in shared) > COPY_SHARE * size for shared in found]
-    if marked:
+    has_article = any(x.article and not x.marked for x in own)
+    body = [i for i, x in enumerate(own) if not x.marked and (x.article or not has_article)]
+    size = sum(len(own[i].text) for i in body)
+    found = [set(common_lines([x.key for x in own], [x.key for x in other])) for other in others]
+    much = [sum(len(own[i].text) for i in body if i in shared) > COPY_SHARE * size for shared in found]
+    if has_article:
         gone = next((shared for shared, most in zip(found, much, strict=True) if not most), set())
     else:
-        use = [(shared, most) for shared, most in zip(found, much, strict=True) if len(shared) < len(own)]
+        use = [(shared, most) for shared, most in zip(found, much, strict=True) if any(i not in shared for i in body)]
         gone = set.intersection(*(x for x, _ in use)) if use and use[0][1] else use[0][0] if use else set()
-    return " ".join(x.text for i, x in enumerate(own) if i not in gone)
+    return " ".join(own[i].text for i in body if i not in gone)
 
 
 def _alike(a: tuple[str, str], b: tuple[str, str]) -> int:
@@ -160,6 +212,11 @@ def _alike(a: tuple[str, str], b: tuple[str, str]) -> int:
     return n
 
 
+def _own_text(lines: list[Line]) -> list[str]:
+    """What tells pages apart: their lines without the marked ones."""
+    return [x.text for x in lines if not x.marked]
+
+
 class Page(NamedTuple):
     page_id: int | None
     url: str | None
@@ -167,7 +224,7 @@ class Page(NamedTuple):
     lines: list[Line]
 
     def same(self, other: Page) -> bool:
-        return self.place[0] == other.place[0] and [x.text for x in self.lines] == [x.text for x in other.lines]
+        return self.place[0] == other.place[0] and _own_text(self.lines) == _own_text(other.lines)
 
 
 def _said(run: list[Page], before: Page | None, after: Page | None) -> Iterator[tuple]:
@@ -247,7 +304,7 @@ def _record(rows: list[dict], columns: dict[str, str]) -> pa.RecordBatch:
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each page's keys and a digest of its lines, without its html."""
     for batch in batches:
-        rows = [{**{k: r[k] for k in _KEYS}, "digest": sha256("\n".join(x.text for x in lines_of(r["html"] or "")).encode()).digest()} for r in _records([batch])]
+        rows = [{**{k: r[k] for k in _KEYS}, "digest": sha256("\n".join(_own_text(lines_of(r["html"] or ""))).encode()).digest()} for r in _records([batch])]
         if rows:
             yield _record(rows, _DIGESTS)
 
