@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime
 
+import pytest
+
 from threadloom.sources.chats import parse_messages, parse_problems, read_exports
 
 EXPORT = "\n2026/01/05, 14:03 - Ann: hello: there\r\nsecond line\r\n‎2026/01/05, 14:04 - Bob: <Media omitted>\n2026/01/05, 14:05 - Ann left\n2026/1/5, no header\n"
@@ -25,3 +27,6 @@ def test_problems(spark):
     bad = spark.createDataFrame([("x", "text\n2026/02/30, 10:00 - A: b\n2026/02/03, 10:00 - : c"), ("y", None), ("z", "")], "doc string, value string")
     assert {tuple(r) for r in parse_problems(bad).collect()} == {("x", 1, "TextBeforeFirstMessage"), ("x", 2, "ImpossibleTime"), ("x", 3, "EmptySender")}
     assert parse_messages(bad.where("doc <> 'x'")).count() == 0
+    with pytest.raises(Exception, match="line [123]: (TextBefore|Impossible|Empty)"):
+        parse_messages(bad).count()
+    assert [(r["sequence_number"], r["message_time"]) for r in parse_messages(bad, strict=False).orderBy("sequence_number").collect()] == [(1, None), (2, datetime.datetime(2026, 2, 3, 10, 0))]

@@ -32,3 +32,8 @@ def test_query(spark, small, duck, name):
     if name in ORACLE_SQL:
         want = duck.execute(ORACLE_SQL[name])
         assert got == rows_of([c[0] for c in want.description], want.fetchall())
+
+
+@pytest.mark.parametrize("name", ["cohort_groups", "strict_order", "order_summary", "displacement_bands", "reference_counts", "assignment_counts", "sliding_unions", "guard_counts"])
+def test_queries_are_not_empty(spark, small, name):
+    assert not QUERIES[name](spark, small).isEmpty()

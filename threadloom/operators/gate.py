@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadloom.functions import combinatorics as exact
 from threadloom.operators.matching import known_direction
@@ -199,12 +200,19 @@ def supply(found: DataFrame) -> DataFrame:
 
 
 def numbered(found: DataFrame) -> DataFrame:
-    """Pairs with messages, numbered by scope, key and date; there is one for each key and date, not for each file."""
+    """Pairs with messages, numbered by scope, key and date.
+
+    Dates are numbered within their key; what stands before a key is summed over the keys, which are sources and groups.
+    """
     order = F.when(F.col("scope") == SCOPES[0][0], 0).otherwise(1)
-    return found.where("pattern <> ''").withColumn("pair_id", F.row_number().over(Window.orderBy(order, "scope_key", "file_date")))
+    rows = found.where("pattern <> ''")
+    sizes = rows.groupBy("scope", "scope_key").agg(F.count("*").alias("n"))
+    before = sizes.select("scope", "scope_key", (F.sum("n").over(Window.orderBy(order, "scope_key")) - F.col("n")).alias("_before"))
+    at = F.row_number().over(Window.partitionBy("scope", "scope_key").orderBy("file_date"))
+    return rows.withColumn("_at", at).join(before, ["scope", "scope_key"]).withColumn("pair_id", F.col("_before") + F.col("_at")).drop("_at", "_before")
 
 
-_COUNTS = "a string, s string, p string, q string, exchangeable string, binary_determinate boolean, graded_determinate boolean, band string, share double"
+_COUNTS = T.StructType([T.StructField(c, T.StringType()) for c in ("a", "s", "p", "q", "exchangeable")] + [T.StructField(c, T.BooleanType()) for c in ("binary_determinate", "graded_determinate")] + [T.StructField("band", T.StringType()), T.StructField("share", T.DoubleType())])
 
 
 @F.pandas_udf(_COUNTS)
@@ -218,7 +226,7 @@ def _reference(pattern: pd.Series, o: pd.Series, i: pd.Series, r: pd.Series) ->
             raise ValueError("counts contradict one another")
         share = exact.decimal_reading(pairs, a * exact.binomial(o_ + i_, len(p)))
         rows.append((str(a), str(s), str(pairs), str(q), str(exact.exchangeable_admitting_count(p, o_, i_)), binary, graded, exact.qr_band(s, a), share))
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in _COUNTS.split(", ")])
+    return pd.DataFrame(rows, columns=_COUNTS.names)
 
 
 def reference_counts(found: DataFrame) -> DataFrame:

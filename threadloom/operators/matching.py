@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.names import CANDIDATE_BANDS, band
-from threadloom.operators.evidence import any_of, date_density, evidence_by_asset_date, source_facts, undated_pools
+from threadloom.operators.evidence import any_of, asset_facts, date_density, evidence_by_asset_date, source_facts, undated_pools
 from threadloom.sources.workspace import unresolved
 
 #: How candidates agree with a message's direction.
@@ -43,6 +43,12 @@ def exact_relations(attachments: DataFrame, files: DataFrame, local: int | None)
     return joined.select("attachment_id", "sequence_number", "message_date", side.alias("direction"), "asset_id", "media_type", "copies", "sources", compatibility(side, F.col("has_sent"), F.col("has_not_sent")).alias("compatibility"))
 
 
+def candidate_details(relations: DataFrame, files: DataFrame) -> DataFrame:
+    """The exact relations with what all files say of their asset: copies and sources on any date, and its size."""
+    facts = asset_facts(files).select("asset_id", F.col("copies").alias("all_copies"), F.col("sources").alias("all_sources"), "size")
+    return relations.select("attachment_id", "asset_id", "media_type", F.col("copies").alias("supporting_copies"), F.size("sources").cast("long").alias("supporting_sources"), "compatibility").join(facts, "asset_id")
+
+
 #: The first and the last date there is.
 FIRST_DATE, LAST_DATE = "0001-01-01", "9999-12-31"
 

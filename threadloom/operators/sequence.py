@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadloom.functions.combinatorics import binomial, sign_test, weighted_assignments
 from threadloom.functions.names import ASSIGNMENT_BANDS, CANDIDATE_BANDS, SHORTFALL_BANDS, SLACK_BANDS, band
@@ -59,13 +60,13 @@ def strict_order(groups: DataFrame) -> DataFrame:
     return both.select("message_date", verdict.alias("verdict"), F.when(ordered, F.abs(first - second)).alias("distance"), F.when(ordered, F.array_contains("o_agreeing", o) & F.array_contains("i_agreeing", i)).alias("both_agreeing"))
 
 
-@F.pandas_udf("numerator string, exponent long, probability string")
+@F.pandas_udf(T.StructType([T.StructField("numerator", T.StringType()), T.StructField("exponent", T.LongType()), T.StructField("probability", T.StringType())]))
 def _sign_test(observations: pd.Series, concordant: pd.Series) -> pd.DataFrame:
     found = [sign_test(int(n), int(k)) for n, k in zip(observations, concordant, strict=True)]
     return pd.DataFrame([(str(t[0]), t[1], t[2]) if t else (None, None, None) for t in found], columns=["numerator", "exponent", "probability"]).astype({"exponent": "Int64"})
 
 
-@F.pandas_udf("weighted string, unweighted string")
+@F.pandas_udf(T.StructType([T.StructField("weighted", T.StringType()), T.StructField("unweighted", T.StringType())]))
 def _assignments(sizes: pd.Series, picks: pd.Series) -> pd.DataFrame:
     rows = [(str(weighted_assignments([int(x) for x in s], int(n))), str(binomial(len(s), int(n)))) for s, n in zip(sizes, picks, strict=True)]
     return pd.DataFrame(rows, columns=["weighted", "unweighted"])

@@ -11,7 +11,7 @@ from threadloom.functions.names import DATED_SOURCE, file_date
 from threadloom.operators import evidence, gate, guards, matching, names, scope, sequence
 from threadloom.plans.views import DENSE, GATE, LOCAL, MESSAGE_SQL, ORDER, attachments, chat_exports, device_groups, media_files, message_attachments, messages, oracle
 from threadloom.sources import inventory, workspace
-from threadloom.sources.chats import parse_messages
+from threadloom.sources.chats import parse_messages, parse_problems
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,6 +70,8 @@ _COUNTS = _REL + """, counts AS (SELECT a.attachment_id, count(asset_id) AS exac
  count(*) FILTER (compatibility = 'Unknown') AS "Unknown", count(*) FILTER (compatibility = 'ContradictoryOnly') AS "ContradictoryOnly", any_value(a.message_date) AS message_date, any_value(a.sender_id) AS sender_id
  FROM attachments a LEFT JOIN rel ON a.attachment_id = rel.attachment_id GROUP BY a.attachment_id)"""
 _matched(matching.relation_counts, _COUNTS + " SELECT * FROM counts")
+_add("candidate_details", lambda s, d: matching.candidate_details(matching.exact_relations(attachments(s, d, GATE), f := media_files(s, d, GATE), LOCAL), f), _REL + """, fa AS (SELECT asset_id, count(*) AS all_copies, count(DISTINCT source_id) AS all_sources, CAST(max(size) AS BIGINT) AS size FROM files GROUP BY asset_id)
+ SELECT attachment_id, asset_id, media_type, copies AS supporting_copies, len(string_split(sources, ',')) AS supporting_sources, compatibility, all_copies, all_sources, size FROM rel JOIN fa USING (asset_id)""", GATE)
 _add("state_counts", lambda s, d: matching.state_counts(matching.relation_counts(attachments(s, d), media_files(s, d), LOCAL)), _COUNTS + """, u AS (UNPIVOT counts ON "Compatible", "Mixed", "Unknown", "ContradictoryOnly" INTO NAME state VALUE n) SELECT state, CAST(sum(n) AS BIGINT) AS relations, count(*) FILTER (n > 0) AS attachments FROM u GROUP BY state""")
 _BANDS = _COUNTS + f""", u AS (SELECT 'exact' AS measure, exact AS n FROM counts UNION ALL SELECT 'compatible', "Compatible" FROM counts),
  f AS (SELECT measure, {_band("n", "candidates")} AS band, count(*) AS c FROM u GROUP BY 1, 2),
@@ -187,6 +189,8 @@ _GROUPED = " SELECT message_date, direction, messages, assets, positions, state,
 _add("assignment_groups", lambda s, d: _assigned(s, d, DENSE).drop("seats"), _assign() + _GROUPED)
 _add("agreeing_assignment_groups", lambda s, d: _assigned(s, d, DENSE, True).drop("seats"), _assign(True) + _GROUPED)
 _add("sliding_unions", lambda s, d: sequence.sliding_unions(_assigned(s, d)), _assign() + " SELECT * FROM narrowed", GATE)
+_SEATS = lambda g: g.select("message_date", "direction", F.posexplode("seats").alias("at", "seat")).select("message_date", "direction", (F.col("at") + 1).alias("at"), F.array_join("seat", ",").alias("assets"))
+_add("assignment_seats", lambda s, d: _SEATS(_assigned(s, d)), _assign() + " SELECT message_date, direction, CAST(pos.at AS INTEGER) AS \"at\", string_agg(CAST(asset_id AS VARCHAR), ',' ORDER BY asset_id) AS assets FROM pos JOIN a USING (message_date, direction) GROUP BY 1, 2, 3", GATE)
 _add("assignment_counts", lambda s, d: sequence.assignment_counts(_assigned(s, d)))
 
 # The gate.
@@ -210,7 +214,7 @@ _gate = lambda name, op, body: _add(name, lambda s, d: op(_pairs(s, d)), _PAIRS
 _gate("gate_pairs", lambda p: p, " SELECT * FROM pairs")
 _gate("pair_states", gate.pair_states, " SELECT scope, state, count(*) AS pairs, CAST(sum(length(pattern)) AS BIGINT) AS message_symbols FROM pairs GROUP BY 1, 2")
 _gate("pair_supply", gate.supply, " SELECT scope, count(*) AS pairs, count(*) FILTER (supply_copies) AS enough_copies, count(*) FILTER (supply_positions) AS enough_positions FROM measured GROUP BY 1")
-_gate("numbered_pairs", gate.numbered, " SELECT *, CAST(row_number() OVER (ORDER BY CASE scope WHEN 'SourceDate' THEN 0 ELSE 1 END, scope_key, file_date) AS INTEGER) AS pair_id FROM pairs WHERE pattern <> ''")
+_gate("numbered_pairs", gate.numbered, " SELECT *, row_number() OVER (ORDER BY CASE scope WHEN 'SourceDate' THEN 0 ELSE 1 END, scope_key, file_date) AS pair_id FROM pairs WHERE pattern <> ''")
 _add("reference_counts", lambda s, d: gate.reference_counts(_pairs(s, d)))
 _add("source_overlap", lambda s, d: gate.source_overlap(media_files(s, d), device_groups(s)), _T + ", k AS (SELECT DISTINCT source_id, file_date, token FROM t), n AS (SELECT file_date, token, count(*) AS c FROM k GROUP BY 1, 2) SELECT source_id, count(DISTINCT file_date) AS dates, count(*) AS keys, count(*) FILTER (c > 1) AS shared_keys FROM k JOIN n USING (file_date, token) GROUP BY 1")
 
@@ -315,6 +319,15 @@ _add("directed_files", lambda s, d: inventory.with_direction(_placed(s, d)).grou
 _add("dates_from_names", lambda s, d: media_files(s, d).groupBy(file_date(F.when(F.col("source_id") != 2, DATED_SOURCE).otherwise("Other"), F.col("name")).alias("file_date")).agg(F.count("*").alias("files")), " SELECT CASE WHEN source_id <> 2 THEN file_date END AS file_date, count(*) AS files FROM files GROUP BY 1")
 
 
+# exports in which some first lines are spoilt
+_spoilt = lambda s, d: chat_exports(s, d).withColumn("value", F.when(F.col("doc") % 3 == 0, F.concat(F.lit("2026/02/30, 10:00 - x: y\n"), "value")).when(F.col("doc") % 3 == 1, F.concat(F.lit("no message\n \n2026/02/03, 10:00 - : z\n"), "value")).otherwise(F.col("value")))
+QUERIES["export_problems"] = lambda s, d: parse_problems(_spoilt(s, d))
+ORACLE_SQL["export_problems"] = _oracle_with(_IMPORT, ", d AS (SELECT DISTINCT doc FROM parsed) SELECT doc, 1 AS line, 'ImpossibleTime' AS problem FROM d WHERE doc % 3 = 0 UNION ALL SELECT doc, 1, 'TextBeforeFirstMessage' FROM d WHERE doc % 3 = 1 UNION ALL SELECT doc, 3, 'EmptySender' FROM d WHERE doc % 3 = 1")
+_add("media_evidence", lambda s, d: evidence.media_evidence(f := media_files(s, d).drop("asset_id", "media_type", "size").withColumn("recorded", F.col("name")).drop("name"), media_files(s, d).where("file_id % 10 <> 0").select("file_id", "asset_id"), _hashed(s, d).where("sha256 is not null").groupBy(F.upper(F.regexp_replace("sha256", "^..", "")).cast("long").alias("asset_id")).agg(F.max("size").alias("size"), F.min("media_type").alias("media_type"), F.max(F.upper("sha256")).alias("sha256"))).select("file_id", "source_id", "file_date", "is_sent", "ext", "asset_id", "asset_size", "asset_media_type", "asset_sha256"),
+     """, h AS (SELECT asset_id, 'AB' || asset_id AS sha256, size + CASE WHEN file_id % 31 = 0 THEN 1 ELSE 0 END AS size, media_type FROM files WHERE file_id % 9 <> 0), a AS (SELECT asset_id, CAST(max(size) AS BIGINT) AS asset_size, min(media_type) AS asset_media_type, max(sha256) AS asset_sha256 FROM h GROUP BY 1)
+ SELECT file_id, source_id, file_date, is_sent, ext, l.asset_id, asset_size, asset_media_type, asset_sha256 FROM files f LEFT JOIN (SELECT file_id AS fid, asset_id FROM files WHERE file_id % 10 <> 0) l ON fid = file_id LEFT JOIN a ON a.asset_id = l.asset_id""")
+
+
 # The guards, over views as they are and over views with planted faults.
 def _guards(s: SparkSession, d: str, faults: bool) -> DataFrame:
     def at(test: str):

@@ -35,20 +35,28 @@ def parse_problems(exports: DataFrame) -> DataFrame:
     A header with an impossible time, one with an empty sender, and text before the first message. Blank lines there
     are none.
     """
+    return _lines(exports).select("doc", "line", _problem().alias("problem")).where("problem is not null")
+
+
+def _problem():
     at, _, colon = _header(F.col("text"))
-    problem = F.when(F.col("opens") & at.isNull(), "ImpossibleTime").when(F.col("opens") & (colon == 1), "EmptySender").when((F.col("message") == 0) & ~F.col("text").rlike(r"(?U)\A\s*\z"), "TextBeforeFirstMessage")
-    return _lines(exports).select("doc", "line", problem.alias("problem")).where("problem is not null")
+    return F.when(F.col("opens") & at.isNull(), "ImpossibleTime").when(F.col("opens") & (colon == 1), "EmptySender").when((F.col("message") == 0) & ~F.col("text").rlike(r"(?U)\A\s*\z"), "TextBeforeFirstMessage")
 
 
-def parse_messages(exports: DataFrame) -> DataFrame:
+def parse_messages(exports: DataFrame, strict: bool = True) -> DataFrame:
     """(doc, sequence_number, message_time, message_type, sender, content, raw_content, line_start, line_end, is_placeholder).
 
-    Lines without a header go on the message before. A header without ``": "`` is a system message. Exports with
-    ``parse_problems`` should not be used; here, an impossible time is null. A null or empty text has no messages.
+    Lines without a header go on the message before. A header without ``": "`` is a system message. What
+    ``parse_problems`` names is an error that tells the line and not its content; if not ``strict``, an impossible time is
+    null and the rest is read as far as it goes. A null or empty text has no messages.
     """
     at, rest, colon = _header(F.col("text"))
+    use = F.col("message") > 0
+    if strict:
+        bad = _problem()
+        use = F.when(bad.isNotNull(), F.raise_error(F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": "), bad)).cast("boolean")).otherwise(use)
     said = F.when(colon > 1, F.substring(rest, colon + 2, F.length(rest))).otherwise(rest)
-    rows = _lines(exports).where("message > 0").select(
+    rows = _lines(exports).where(use).select(
         "doc", "message", "line", "opens", "raw", F.when(F.col("opens"), said).otherwise(F.col("text")).alias("content"),
         F.when(F.col("opens"), at).alias("time"), F.when(F.col("opens") & (colon > 1), F.substring(rest, F.lit(1), colon - 1)).alias("sender"),
     )
