@@ -23,9 +23,11 @@ LEAST_SIMILARITY = 0.8
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in one of the labelled languages; ``lang`` becomes the predicted one."""
-    said = identify(docs, learn_profiles(docs))
+    # columns of the documents may have any name, also those that the operator adds
+    own = {c: f"_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "lang")}
+    said = identify(docs.withColumnsRenamed(own), learn_profiles(docs))
     kept = said.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return kept.select(*[F.col("lang_pred").alias("lang") if c == "lang" else c for c in docs.columns])
+    return kept.select(*[F.col("lang_pred" if c == "lang" else own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
