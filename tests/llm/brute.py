@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -49,6 +49,11 @@ def near_duplicates(docs, per_cent):
 
 def repeats(docs, window=50):
     """{doc_id: (n_bytes, n_removed, n_spans, sha256)} of {doc_id: text}."""
+    return {d: (n, removed, spans, hashlib.sha256(kept).hexdigest()) for d, (n, removed, spans, kept) in without_repeats(docs, window).items()}
+
+
+def without_repeats(docs, window=50):
+    """{doc_id: (n_bytes, n_removed, n_spans, bytes that stay)} of {doc_id: text}."""
     seen, out = set(), {}
     for d in sorted(docs):
         data = (docs[d] or "").encode()
@@ -61,7 +66,7 @@ def repeats(docs, window=50):
         seen.update(own)
         edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
         kept = bytes(np.frombuffer(data, np.uint8)[~gone]) if data else b""
-        out[d] = (len(data), int(gone.sum()), len(edges) // 2, hashlib.sha256(kept).hexdigest())
+        out[d] = (len(data), int(gone.sum()), len(edges) // 2, kept)
     return out
 
 
@@ -82,3 +87,42 @@ def vector_links(vectors, least):
 
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+EDGE, RANKS = "\x01", 400
+
+
+def ngrams(text):
+    """Counts of all 1-, 2- and 3-grams of letters, with one edge for anything between them and at both ends."""
+    runs = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    s = EDGE + EDGE.join(runs) + EDGE
+    return Counter(x for n in (1, 2, 3) for k in range(len(s) - n + 1) if (x := s[k : k + n]) != EDGE) if runs else Counter()
+
+
+def _by_rank(counts):
+    code = lambda x: sum(ord(c) << 21 * k for k, c in enumerate(x))
+    return sorted(counts, key=lambda x: (-counts[x], code(x)))[:RANKS]
+
+
+def language_profiles(labelled):
+    """{lang: {n-gram: rank}} of (lang, text) pairs."""
+    counts = defaultdict(Counter)
+    for lang, text in labelled:
+        if lang is not None and text is not None:
+            counts[lang] += ngrams(text)
+    return {lang: {x: k for k, x in enumerate(_by_rank(c))} for lang, c in counts.items()}
+
+
+def language(text, profiles):
+    """(language, score) by the least out-of-place distance."""
+    counts = ngrams(text)
+    top = _by_rank(counts)
+    if not top or not profiles:
+        return "und", 0.0
+    places = defaultdict(list)
+    for k, x in enumerate(top):
+        places[counts[x]].append(k)
+    mean = {n: sum(ks) / len(ks) for n, ks in places.items()}
+    away = {lang: sum(min(RANKS, abs(p[x] - mean[counts[x]])) if x in p else RANKS for x in top) for lang, p in profiles.items()}
+    best = min(sorted(away), key=away.get)
+    return best, 1 - away[best] / (RANKS * len(top))

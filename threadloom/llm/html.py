@@ -400,10 +400,10 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("_range", range_of(*keys) if bounds else F.lit(0).cast("long")).withColumn("_side", F.lit(0))
     order = ["_range", "_side", *keys]
     if bounds:
-        digests = rows.mapInArrow(_digests, _schema(_DIGESTS)).repartition(ranges, "_range").sortWithinPartitions("_range", *keys)
+        digests = rows.mapInArrow(_digests, _schema(_DIGESTS)).repartitionById(ranges, F.col("_range").cast("int")).sortWithinPartitions("_range", *keys)
         near = _context([r.asDict() for r in digests.mapInArrow(_ends, _schema(_ENDS)).collect()])
         # a few pages for each range, found again by their keys
         known = spark.createDataFrame([(*[r[k] for k in _KEYS], k, side) for k, side, r in near], f"{_schema(_KEYS)}, _to long, _at int")
         context = rows.drop("_side").join(F.broadcast(known), list(_KEYS)).dropDuplicates([*_KEYS, "_to", "_at"]).withColumn("_range", F.col("_to")).withColumn("_side", F.col("_at"))
         rows = rows.union(context.select(*rows.columns))
-    return rows.repartition(ranges, "_range").sortWithinPartitions(*order).mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    return rows.repartitionById(ranges, F.col("_range").cast("int")).sortWithinPartitions(*order).mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")

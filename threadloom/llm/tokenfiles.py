@@ -201,4 +201,5 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, folder: str) -> D
     # as many rows as files: their starts are summed in one small task
     before = F.sum("n_tokens").over(Window.orderBy("part")) - F.col("n_tokens")
     files = manifest.withColumn("start", before)
-    return files.repartition(max(1, manifest.count()), "part").select("path", "dictionary", "width", "start").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    n = max(1, manifest.count())
+    return files.repartitionById(n, F.pmod("part", F.lit(n)).cast("int")).select("path", "dictionary", "width", "start").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
