@@ -34,6 +34,6 @@ def test_query(spark, small, duck, name):
         assert got == rows_of([c[0] for c in want.description], want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["cohort_groups", "strict_order", "order_summary", "displacement_bands", "reference_counts", "assignment_counts", "sliding_unions", "guard_counts"])
+@pytest.mark.parametrize("name", ["cohort_groups", "strict_order", "order_summary", "displacement_bands", "reference_counts", "assignment_counts", "sliding_unions", "shortfall_bands", "guard_counts"])
 def test_queries_are_not_empty(spark, small, name):
     assert not QUERIES[name](spark, small).isEmpty()

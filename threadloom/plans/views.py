@@ -116,10 +116,12 @@ _ATTACHMENTS = """attachments AS (SELECT conv_id * 100 + turn AS attachment_id,
 _GROUPS = "device_groups AS (SELECT * FROM (VALUES (1, 501), (2, 501), (3, 502), (4, 503)) g(source_id, group_id))"
 
 
-def oracle(body: str, dates: int = DENSE) -> str:
-    """``body`` (further WITH parts and a SELECT) over the views files, tokens, attachments and device_groups."""
+def oracle(body: str, dates: int = DENSE, message_dates: int | None = None) -> str:
+    """``body`` (further WITH parts and a SELECT) over the views files, tokens, attachments and device_groups; messages lie
+    over the files' kind of dates, or over another."""
+    said = dates if message_dates is None else message_dates
     day = f"CAST(DATE '2000-01-01' + CAST((event_id // {dates}) % {DATES} AS INTEGER) AS DATE)" if dates else "CAST(ts AS DATE)"
-    views = f"{_FILES},\n{_ATTACHMENTS},\n{_GROUPS}".replace("%day", day).replace("%first", _FIRST[dates]).replace("%message_day", _MESSAGE_DAY[dates])
+    views = f"{_FILES},\n{_ATTACHMENTS},\n{_GROUPS}".replace("%day", day).replace("%first", _FIRST[said]).replace("%message_day", _MESSAGE_DAY[said])
     return f"WITH {views}{body}"
 
 

@@ -263,7 +263,9 @@ _add("narrowing_summary", lambda s, d: sequence.narrowing_summary(sequence.slidi
 _over(sequence.assignment_bands, f", v AS (SELECT side, 'assets' AS measure, assets AS n FROM halves UNION ALL SELECT side, 'positions', positions FROM halves UNION ALL SELECT side, 'occurrences', (SELECT count(*) FROM pos WHERE pos.message_date = halves.message_date AND pos.direction = halves.direction) FROM halves) SELECT side AS direction, measure, {_band('n', 'candidates')} AS band, count(*) AS groups FROM v GROUP BY 1, 2, 3")
 _over(sequence.feasibility, " SELECT side AS direction, state, count(*) AS groups, CAST(sum(messages) AS BIGINT) AS messages, CAST(sum(messages * assets) AS BIGINT) AS relations FROM halves GROUP BY 1, 2")
 _over(sequence.slack_bands, ", v AS (SELECT side, messages, positions - messages AS n FROM halves) SELECT side AS direction, CASE WHEN n < 0 THEN '<0' WHEN n <= 2 THEN CAST(n AS VARCHAR) WHEN n <= 5 THEN '3-5' WHEN n <= 10 THEN '6-10' WHEN n <= 25 THEN '11-25' ELSE '>25' END AS band, count(*) AS groups, CAST(sum(messages) AS BIGINT) AS messages FROM v GROUP BY 1, 2")
-_over(sequence.shortfall_bands, ", v AS (SELECT side, messages - positions AS n FROM halves WHERE state = 'TooFewPositions') SELECT side AS direction, CASE WHEN n <= 5 THEN '1-5' WHEN n <= 10 THEN '6-10' WHEN n <= 25 THEN '11-25' ELSE '>25' END AS band, count(*) AS groups FROM v GROUP BY 1, 2", ORDER)
+# whole conversations on dates with few files, so that places are too few
+_add("shortfall_bands", lambda s, d: sequence.shortfall_bands(sequence.assignment_groups(_sent_by_someone(s, d, GATE), media_files(s, d, ORDER), LOCAL)))
+ORACLE_SQL["shortfall_bands"] = oracle(_assign() + ", v AS (SELECT side, messages - positions AS n FROM halves WHERE state = 'TooFewPositions') SELECT side AS direction, CASE WHEN n <= 5 THEN '1-5' WHEN n <= 10 THEN '6-10' WHEN n <= 25 THEN '11-25' ELSE '>25' END AS band, count(*) AS groups FROM v GROUP BY 1, 2", ORDER, GATE)
 _over(sequence.multiplicity, """, per AS (SELECT direction AS side, message_date, direction, asset_id, count(*) AS n FROM pos GROUP BY ALL UNION ALL SELECT NULL, message_date, direction, asset_id, count(*) FROM pos GROUP BY message_date, direction, asset_id),
  hv AS (SELECT direction AS side, message_date, direction, count(DISTINCT token) AS n FROM pos WHERE seated > 1 GROUP BY ALL UNION ALL SELECT NULL, message_date, direction, count(DISTINCT token) FROM pos WHERE seated > 1 GROUP BY message_date, direction),
  hs AS (SELECT side, CAST(sum(n) AS BIGINT) AS heavy_positions, count(*) AS groups_with_heavy FROM hv GROUP BY 1)
