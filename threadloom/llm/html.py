@@ -1,27 +1,32 @@
-"""Main text of web pages: nearest-URL page differencing, checked against markup that names its role.
-
-Pages of one host come from few templates. Each page is put beside the page of its host whose URL path is nearest and
-whose text is another, all visible text lines of the two are aligned by a longest common subsequence, and lines that both
-share are template and go. Two things a difference alone gets wrong, and a check of each line's markup follows for them:
-boilerplate that differs from page to page (menus, notices) is not shared, so lines of elements that say what they are
-(nav, footer, class "ad", ...) go as well; and an article that stands on both pages is shared, so an article of which
-more than half is shared is kept. Lines only align with lines of the same kind, so a menu's entry can't take an article's
-line with it.
+"""Main text of web pages: nearest-URL page differencing beside markup that names its role.
+
+Pages of one host come from few templates. Each page is put beside the nearest pages of its host in URL path order, one on
+either side, that have another text; all visible text lines are aligned by a longest common subsequence with each, and lines
+that stand on all of them are template and go. Lines align only if they stand in like elements. A page that marks its
+article tells most of that itself: there only lines in boxes with a class of their own go, and only if no line that is the
+page's own, or the neighbours' own, stands in such a box; plain paragraphs, headings and lists of an article stay, though
+other pages may begin alike. Lines of elements that say what they are (nav, footer, class "ad", ...) go in any case, since
+menus and notices that differ from page to page are no difference of templates.
+
+Only hashes of lines travel. The html itself is read twice and shuffled only if lines go on very many pages.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
-from hashlib import sha256
 from typing import NamedTuple
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.functions.ordered import nearest_others
+from threadloom.llm.storage import materialize
+
 #: Elements whose text is never the article's, and words in class, id or role that say so.
 DROPPED = frozenset("nav footer aside form script style noscript template head title button select option textarea iframe svg object canvas dialog menu audio video datalist".split())
 DROPPED_NAMES = frozenset(
@@ -34,14 +39,16 @@ _LAYOUT = frozenset("area articles bar block box buttons container content inner
 #: Elements that begin and end a block of text, and those without an end tag.
 BLOCKS = frozenset("address article blockquote body br caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: An article of which more is shared stands on both pages; a page without one may be a near copy, and a second page is asked.
-COPY_SHARE = 0.5
-#: html in a range of pages, in bytes.
-RANGE_BYTES = 16_000_000
+#: Elements whose boxes say where a line stands.
+BOXES = frozenset("address article blockquote details div dl fieldset figure footer header main ol section table ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Lines to drop that are sent to all tasks; more are joined.
+SENT_LINES = 500_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg")}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:\s|^)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
 
@@ -61,10 +68,12 @@ class Line(NamedTuple):
     text: str
     article: bool  # inside article or main
     marked: bool  # in an element that says it is no article
+    box: str = ""  # the boxes around it, with their classes, and its element
 
     @property
-    def key(self) -> tuple[str, bool]:
-        return self.text, self.marked
+    def named(self) -> bool:
+        """In an element that has a class, inside the article."""
+        return "." in self.box.rpartition("article")[2].rpartition("main")[2]
 
 
 def _names(attributes: str) -> list[set[str]]:
@@ -100,12 +109,31 @@ def lines_of(page: str) -> list[Line]:
     at = depth = 0
     dropping, unseen = "", False
     inner: dict[str, int] = {}  # elements open inside the one that is dropped
+    boxes: list[tuple[str, str]] = []
+    leaf = ""
 
     def flush(marked: bool) -> None:
         text = " ".join(html.unescape("".join(words[marked])).split())
         words[marked] = []
         if text:
-            out.append(Line(text, depth > 0, marked))
+            out.append(Line(text, depth > 0, marked, "" if marked else "/".join([*(b for _, b in boxes), leaf])))
+
+    def enter(tag: str, attributes: str) -> None:
+        nonlocal leaf
+        said = _CLASS.search(attributes) if attributes else None
+        name = tag + ("." + ".".join("".join(x or "" for x in said.groups()).lower().split()) if said else "")
+        if tag in BOXES:
+            boxes.append((tag, name))
+            leaf = ""
+        elif tag not in ("br", "hr"):
+            leaf = name
+
+    def leave(tag: str) -> None:
+        nonlocal leaf
+        leaf = ""
+        if tag in BOXES and any(t == tag for t, _ in boxes):
+            while boxes.pop()[0] != tag:
+                pass
 
     while at < len(page):
         m = _TOKEN.search(page, at)
@@ -144,14 +172,18 @@ def lines_of(page: str) -> list[Line]:
             flush(False)
         if closes:
             depth -= tag in ("article", "main") and depth > 0
+            if tag in BLOCKS:
+                leave(tag)
             continue
         if tag in _RAW:
             stop = _RAW[tag].search(page, at)
             at = stop.end() if stop else len(page)
         elif tag not in VOID and _says_dropped(tag, m[3], depth):
             dropping, unseen = tag, tag in UNSEEN or bool(_HIDDEN.search(m[3]))
-        elif tag in ("article", "main"):
-            depth += 1
+        else:
+            depth += tag in ("article", "main")
+            if tag in BLOCKS:
+                enter(tag, m[3])
     flush(True)
     flush(False)
     return out
@@ -180,230 +212,149 @@ def common_lines(a: list, b: list) -> list[int]:
     return out[::-1]
 
 
-def main_text(own: list[Line], others: list[list[Line]]) -> str:
-    """The page's text without what it shares with the first of ``others`` (the nearest page, then the other side's).
+class Sketch(NamedTuple):
+    """A page's lines without their text."""
 
-    A page that marks an article has the article's text; a page that has more than half of it has the same article, and
-    the next one is asked. Without a mark, a page that has all lines is a copy, and what one has more than half of goes
-    only if the next one, where there is one, has it too.
-    """
-    has_article = any(x.article and not x.marked for x in own)
-    body = [i for i, x in enumerate(own) if not x.marked and (x.article or not has_article)]
-    size = sum(len(own[i].text) for i in body)
-    found = [set(common_lines([x.key for x in own], [x.key for x in other])) for other in others]
-    much = [sum(len(own[i].text) for i in body if i in shared) > COPY_SHARE * size for shared in found]
-    if has_article:
-        gone = next((shared for shared, most in zip(found, much, strict=True) if not most), set())
-    else:
-        use = [(shared, most) for shared, most in zip(found, much, strict=True) if any(i not in shared for i in body)]
-        gone = set.intersection(*(x for x, _ in use)) if use and use[0][1] else use[0][0] if use else set()
-    return " ".join(own[i].text for i in body if i not in gone)
-
-
-def _alike(a: tuple[str, str], b: tuple[str, str]) -> int:
-    """How far two (host, path) agree, in path segments; -1 on different hosts."""
-    if a[0] != b[0]:
-        return -1
-    n = 0
-    for x, y in zip(a[1].split("/"), b[1].split("/"), strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
+    keys: list[int]  # hashes of text and box
+    kinds: list[int]  # MARKED, ARTICLE, NAMED and HEADING
+    boxes: list[int]  # hashes of boxes
 
 
-def _own_text(lines: list[Line]) -> list[str]:
-    """What tells pages apart: their lines without the marked ones."""
-    return [x.text for x in lines if not x.marked]
+MARKED, ARTICLE, NAMED, HEADING = 1, 2, 4, 8
 
 
-class Page(NamedTuple):
-    page_id: int | None
-    url: str | None
-    place: tuple[str, str]  # host, path
-    lines: list[Line]
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
-    def same(self, other: Page) -> bool:
-        return self.place[0] == other.place[0] and _own_text(self.lines) == _own_text(other.lines)
 
+def sketch_of(lines: list[Line]) -> Sketch:
+    kinds = [MARKED * x.marked + ARTICLE * x.article + NAMED * x.named + HEADING * (x.box.rpartition("/")[2].partition(".")[0] in HEADINGS) for x in lines]
+    return Sketch([_hash(f"{x.marked:d}{x.box}\n{x.text}") for x in lines], kinds, [_hash(x.box) for x in lines])
 
-def _said(run: list[Page], before: Page | None, after: Page | None) -> Iterator[tuple]:
-    """The texts of pages with the same lines, between the nearest pages of their host that have others."""
-    around = [x for x in (before, after) if x and x.place[0] == run[0].place[0]]
-    texts: dict[tuple, str] = {}
-    for page in run:
-        order = sorted(around, key=lambda x: -_alike(page.place, x.place))
-        key = (id(page.lines), *map(id, order))
-        if key not in texts:
-            texts[key] = main_text(page.lines, [x.lines for x in order])
-        yield page.page_id, page.url, texts[key], len(texts[key])
 
+def _body(kinds: list[int]) -> list[int]:
+    """Lines that may be the page's text: those of its article, or all where it marks none."""
+    has_article = any(k & ARTICLE and not k & MARKED for k in kinds)
+    return [i for i, k in enumerate(kinds) if not k & MARKED and (k & ARTICLE or not has_article)]
 
-def _pages(rows: Iterator[dict]) -> Iterator[tuple[int, int, Page]]:
-    """(range, side, page) of records in order; the lines of a page like the one before are kept once."""
-    last = None
-    for r in rows:
-        lines = lines_of(r["html"] or "")
-        page = Page(r["page_id"], r["url"], (r["_host"], r["_path"]), lines)
-        if last and lines == last.lines:
-            page = page._replace(lines=last.lines)
-        last = page
-        yield r["_range"], r["_side"], page
 
+def shared_lines(own: Sketch, others: list[Sketch]) -> list[int]:
+    """Lines of the page's body that are template by what it shares with all of ``others``.
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    In an article they are lines of named boxes, and of at least two pages beside this one that differ from each other;
+    a page without own lines is a copy and keeps all.
+    """
+    body = _body(own.kinds)
+    found = [set(common_lines(own.keys, other.keys)) for other in others]
+    if not found:
+        return []
+    every, some = set.intersection(*found), set.union(*found)
+    single = [i for i in body if i not in some]
+    if not body or not own.kinds[body[0]] & ARTICLE:
+        return [i for i in body if i in every] if any(i not in every for i in body) else []
+    if not single or len(others) < 2 or others[0].keys == others[1].keys:
+        return []
+    known = set(own.keys)
+    content = {own.boxes[i] for i in single} | {b for other in others for k, kind, b in zip(other.keys, other.kinds, other.boxes, strict=True) if kind & ARTICLE and k not in known}
+    return [i for i in body if i in every and own.kinds[i] & NAMED and not own.kinds[i] & HEADING and own.boxes[i] not in content]
+
+
+def text_of(lines: list[Line], gone: list[int]) -> str:
+    """The page's body without the lines that are gone."""
+    drop = set(gone)
+    return " ".join(lines[i].text for i in _body(sketch_of(lines).kinds) if i not in drop)
+
+
+def main_text(own: list[Line], others: list[list[Line]]) -> str:
+    """The page's text without what is template by its neighbours ``others``."""
+    return text_of(own, shared_lines(sketch_of(own), [sketch_of(x) for x in others]))
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield batch.slice(i, 1).to_pylist()[0]
 
 
-def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages come in order of host and path; a run of pages with the same lines is held, and the page before it.
+#: Rows of results that leave a task at once.
+_ROWS = 200
+_SKETCH = pa.struct([("keys", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int8())), ("boxes", pa.list_(pa.int64()))])
+_KEYS = {"_id": pa.int64(), "_h1": pa.int64(), "_h2": pa.int64()}
 
-    The records of side -1 and 1 are pages of other ranges: what stands before and after this one.
-    """
-    rows: list[tuple] = []
-    run: list[Page] = []
-    before, at = None, None
-    for range_, side, page in _pages(_records(batches)):
-        if range_ != at:
-            rows += _said(run, before, None) if run else ()
-            run, before, at = [], None, range_
-        if side < 0:
-            before = page
-        elif side > 0:
-            rows += _said(run, before, page) if run else ()
-            run = []
-        elif run and not page.same(run[0]):
-            rows += _said(run, before, page)
-            run, before = [page], run[-1]
-        else:
-            run.append(page)
-        if len(rows) >= 200:
-            yield _batch(rows)
-            rows = []
-    rows += _said(run, before, None) if run else ()
-    if rows:
-        yield _batch(rows)
 
+def _batches(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held: list[dict] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == _ROWS:
+            yield pa.RecordBatch.from_pylist(held, schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema)
 
-_KEYS = {"_range": "long", "_host": "string", "_path": "string", "_id": "long", "_hash": "long"}
-_DIGESTS = {**_KEYS, "digest": "binary"}
-_ENDS = {**_DIGESTS, "kind": "string"}
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([*_KEYS.items(), ("_host", pa.string()), ("_path", pa.string()), ("_digest", pa.binary()), ("_sketch", _SKETCH)])
 
-def _schema(columns: dict[str, str]) -> str:
-    return ", ".join(f"{n} {k}" for n, k in columns.items())
+    def rows() -> Iterator[dict]:
+        for r in _rows(batches):
+            lines = lines_of(r["html"] or "")
+            text = "\n".join(x.text for x in lines if not x.marked)  # what tells pages apart
+            digest = xxhash.xxh128_digest(text.encode("utf-8", "surrogatepass"))
+            yield {**{k: r[k] for k in (*_KEYS, "_host", "_path")}, "_digest": digest, "_sketch": sketch_of(lines)._asdict()}
 
+    yield from _batches(rows(), schema)
 
-def _record(rows: list[dict], columns: dict[str, str]) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds[k]) for n, k in columns.items()], list(columns))
 
+def _gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[dict]:
+        for r in _rows(batches):
+            gone = shared_lines(Sketch(**r["_sketch"]), [Sketch(**r[side]) for side in ("before", "after") if r[side]])
+            if gone:
+                yield {**{k: r[k] for k in _KEYS}, "_gone": gone}
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each page's keys and a digest of its lines, without its html."""
-    for batch in batches:
-        rows = [{**{k: r[k] for k in _KEYS}, "digest": sha256("\n".join(_own_text(lines_of(r["html"] or ""))).encode()).digest()} for r in _records([batch])]
-        if rows:
-            yield _record(rows, _DIGESTS)
+    yield from _batches(rows(), pa.schema([*_KEYS.items(), ("_gone", pa.list_(pa.int32()))]))
 
 
-def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each range the first page ("first") and the last ("last"), and of the host of either the first and the last
-    page with other lines than it ("second", "second last")."""
-    found: dict[str, dict] = {}
-    last = run_before = None
-    changed = False
+def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[dict]:
+        for r in _rows(batches):
+            text = text_of(lines_of(r["html"] or ""), r["_gone"] or [])
+            yield {"page_id": r["page_id"], "url": r["url"], "text": text, "n_chars": len(text)}
 
-    def out() -> pa.RecordBatch:
-        found["last"] = last
-        if run_before and run_before["_host"] == last["_host"]:
-            found["second last"] = run_before
-        return _record([{**r, "kind": kind} for kind, r in found.items()], _ENDS)
+    yield from _batches(rows(), pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())]))
 
-    for batch in batches:
-        for r in batch.to_pylist():
-            if not last or r["_range"] != last["_range"]:
-                if last:
-                    yield out()
-                found, run_before, changed = {"first": r}, None, False
-            elif (r["_host"], r["digest"]) != (last["_host"], last["digest"]):
-                run_before = last
-                if not changed and r["_host"] == found["first"]["_host"]:
-                    found["second"] = r
-                changed = True
-            last = r
-    if last:
-        yield out()
-
-
-def _context(ends: list[dict]) -> list[tuple[int, int, dict]]:
-    """(range, side, page): what each range's first and last runs have before and after them on their host."""
-    by: dict[int, dict[str, dict]] = {}
-    for r in ends:
-        by.setdefault(r["_range"], {})[r["kind"]] = r
-    order = sorted(by)
-    out = []
-    for side, ranges, own, near, next_ in ((-1, order, "first", "last", "second last"), (1, order[::-1], "last", "first", "second")):
-        before: dict | None = None  # the nearest page passed, and below it the nearest one that differs from it
-        other: dict | None = None
-        for k in ranges:
-            edge = by[k][own]
-            for page in (before, other):
-                if page and page["_host"] == edge["_host"]:
-                    if page["digest"] != edge["digest"]:
-                        out.append((k, side, page))
-                        break
-            far = by[k][near]
-            if next_ in by[k]:
-                other = by[k][next_]
-            elif by[k][own]["_host"] != far["_host"]:
-                other = None
-            elif before and before["_host"] == far["_host"]:
-                # one run fills the range
-                other = before if before["digest"] != far["digest"] else other
-            else:
-                other = None
-            before = far
-    return out
+
+def template_lines(pages: DataFrame) -> DataFrame:
+    """(_id, _h1, _h2, _gone): which lines of which of ``pages`` (as ``_keyed`` gives them) are template by differencing."""
+    url = F.coalesce("url", F.lit(""))
+    host = F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1))
+    path = F.regexp_replace(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*([^?#]*)", 1), r"/+$", "")
+    long = "array<long>"
+    schema = f"_id long, _h1 long, _h2 long, _host string, _path string, _digest binary, _sketch struct<keys:{long}, kinds:array<byte>, boxes:{long}>"
+    sketches = pages.select(*_KEYS, host.alias("_host"), path.alias("_path"), "html").mapInArrow(_sketches, schema)
+    order = [F.col(c) for c in ("_host", "_path", *_KEYS)]
+    near = nearest_others(sketches, order, ["_host"], ["_digest"], "_sketch", lambda df: materialize(df, "sketches"))
+    beside = near.where("before is not null or after is not null").select(*_KEYS, "_sketch", "before", "after")
+    # rows that are equal in all keys stand in one run and lose the same lines
+    return beside.mapInArrow(_gone, "_id long, _h1 long, _h2 long, _gone array<int>").dropDuplicates(list(_KEYS))
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "url", "text", "n_chars"])
+def _keyed(pages: DataFrame) -> DataFrame:
+    identity = {"_id": F.coalesce(F.col("page_id").cast("long"), F.lit(-(1 << 63))), "_h1": F.xxhash64("url", "html"), "_h2": F.xxhash64(F.lit(2), "html", "url")}
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", *[v.alias(k) for k, v in identity.items()])
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages`` (page_id, url, html).
 
-    Pages are dealt out by ranges of (host, path), so a host with very many pages is spread over tasks. A first pass
-    finds the pages at the edges of the ranges, and each range gets the nearest page with other text before and after
-    it, so that the ranges make no difference. A page alone on its host is compared with none. A null url is a host of
-    its own, null or empty html has the text "". Repeated rows are repeated pages.
+    Pages are ordered by host and path, so a host with very many pages is spread over tasks; neighbours are found by a scan
+    of that order, over ends of ranges and over runs of pages with equal text. A page alone on its host is compared with
+    none, one at its end with one. A null url is of the host "", null or empty html has the text "". Repeated rows are
+    repeated pages; other columns don't matter.
     """
-    spark = pages.sparkSession
-    url = F.coalesce("url", F.lit(""))
-    host = F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1))
-    path = F.regexp_replace(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*([^?#]*)", 1), r"/+$", "")
-    # the hash orders pages of one id, so that their order never depends on how the rows came
-    keys = {"_host": host, "_path": path, "_id": F.coalesce(F.col("page_id").cast("long"), F.lit(-(1 << 63))), "_hash": F.xxhash64("url", "html")}
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", *[v.alias(k) for k, v in keys.items()])
-    size, count = rows.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0)), F.count("*")).first()
-    ranges = max(1, -(-size // RANGE_BYTES))
-    bounds: list[tuple] = []
-    if ranges > 1:
-        few = rows.select(*keys)
-        some = sorted(tuple(r) for r in (few if count <= 40 * ranges else few.sample(40 * ranges / count, seed=1)).collect())
-        bounds = sorted({some[len(some) * k // ranges] for k in range(1, ranges)}) if some else []
-    range_of = F.udf(lambda *key: bisect_right(bounds, key), "long") if bounds else None
-    rows = rows.withColumn("_range", range_of(*keys) if bounds else F.lit(0).cast("long")).withColumn("_side", F.lit(0))
-    order = ["_range", "_side", *keys]
-    if bounds:
-        digests = rows.mapInArrow(_digests, _schema(_DIGESTS)).repartitionById(ranges, F.col("_range").cast("int")).sortWithinPartitions("_range", *keys)
-        near = _context([r.asDict() for r in digests.mapInArrow(_ends, _schema(_ENDS)).collect()])
-        # a few pages for each range, found again by their keys
-        known = spark.createDataFrame([(*[r[k] for k in _KEYS], k, side) for k, side, r in near], f"{_schema(_KEYS)}, _to long, _at int")
-        context = rows.drop("_side").join(F.broadcast(known), list(_KEYS)).dropDuplicates([*_KEYS, "_to", "_at"]).withColumn("_range", F.col("_to")).withColumn("_side", F.col("_at"))
-        rows = rows.union(context.select(*rows.columns))
-    return rows.repartitionById(ranges, F.col("_range").cast("int")).sortWithinPartitions(*order).mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    rows = _keyed(pages)
+    gone = materialize(template_lines(rows), "template_lines")
+    lines = gone.agg(F.coalesce(F.sum(F.size("_gone")), F.lit(0))).first()[0]
+    joined = rows.join(F.broadcast(gone) if lines <= SENT_LINES else gone, list(_KEYS), "left")
+    return joined.select("page_id", "url", "html", "_gone").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
