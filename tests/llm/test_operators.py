@@ -122,6 +122,25 @@ def test_repeats_random(spark):
         repeat_removal.BLOCK_BYTES = old
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_repeats_of_repeated_ids(spark, seed):
+    """Rows that share a doc_id, also a larger one, lose what rows of smaller doc_ids have and nothing else."""
+    draw = random.Random(seed)
+    part = ["".join(draw.choices("abcdefgh", k=120)) for _ in range(6)]
+    rows = [(draw.choice([1, 5, 5, 5, 7, 9, 9]), "".join(draw.choice(part)[: draw.choice([30, 60, 120])] for _ in range(draw.randrange(1, 6)))) for _ in range(40)]
+    rows += [(1, part[0]), (5, "A" * 60 + part[0] + "B" * 55), (5, "A" * 60 + part[0] + "B" * 55)]
+    want = []
+    for doc, text in rows:
+        known = {t[i : i + 50] for d, t in rows if d < doc for i in range(len(t) - 49)}
+        gone = [False] * len(text)
+        for i in range(len(text) - 49):
+            if text[i : i + 50] in known:
+                gone[i : i + 50] = [True] * 50
+        want.append((doc, len(text), sum(gone), "".join(c for c, g in zip(text, gone, strict=True) if not g).encode()))
+    out = repeat_removal.remove_repeats(spark.createDataFrame(rows, DOC).repartition(3)).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], bytes(r["kept"])) for r in out) == sorted(want)
+
+
 def test_repeats_edges(spark):
     text = "q" * 10 + words(random.Random(1), 40)
     df = spark.createDataFrame([(1, text, 0), (1, text, 1), (None, text, 2), (2, text, 3)], DOC + ", kept int")
@@ -215,6 +234,15 @@ def test_packing(spark, odd_docs):
     assert packing.pack(packing.tokenized_pieces(spark.createDataFrame([], DOC))).count() == 0
 
 
+def test_packing_keeps_columns_of_any_name(spark):
+    rows = spark.range(300).selectExpr("id as _tag", "cast(1 + id % 90 as int) as length", "id * 2 as _u", "'b' as _block", "id as `_rank`", "array(id) as row", "1 as `a.b`", "7 as offset")
+    out = packing.pack(rows, 100)
+    assert out.columns == ["_tag", "length", "_u", "_block", "_rank", "row", "a.b", "sequence_id", "offset"] and dict(out.dtypes)["length"] == "int"
+    got = out.collect()
+    assert sorted(r["_tag"] for r in got) == list(range(300)) and all((r["_u"], r["_block"], r["_rank"], r["row"], r["length"]) == (2 * r["_tag"], "b", r["_tag"], [r["_tag"]], 1 + r["_tag"] % 90) for r in got)
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == 300
+
+
 def test_packing_keeps_other_columns_and_ranks_in_blocks(spark):
     rng = random.Random(2)
     rows = [(rng.choice([5, 300, 1024, 1025, 2048, 700]), i, "x") for i in range(500)]

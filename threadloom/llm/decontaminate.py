@@ -24,8 +24,6 @@ from threadloom.llm.text import cache_for, mix, pieces, words
 MASKS = ("111100011", "1000101111", "11110101")
 #: A passage of so many tokens (the whole item, if shorter) with this share of equal ones is contamination.
 LEAST_TOKENS, LEAST_SHARE = 13, 0.8
-#: Items with fewer tokens are too short to tell from chance and match nothing.
-SHORTEST_ITEM = 5
 #: Text of the items that are sent to all tasks, in bytes; a larger benchmark is joined on its seeds.
 BENCHMARK_BYTES = 8_000_000
 #: Bits of the seeds' hashes by which tasks leave out, before that join, what no item has: 8 MB.
@@ -68,14 +66,42 @@ def short_masks(n: int) -> list[str]:
     return ["".join("0" if x in left_out else "1" for x in parts) for left_out in combinations(range(changed + 2), changed)]
 
 
+class Seeds(NamedTuple):
+    """The items' seeds under one mask, by hash and then by the hash of the seed one token before in the same item."""
+
+    hashes: np.ndarray  # all different ones, in order
+    befores: np.ndarray  # the same of the seeds before
+    key: np.ndarray  # of each seed, in order: number of its hash and of the one before (0: there is none)
+    token: np.ndarray  # where it begins
+    filter: np.ndarray  # by the top 20 bits of a hash, whether a seed has them
+
+
 class Index(NamedTuple):
-    """The items' tokens, and their seeds by hash."""
+    """The items' tokens, and their seeds by mask."""
 
     ids: np.ndarray
     hash: np.ndarray
     begin: np.ndarray  # of each item among the tokens; one more for the end
-    seeds: dict[str, tuple[np.ndarray, ...]]  # mask -> hashes in order, first token, whether the seed before is equal, those where not
-    filter: dict[str, np.ndarray]  # mask -> by the top 20 bits of a hash, whether a seed has them
+    seeds: dict[str, Seeds]
+
+
+def _befores(h: np.ndarray, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each seed the hash of the one that begins a token earlier in its text, and whether there is one."""
+    before, there = np.zeros(len(h), _U), np.zeros(len(h), bool)
+    before[1:] = h[:-1]
+    there[1:] = (at[1:] == at[:-1] + 1) & (doc[at[1:]] == doc[at[:-1]])
+    return before, there
+
+
+def _sorted_seeds(h: np.ndarray, at: np.ndarray, doc: np.ndarray) -> Seeds:
+    before, there = _befores(h, at, doc)
+    hashes, number = np.unique(h, return_inverse=True)
+    befores = np.unique(before[there])
+    key = number * (len(befores) + 1) + np.where(there, np.searchsorted(befores, before) + 1, 0)
+    order = np.argsort(key, kind="stable")
+    filter_ = np.zeros(1 << 20, bool)
+    filter_[(h >> _U(44)).astype(np.int64)] = True
+    return Seeds(hashes, befores, key[order], at[order], filter_)
 
 
 def index(ids: list[int], texts: list[str | None]) -> Index:
@@ -83,49 +109,62 @@ def index(ids: list[int], texts: list[str | None]) -> Index:
     count = np.bincount(w.doc, minlength=len(ids)) if len(ids) else np.zeros(0, np.int64)
     begin = np.concatenate([[0], np.cumsum(count)])
     seeds = {}
-    short = np.unique(count[(count >= SHORTEST_ITEM) & (count < LEAST_TOKENS)])
+    short = np.unique(count[(count > 0) & (count < LEAST_TOKENS)])
     for mask in [*MASKS, *(m for n in short for m in short_masks(int(n)))]:
         h, at = _seeds(w.hash, w.doc, mask)
         size = count[w.doc[at]]
         use = size >= LEAST_TOKENS if mask in MASKS else size == len(mask)
-        again = _repeated(h[use], at[use])
-        order = np.argsort(h[use], kind="stable")
-        seeds[mask] = h[use][order], at[use][order], again[order], np.flatnonzero(~again[order])
-    tables = {}
-    for mask, (h, *_) in seeds.items():
-        tables[mask] = np.zeros(1 << 20, bool)
-        tables[mask][(h >> _U(44)).astype(np.int64)] = True
-    return Index(np.array(ids, np.int64), w.hash, begin, seeds, tables)
+        seeds[mask] = _sorted_seeds(h[use], at[use], w.doc)
+    return Index(np.array(ids, np.int64), w.hash, begin, seeds)
 
 
-def _repeated(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Which seeds have the hash of the one that begins a token earlier."""
-    out = np.zeros(len(h), bool)
-    out[1:] = (h[1:] == h[:-1]) & (at[1:] == at[:-1] + 1)
-    return out
+def _number(of: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each value among ``known``, and whether it is there."""
+    at = np.searchsorted(known, of)
+    return at, (known[np.minimum(at, len(known) - 1)] == of) if len(known) else np.zeros(len(of), bool)
 
 
 def _alignments(hashes: np.ndarray, doc: np.ndarray, known: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, item, token of the document less token of the item) of every alignment with a hit, once each.
 
-    Where both seeds of a hit repeat the ones before them, those are a hit of the same alignment. Leaving such hits out,
-    a stretch of equal words costs as many hits as it has words, not that many times the item's.
+    A hit whose seeds follow on another hit is left out before it is paired up, since it belongs to the same alignment.
+    So a stretch of words that repeat with any period costs as many hits as it has alignments, and not as many as
+    they have tokens. An item of up to four tokens is found whole or not at all, so its first alignment is enough.
     """
-    found = np.zeros((3, 0), np.int64)
-    for mask, (sorted_, first, repeats, fresh) in known.seeds.items():
+    n_items, lowest = len(known.ids), len(known.hash)
+    span = len(hashes) + lowest + 1
+    found = np.zeros(0, np.int64)
+    for mask, seeds in known.seeds.items():
         h, at = _seeds(hashes, doc, mask)
-        again = _repeated(h, at)
-        maybe = known.filter[mask][(h >> _U(44)).astype(np.int64)]
-        for use, hash_, token in ((maybe & ~again, sorted_, first), (maybe & again, sorted_[fresh], first[fresh])):
-            low, high = np.searchsorted(hash_, h[use], "left"), np.searchsorted(hash_, h[use], "right")
-            n, own = high - low, at[use]
+        before, there = _befores(h, at, doc)
+        maybe = seeds.filter[(h >> _U(44)).astype(np.int64)]
+        h, at, before, there = h[maybe], at[maybe], before[maybe], there[maybe]
+        number, is_known = _number(h, seeds.hashes)
+        number, at, before, there = number[is_known], at[is_known], before[is_known], there[is_known]
+        width = len(seeds.befores) + 1
+        place, follows = _number(before, seeds.befores)
+        follows &= there
+        low, high = np.searchsorted(seeds.key, number * width), np.searchsorted(seeds.key, (number + 1) * width)
+        # of the seeds with this hash those that follow on the same seed stand together
+        own = number * width + place + 1
+        skip, resume = np.where(follows, np.searchsorted(seeds.key, own), high), np.where(follows, np.searchsorted(seeds.key, own, "right"), high)
+        for start, stop in ((low, skip), (resume, high)):
+            n = stop - start
             for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n) // HITS_AT_ONCE)) + 1):
                 many = n[part]
-                left = np.repeat(own[part], many)
-                right = token[np.repeat(low[part] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+                left = np.repeat(at[part], many)
+                right = seeds.token[np.repeat(start[part] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+                if not len(left):
+                    continue
                 item = np.searchsorted(known.begin, right, "right") - 1
-                found = np.unique(np.concatenate([found, np.stack([doc[left], item, left - right])], 1), axis=1) if len(left) else found
-    return tuple(found)
+                code = (doc[left] * n_items + item) * span + (left - right + lowest)
+                if "0" not in mask:  # exact: hits are in order of the document
+                    pair = code // span
+                    order = np.lexsort((code, pair))
+                    code = code[order][np.concatenate([[True], np.diff(pair[order]) > 0])]
+                found = np.union1d(found, code)
+    pair, shift = np.divmod(found, span)
+    return pair // max(n_items, 1), pair % max(n_items, 1), shift - lowest
 
 
 def _passage(equal: np.ndarray, least: int) -> tuple[int, int] | None:
@@ -174,8 +213,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``docs`` (doc_id, text) and ``benchmark`` (item_id, text). Tokens are runs of letters and digits in lower case. A
     passage is ``LEAST_TOKENS`` tokens or the whole item, if shorter, of which ``LEAST_SHARE`` are equal at the same
     distance; ``start_token``, ``n_tokens`` and ``n_equal`` tell where it is and how alike. Among passages the one with
-    most equal tokens counts, then the shorter, then the first. Texts of one item_id are items of their own. Null and empty texts, rows without an id and items
-    with fewer than ``SHORTEST_ITEM`` tokens match nothing. Repeated rows of documents give repeated rows.
+    most equal tokens counts, then the shorter, then the first. Texts of one item_id are items of their own. An item of one to four tokens is found where
+    it stands without a change. Null and empty texts, texts without a token and rows without an id match nothing.
+    Repeated rows of documents give repeated rows.
     """
     spark = docs.sparkSession
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
@@ -195,6 +235,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return texts.mapInArrow(search, _FOUND)
 
 
+def _nullable(values: np.ndarray, there: np.ndarray) -> pa.Array:
+    return pa.array(values.astype(np.int64), mask=~there)
+
+
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
     types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
@@ -208,7 +252,7 @@ def _found_by_join(texts: DataFrame, items: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     items = items.withColumn("item", F.xxhash64("item_id", "text"))
     texts = texts.withColumn("doc", F.xxhash64("doc_id", "text"))
-    lengths = list(range(SHORTEST_ITEM, LEAST_TOKENS))
+    lengths = list(range(1, LEAST_TOKENS))
     every = [*MASKS, *dict.fromkeys(m for n in lengths for m in short_masks(n))]
 
     def item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,9 +265,9 @@ def _found_by_join(texts: DataFrame, items: DataFrame) -> DataFrame:
                     size = count[w.doc[at]]
                     use = size >= LEAST_TOKENS if mask in MASKS else size == len(mask)
                     h, at = h[use], at[use]
-                    yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), piece["item"].take(pa.array(w.doc[at])), pa.array(at - begin[w.doc[at]]), pa.array(_repeated(h, at))], ["hash", "item", "item_at", "item_again"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), piece["item"].take(pa.array(w.doc[at])), pa.array(at - begin[w.doc[at]]), _nullable(*_befores(h, at, w.doc))], ["hash", "item", "item_at", "item_before"])
 
-    seeds = materialize(items.select("item", "text").mapInArrow(item_seeds, "hash long, item long, item_at long, item_again boolean"), "seeds")
+    seeds = materialize(items.select("item", "text").mapInArrow(item_seeds, "hash long, item long, item_at long, item_before long"), "seeds")
     top = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
     words_ = seeds.select(F.shiftright(top, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - FILTER_BITS}) & 63 as int))").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
     there = np.zeros(1 << (FILTER_BITS - 6), np.int64)
@@ -239,13 +283,13 @@ def _found_by_join(texts: DataFrame, items: DataFrame) -> DataFrame:
                 begin = np.searchsorted(w.doc, np.arange(piece.num_rows))
                 for mask in every:
                     h, at = _seeds(w.hash, w.doc, mask)
-                    again = _repeated(h, at)
+                    before, there = _befores(h, at, w.doc)
                     bit = (h >> _U(64 - FILTER_BITS)).astype(np.int64)
                     use = sent.value[bit >> 6] >> (bit & 63) & 1 == 1
-                    h, at, again = h[use], at[use], again[use]
-                    yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), piece["doc"].take(pa.array(w.doc[at])), pa.array(at - begin[w.doc[at]]), pa.array(again)], ["hash", "doc", "doc_at", "doc_again"])
+                    h, at, before, there = h[use], at[use], before[use], there[use]
+                    yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), piece["doc"].take(pa.array(w.doc[at])), pa.array(at - begin[w.doc[at]]), _nullable(before, there)], ["hash", "doc", "doc_at", "doc_before"])
 
-    hits = texts.select("doc", "text").distinct().mapInArrow(doc_seeds, "hash long, doc long, doc_at long, doc_again boolean").join(seeds, "hash").where("not (doc_again and item_again)")
+    hits = texts.select("doc", "text").distinct().mapInArrow(doc_seeds, "hash long, doc long, doc_at long, doc_before long").join(seeds, "hash").where("not coalesce(doc_before = item_before, false)")
     shifts = hits.select("doc", "item", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
     # as many alignments as two texts have tokens, at most
     pairs = materialize(shifts.groupBy("doc", "item").agg(F.sort_array(F.collect_list("shift")).alias("shifts")), "alignments")

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadloom.llm.storage import materialize
 from threadloom.llm.text import pieces
@@ -236,34 +237,36 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Append ``sequence_id`` (long) and ``offset`` (long) to every row of ``rows``, which has ``length`` from 1 to ``capacity``.
 
     Rows of one length are interchangeable for the plan; among them a random order decides. In each sequence the
-    offsets are gapless from 0. Lengths without rows cost nothing; an empty table stays empty.
+    offsets are gapless from 0. All other columns of ``rows`` come back as they are, whatever they are called; columns
+    named like the new ones are replaced. Lengths without rows cost nothing; an empty table stays empty.
     """
-    rows = materialize(rows.drop("sequence_id", "offset").withColumn("_u", F.rand(5)), "pieces")
+    given = rows.drop("sequence_id", "offset")
+    whole = F.struct(*[F.col(f"`{c}`") for c in given.columns]).alias("row")  # apart from the columns used here
+    rows = materialize(given.select(whole, F.col("length").cast("long").alias("length"), F.rand(5).alias("u")), "pieces")
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # `capacity` rows at most
     lengths = np.array(sorted(counts), np.int64)
     plan, _, _ = make_plan(lengths, np.array([counts[n] for n in lengths.tolist()], np.int64), capacity)
     # Ranks: a length may hold a third of all rows, so it is ranked in blocks.
     many = {n: ceil(c / RANK_ROWS) for n, c in counts.items() if c > RANK_ROWS}
     blocks = F.coalesce(F.create_map(*[F.lit(x) for kv in many.items() for x in kv])[F.col("length")], F.lit(1)) if many else F.lit(1)
-    rows = rows.withColumn("_block", F.floor(F.col("_u") * blocks).cast("int"))
-    sizes = rows.groupBy("length", "_block").agg(F.count("*").alias("_n"))
-    starts = sizes.select("length", "_block", (F.sum("_n").over(Window.partitionBy("length").orderBy("_block")) - F.col("_n")).alias("_start"))
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_block").orderBy("_u")) - 1)
-    ranked = ranked.join(starts, ["length", "_block"]).withColumn("_rank", F.col("_rank") + F.col("_start"))
+    rows = rows.withColumn("block", F.floor(F.col("u") * blocks).cast("int"))
+    sizes = rows.groupBy("length", "block").agg(F.count("*").alias("n"))
+    starts = sizes.select("length", "block", (F.sum("n").over(Window.partitionBy("length").orderBy("block")) - F.col("n")).alias("start"))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("length", "block").orderBy("u")) - 1)
+    ranked = ranked.join(starts, ["length", "block"]).select("row", "length", (F.col("rank") + F.col("start")).alias("rank"))
     sent = rows.sparkSession.sparkContext.broadcast(plan)
-    kept = [c for c in rows.columns if not c.startswith("_")]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = sent.value
         high = int(p.first.max(initial=0)) + 1 if len(p.first) else 1
         for batch in batches:
-            n, rank = batch["length"].to_numpy(), batch["_rank"].to_numpy()
+            n, rank = batch["length"].to_numpy(), batch["rank"].to_numpy()
             # the last interval of the length that begins at or before the rank
             at = np.searchsorted(p.length.astype(float) * (high + 1.0) + p.first, n * (high + 1.0) + np.minimum(rank, high), "right") - 1
             inside = rank - p.first[at]
             sequence = p.sequence[at] + inside // p.each[at]
             offset = p.offset[at] + inside % p.each[at] * n
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(sequence), pa.array(offset)], [*kept, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(sequence), pa.array(offset)], ["row", "sequence_id", "offset"])
 
-    schema = rows.select(*kept).withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema
-    return ranked.select(*kept, "_rank").mapInArrow(place, schema)
+    schema = T.StructType([rows.schema["row"], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return ranked.mapInArrow(place, schema).select("row.*", "sequence_id", "offset")

@@ -192,10 +192,11 @@ class Block:
         return np.cumsum(change[:size]) > 0
 
     def _again(self, out: np.ndarray, first: np.ndarray, change: np.ndarray) -> None:
-        """Carry a lead run's windows over to further runs of the same content in the leading document."""
+        """Carry a lead run's windows over to further runs of the same content in documents with the leading doc_id."""
         entry_of = np.empty(len(self.starts), np.int64)
         entry_of[self.order] = self.entry
-        twins = self.order[(self.run_doc[self.order] == self.run_doc[self.lead][self.entry]) & (self.order != self.lead[self.entry])]
+        # rows may share the leading doc_id; they don't remove from one another either
+        twins = self.order[(self.ids[self.run_doc[self.order]] == self.ids[self.run_doc[self.lead]][self.entry]) & (self.order != self.lead[self.entry])]
         if not len(twins):
             return
         gone = np.zeros(len(self.data) + 1, np.int64)
