@@ -140,10 +140,14 @@ def message_population(patterns: DataFrame) -> DataFrame:
     return patterns.select(values).select("x.*").groupBy("measure", "value").agg(F.count("*").alias("dates"))
 
 
-def multi_attachments(linked: DataFrame) -> DataFrame:
-    """One row: messages with attachments, those with several, and the most on one; ``linked`` has (message_id, ordinal)."""
+def multi_attachments(messages: DataFrame, linked: DataFrame) -> DataFrame:
+    """One row: messages, those without an attachment, those with several, and the most on one; ``messages`` has message_id,
+    ``linked`` a row (message_id) for each attachment."""
     per = linked.groupBy("message_id").agg(F.count("*").alias("n"))
-    return per.agg(F.count("*").alias("messages"), counted(F.col("n") > 1).alias("with_several"), F.coalesce(F.max("n"), F.lit(0)).alias("most"))
+    n = F.coalesce("n", F.lit(0))
+    return messages.select("message_id").join(per, "message_id", "left").agg(
+        F.count("*").alias("messages"), counted(n == 0).alias("without"), counted(n > 1).alias("with_several"), F.coalesce(F.max(n), F.lit(0)).alias("most")
+    )
 
 
 def source_populations(files: DataFrame, groups: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from threadloom.sources.chats import PLACEHOLDER
 DEVICE_GROUPS = {1: 501, 2: 501, 3: 502, 4: 503}
 #: The participant whose messages are outgoing.
 LOCAL = 1
+#: The sender of ``system`` turns where every attachment must have one.
+SYSTEM = 3
 #: How all rows are laid over dates. Under DENSE, files keep the dates of the events and messages fall on 36 dates, so
 #: that every date has very many of both. Under the others dates grow in number with the rows: so many files a date in
 #: a row, and each conversation on its own dates (a date for two turns under ORDER, one for all under GATE).
@@ -59,6 +61,11 @@ def attachments(spark: SparkSession, sf_dir: str, dates: int = DENSE) -> DataFra
     )
 
 
+def sent_attachments(spark: SparkSession, sf_dir: str, dates: int = DENSE) -> DataFrame:
+    """All attachments, each with a sender: ``system`` turns have one of their own (``SYSTEM``)."""
+    return attachments(spark, sf_dir, dates).withColumn("sender_id", F.coalesce("sender_id", F.lit(SYSTEM).cast("long")))
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """message_id, conversation_id (1 or 2), sequence_number, message_time as text, sender_id; every turn is a message."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role")
@@ -72,11 +79,13 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def message_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """attachment_id, message_id, ordinal, status: two turns in three have an attachment, one in five of those a second;
-    one in seven is resolved."""
-    m = messages(spark, sf_dir).where("message_id % 3 <> 0")
-    ordinals = F.explode(F.when(F.col("message_id") % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("ordinal")
-    return m.select("message_id", ordinals).select((F.col("message_id") * 10 + F.col("ordinal")).alias("attachment_id"), "message_id", "ordinal", F.when((F.col("message_id") + F.col("ordinal")) % 7 == 0, "Resolved").otherwise("Unresolved").alias("status"))
+    """attachment_id, message_id, ordinal, status of all messages' attachments: one turn in three has none, of the others one
+    in five has two; one in seven is resolved."""
+    none, one, two = (F.array(*[F.lit(i) for i in x]).cast("array<int>") for x in ((), (1,), (1, 2)))
+    ordinals = F.when(F.col("message_id") % 3 == 0, none).when(F.col("message_id") % 5 == 0, two).otherwise(one)
+    linked = messages(spark, sf_dir).select("message_id", F.explode(ordinals).alias("ordinal"))
+    status = F.when((F.col("message_id") + F.col("ordinal")) % 7 == 0, "Resolved").otherwise("Unresolved")
+    return linked.select((F.col("message_id") * 10 + F.col("ordinal")).alias("attachment_id"), "message_id", "ordinal", status.alias("status"))
 
 
 def chat_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,13 +120,14 @@ tokens AS (SELECT *, CASE WHEN regexp_full_match(suffix, '[0-9]{{4}}') THEN CAST
 
 _ATTACHMENTS = """attachments AS (SELECT conv_id * 100 + turn AS attachment_id, conv_id * 100 + turn + 1 AS sequence_number,
  CAST(DATE '%first' + CAST(%message_day AS INTEGER) AS DATE) AS message_date,
- CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 END AS sender_id FROM conversations)"""
+ CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 END AS sender_id FROM conversations),
+sent AS (SELECT * REPLACE (coalesce(sender_id, 3) AS sender_id) FROM attachments)"""
 
 _GROUPS = "device_groups AS (SELECT * FROM (VALUES (1, 501), (2, 501), (3, 502), (4, 503)) g(source_id, group_id))"
 
 
 def oracle(body: str, dates: int = DENSE, message_dates: int | None = None) -> str:
-    """``body`` (further WITH parts and a SELECT) over the views files, tokens, attachments and device_groups; messages lie
+    """``body`` (further WITH parts and a SELECT) over the views files, tokens, attachments, sent (the same, each with a sender) and device_groups; messages lie
     over the files' kind of dates, or over another."""
     said = dates if message_dates is None else message_dates
     day = f"CAST(DATE '2000-01-01' + CAST((event_id // {dates}) % {DATES} AS INTEGER) AS DATE)" if dates else "CAST(ts AS DATE)"

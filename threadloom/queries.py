@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.names import DATED_SOURCE, file_date
 from threadloom.operators import evidence, gate, guards, matching, names, scope, sequence
-from threadloom.plans.views import DENSE, GATE, LOCAL, MESSAGE_SQL, ORDER, attachments, chat_exports, device_groups, media_files, message_attachments, messages, oracle
+from threadloom.plans.views import DENSE, GATE, LOCAL, MESSAGE_SQL, ORDER, attachments, chat_exports, device_groups, media_files, message_attachments, messages, oracle, sent_attachments
 from threadloom.sources import inventory, workspace
 from threadloom.sources.chats import parse_messages, parse_problems
 
@@ -171,7 +171,7 @@ _files(sequence.namespaces, """, k AS (SELECT file_date, token, bool_or(is_sent)
 def _assign(agreeing: bool = False) -> str:
     """Groups (a) and their numbered positions (pos); with ``agreeing``, only copies that record the direction hold a position."""
     only = " AND (own.direction = 'Outgoing') = is_sent" if agreeing else ""
-    return _REL + f""", m AS (SELECT message_date, direction, count(DISTINCT attachment_id) AS messages FROM rel WHERE direction <> 'Unknown' GROUP BY 1, 2),
+    return _REL.replace("FROM attachments", "FROM sent") + f""", m AS (SELECT message_date, direction, count(DISTINCT attachment_id) AS messages FROM rel WHERE direction <> 'Unknown' GROUP BY 1, 2),
  own AS (SELECT DISTINCT message_date, direction, asset_id FROM rel WHERE compatibility = 'Compatible' AND direction <> 'Unknown'), n AS (SELECT message_date, direction, count(*) AS assets FROM own GROUP BY 1, 2),
  held AS (SELECT DISTINCT own.*, token FROM own JOIN tokens t ON t.asset_id = own.asset_id AND t.file_date = own.message_date AND token IS NOT NULL{only}), p AS (SELECT message_date, direction, count(DISTINCT token) AS positions FROM held GROUP BY 1, 2),
  pos AS (SELECT *, dense_rank() OVER (PARTITION BY message_date, direction ORDER BY token) AS at, count(*) OVER (PARTITION BY message_date, direction, token) AS seated FROM held),
@@ -183,8 +183,7 @@ def _assign(agreeing: bool = False) -> str:
  narrowed AS (SELECT *, CASE WHEN possible_assets = assets THEN 'NoReduction' WHEN possible_assets = 1 THEN 'Unique' ELSE 'Reduced' END AS narrowing FROM unions)"""
 
 
-_sent_by_someone = lambda s, d, dates: attachments(s, d, dates).where("sender_id is not null")
-_assigned = lambda s, d, dates=GATE, agreeing=False: sequence.assignment_groups(_sent_by_someone(s, d, dates), media_files(s, d, dates), LOCAL, agreeing)
+_assigned = lambda s, d, dates=GATE, agreeing=False: sequence.assignment_groups(sent_attachments(s, d, dates), media_files(s, d, dates), LOCAL, agreeing)
 _GROUPED = " SELECT message_date, direction, messages, assets, positions, state, slack FROM a"
 _add("assignment_groups", lambda s, d: _assigned(s, d, DENSE).drop("seats"), _assign() + _GROUPED)
 _add("agreeing_assignment_groups", lambda s, d: _assigned(s, d, DENSE, True).drop("seats"), _assign(True) + _GROUPED)
@@ -194,13 +193,13 @@ _add("assignment_seats", lambda s, d: _SEATS(_assigned(s, d)), _assign() + " SEL
 _add("assignment_counts", lambda s, d: sequence.assignment_counts(_assigned(s, d)))
 
 # The gate.
-_SIDES = ", msg AS (SELECT message_date, string_agg(CASE WHEN sender_id = 1 THEN 'O' ELSE 'I' END, '' ORDER BY sequence_number, attachment_id) AS pattern FROM attachments WHERE sender_id IS NOT NULL GROUP BY 1)"
-_add("message_patterns", lambda s, d: gate.message_patterns(_sent_by_someone(s, d, GATE), LOCAL), _SIDES + " SELECT * FROM msg", GATE)
+_SIDES = ", msg AS (SELECT message_date, string_agg(CASE WHEN sender_id = 1 THEN 'O' ELSE 'I' END, '' ORDER BY sequence_number, attachment_id) AS pattern FROM sent GROUP BY 1)"
+_add("message_patterns", lambda s, d: gate.message_patterns(sent_attachments(s, d, GATE), LOCAL), _SIDES + " SELECT * FROM msg", GATE)
 _POS = _T + """, pos AS (SELECT scope, scope_key, file_date, token, count(*) FILTER (is_sent) AS sent, count(*) FILTER (NOT is_sent) AS not_sent, count(*) FILTER (is_sent IS NULL) AS unknown
  FROM (SELECT 'SourceDate' AS scope, CAST(source_id AS BIGINT) AS scope_key, * FROM t UNION ALL SELECT 'DeviceGroupDate', CAST(group_id AS BIGINT), * FROM t) GROUP BY 1, 2, 3, 4),
  labels AS (SELECT *, CASE WHEN sent > 0 AND not_sent > 0 THEN 'Conflict' WHEN sent > 0 THEN 'O' WHEN not_sent > 0 THEN 'I' ELSE 'Unlabelled' END AS label FROM pos)"""
 _add("logical_positions", lambda s, d: gate.logical_positions(media_files(s, d), device_groups(s)), _POS + " SELECT * FROM labels")
-_pairs = lambda s, d: gate.pairs(_sent_by_someone(s, d, GATE), media_files(s, d, GATE), device_groups(s), LOCAL)
+_pairs = lambda s, d: gate.pairs(sent_attachments(s, d, GATE), media_files(s, d, GATE), device_groups(s), LOCAL)
 _PAIRS = _POS + _SIDES + """, shapes AS (SELECT scope, scope_key, file_date, count(*) FILTER (label = 'Conflict') AS conflicts, count(*) FILTER (label = 'Unlabelled') AS unlabelled, CAST(sum(sent) AS BIGINT) AS sent_copies, CAST(sum(not_sent) AS BIGINT) AS not_sent_copies, string_agg(label, '' ORDER BY token) FILTER (label IN ('O', 'I')) AS token_pattern FROM labels GROUP BY 1, 2, 3),
  keyed AS (SELECT DISTINCT 'SourceDate' AS scope, CAST(source_id AS BIGINT) AS scope_key FROM files UNION SELECT 'DeviceGroupDate', CAST(group_id AS BIGINT) FROM files JOIN device_groups USING (source_id)),
  every AS (SELECT scope, scope_key, message_date AS file_date FROM keyed, msg UNION SELECT scope, scope_key, file_date FROM shapes),
@@ -235,7 +234,7 @@ _gate("conversation_share", gate.conversation_share, ", d AS (SELECT scope, symb
 _gate("shortfalls", gate.shortfalls, " SELECT scope, count(*) AS pairs, " + ", ".join(f"CAST(sum(greatest(0, {w} - {h})) AS BIGINT) AS {n}" for n, h, w in (("outgoing_before", "sent_copies", "m_out"), ("incoming_before", "not_sent_copies", "m_in"), ("outgoing_after", "t_out", "m_out"), ("incoming_after", "t_in", "m_in")))
       + ", count(*) FILTER (supply_copies AND NOT supply_positions) AS become_insufficient, count(*) FILTER (NOT supply_copies AND supply_positions) AS become_sufficient, CAST(coalesce(sum(symbols) FILTER (supply_copies AND NOT supply_positions), 0) AS BIGINT) AS symbols_lost FROM measured GROUP BY 1")
 _gate("shortfall_differences", gate.shortfall_differences, f", d AS (SELECT scope, t_out + t_in - symbols AS n FROM measured) SELECT scope, {_DIFFERENCES} FROM d GROUP BY 1")
-_add("message_population", lambda s, d: gate.message_population(gate.message_patterns(_sent_by_someone(s, d, GATE), LOCAL)), _SIDES + ", r AS (SELECT pattern, CAST(len(regexp_extract_all(pattern, 'O+|I+')) AS BIGINT) AS runs FROM msg), v AS (SELECT 'length' AS measure, CAST(length(pattern) AS VARCHAR) AS value FROM r UNION ALL SELECT 'runs', CAST(runs AS VARCHAR) FROM r UNION ALL SELECT 'transitions', CAST(runs - 1 AS VARCHAR) FROM r"
+_add("message_population", lambda s, d: gate.message_population(gate.message_patterns(sent_attachments(s, d, GATE), LOCAL)), _SIDES + ", r AS (SELECT pattern, CAST(len(regexp_extract_all(pattern, 'O+|I+')) AS BIGINT) AS runs FROM msg), v AS (SELECT 'length' AS measure, CAST(length(pattern) AS VARCHAR) AS value FROM r UNION ALL SELECT 'runs', CAST(runs AS VARCHAR) FROM r UNION ALL SELECT 'transitions', CAST(runs - 1 AS VARCHAR) FROM r"
      " UNION ALL SELECT 'directions', CASE WHEN NOT contains(pattern, 'I') THEN 'OutgoingOnly' WHEN NOT contains(pattern, 'O') THEN 'IncomingOnly' ELSE 'Both' END FROM r) SELECT measure, value, count(*) AS dates FROM v GROUP BY 1, 2", GATE)
 _add("determinacy", lambda s, d: gate.determinacy(gate.reference_counts(_pairs(s, d))))
 _gate("burstiness_summary", lambda p: gate.burstiness_summary(gate.reference_counts(p)), f", d AS (SELECT scope, token_runs - (1 + 2 * t_out * t_in / (t_out + t_in)) AS n FROM pairs WHERE state = 'Classified') SELECT scope, {_DIFFERENCES} FROM d GROUP BY 1")
@@ -264,7 +263,7 @@ _over(sequence.assignment_bands, f", v AS (SELECT side, 'assets' AS measure, ass
 _over(sequence.feasibility, " SELECT side AS direction, state, count(*) AS groups, CAST(sum(messages) AS BIGINT) AS messages, CAST(sum(messages * assets) AS BIGINT) AS relations FROM halves GROUP BY 1, 2")
 _over(sequence.slack_bands, ", v AS (SELECT side, messages, positions - messages AS n FROM halves) SELECT side AS direction, CASE WHEN n < 0 THEN '<0' WHEN n <= 2 THEN CAST(n AS VARCHAR) WHEN n <= 5 THEN '3-5' WHEN n <= 10 THEN '6-10' WHEN n <= 25 THEN '11-25' ELSE '>25' END AS band, count(*) AS groups, CAST(sum(messages) AS BIGINT) AS messages FROM v GROUP BY 1, 2")
 # whole conversations on dates with few files, so that places are too few
-_add("shortfall_bands", lambda s, d: sequence.shortfall_bands(sequence.assignment_groups(_sent_by_someone(s, d, GATE), media_files(s, d, ORDER), LOCAL)))
+_add("shortfall_bands", lambda s, d: sequence.shortfall_bands(sequence.assignment_groups(sent_attachments(s, d, GATE), media_files(s, d, ORDER), LOCAL)))
 ORACLE_SQL["shortfall_bands"] = oracle(_assign() + ", v AS (SELECT side, messages - positions AS n FROM halves WHERE state = 'TooFewPositions') SELECT side AS direction, CASE WHEN n <= 5 THEN '1-5' WHEN n <= 10 THEN '6-10' WHEN n <= 25 THEN '11-25' ELSE '>25' END AS band, count(*) AS groups FROM v GROUP BY 1, 2", ORDER, GATE)
 _over(sequence.multiplicity, """, per AS (SELECT direction AS side, message_date, direction, asset_id, count(*) AS n FROM pos GROUP BY ALL UNION ALL SELECT NULL, message_date, direction, asset_id, count(*) FROM pos GROUP BY message_date, direction, asset_id),
  hv AS (SELECT direction AS side, message_date, direction, count(DISTINCT token) AS n FROM pos WHERE seated > 1 GROUP BY ALL UNION ALL SELECT NULL, message_date, direction, count(DISTINCT token) FROM pos WHERE seated > 1 GROUP BY message_date, direction),
@@ -310,8 +309,8 @@ QUERIES["imported_attachments"] = lambda s, d: workspace.placeholder_attachments
 ORACLE_SQL["imported_attachments"] = _oracle_with(_IMPORT, " SELECT doc, sequence_number, 1 AS ordinal, 'Unresolved' AS status FROM parsed WHERE content = '<Media omitted>'")
 _add("unresolved_scope", lambda s, d: matching.unresolved_scope(message_attachments(s, d), messages(s, d), media_files(s, d), 1), f", {MESSAGE_SQL}, u AS (SELECT * FROM linked JOIN messages USING (message_id) WHERE status = 'Unresolved'), media AS (SELECT DISTINCT file_date FROM files WHERE file_date IS NOT NULL AND size > 0)"
      " SELECT count(*) FILTER (conversation_id = 1) AS in_conversation, count(*) AS in_workspace, count(*) FILTER (conversation_id <> 1) AS elsewhere, count(*) FILTER (conversation_id = 1 AND sender_id IS NULL) AS without_sender, count(DISTINCT message_date) FILTER (conversation_id = 1) AS attachment_dates, (SELECT count(DISTINCT message_date) FROM messages WHERE conversation_id = 1) AS conversation_dates, count(*) FILTER (conversation_id = 1 AND message_date NOT IN (SELECT file_date FROM media)) AS on_dates_without_media FROM u")
-QUERIES["multi_attachments"] = lambda s, d: gate.multi_attachments(message_attachments(s, d))
-ORACLE_SQL["multi_attachments"] = _oracle_with(MESSAGE_SQL, ", c AS (SELECT count(*) AS n FROM linked GROUP BY message_id) SELECT count(*) AS messages, count(*) FILTER (n > 1) AS with_several, coalesce(max(n), 0) AS most FROM c")
+QUERIES["multi_attachments"] = lambda s, d: gate.multi_attachments(messages(s, d), message_attachments(s, d))
+ORACLE_SQL["multi_attachments"] = _oracle_with(MESSAGE_SQL, ", c AS (SELECT messages.message_id, count(linked.message_id) AS n FROM messages LEFT JOIN linked USING (message_id) GROUP BY 1) SELECT count(*) AS messages, count(*) FILTER (n = 0) AS without, count(*) FILTER (n > 1) AS with_several, coalesce(max(n), 0) AS most FROM c")
 _hashed = lambda s, d: media_files(s, d).select("file_id", "source_id", F.col("name").alias("path"), F.when(F.col("file_id") % 9 != 0, F.concat(F.when(F.col("file_id") % 2 == 0, "ab").otherwise("AB"), F.col("asset_id").cast("string"))).alias("sha256"), (F.col("size") + F.when(F.col("file_id") % 31 == 0, 1).otherwise(0)).alias("size"), "media_type")
 _add("content_assets", lambda s, d: evidence.content_assets(_hashed(s, d)), """, h AS (SELECT file_id, source_id, name, 'AB' || asset_id AS sha256, size + CASE WHEN file_id % 31 = 0 THEN 1 ELSE 0 END AS size, media_type FROM files WHERE file_id % 9 <> 0),
  f AS (SELECT sha256, first(file_id ORDER BY source_id, name, file_id) AS asset_file_id, first(size ORDER BY source_id, name, file_id) AS asset_size, first(media_type ORDER BY source_id, name, file_id) AS asset_media_type FROM h GROUP BY 1)
@@ -348,7 +347,7 @@ def _guards(s: SparkSession, d: str, faults: bool) -> DataFrame:
         groups = groups.where("source_id <> 4").union(s.createDataFrame([(1, 502), (9, 509)], "source_id long, group_id long"))
     m = messages(s, d)
     asked = s.createDataFrame([(1, 1), (2, 2), *([(1, 7), (5, 1)] if faults else [])], "conversation_id long, local_id long")
-    a, people = attachments(s, d).where("sender_id is not null" if not faults else "true"), m.where("sender_id is not null").select("conversation_id", F.col("sender_id").alias("participant_id")).distinct()
+    a, people = attachments(s, d) if faults else sent_attachments(s, d), m.where("sender_id is not null").select("conversation_id", F.col("sender_id").alias("participant_id")).distinct()
     order_attachments, order_files = attachments(s, d, ORDER), media_files(s, d, ORDER)
     cohort = sequence.cohort_groups(order_attachments, order_files, LOCAL)
     cohort = cohort.withColumn("last_asset_id", F.col("last_asset_id") + F.when(at("asset_id % 5 = 0"), 1).otherwise(0)).withColumn("direction", F.when(at("asset_id % 7 = 0"), F.when(F.col("direction") == "Outgoing", "Incoming").otherwise("Outgoing")).otherwise(F.col("direction")))
