@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from threadloom.functions.ordered import number_rows
+from threadloom.functions.ordered import nearest_others, number_rows
 
 
 def numbered(spark, rows):
@@ -24,3 +24,26 @@ def test_numbers_with_ties_and_repeated_rows(spark):
 
 def test_no_rows(spark):
     assert numbered(spark, []) == []
+
+
+def others(rows):
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    out = []
+    for i, (host, place, text) in enumerate(rows):
+        near = []
+        for side in (range(i - 1, -1, -1), range(i + 1, len(rows))):
+            j = next((j for j in side if (rows[j][0], rows[j][2]) != (host, text)), None)
+            near.append(rows[j][1] if j is not None and rows[j][0] == host else None)
+        out.append((place, *near))
+    return sorted(out)
+
+
+def test_nearest_others_over_ranges(spark):
+    """Long runs over several ranges, groups of one kind, nulls."""
+    draw = random.Random(4)
+    for n, kinds in ((1, 2), (40, 1), (60, 2), (400, 3), (400, 40)):
+        rows = [(draw.choice([None, "a", "a", "b"]), i, draw.choice([None, *range(kinds)]) if i % 90 < 30 else 0) for i in range(n)]
+        df = spark.createDataFrame(rows, "host string, place long, text long").repartition(3).withColumn("before", F.lit(1))
+        out = nearest_others(df, [F.asc_nulls_first("host"), F.col("place")], ["host"], ["text"], "place", lambda t: t.checkpoint())
+        assert sorted((r["place"], r["before"], r["after"]) for r in out.collect()) == others(rows)
+    assert nearest_others(df.where("false"), [F.asc("host"), F.col("place")], ["host"], ["text"], "place", lambda t: t.checkpoint()).collect() == []

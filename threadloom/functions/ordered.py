@@ -33,3 +33,42 @@ def number_rows(rows: DataFrame, order: list[Column], keep: Callable[[DataFrame]
     joined = placed.withColumn("__part", part).join(F.broadcast(offsets), "__part")
     within = F.col("__place").bitwiseAND(F.lit((1 << _PLACES) - 1))
     return joined.withColumn(name, (F.col("__before") + within + 1).cast("long")).drop("__part", "__place", "__rows", "__before")
+
+
+def nearest_others(rows: DataFrame, order: list[Column], within: list[str], kind: list[str], value: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Append ``before`` and ``after``: ``value`` of the nearest row on either side of ``order`` that is in the same
+    group (``within``) and of another ``kind``; null where there is none.
+
+    ``order`` begins with the columns of ``within``, so groups stand together; nulls count as equal. Rows of one kind may
+    stand in a run over many ranges. What a range's first and last runs need from other ranges is carried over in a table
+    with a row for each range; ``keep`` is as in ``number_rows``. Columns named ``before`` and ``after`` are replaced.
+    """
+    rows = rows.drop("before", "after")
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = keep(ranged.withColumn("__place", F.monotonically_increasing_id()))
+    here = F.struct(F.struct(*within).alias("group"), F.struct(*kind).alias("kind"), F.col(value).alias("value"))
+    placed = placed.withColumn("__part", F.shiftright("__place", _PLACES)).withColumn("__here", here)
+    out = placed
+    for name, forward in (("before", True), ("after", False)):
+        by = Window.partitionBy("__part").orderBy("__place" if forward else F.desc("__place"))
+        last = F.lag("__here").over(by)
+        # the row passed last, where this one is of another run
+        passed = F.when(last.isNotNull() & ~_same_run(last, F.col("__here")), last)
+        inner = F.last("__passed", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
+        out = out.withColumn("__passed", passed).withColumn(f"__{name}", inner).drop("__passed")
+    columns = rows.columns
+    for name, forward in (("before", True), ("after", False)):
+        enter, leave = (F.min_by, F.max_by) if forward else (F.max_by, F.min_by)
+        ends = out.groupBy("__part").agg(enter("__here", "__place").alias("enter"), leave("__here", "__place").alias("leave"), leave(f"__{name}", "__place").alias("inner"))
+        parts = Window.orderBy("__part" if forward else F.desc("__part"))  # a row for each range
+        left, left_inner = F.lag("leave").over(parts), F.lag("inner").over(parts)
+        step = F.when(left.isNotNull(), F.when(~_same_run(left, F.col("enter")), left).otherwise(left_inner))
+        carried = ends.withColumn("__step", step).select("__part", F.last("__step", ignorenulls=True).over(parts.rowsBetween(Window.unboundedPreceding, 0)).alias("__carried"))
+        out = out.join(carried, "__part").withColumn(f"__{name}", F.coalesce(f"__{name}", "__carried")).drop("__carried")
+        there = F.col(f"__{name}")
+        out = out.withColumn(name, F.when(there["group"].eqNullSafe(F.col("__here")["group"]), there["value"]))
+    return out.select(*columns, "before", "after")
+
+
+def _same_run(a: Column, b: Column) -> Column:
+    return a["group"].eqNullSafe(b["group"]) & a["kind"].eqNullSafe(b["kind"])
