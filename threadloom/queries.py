@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom import archive_queries
 from threadloom.functions.names import DATED_SOURCE, file_date
 from threadloom.operators import evidence, gate, guards, matching, names, scope, sequence
 from threadloom.plans.views import DENSE, GATE, LOCAL, MESSAGE_SQL, ORDER, attachments, chat_exports, device_groups, media_files, message_attachments, messages, oracle, sent_attachments
@@ -405,3 +406,6 @@ _union = lambda faults: " UNION ALL ".join(f"SELECT '{k}' AS guard, count(*) AS
 ORACLE_SQL["guard_counts"] = (
     "SELECT * FROM (" + oracle(f", {MESSAGE_SQL}, {_IMPORT}, lk AS (SELECT file_id, asset_id AS linked_to FROM files WHERE file_id % 127 <> 0 UNION ALL SELECT file_id, asset_id + 1 FROM files WHERE file_id % 127 <> 0 AND file_id % 131 = 0), kept_assets AS (SELECT DISTINCT asset_id FROM files WHERE asset_id % 137 <> 0) " + _union(_FAULTS)) + " UNION ALL (" + oracle(_COHORT + " " + _union(_ORDER_FAULTS), ORDER) + ")) WHERE violations > 0"
 )
+
+QUERIES |= archive_queries.QUERIES
+ORACLE_SQL |= archive_queries.ORACLE_SQL

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.sources.archive import Keep, link_hashes
+from threadloom.sources.snapshots import Workspace
+
 _FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -28,3 +31,20 @@ def keep_hashes(stream: DataFrame, target: str, checkpoint: str) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def link_arriving(stream: DataFrame, workspace: Workspace, source_id: int, root: str, keep: Keep, checkpoint: str) -> None:
+    """Commit what has arrived below ``root`` to the workspace, and return once nothing is left.
+
+    Each batch of (path, sha256) adds a version with its hashes, new contents and links. A batch that is run again finds its
+    files hashed and adds nothing, so a run that dies anywhere and is started again ends like one that didn't. Files that
+    the inventory of the source doesn't have are left out.
+    """
+
+    def commit(batch: DataFrame, number: int) -> None:
+        at = F.locate(f"{root.rstrip('/')}/", F.col("path"))
+        relative = F.substring(F.col("path"), at + len(root.rstrip("/")) + 1, F.length("path"))
+        hashed = batch.withColumn("relative_path", relative)
+        workspace.append(lambda tables: link_hashes(tables, tables["media_file"].where(F.col("source_id") == source_id).join(hashed, "relative_path").select("file_id", "sha256"), keep))
+
+    stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
