@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from threadloom.functions.ordered import nearest_others, number_rows
+from threadloom.functions.ordered import lower_medians, nearest_others, number_rows
 
 
 def numbered(spark, rows):
@@ -47,3 +47,19 @@ def test_nearest_others_over_ranges(spark):
         out = nearest_others(df, [F.asc_nulls_first("host"), F.col("place")], ["host"], ["text"], "place", lambda t: t.checkpoint())
         assert sorted((r["place"], r["before"], r["after"]) for r in out.collect()) == others(rows)
     assert nearest_others(df.where("false"), [F.asc("host"), F.col("place")], ["host"], ["text"], "place", lambda t: t.checkpoint()).collect() == []
+
+
+def test_lower_medians(spark):
+    """Groups of all rows and of one, all values different, ties, null keys and values."""
+    draw = random.Random(2)
+    rows = [(draw.choice([None, "a", "b"]), draw.choice([1, 2]), draw.choice([None, float(i), 3.5, -1.0])) for i in range(500)] + [("one", 1, 7.0), ("none", 1, None)]
+    df = spark.createDataFrame(rows, "k string, j int, v double").repartition(3)
+    for keys in ([], ["k"], ["k", "j"]):
+        groups = {}
+        for k, j, v in rows:
+            groups.setdefault(tuple({"k": k, "j": j}[c] for c in keys), []).extend([] if v is None else [v])
+        want = {g: sorted(v)[(len(v) + 1) // 2 - 1] for g, v in groups.items() if v}
+        got = lower_medians(df, keys, "v", lambda t: t.checkpoint()).collect()
+        assert len(got) == len(want) and {tuple(r)[:-1]: r["lower_median"] for r in got} == want
+    ids = lower_medians(spark.range(10_001), [], "id", lambda t: t.checkpoint())
+    assert [tuple(r) for r in ids.collect()] == [(5000,)] and lower_medians(df.where("false"), ["k"], "v", lambda t: t.checkpoint()).collect() == []

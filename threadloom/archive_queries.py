@@ -1,4 +1,4 @@
-"""Registered queries over a workspace that grows: imports, inventories and hashes added in several versions."""
+"""Registered queries over a workspace that grows: imports, inventories and hashes added in several versions, and exports read by ranges."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from threadloom.plans.views import chat_exports, media_files, oracle
 from threadloom.session import scratch_path
 from threadloom.sources import archive
-from threadloom.sources.chats import parse_messages
+from threadloom.sources.chats import parse_lines, parse_messages, scan_exports
 from threadloom.sources.snapshots import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,5 +91,21 @@ counts AS (SELECT source_id, count(*) AS files, CAST(sum(size) AS BIGINT) AS byt
 ends AS (SELECT *, CAST(sum(files) OVER (ORDER BY source_id) AS BIGINT) AS last_id FROM counts)
 SELECT CAST(version AS INTEGER) AS version, source_id, '/media/' || source_id AS root, files, last_id - files + 1 AS first_id, last_id, bytes FROM ends JOIN range(1, 5) v(version) ON source_id <= version"""
 
-QUERIES: dict[str, Query] = {"linked_in_batches": linked_in_batches, "imported_in_parts": imported_in_parts, "inventories_by_version": inventories_by_version}
-ORACLE_SQL: dict[str, str] = {"linked_in_batches": oracle(LINKED_SQL), "imported_in_parts": IMPORTED_SQL, "inventories_by_version": oracle(INVENTORIES_SQL)}
+def scanned_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages of exports that stand in files, read by byte ranges. A folder for each of the 16 exports holds one file."""
+    path = scratch_path(spark, "exports")
+    lines = chat_exports(spark, sf_dir).select((F.col("doc") % 16).alias("export"), "doc", F.regexp_replace("value", r"\n\z", "").alias("value"))
+    # a task for each export here, which is how an export comes to be one file
+    lines.repartition(16, "export").sortWithinPartitions("export", "doc").select("export", "value").write.partitionBy("export").text(path)
+    rows = parse_lines(scan_exports(spark, path))
+    return rows.select(F.regexp_extract("doc", "export=([0-9]+)", 1).cast("long").alias("export"), "sequence_number", "message_type", "sender", "content", "is_placeholder")
+
+
+SCANNED_SQL = """
+WITH said AS (SELECT conv_id, turn, role, CASE WHEN (conv_id + turn) % 7 = 0 THEN '<Media omitted>' ELSE text END AS content
+              FROM conversations WHERE conv_id IS NOT NULL AND role IS NOT NULL AND text IS NOT NULL)
+SELECT conv_id % 16 AS export, row_number() OVER (PARTITION BY conv_id % 16 ORDER BY conv_id, turn)::INT AS sequence_number, 'User' AS message_type,
+       role AS sender, content, content = '<Media omitted>' AS is_placeholder FROM said"""
+
+QUERIES: dict[str, Query] = {"linked_in_batches": linked_in_batches, "imported_in_parts": imported_in_parts, "inventories_by_version": inventories_by_version, "scanned_messages": scanned_messages}
+ORACLE_SQL: dict[str, str] = {"linked_in_batches": oracle(LINKED_SQL), "imported_in_parts": IMPORTED_SQL, "inventories_by_version": oracle(INVENTORIES_SQL), "scanned_messages": SCANNED_SQL}

@@ -35,6 +35,36 @@ def number_rows(rows: DataFrame, order: list[Column], keep: Callable[[DataFrame]
     return joined.withColumn(name, (F.col("__before") + within + 1).cast("long")).drop("__part", "__place", "__rows", "__before")
 
 
+def lower_medians(rows: DataFrame, keys: list[str], value: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(keys, lower_median): of each group the value that half of its rows, rounded up, don't exceed. Nulls don't count, and
+    a group without values has no row; null keys are a group.
+
+    Values are counted, then the counts are summed along the order of all groups and values, range by range. So neither a
+    group of all rows nor one with as many values as rows is ever in one task.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__value")).agg(F.count("*").alias("__count"))
+    summed = running_sum(counts, [*[F.asc_nulls_first(k) for k in keys], F.asc("__value")], "__count", keep, "__upto")
+    group = F.struct(*keys) if keys else F.lit(1)
+    summed = summed.withColumn("__group", F.xxhash64(group))
+    ends = summed.groupBy("__group", *keys).agg(F.min(F.col("__upto") - F.col("__count")).alias("__from"), F.sum("__count").alias("__rows"))
+    named = ends.select(F.col("__group").alias("__of"), F.struct(F.lit(0), *keys).alias("__key"), "__from", "__rows")
+    met = summed.join(named, (F.col("__group") == F.col("__of")) & F.struct(F.lit(0), *keys).eqNullSafe(F.col("__key")))
+    middle = F.col("__from") + F.shiftright(F.col("__rows") + 1, 1)
+    return met.where((F.col("__upto") >= middle) & (F.col("__upto") - F.col("__count") < middle)).select(*keys, F.col("__value").alias("lower_median"))
+
+
+def running_sum(rows: DataFrame, order: list[Column], amount: str, keep: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Append ``name`` (long): the sum of ``amount`` of all rows up to this one along ``order``, over all ranges."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = keep(ranged.withColumn("__place", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__place", _PLACES))
+    parts = placed.groupBy("__part").agg(F.sum(amount).alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    offsets = parts.select("__part", before.alias("__before"))
+    inner = F.sum(amount).over(Window.partitionBy("__part").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0))
+    joined = placed.withColumn("__inner", inner).join(F.broadcast(offsets), "__part")
+    return joined.withColumn(name, (F.col("__before") + F.col("__inner")).cast("long")).drop("__part", "__place", "__inner", "__before")
+
+
 def nearest_others(rows: DataFrame, order: list[Column], within: list[str], kind: list[str], value: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Append ``before`` and ``after``: ``value`` of the nearest row on either side of ``order`` that is in the same
     group (``within``) and of another ``kind``; null where there is none.

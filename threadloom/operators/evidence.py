@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.functions.ordered import lower_medians
+from threadloom.session import materialize
+
 
 def media_evidence(files: DataFrame, links: DataFrame, assets: DataFrame) -> DataFrame:
     """Each file with the asset it is a copy of, if any."""
@@ -49,13 +52,17 @@ def undated_pools(files: DataFrame) -> DataFrame:
 
 
 def lower_median(value: str) -> Column:
+    """For columns with few different values, which come together in one buffer; others have ``ordered.lower_medians``."""
     return F.expr(f"percentile_disc(0.5) within group (order by {value})")
 
 
 def date_density(files: DataFrame) -> DataFrame:
     """One row: dates with eligible assets, and the least, lower median and most assets on one."""
     per_date = files.where("file_date is not null and size > 0").groupBy("file_date").agg(F.countDistinct("asset_id").alias("n"))
-    return per_date.agg(F.count("*").alias("dates"), F.coalesce(F.min("n"), F.lit(0)).alias("least"), F.coalesce(lower_median("n"), F.lit(0)).cast("long").alias("lower_median"), F.coalesce(F.max("n"), F.lit(0)).alias("most"))
+    per_date = materialize(per_date, "density")
+    ends = per_date.agg(F.count("*").alias("dates"), F.coalesce(F.min("n"), F.lit(0)).alias("least"), F.coalesce(F.max("n"), F.lit(0)).alias("most"))
+    middle = F.coalesce(F.col("lower_median"), F.lit(0)).cast("long").alias("lower_median")
+    return ends.join(F.broadcast(lower_medians(per_date, [], "n", materialize)), F.lit(True), "left").select("dates", "least", middle, "most")
 
 
 def content_assets(files: DataFrame) -> DataFrame:

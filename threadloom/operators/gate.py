@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom.functions import combinatorics as exact
+from threadloom.functions.ordered import number_rows
 from threadloom.operators.matching import known_direction
 from threadloom.operators.scope import token_rows
 from threadloom.operators.summaries import count_summary, counted, difference_summary, ratio_summary
+from threadloom.session import materialize
 
 #: The scopes, in order, with what their key is.
 SCOPES = (("SourceDate", "source_id"), ("DeviceGroupDate", "group_id"))
@@ -204,16 +206,9 @@ def supply(found: DataFrame) -> DataFrame:
 
 
 def numbered(found: DataFrame) -> DataFrame:
-    """Pairs with messages, numbered by scope, key and date.
-
-    Dates are numbered within their key; what stands before a key is summed over the keys, which are sources and groups.
-    """
+    """Pairs with messages, numbered by scope, key and date over all partitions."""
     order = F.when(F.col("scope") == SCOPES[0][0], 0).otherwise(1)
-    rows = found.where("pattern <> ''")
-    sizes = rows.groupBy("scope", "scope_key").agg(F.count("*").alias("n"))
-    before = sizes.select("scope", "scope_key", (F.sum("n").over(Window.orderBy(order, "scope_key")) - F.col("n")).alias("_before"))
-    at = F.row_number().over(Window.partitionBy("scope", "scope_key").orderBy("file_date"))
-    return rows.withColumn("_at", at).join(before, ["scope", "scope_key"]).withColumn("pair_id", F.col("_before") + F.col("_at")).drop("_at", "_before")
+    return number_rows(found.where("pattern <> ''"), [order.asc(), F.asc("scope_key"), F.asc("file_date")], materialize, "pair_id")
 
 
 _COUNTS = T.StructType([T.StructField(c, T.StringType()) for c in ("a", "s", "p", "q", "exchangeable")] + [T.StructField(c, T.BooleanType()) for c in ("binary_determinate", "graded_determinate")] + [T.StructField("band", T.StringType()), T.StructField("share", T.DoubleType())])

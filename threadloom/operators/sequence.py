@@ -139,13 +139,31 @@ def assignment_groups(attachments: DataFrame, files: DataFrame, local: int, agre
 
 def sliding_unions(groups: DataFrame) -> DataFrame:
     """Per feasible group and rank of a message: the assets it may have in some order-preserving assignment, how that
-    narrows what its direction alone allows, and whether a position in its range holds several assets."""
+    narrows what its direction alone allows, and whether a position in its range holds several assets.
+
+    A sweep along the ranks: with slack s an asset at position p may go to the ranks from p - s to p. Of an asset's
+    positions each adds the ranks that the one before didn't reach, so every rank is entered and left once.
+    """
     feasible = groups.where("state = 'Feasible'")
-    ranks = feasible.select("*", F.explode(F.sequence(F.lit(1), F.col("messages").cast("int"))).alias("rank"))
-    window = F.slice("seats", F.col("rank"), (F.col("slack") + 1).cast("int"))
-    n = F.size(F.array_distinct(F.flatten(window))).cast("long")
-    narrowing = F.when(n == F.col("assets"), "NoReduction").when(n == 1, "Unique").otherwise("Reduced")
-    return ranks.select("message_date", "direction", "rank", "assets", n.alias("possible_assets"), narrowing.alias("narrowing"), F.exists(window, lambda s: F.size(s) > 1).alias("heavy"))
+    own = ["message_date", "direction", "messages", "assets", "slack"]
+    places = feasible.select(*own, F.posexplode("seats").alias("at", "seat")).withColumn("at", F.col("at") + 1)
+    one = places.select(*own, "at", F.explode("seat").alias("asset_id"))
+    heavy = places.where(F.size("seat") > 1).select(*own, "at", F.lit(None).cast("long").alias("asset_id"))
+    last = F.least(F.col("messages"), F.col("at")).cast("long")
+    reached = F.lag(last).over(Window.partitionBy("message_date", "direction", "asset_id").orderBy("at"))
+    first = F.greatest(F.lit(1).cast("long"), F.col("at") - F.col("slack"), F.coalesce(reached + 1, F.lit(1).cast("long")))
+    spans = one.union(heavy).withColumns({"first": first, "last": last}).where("first <= last")
+    steps = F.explode(F.array(F.struct(F.col("first").alias("rank"), F.lit(1).alias("by")), F.struct((F.col("last") + 1).alias("rank"), F.lit(-1).alias("by")))).alias("step")
+    events = spans.select(*own, "asset_id", steps).where("step.rank <= messages")
+    events = events.groupBy(*own, F.col("step.rank").alias("rank")).agg(
+        F.sum(F.when(F.col("asset_id").isNotNull(), F.col("step.by")).otherwise(0)).alias("by"), F.sum(F.when(F.col("asset_id").isNull(), F.col("step.by")).otherwise(0)).alias("heavy_by")
+    )
+    along = Window.partitionBy("message_date", "direction").orderBy("rank")
+    upto = along.rowsBetween(Window.unboundedPreceding, 0)
+    stretches = events.select(*own, "rank", F.coalesce(F.lead("rank").over(along) - 1, F.col("messages")).alias("until"), F.sum("by").over(upto).alias("n"), (F.sum("heavy_by").over(upto) > 0).alias("heavy"))
+    narrowing = F.when(F.col("n") == F.col("assets"), "NoReduction").when(F.col("n") == 1, "Unique").otherwise("Reduced")
+    ranks = stretches.withColumn("rank", F.explode(F.sequence("rank", "until")))
+    return ranks.select("message_date", "direction", F.col("rank").cast("int").alias("rank"), "assets", F.col("n").cast("long").alias("possible_assets"), narrowing.alias("narrowing"), "heavy")
 
 
 def narrowing_summary(unions: DataFrame) -> DataFrame:

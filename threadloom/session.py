@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
 
@@ -50,3 +50,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_folder(spark)}/threadloom/{label}-{uuid.uuid4().hex}"
     delete_at_end(spark, path)
     return path
+
+
+def materialize(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write ``df`` once to the shared folder and return the written table, which survives lost executors."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
