@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.ordered import lower_medians
 from threadloom.session import materialize
+from threadloom.operators.sound import sound_files
 
 
 def media_evidence(files: DataFrame, links: DataFrame, assets: DataFrame) -> DataFrame:
@@ -21,7 +22,7 @@ def any_of(test: Column) -> Column:
 
 def evidence_by_asset_date(files: DataFrame) -> DataFrame:
     """Per asset and date: its copies of that date, their sources and directions. Empty assets are no evidence."""
-    dated = files.where("file_date is not null and size > 0")
+    dated = sound_files(files).where("file_date is not null and size > 0")
     return dated.groupBy("asset_id", "file_date").agg(
         F.count("*").alias("copies"),
         F.sort_array(F.collect_set("source_id")).alias("sources"),
@@ -33,12 +34,12 @@ def evidence_by_asset_date(files: DataFrame) -> DataFrame:
 
 
 def asset_facts(files: DataFrame) -> DataFrame:
-    return files.groupBy("asset_id").agg(F.count("*").alias("copies"), F.countDistinct("source_id").alias("sources"), F.bool_or(F.col("file_date").isNotNull()).alias("has_dated_copy"), F.max("size").alias("size"))
+    return sound_files(files).groupBy("asset_id").agg(F.count("*").alias("copies"), F.countDistinct("source_id").alias("sources"), F.bool_or(F.col("file_date").isNotNull()).alias("has_dated_copy"), F.max("size").alias("size"))
 
 
 def source_facts(files: DataFrame) -> DataFrame:
     eligible = F.when(F.col("file_date").isNotNull() & (F.col("size") > 0), F.col("asset_id"))
-    return files.groupBy("source_id").agg(F.count("*").alias("files"), F.count("file_date").alias("dated_files"), F.countDistinct(eligible).alias("eligible_assets"))
+    return sound_files(files).groupBy("source_id").agg(F.count("*").alias("files"), F.count("file_date").alias("dated_files"), F.countDistinct(eligible).alias("eligible_assets"))
 
 
 def undated_pools(files: DataFrame) -> DataFrame:
@@ -58,7 +59,7 @@ def lower_median(value: str) -> Column:
 
 def date_density(files: DataFrame) -> DataFrame:
     """One row: dates with eligible assets, and the least, lower median and most assets on one."""
-    per_date = files.where("file_date is not null and size > 0").groupBy("file_date").agg(F.countDistinct("asset_id").alias("n"))
+    per_date = sound_files(files).where("file_date is not null and size > 0").groupBy("file_date").agg(F.countDistinct("asset_id").alias("n"))
     per_date = materialize(per_date, "density")
     ends = per_date.agg(F.count("*").alias("dates"), F.coalesce(F.min("n"), F.lit(0)).alias("least"), F.coalesce(F.max("n"), F.lit(0)).alias("most"))
     middle = F.coalesce(F.col("lower_median"), F.lit(0)).cast("long").alias("lower_median")

@@ -13,6 +13,7 @@ from threadloom.operators.matching import known_direction
 from threadloom.operators.scope import token_rows
 from threadloom.operators.summaries import count_summary, counted, difference_summary, ratio_summary
 from threadloom.session import materialize
+from threadloom.operators.sound import sound_attachments
 
 #: The scopes, in order, with what their key is.
 SCOPES = (("SourceDate", "source_id"), ("DeviceGroupDate", "group_id"))
@@ -28,7 +29,7 @@ def message_patterns(attachments: DataFrame, local: int) -> DataFrame:
     An attachment without a sender is an error here: nothing is said about an archive that has one.
     """
     side = F.when(known_direction(F.col("sender_id"), local) == "Outgoing", "O").otherwise("I")
-    rows = attachments.select("message_date", F.struct("sequence_number", "attachment_id", side.alias("s")).alias("x"))
+    rows = sound_attachments(attachments).select("message_date", F.struct("sequence_number", "attachment_id", side.alias("s")).alias("x"))
     return rows.groupBy("message_date").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]), "").alias("pattern"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.names import CANDIDATE_BANDS, band
 from threadloom.operators.evidence import any_of, asset_facts, date_density, evidence_by_asset_date, source_facts, undated_pools
 from threadloom.sources.workspace import unresolved
+from threadloom.operators.sound import sound_attachments, sound_files
 
 #: How candidates agree with a message's direction.
 STATES = ("Compatible", "Mixed", "Unknown", "ContradictoryOnly")
@@ -38,7 +39,8 @@ def compatibility(direction_: Column, has_sent: Column, has_not_sent: Column) ->
 def exact_relations(attachments: DataFrame, files: DataFrame, local: int | None) -> DataFrame:
     """A row for each attachment and eligible asset with a copy of the message's date."""
     e = evidence_by_asset_date(files)
-    joined = attachments.join(e, attachments["message_date"] == e["file_date"])
+    a = sound_attachments(attachments)
+    joined = a.join(e, a["message_date"] == e["file_date"])
     side = direction(F.col("sender_id"), local)
     return joined.select("attachment_id", "sequence_number", "message_date", side.alias("direction"), "asset_id", "media_type", "copies", "sources", compatibility(side, F.col("has_sent"), F.col("has_not_sent")).alias("compatibility"))
 
@@ -63,7 +65,7 @@ def neighbours(day: Column) -> Column:
 def adjacent_relations(attachments: DataFrame, files: DataFrame, local: int | None) -> DataFrame:
     """A row for each attachment and asset with a copy of the day before or after, but none of the day itself."""
     e = evidence_by_asset_date(files)
-    days = attachments.select("attachment_id", "message_date", "sender_id", F.explode(neighbours(F.col("message_date"))).alias("file_date"))
+    days = sound_attachments(attachments).select("attachment_id", "message_date", "sender_id", F.explode(neighbours(F.col("message_date"))).alias("file_date"))
     near = days.join(e, "file_date")
     exact = e.select("asset_id", F.col("file_date").alias("message_date"))
     near = near.join(exact, ["asset_id", "message_date"], "left_anti")
@@ -82,7 +84,8 @@ def adjacent_relations(attachments: DataFrame, files: DataFrame, local: int | No
 def relation_counts(attachments: DataFrame, files: DataFrame, local: int | None) -> DataFrame:
     """Per attachment: exact candidates in all and by compatibility, without listing them."""
     per_date = evidence_by_asset_date(files).groupBy("file_date", "has_sent", "has_not_sent").agg(F.count("*").alias("assets"))
-    joined = attachments.join(per_date, attachments["message_date"] == per_date["file_date"], "left")
+    a = sound_attachments(attachments)
+    joined = a.join(per_date, a["message_date"] == per_date["file_date"], "left")
     state = compatibility(direction(F.col("sender_id"), local), F.col("has_sent"), F.col("has_not_sent"))
     sums = [F.coalesce(F.sum(F.when(state == s, F.col("assets"))), F.lit(0)).alias(s) for s in STATES]
     return joined.groupBy("attachment_id").agg(F.coalesce(F.sum("assets"), F.lit(0)).alias("exact"), *sums, F.first("message_date").alias("message_date"), F.first("sender_id").alias("sender_id"))
@@ -105,15 +108,15 @@ def candidate_bands(counts: DataFrame) -> DataFrame:
 
 def source_contributions(attachments: DataFrame, files: DataFrame) -> DataFrame:
     """Per source: its files, and the exact relations that a copy of it supports."""
-    per_date = files.where("file_date is not null and size > 0").groupBy("source_id", "file_date").agg(F.countDistinct("asset_id").alias("assets"))
-    messages = attachments.groupBy(F.col("message_date").alias("file_date")).agg(F.count("*").alias("messages"))
+    per_date = sound_files(files).where("file_date is not null and size > 0").groupBy("source_id", "file_date").agg(F.countDistinct("asset_id").alias("assets"))
+    messages = sound_attachments(attachments).groupBy(F.col("message_date").alias("file_date")).agg(F.count("*").alias("messages"))
     credited = per_date.join(messages, "file_date").groupBy("source_id").agg(F.sum(F.col("assets") * F.col("messages")).alias("relations"))
     return source_facts(files).join(credited, "source_id", "left").withColumn("relations", F.coalesce("relations", F.lit(0)))
 
 
 def relations_by_media_type(attachments: DataFrame, files: DataFrame) -> DataFrame:
     per_date = evidence_by_asset_date(files).groupBy("file_date", "media_type").agg(F.count("*").alias("assets"))
-    messages = attachments.groupBy(F.col("message_date").alias("file_date")).agg(F.count("*").alias("messages"))
+    messages = sound_attachments(attachments).groupBy(F.col("message_date").alias("file_date")).agg(F.count("*").alias("messages"))
     return per_date.join(messages, "file_date").groupBy("media_type").agg(F.sum(F.col("assets") * F.col("messages")).alias("relations"))
 
 

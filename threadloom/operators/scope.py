@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.names import COUNT_BANDS, GAP_BANDS, TOKEN_BANDS, band, once, suffix, token
 from threadloom.operators.evidence import lower_median
 from threadloom.operators.summaries import count_summary, counted
+from threadloom.operators.sound import sound_files
 
 #: The levels. From the widest to the narrowest: what makes up the key of each level.
 KEY_LEVELS = {"Token": [], "DateToken": ["file_date"], "DeviceGroupDateToken": ["group_id", "file_date"], "SourceDateToken": ["source_id", "file_date"]}
@@ -19,7 +20,7 @@ GROUP_LEVELS = {"Date": ["file_date"], "DeviceGroupDate": ["group_id", "file_dat
 
 def token_rows(files: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """Dated files whose name has a token, with ``token`` and, given the map of sources, ``group_id``."""
-    rows = files.where("file_date is not null").select("*", once(_suffix=suffix(F.col("name"), F.col("ext")))).withColumn("token", token(F.col("_suffix"))).drop("_suffix").where("token is not null")
+    rows = sound_files(files).where("file_date is not null").select("*", once(_suffix=suffix(F.col("name"), F.col("ext")))).withColumn("token", token(F.col("_suffix"))).drop("_suffix").where("token is not null")
     return rows.join(F.broadcast(groups), "source_id") if groups is not None else rows  # a row for each source
 
 
@@ -199,6 +200,6 @@ def empty_assets(rows: DataFrame) -> DataFrame:
 
 def date_populations(files: DataFrame, rows: DataFrame) -> DataFrame:
     """One row: dates with eligible media, with tokens, with both, and with only one."""
-    media = files.where("file_date is not null and size > 0").select("file_date", F.lit(1).alias("m"), F.lit(0).alias("t"))
+    media = sound_files(files).where("file_date is not null and size > 0").select("file_date", F.lit(1).alias("m"), F.lit(0).alias("t"))
     both = media.union(rows.select("file_date", F.lit(0).alias("m"), F.lit(1).alias("t"))).groupBy("file_date").agg(F.max("m").alias("m"), F.max("t").alias("t"))
     return both.agg(F.sum("m").cast("long").alias("media_dates"), F.sum("t").cast("long").alias("token_dates"), F.sum(F.col("m") * F.col("t")).cast("long").alias("both"), F.count(F.when(F.col("t") == 0, 1)).alias("media_only"), F.count(F.when(F.col("m") == 0, 1)).alias("token_only"))

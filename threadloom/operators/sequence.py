@@ -12,6 +12,7 @@ from threadloom.functions.names import ASSIGNMENT_BANDS, CANDIDATE_BANDS, SHORTF
 from threadloom.operators.evidence import evidence_by_asset_date
 from threadloom.operators.matching import direction, known_direction
 from threadloom.operators.scope import token_rows
+from threadloom.operators.sound import sound_attachments, sound_files
 
 
 def _agrees(direction: Column, is_sent: Column) -> Column:
@@ -32,7 +33,7 @@ def cohort_groups(attachments: DataFrame, files: DataFrame, local: int) -> DataF
     Candidates depend on date and direction alone, so a group has one asset, ``asset_id`` and ``last_asset_id``.
     ``tokens`` and ``agreeing_tokens`` (on copies that record the direction) are ascending.
     """
-    sides = attachments.withColumn("direction", direction(F.col("sender_id"), local)).groupBy("message_date", "direction").agg(F.count("*").alias("relations"), F.min("sequence_number").alias("first_sequence"))
+    sides = sound_attachments(attachments).withColumn("direction", direction(F.col("sender_id"), local)).groupBy("message_date", "direction").agg(F.count("*").alias("relations"), F.min("sequence_number").alias("first_sequence"))
     one = compatible_assets(files).groupBy("message_date", "direction").agg(F.count("*").alias("n"), F.min("asset_id").alias("asset_id"), F.max("asset_id").alias("last_asset_id")).where("n = 1").drop("n")
     groups = sides.join(one, ["message_date", "direction"])
     t = token_rows(files).select("asset_id", F.col("file_date").alias("message_date"), "token", "is_sent")
@@ -119,8 +120,8 @@ def assignment_groups(attachments: DataFrame, files: DataFrame, local: int, agre
     ``seats`` has the compatible assets at each position, by ascending token. Attachments without a sender are an error.
     Messages come from dates with evidence, assets from that evidence; no pair of a message and an asset is made.
     """
-    dates = files.where("file_date is not null and size > 0").select(F.col("file_date").alias("message_date")).distinct()
-    sides = attachments.withColumn("direction", known_direction(F.col("sender_id"), local))
+    dates = sound_files(files).where("file_date is not null and size > 0").select(F.col("file_date").alias("message_date")).distinct()
+    sides = sound_attachments(attachments).withColumn("direction", known_direction(F.col("sender_id"), local))
     messages = sides.join(dates, "message_date", "left_semi").groupBy("message_date", "direction").agg(F.count("*").alias("messages"))
     assets = compatible_assets(files).join(messages, ["message_date", "direction"], "left_semi")
     t = token_rows(files).select("asset_id", F.col("file_date").alias("message_date"), "token", "is_sent")
@@ -235,8 +236,8 @@ def agreeing_loss(groups: DataFrame, agreeing: DataFrame) -> DataFrame:
 
 def excluded_attachments(attachments: DataFrame, files: DataFrame) -> DataFrame:
     """One row: attachments on dates without evidence, which no group has."""
-    dates = files.where("file_date is not null and size > 0").select(F.col("file_date").alias("message_date")).distinct()
-    return attachments.join(dates, "message_date", "left_anti").agg(F.count("*").alias("attachments"), F.countDistinct("message_date").alias("dates"))
+    dates = sound_files(files).where("file_date is not null and size > 0").select(F.col("file_date").alias("message_date")).distinct()
+    return sound_attachments(attachments).join(dates, "message_date", "left_anti").agg(F.count("*").alias("attachments"), F.countDistinct("message_date").alias("dates"))
 
 
 def assignment_counts(groups: DataFrame) -> DataFrame:
