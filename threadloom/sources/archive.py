@@ -41,8 +41,8 @@ def _numbered(rows: DataFrame, order: list, after: DataFrame, column: str, keep:
 def import_conversations(tables: Tables, messages: DataFrame, keep: Keep) -> Tables:
     """Rows for the conversations in ``messages`` (doc, sequence_number, message_type, sender, content), one for each doc.
 
-    Conversations are numbered by doc, their participants by first appearance, their messages by sequence number; a user's
-    message that is exactly the placeholder has an unresolved attachment. A doc that the workspace holds is an error.
+    Conversations are numbered by doc, their participants by first appearance, their messages by sequence number; a message
+    that is exactly the placeholder has an unresolved attachment. A doc that the workspace holds is an error.
     """
     known = messages.select("doc").distinct().join(tables["conversation"].select("doc"), "doc", "left_semi")
     if not known.isEmpty():
@@ -57,7 +57,7 @@ def import_conversations(tables: Tables, messages: DataFrame, keep: Keep) -> Tab
     who = people.select("conversation_id", F.col("name").alias("sender"), "participant_id")
     numbered = _numbered(said.drop("participant_id").join(who, ["conversation_id", "sender"], "left"), [F.asc("conversation_id"), F.asc("sequence_number")], tables["message"], "message_id", keep)
     numbered = keep(numbered.withColumn("participant_id", F.when(F.col("message_type") == "User", F.col("participant_id"))))
-    lost = numbered.where((F.col("content") == PLACEHOLDER) & (F.col("message_type") == "User")).select("message_id")
+    lost = numbered.where(F.col("content") == PLACEHOLDER).select("message_id")
     attachments = _numbered(lost, [F.asc("message_id")], tables["attachment"], "attachment_id", keep)
     return {
         "import_source": docs, "conversation": docs, "participant": people, "message": numbered,
@@ -126,6 +126,20 @@ def pending_files(tables: Tables, source_id: int | None = None) -> DataFrame:
     return files.join(tables["file_hash"].select("file_id"), "file_id", "left_anti")
 
 
+def with_attachments(tables: Tables) -> Tables:
+    """Tables of format 1, which had no attachments, as format 2: one for each message that is exactly the placeholder.
+
+    They have the numbers of their messages, so that a view gives them without a look at all of them.
+    """
+    lost = tables["message"].where(F.col("content") == PLACEHOLDER)
+    filled = lost.select(F.col("message_id").alias("attachment_id"), "message_id", F.lit(1).alias("ordinal"), F.lit("Unresolved").alias("status"))
+    return {**tables, "attachment": filled}
+
+
+#: What makes the tables of each older format those of the next.
+UPGRADES = {1: with_attachments}
+
+
 def stored(spark: SparkSession, folder: str) -> Keep:
     """A ``Keep`` that writes to ``folder``, which driver and executors share."""
 
