@@ -37,8 +37,9 @@ SENT_PARTS = 200_000
 
 
 def units(vectors: list[bytes], dim: int) -> np.ndarray:
-    """Rows of length one, in double precision."""
-    x = np.frombuffer(b"".join(vectors), np.float64).reshape(-1, dim)
+    """Rows of length one, in double precision, of components as their column stores them."""
+    kind = np.float32 if vectors and len(vectors[0]) == 4 * dim else np.float64
+    x = np.frombuffer(b"".join(vectors), kind).reshape(-1, dim).astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)  # so that squares neither overflow nor vanish
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
@@ -62,7 +63,9 @@ def _describe(pivots, dim: int):
         p = pivots.value
         n = min(NEAREST, len(p))
         for batch in batches:
-            flat = batch["v"].flatten().cast(pa.float64()).to_numpy()
+            flat = batch["v"].flatten()
+            # floats travel as floats: half the bytes, and the doubles that they stand for
+            flat = (flat if flat.type == pa.float32() else flat.cast(pa.float64())).to_numpy()
             raw = [flat[i * dim : (i + 1) * dim].tobytes() for i in range(batch.num_rows)]
             tops = []
             for i in range(0, len(raw), 256):

@@ -28,6 +28,8 @@ SIZE = BANDS * ROWS
 SLACK = 5.0
 #: Members of a bucket that are compared with one another at once.
 BLOCK = 512
+#: Shingles of the documents in one block, on the average; long texts come in smaller blocks.
+BLOCK_SHINGLES = 1_500_000
 
 #: Classes with more copies than that, and than an equal share of all copies among ``MOST_SENT`` classes, are sent to all tasks.
 LEAST_MANY, MOST_SENT = 500, 100_000
@@ -216,8 +218,8 @@ def _cross_links(buckets: DataFrame, sketch: DataFrame, docs: DataFrame, roots:
     holds a whole bucket, and pairs never leave a task.
     """
     members = buckets.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    mixed = members.groupBy("band", "hash").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
-    mixed = mixed.select("band", "hash", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    mixed = members.groupBy("band", "hash").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")).where("low < high")
+    mixed = mixed.select("band", "hash", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     at = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     rows = members.join(mixed, ["band", "hash"]).withColumn("block", at).join(sketch.select("doc_id", "bands", "signature"), "doc_id")
     met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -236,7 +238,7 @@ def near_duplicate_links(docs: DataFrame, sketch: DataFrame, least: float) -> Da
     Where one component is left in a bucket, no further pair of it can change anything. In the other buckets all
     pairs between components are compared on their signatures, and the promising ones on their full sets.
     """
-    banded = sketch.where("n_shingles > 0").select("doc_id", F.posexplode("bands").alias("band", "hash"))
+    banded = sketch.where("n_shingles > 0").select("doc_id", "n_shingles", F.posexplode("bands").alias("band", "hash"))
     sizes = banded.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1")
     buckets = materialize(banded.join(sizes, ["band", "hash"]), "buckets")
     weight = buckets.groupBy("doc_id").agg(F.sum("n").alias("weight"))
@@ -245,7 +247,7 @@ def near_duplicate_links(docs: DataFrame, sketch: DataFrame, least: float) -> Da
     pairs = buckets.join(hubs, ["band", "hash"]).where("doc_id <> hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
     links = materialize(verified(pairs, docs, least), "links")
     roots = connected_components(links)
-    more = _cross_links(buckets.select("doc_id", "band", "hash"), sketch, docs, roots, least)
+    more = _cross_links(buckets.select("doc_id", "n_shingles", "band", "hash"), sketch, docs, roots, least)
     drop_tables(buckets)
     if not more.isEmpty():
         drop_tables(roots)
