@@ -10,7 +10,7 @@ import pytest
 
 from threadloom.functions import names
 from threadloom.operators import guards
-from threadloom.sources import inventory, workspace
+from threadloom.sources import folders, inventory, workspace
 from pyspark.sql import functions as F
 
 
@@ -39,6 +39,35 @@ def test_discover(spark, tree):
         inventory.discover(spark, f"{top}/none", "Other")
 
 
+def test_folders_as_a_source(spark, tree):
+    """A tree of any shape, shared out in any number of parts; filters are applied where the files are listed."""
+    top, files = tree
+    for i in range(40):
+        path = top / f"root/deep/{i % 7}/{i % 3}/f{i}"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"x" * i)
+        files[f"deep/{i % 7}/{i % 3}/f{i}"] = b"x" * i
+    want = sorted((n, len(d)) for n, d in files.items())
+    spark.dataSource.register(folders.MediaFolders)
+    for parts in (1, 3, 64):
+        rows = spark.read.format(folders.NAME).option("partitions", parts).load(f"{top}/root")
+        assert sorted(tuple(r) for r in rows.collect()) == want and rows.rdd.getNumPartitions() <= parts
+    assert sorted(tuple(r) for r in folders.listed(spark, f"file://{top}/root").collect() if "link" not in r[0]) == [w for w in want if "link" not in w[0]]
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
+    try:
+        rows = folders.listed(spark, f"{top}/root")
+        test = "relative_path like 'deep/3/%' and size > 5 and size <= 31 and relative_path not like '%f17'"
+        assert sorted(tuple(r) for r in rows.where(test).collect()) == [(n, k) for n, k in want if n.startswith("deep/3/") and 5 < k <= 31 and not n.endswith("f17")]
+        assert rows.where("size = 3000000").count() == 1 and rows.where("relative_path like 'nowhere%'").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    reader = folders._FilteredReader(f"{top}/root", 8)
+    seen, plain = [], reader._list
+    reader._list = lambda f: (seen.append(f), plain(f))[1]
+    assert list(reader.pushFilters([folders.StringStartsWith(("relative_path",), "deep/3/")])) == []
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == sum(n.startswith("deep/3/") for n in files) and all(f in ("", "deep", "deep/3") or f.startswith("deep/3/") for f in seen)
+
+
 def test_hash_files(spark, tree):
     top, files = tree
     found = inventory.discover(spark, f"{top}/root", "Other").select("relative_path", "size")

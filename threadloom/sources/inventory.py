@@ -11,43 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions.names import extension, file_date, media_type, under_sent
+from threadloom.sources.folders import listed
 
 #: Bytes of a file that are read at once.
 READ_BYTES = 1 << 20
 
-_LISTED = "path string, is_folder boolean, size long"
-
-
-def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What the folders hold; links are left out, a folder that can't be read is an error."""
-    for batch in batches:
-        for folder in batch["path"].to_pylist():
-            with os.scandir(folder) as entries:
-                own = [e for e in entries if not e.is_symlink() and (e.is_dir() or e.is_file())]
-            own = [(e.path, e.is_dir(), None if e.is_dir() else e.stat().st_size) for e in own]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in own], k) for i, k in enumerate((pa.string(), pa.bool_(), pa.int64()))], ["path", "is_folder", "size"])
-
-
 def discover(spark: SparkSession, root: str, source_type: str) -> DataFrame:
     """(relative_path, name, ext, size, media_type, is_hidden, file_date, under_sent, is_sent) of all files below ``root``.
 
-    Folders are listed a level at a time, each by the task that holds it, so a tree of any width is spread. ``root`` must be
-    mounted on all machines. Hidden files count; links don't. Direction is known in a source that has a folder ``Sent`` anywhere.
+    Folders are listed by the tasks that walk them (``sources.folders``). Hidden files count; links don't. Direction is known in
+    a source that has a folder ``Sent`` anywhere. A root that is no folder is an error.
     """
-    if not os.path.isdir(root):
+    if "://" not in root and not os.path.isdir(root):
         raise NotADirectoryError(root)
-    folders, files = spark.createDataFrame([(root,)], "path string"), None
-    while True:
-        listed = folders.mapInArrow(_list, _LISTED).persist()
-        here = listed.where("not is_folder").select("path", "size")
-        files = here if files is None else files.union(here)
-        folders = listed.where("is_folder").select("path")
-        n = folders.count()
-        if not n:
-            break
-        folders = folders.repartition(max(1, min(n, spark.sparkContext.defaultParallelism * 4)))
-    rel = F.replace(F.substring("path", len(root.rstrip("/")) + 2, 1 << 30), F.lit("\\"), F.lit("/"))
-    rows = files.select("path", "size", rel.alias("relative_path")).withColumn("name", F.element_at(F.split("relative_path", "/"), -1))
+    files = listed(spark, root).withColumn("relative_path", F.replace("relative_path", F.lit("\\"), F.lit("/")))
+    rows = files.withColumn("name", F.element_at(F.split("relative_path", "/"), -1))
     rows = rows.withColumns({"ext": extension(F.col("name")), "under_sent": under_sent(F.col("relative_path"))})
     rows = rows.withColumns({"media_type": media_type(F.col("ext"), F.col("size")), "is_hidden": F.startswith("name", F.lit(".")), "file_date": file_date(F.lit(source_type), F.col("name"))})
     known = rows.agg(F.coalesce(F.bool_or("under_sent"), F.lit(False)).alias("known"))
