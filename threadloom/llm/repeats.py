@@ -33,7 +33,7 @@ from threadloom.llm.text import cache_for, mix, powers, prefix_hash, raw
 WINDOW = 50
 ANCHOR = 20
 #: Text of one block, and of one range of doc_ids, in bytes.
-BLOCK_BYTES, RANGE_BYTES = 1_500_000, 24_000_000
+BLOCK_BYTES, RANGE_BYTES = 1_000_000, 24_000_000
 #: Digits that one bucket compares at once, on the average.
 BUCKET_DIGITS = 500_000
 #: An anchor with more different contents than that in one block sends them straight to the last pass.
@@ -158,17 +158,16 @@ class Block:
         """(key, check, document, first byte) of all windows of the runs that lead the entries to compare."""
         runs = self.lead[compare]
         n = self.ends[runs] - self.starts[runs] - WINDOW + 1
-        first = np.repeat(self.starts[runs] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(runs) else np.zeros(0, np.int64)
-        run = np.repeat(runs, n)
-        h = (self.p[first + WINDOW] - self.p[first]) * self.inverse[first] if len(first) else np.zeros(0, _U)
+        first = (np.repeat(self.starts[runs] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(runs) else np.zeros(0, np.int64)).astype(np.int32)
+        run = np.repeat(runs, n).astype(np.int32)
+        key = mix((self.p[first + WINDOW] - self.p[first]) * self.inverse[first], 12) if len(first) else np.zeros(0, _U)
         place = (self.starts[run] + self.offset[run] - first).astype(_U)
-        key = mix(h, 12)
         return key, mix(self.anchor[run] ^ mix(place, 13), 14).astype(np.uint32), self.run_doc[run], first
 
     def removed(self, earlier: np.ndarray, windows: tuple[np.ndarray, ...], seen: np.ndarray) -> np.ndarray:
         """Mark of every byte that goes. ``seen``: of each window, whether an earlier block has it."""
         size = len(self.data)
-        change = np.zeros(size + 1, np.int64)
+        change = np.zeros(size + 1, np.int32)
         if len(self.starts):
             first_doc = self.ids[self.run_doc[self.lead]]
             gone = earlier[self.entry] | (self.ids[self.run_doc[self.order]] > first_doc[self.entry])
@@ -189,7 +188,7 @@ class Block:
                 np.add.at(change, lead_of, 1)
                 np.subtract.at(change, lead_of + WINDOW, 1)
                 self._again(out, first, change)
-        return np.cumsum(change[:size]) > 0
+        return np.cumsum(change[:size], dtype=np.int32) > 0
 
     def _again(self, out: np.ndarray, first: np.ndarray, change: np.ndarray) -> None:
         """Carry a lead run's windows over to further runs of the same content in documents with the leading doc_id."""
@@ -199,9 +198,10 @@ class Block:
         twins = self.order[(self.ids[self.run_doc[self.order]] == self.ids[self.run_doc[self.lead]][self.entry]) & (self.order != self.lead[self.entry])]
         if not len(twins):
             return
-        gone = np.zeros(len(self.data) + 1, np.int64)
-        gone[first[out]] = 1
-        total = np.concatenate([[0], np.cumsum(gone)])
+        gone = np.zeros(len(self.data) + 1, bool)
+        gone[first[out]] = True
+        total = np.zeros(len(gone) + 1, np.int32)
+        np.cumsum(gone, out=total[1:])
         lead = self.lead[entry_of[twins]]
         n = self.ends[lead] - self.starts[lead] - WINDOW + 1
         some = total[self.starts[lead] + n] > total[self.starts[lead]]
