@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from threadloom.llm.components import connected_components
 from threadloom.llm.storage import materialize
 
-#: Nearest pivots that describe a vector, and how many of them two vectors must share to be compared. At cosine 0.9
-#: in 64 dimensions and with up to 16384 pivots, at least 0.997 of all pairs share two of twelve.
+#: Nearest pivots that describe a vector, and how many of them two vectors must share to be compared. Of 2,000 pairs of
+#: random directions in 64 dimensions at cosine 0.9, 0.998 share two of twelve with 800 pivots, 0.982 with 4,000 and 0.943
+#: with 16,384; at 0.92 it is 0.9995, 0.996 and 0.977, at 0.95 at least 0.997.
 NEAREST, SHARED = 12, 2
 #: One pivot for so many vectors, from the least to the most: the size of the sample that the index is fitted on.
 VECTORS_PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 12, 64, 16_384
