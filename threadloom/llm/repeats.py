@@ -35,7 +35,7 @@ ANCHOR = 20
 #: Text of one block, and of one range of doc_ids, in bytes.
 BLOCK_BYTES, RANGE_BYTES = 1_000_000, 24_000_000
 #: Digits that one bucket compares at once, on the average.
-BUCKET_DIGITS = 500_000
+BUCKET_DIGITS = 250_000
 #: An anchor with more different contents than that in one block sends them straight to the last pass.
 HOT = 16
 
