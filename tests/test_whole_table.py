@@ -67,3 +67,19 @@ def test_strict_order_reads_all_files(spark, small, duck):
             else:
                 want[day] = "Concordant" if (o < i) == (g["Outgoing"]["first_sequence"] < g["Incoming"]["first_sequence"]) else "Discordant"
     assert {str(r["message_date"]): r["verdict"] for r in QUERIES["strict_order"](spark, small).collect()} == want
+
+
+def test_relations_shuffle_no_pairs(spark, small):
+    """What grows as the product of files and messages is written and no more: nothing is grouped or dealt after they meet."""
+    for name in ("exact_relations",):
+        plan = QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan()
+        assert "block" in plan.toString() and _above_meeting(plan) == [], name
+
+
+def _above_meeting(plan) -> list[str]:
+    """Aggregates and repartitions above the first join by block; branches of numbers that repeat have none."""
+    name, children = plan.nodeName(), [plan.children().apply(i) for i in range(plan.children().size())]
+    if name == "Join" and "block" in plan.condition().toString():
+        return []
+    below = [x for c in children if "block" in c.toString() for x in _above_meeting(c)]
+    return ([name] if name in ("Aggregate", "RepartitionByExpression", "Sort", "Window") else []) + below
