@@ -71,7 +71,7 @@ def test_strict_order_reads_all_files(spark, small, duck):
 
 def test_relations_shuffle_no_pairs(spark, small):
     """What grows as the product of files and messages is written and no more: nothing is grouped or dealt after they meet."""
-    for name in ("exact_relations",):
+    for name in ("exact_relations", "adjacent_relations"):
         plan = QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan()
         assert "block" in plan.toString() and _above_meeting(plan) == [], name
 
@@ -83,3 +83,15 @@ def _above_meeting(plan) -> list[str]:
         return []
     below = [x for c in children if "block" in c.toString() for x in _above_meeting(c)]
     return ([name] if name in ("Aggregate", "RepartitionByExpression", "Sort", "Window") else []) + below
+
+
+def test_adjacent_relations_of_a_number_that_repeats(spark):
+    """Rows with one number are one attachment, over all their dates."""
+    from threadloom.operators.matching import adjacent_relations
+
+    rows = [(1, 1, "2024-01-02", 1), (1, 2, "2024-01-04", 1), (2, 3, "2024-01-04", 2)]
+    a = spark.createDataFrame(rows, "attachment_id long, sequence_number long, d string, sender_id long").selectExpr("attachment_id", "sequence_number", "to_date(d) as message_date", "sender_id")
+    files = [(1, 1, 7, "2024-01-03", True), (2, 2, 7, "2024-01-03", False), (3, 1, 8, "2024-01-01", True), (4, 1, 8, "2024-01-02", True), (5, 1, 9, "2024-01-05", None)]
+    f = spark.createDataFrame(files, "file_id long, source_id long, asset_id long, d string, is_sent boolean").selectExpr("file_id", "source_id", "asset_id", "to_date(d) as file_date", "is_sent", "1L as size", "'Image' as media_type")
+    got = {tuple(r) for r in adjacent_relations(a, f, 1).collect()}
+    assert got == {(1, 7, True, True, 4, 2, "Mixed"), (1, 9, False, True, 1, 1, "Unknown"), (2, 7, True, False, 2, 2, "Mixed"), (2, 9, False, True, 1, 1, "Unknown")}
