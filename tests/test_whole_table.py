@@ -95,3 +95,11 @@ def test_adjacent_relations_of_a_number_that_repeats(spark):
     f = spark.createDataFrame(files, "file_id long, source_id long, asset_id long, d string, is_sent boolean").selectExpr("file_id", "source_id", "asset_id", "to_date(d) as file_date", "is_sent", "1L as size", "'Image' as media_type")
     got = {tuple(r) for r in adjacent_relations(a, f, 1).collect()}
     assert got == {(1, 7, True, True, 4, 2, "Mixed"), (1, 9, False, True, 1, 1, "Unknown"), (2, 7, True, False, 2, 2, "Mixed"), (2, 9, False, True, 1, 1, "Unknown")}
+
+
+def test_exact_counts_are_made_once_for_each_shape(spark, small):
+    """Pairs that share a shape share the counts: the plan joins them, and each pair is still there."""
+    counts = QUERIES["reference_counts"](spark, small)
+    assert "ArrowEvalPython" not in counts._jdf.queryExecution().executedPlan().toString()
+    states = {(r["scope"], r["state"]): r["pairs"] for r in QUERIES["pair_states"](spark, small).collect()}
+    assert counts.count() == sum(n for (_, state), n in states.items() if state == "Classified")
