@@ -103,3 +103,9 @@ def test_exact_counts_are_made_once_for_each_shape(spark, small):
     assert "ArrowEvalPython" not in counts._jdf.queryExecution().executedPlan().toString()
     states = {(r["scope"], r["state"]): r["pairs"] for r in QUERIES["pair_states"](spark, small).collect()}
     assert counts.count() == sum(n for (_, state), n in states.items() if state == "Classified")
+
+
+def test_guards_search_names_once(spark, small):
+    """One pass for the rules on dates, and the tables that many guards read are made before."""
+    plan = QUERIES["guard_counts"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(name") <= 1

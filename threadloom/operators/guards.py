@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.names import marker_date
+from threadloom.functions.names import marker_date, once
 from threadloom.operators.evidence import evidence_by_asset_date
 from threadloom.operators.scope import KEY_LEVELS, ambiguity, assets_in_collisions
 
@@ -23,6 +23,12 @@ def _said(rows: DataFrame, guard: str, subject: str | Column) -> DataFrame:
     return rows.select(F.lit(guard).alias("guard"), subject.cast("string").alias("subject"))
 
 
+def _broken(rows: DataFrame, subject: str, rules: dict[str, Column]) -> DataFrame:
+    """A row for each rule that a row breaks, from one pass over the rows."""
+    guards = F.array_compact(F.array(*[F.when(test, F.lit(guard)) for guard, test in rules.items()]))
+    return rows.select(F.explode(guards).alias("guard"), F.col(subject).cast("string").alias("subject"))
+
+
 def together(*guards: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, guards)
 
@@ -65,11 +71,10 @@ def media_guards(files: DataFrame, links: DataFrame, assets: DataFrame) -> DataF
     """
     files = files.select("file_id", "sha256")
     linked = files.join(links.select("file_id", "asset_id"), "file_id", "left").join(assets.select("asset_id", F.col("sha256").alias("asset_sha256")), "asset_id", "left")
-    hashed = linked.where("sha256 is not null")
+    hashed = F.col("sha256").isNotNull()
     return together(
         _said(files.where("sha256 is null"), "unhashed_file", "file_id"),
-        _said(hashed.where("asset_sha256 is null"), "hashed_file_without_asset", "file_id"),
-        _said(hashed.where("upper(sha256) <> upper(asset_sha256)"), "hash_differs_from_asset", "file_id"),
+        _broken(linked, "file_id", {"hashed_file_without_asset": hashed & F.col("asset_sha256").isNull(), "hash_differs_from_asset": hashed & (F.upper("sha256") != F.upper("asset_sha256"))}),
         repeated(links, ["file_id"], "several_assets_of_a_file"),
     )
 
@@ -79,14 +84,10 @@ def date_guards(files: DataFrame, dated_sources: DataFrame) -> DataFrame:
 
     ``files`` (file_id, source_id, name, file_date), ``dated_sources`` (source_id).
     """
-    said = marker_date(F.col("name"))
-    f = files.withColumn("said", said)
-    undated = f.where("file_date is null and said is not null").join(dated_sources.select("source_id").distinct(), "source_id", "left_semi")
-    return together(
-        _said(f.where("file_date is not null and said is null"), "dated_file_without_marker", "file_id"),
-        _said(f.where("file_date <> said"), "marker_differs_from_date", "file_id"),
-        _said(undated, "undated_file_with_marker", "file_id"),
-    )
+    f = files.select("file_id", "source_id", "file_date", once(said=marker_date(F.col("name"))))
+    f = f.join(dated_sources.select("source_id").distinct().withColumn("of_dated", F.lit(True)), "source_id", "left")
+    dated, said = F.col("file_date").isNotNull(), F.col("said")
+    return _broken(f, "file_id", {"dated_file_without_marker": dated & said.isNull(), "marker_differs_from_date": F.col("file_date") != said, "undated_file_with_marker": ~dated & said.isNotNull() & F.col("of_dated")})
 
 
 def conversation_guards(spark_rows: DataFrame, conversations: DataFrame, participants: DataFrame) -> DataFrame:
@@ -131,7 +132,7 @@ def cohort_guards(attachments: DataFrame, groups: DataFrame, files: DataFrame) -
     opposite = F.when(F.col("direction") == "Outgoing", F.col("has_not_sent")).otherwise(F.col("has_sent"))
     return together(
         repeated(attachments, ["sequence_number"], "sequence_number_repeated"), _said(several, "several_assets_of_a_group", "asset_id"), _said(both, "asset_of_both_directions", "asset_id"),
-        _said(seen.where("has_sent is null"), "candidate_not_observed", "asset_id"), _said(seen.where(opposite), "copy_of_the_other_direction", "asset_id"),
+        _broken(seen, "asset_id", {"candidate_not_observed": F.col("has_sent").isNull(), "copy_of_the_other_direction": opposite}),
     )
 
 
