@@ -174,3 +174,58 @@ def test_quality_odd_rows(spark):
         assert all(r["predicted"] == 1 for r in score_quality(docs, learn_ranking(docs, none)).collect())
     assert all(r["predicted"] == 0 for r in score_quality(docs, learn_ranking(docs, labels.where("label = 0"))).collect())
     assert score_quality(docs.where("false"), learn_ranking(docs.where("false"), labels)).collect() == []
+
+
+def slope_of_all_pairs(x, label, w):
+    """The slope of the mean loss over every pair, one by one."""
+    s = np.array([sum(x.value[i:j] * w[x.column[i:j]]) for i, j in zip(x.at, x.at[1:])])
+    good, bad, pull = np.flatnonzero(label == 1), np.flatnonzero(label == 0), np.zeros(len(label))
+    for g in good:
+        p = 1 / (1 + np.exp(s[g] - s[bad])) / len(good) / len(bad)
+        pull[g] -= p.sum()
+        pull[bad] += p
+    return x.transposed_times(pull) + quality.RIDGE * w, s
+
+
+def test_ranking_is_learned_from_all_rows_and_all_pairs(spark):
+    """More rows of each label than were once drawn, labels that features don't tell apart fully, and repeated doc_ids."""
+    import pyarrow as pa
+
+    draw = random.Random(11)
+    rows = []
+    for i in range(10_500):
+        label = int(i % 21 < 11)
+        words = ["plain", "Words", "of!!", "###", "12", "x-1", "ROW"]
+        rows.append((i, label, " ".join(draw.choices(words, [9, 3, 1 + 2 * (1 - label), 2 - label, 1, 1, 1], k=draw.randrange(1, 30)))))
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows] + [(3, "a second row of 3")], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, k) for i, k, _ in rows] + [(7, 0)], "doc_id long, label int")
+    seen = [(k, t) for _, k, t in rows] + [(rows[3][1], "a second row of 3"), (0, rows[7][2])]
+    x, label = quality.features(pa.array([t for _, t in seen])), np.array([k for k, _ in seen])
+    assert min(np.bincount(label)) > 4_900
+    got = learn_ranking(docs, labels)
+    slope, s = slope_of_all_pairs(x, label, got.weights)
+    assert np.linalg.norm(slope) < 1e-6
+    s, n = np.sort(s), int((label == 0).sum())
+    assert abs(got.quantile - (s[n - 1] + s[n]) / 2) < 1e-12 and abs(got.scale - 2 / s.std()) < 1e-9
+    alone = quality.fit(x, label)
+    # with this ridge, so far at most are weights with flat slopes from the only ones without any
+    assert np.linalg.norm(alone.weights - got.weights) <= 2 * quality.FLAT / quality.RIDGE
+
+
+def test_ranks_of_strengths_are_exact():
+    import pyarrow as pa
+
+    texts = [f"Word{'!' * (i % 7)} {'ROW ' * (i % 5)}{'x-1 ' * (i % 3)}" for i in range(400)]
+    x, label, w = quality.features(pa.array(texts)), np.arange(400) % 2, np.random.default_rng(1).normal(size=quality.WIDTH)
+    s = np.sort(x.times(w))
+    assert s[0] < 0 < s[-1]
+    assert quality._ranked(lambda of, width: of(x, label), w, [0, 57, 200, 201, 399]) == s[[0, 57, 200, 201, 399]].tolist()
+
+
+def test_equal_texts_have_equal_scores():
+    import pyarrow as pa
+
+    text = "Some words, OF!! a text 12 and x-1 more; twice twice"
+    texts = pa.array([t for i in range(300) for t in (text, f"other {'Words! ' * (i % 9)}{i}")])
+    w = np.random.default_rng(2).normal(size=quality.WIDTH)
+    assert len(set(quality.features(texts).times(w)[::2].tolist())) == 1

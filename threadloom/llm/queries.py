@@ -15,11 +15,11 @@ from threadloom.llm.language import identify, learn_profiles
 from threadloom.llm.minhash import near_duplicates
 from threadloom.llm.negatives import mine_negatives
 from threadloom.llm.packing import pack, tokenized_pieces
-from threadloom.llm.quality import learn_ranking, score_quality
+from threadloom.llm.quality import featured, learn_from, score_features
 from threadloom.llm.repeats import remove_repeats
 from threadloom.llm.resample import resample
 from threadloom.llm.sharding import shuffle_into_shards
-from threadloom.llm.storage import scratch_path
+from threadloom.llm.storage import materialize, scratch_path
 from threadloom.llm.tokenfiles import read_token_files, write_token_files
 
 N_SHARDS = 24
@@ -108,8 +108,9 @@ def op13_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents; those with crc32(doc_id) mod 4 = 2 are held out of the learning."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     part = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4, F.lit(0))
-    ranking = learn_ranking(docs, labels.where(part != 2).select("doc_id", F.col("quality").alias("label")))
-    out = score_quality(docs, ranking)
+    rows = materialize(featured(docs), "features")
+    ranking = learn_from(rows, labels.where(part != 2).select("doc_id", F.col("quality").alias("label")))
+    out = score_features(rows, ranking)
     return out.select("doc_id", (part == 2).alias("held_out"), "score", "predicted")
 
 
