@@ -85,6 +85,17 @@ def _above_meeting(plan) -> list[str]:
     return ([name] if name in ("Aggregate", "RepartitionByExpression", "Sort", "Window") else []) + below
 
 
+def test_relations_take_little_disk(spark, tmp_path):
+    """Rows come in an order that is short when written; which rows there are is compared elsewhere."""
+    from threadloom.operators.matching import exact_relations
+
+    a = spark.range(1501).selectExpr("id as attachment_id", "id + 1 as sequence_number", "date '2024-01-01' as message_date", "id % 3 as sender_id")
+    f = spark.range(2000).selectExpr("id as file_id", "id % 4 + 1 as source_id", "id * 7 as asset_id", "date '2024-01-01' as file_date", "id % 5 < 2 as is_sent", "1L as size", "if(id % 7 < 3, 'Image', 'Video') as media_type")
+    exact_relations(a, f, 1).write.parquet(f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").distinct().count() == 1501 * 2000
+    assert sum(p.stat().st_size for p in tmp_path.glob("out/*.parquet")) < 0.4 * 1501 * 2000
+
+
 def test_adjacent_relations_of_a_number_that_repeats(spark):
     """Rows with one number are one attachment, over all their dates."""
     from threadloom.operators.matching import adjacent_relations
