@@ -108,6 +108,28 @@ def test_adjacent_relations_of_a_number_that_repeats(spark):
     assert got == {(1, 7, True, True, 4, 2, "Mixed"), (1, 9, False, True, 1, 1, "Unknown"), (2, 7, True, False, 2, 2, "Mixed"), (2, 9, False, True, 1, 1, "Unknown")}
 
 
+def test_adjacent_relations_of_numbers_that_repeat_group_no_pairs(spark, small):
+    union = QUERIES["adjacent_relations"](spark, small)._jdf.queryExecution().optimizedPlan()
+    while union.nodeName() != "Union":
+        union = union.children().apply(0)
+    for i in range(union.children().size()):
+        branch = union.children().apply(i)
+        assert "block" in branch.toString() and _above_meeting(branch) == []
+
+
+def test_adjacent_relations_of_a_long_conversation(spark, small, tmp_path):
+    """Its turns from 100 on have numbers of the next conversation's; a sender known on either row is the attachment's."""
+    con = duckdb.connect()
+    con.execute(f"copy (select * from '{small}/events.parquet') to '{tmp_path}/events.parquet'")
+    con.execute(f"""copy (with c as (select conv_id, turn, role from '{small}/conversations.parquet')
+     select * from c union all select conv_id - 1, turn + 100, if(conv_id % 2 = 0, role, 'system') from c where conv_id % 3 > 0) to '{tmp_path}/conversations.parquet'""")
+    for name in ("events", "conversations"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet'")
+    df = QUERIES["adjacent_relations"](spark, str(tmp_path))
+    want = con.execute(f"select {', '.join(df.columns)} from ({ORACLE_SQL['adjacent_relations']})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want) and len(want) > 0
+
+
 def test_exact_counts_are_made_once_for_each_shape(spark, small):
     """Pairs that share a shape share the counts: the plan joins them, and each pair is still there."""
     counts = QUERIES["reference_counts"](spark, small)
